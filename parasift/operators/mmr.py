@@ -12,6 +12,11 @@ representativeness score ``rep``):
 
 Note the direction of ``lam``: 1.0 means "representativeness only".
 
+Scores are compared after rounding to ``SCORE_DECIMALS`` decimals, so values
+that are equal in exact arithmetic (e.g. both rows of a two-row group are
+equally close to their centroid) tie in every engine and the position rule
+decides, instead of the last floating-point bit.
+
 Two exact execution paths produce identical picks:
 
 * **grouped path** – groups of at most ``max_group_rows`` rows are shuffled to
@@ -45,6 +50,8 @@ DEFAULT_MAX_GROUP_ROWS = 50_000
 # Winners of one lock-step round are broadcast while there are at most this
 # many big groups (each winner carries one vector); beyond it a shuffle join.
 BROADCAST_MAX_GROUPS = 20_000
+# Resolution at which selection scores are compared.
+SCORE_DECIMALS = 9
 
 
 @dataclass(frozen=True)
@@ -66,7 +73,7 @@ def _select_numpy(u: np.ndarray, rep: np.ndarray, k: int, lam: float) -> tuple[l
     if k <= 0:
         return [], []
     # first pick: max rep, ties -> highest position (last index)
-    first = n - 1 - int(np.argmax(rep[::-1]))
+    first = n - 1 - int(np.argmax(np.round(rep, SCORE_DECIMALS)[::-1]))
     picks = [first]
     scores = [float(rep[first])]
     avail = np.ones(n, dtype=bool)
@@ -76,8 +83,8 @@ def _select_numpy(u: np.ndarray, rep: np.ndarray, k: int, lam: float) -> tuple[l
     for _ in range(1, k):
         max_sim = np.maximum(max_sim, u @ u[last])
         score = lam * rep - (1.0 - lam) * max_sim
-        score = np.where(avail, score, -np.inf)
-        best = int(np.argmax(score))  # ties -> lowest position (first index)
+        cmp = np.where(avail, np.round(score, SCORE_DECIMALS), -np.inf)
+        best = int(np.argmax(cmp))  # ties -> lowest position (first index)
         picks.append(best)
         scores.append(float(score[best]))
         avail[best] = False
@@ -140,7 +147,7 @@ def _lockstep_path(df: DataFrame, spec: MMRSpec, n_groups: int, checkpoint_every
         win = cand.groupBy(*keys).agg(
             F.max_by(
                 F.struct(F.col(pos).alias("_wpos"), F.col("_u").alias("_wu"), score.alias("_wscore")),
-                F.struct(score, tie),
+                F.struct(F.round(score, SCORE_DECIMALS), tie),
             ).alias("_w")
         ).select(*keys, "_w._wpos", "_w._wu", "_w._wscore")
         if n_groups <= BROADCAST_MAX_GROUPS:

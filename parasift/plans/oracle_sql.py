@@ -47,7 +47,7 @@ def mmr_cte(name: str, base: str, key: str, pos: str, k: int | str, lam: float)
 {name} AS (
   SELECT {key}, 1 AS rank, {pos}, rep, rep AS mmr_score, [{pos}] AS picked, [u] AS us, n
   FROM {base}
-  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY rep DESC, {pos} DESC) = 1
+  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(rep, 9) DESC, {pos} DESC) = 1
   UNION ALL
   SELECT {key}, rank, {pos}, rep, sc AS mmr_score, picked, us, n FROM (
     SELECT m.{key}, m.rank + 1 AS rank, b.{pos}, b.rep,
@@ -56,7 +56,7 @@ def mmr_cte(name: str, base: str, key: str, pos: str, k: int | str, lam: float)
       list_append(m.picked, b.{pos}) AS picked, list_append(m.us, b.u) AS us, m.n
     FROM {name} m JOIN {base} b ON b.{key} = m.{key}
     WHERE m.rank < least({k}, m.n) AND NOT list_contains(m.picked, b.{pos})
-    QUALIFY row_number() OVER (PARTITION BY m.{key} ORDER BY sc DESC, b.{pos} ASC) = 1
+    QUALIFY row_number() OVER (PARTITION BY m.{key} ORDER BY round(sc, 9) DESC, b.{pos} ASC) = 1
   )
 )"""
 
@@ -79,3 +79,39 @@ def pair_avg(picks: str, key: str, pos: str, uvec: str = "u") -> str:
 SELECT p.{key}, avg(list_dot_product(p.{uvec}, q.{uvec})) AS apc
 FROM {picks} p JOIN {picks} q ON p.{key} = q.{key} AND p.{pos} < q.{pos}
 GROUP BY p.{key}"""
+
+
+def segments_cte(name: str, src: str, key: str, text: str) -> str:
+    """``name(key, position, path, segment_id, text)``: trimmed non-blank lines."""
+    return f"""
+{name}_l AS (
+  SELECT {key}, ln, {utrim('line')} AS text
+  FROM (SELECT {key}, unnest(string_split(coalesce({text}, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce({text}, ''), chr(10)), 1) AS ln FROM {src})
+),
+{name} AS (
+  SELECT {key}, position, 'p[' || CAST(position AS VARCHAR) || ']' AS path, sha256(text) AS segment_id, text
+  FROM (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY ln) - 1 AS BIGINT) AS position, text
+        FROM {name}_l WHERE text <> '')
+)"""
+
+
+def hash_embed_cte(name: str, src: str, dim: int) -> str:
+    """``name(segment_id, v)``: signed feature-hashing embedding of ``src(segment_id, text)``,
+    L2-normalised and rounded to float32."""
+    return f"""
+{name}_t AS (SELECT segment_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM {src}),
+{name}_b AS (
+  SELECT segment_id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim} AS b,
+         CASE WHEN substr(md5(t), 9, 1) < '8' THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS s
+  FROM {name}_t WHERE t <> ''
+),
+{name}_w AS (SELECT segment_id, b, sum(s) AS w FROM {name}_b GROUP BY segment_id, b),
+{name}_n AS (SELECT segment_id, sqrt(sum(w * w)) AS nrm, map_from_entries(list({{'k': b, 'v': w}})) AS m
+             FROM {name}_w GROUP BY segment_id),
+{name} AS (
+  SELECT s.segment_id,
+         CASE WHEN n.nrm IS NULL OR n.nrm = 0 THEN list_transform(range({dim}), lambda i: CAST(0 AS DOUBLE))
+              ELSE list_transform(range({dim}), lambda i: CAST(CAST(coalesce(n.m[i], 0) / n.nrm AS FLOAT) AS DOUBLE)) END AS v
+  FROM {src} s LEFT JOIN {name}_n n USING (segment_id)
+)"""
