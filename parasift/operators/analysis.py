@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -86,3 +87,121 @@ def group_metrics(groups: DataFrame, rows: DataFrame, picks: DataFrame, keys, la
     if vector is not None:
         cols.append(F.coalesce("analyzed_segments", F.lit(0)).cast("long").alias("analyzed_segments"))
     return out.select(*cols)
+
+
+# --------------------------------------------------------------------------
+# Fused per-group analysis: centroid, similarity, MMR and pick redundancy of
+# a bounded group in one Arrow call; unbounded groups take the native path.
+# --------------------------------------------------------------------------
+
+def _group_vectors(col) -> np.ndarray:
+    arr = col.combine_chunks() if hasattr(col, "combine_chunks") else col
+    n = len(arr)
+    if n == 0:
+        return np.zeros((0, 0))
+    lengths = arr.value_lengths().to_numpy(zero_copy_only=False)
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    d = int(lengths[0])
+    return flat.reshape(n, d)
+
+
+def _fused_tables(keys, position, vector, k, lam, payload, out_schema):
+    import pyarrow as pa
+
+    from .mmr import _select_numpy
+
+    def fn(table):
+        table = table.sort_by(position)
+        n = table.num_rows
+        v = _group_vectors(table.column(vector))
+        centroid = v.mean(axis=0)
+        norms = np.sqrt((v * v).sum(axis=1))
+        cn = float(np.sqrt(centroid @ centroid))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rep = np.where((norms > 0) & (cn > 0), (v @ centroid) / (norms * cn), 0.0)
+            u = np.where(norms[:, None] > 0, v / norms[:, None], v)
+        picks, scores = _select_numpy(u, rep, k, lam)
+        m = len(picks)
+        if m > 1:
+            up = u[picks]
+            g = up @ up.T
+            apc = float(g[np.triu_indices(m, 1)].mean())
+        else:
+            apc = 0.0
+        idx = pa.array(picks, type=pa.int64())
+        cols = {c: table.column(c).take(idx) for c in list(keys) + [position] + list(payload)}
+        cols["score_representative"] = pa.array(rep[picks], type=pa.float64())
+        cols["rank"] = pa.array(np.arange(1, m + 1, dtype=np.int32))
+        cols["mmr_score"] = pa.array(np.asarray(scores, dtype=np.float64))
+        cols["group_n"] = pa.array(np.full(m, n, dtype=np.int64))
+        cols["group_top_n"] = pa.array(np.full(m, m, dtype=np.int64))
+        cols["group_apc"] = pa.array(np.full(m, apc, dtype=np.float64))
+        return pa.Table.from_pydict(cols, schema=out_schema)
+
+    return fn
+
+
+def analyze_groups(
+    vectors: DataFrame,
+    keys,
+    position: str,
+    vector: str,
+    k: int,
+    lam: float,
+    payload=(),
+    max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """Picks per group with ``score_representative``, ``rank``, ``mmr_score``,
+    ``reason`` and the group metrics ``group_n``, ``group_top_n``, ``group_apc``
+    repeated on every pick row.
+
+    Groups of at most ``max_group_rows`` rows: one ``applyInArrow`` call per
+    group computes centroid, cosine to it, MMR and the pick redundancy with
+    numpy.  Larger groups: native partial aggregations for the centroid and the
+    pick statistics, lock-step MMR rounds (see :mod:`.mmr`).
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from .mmr import MMRSpec, _lockstep_path
+
+    kk = _keys(keys)
+    valid = vectors.filter(is_valid_vector(F.col(vector)))
+    src = valid.select(*kk, position, *payload, vector)
+    fields = [src.schema[c] for c in kk + [position] + list(payload)]
+    fields += [
+        T.StructField("score_representative", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()),
+        T.StructField("mmr_score", T.DoubleType()),
+        T.StructField("group_n", T.LongType()),
+        T.StructField("group_top_n", T.LongType()),
+        T.StructField("group_apc", T.DoubleType()),
+    ]
+    out_schema = T.StructType(fields)
+    fn = _fused_tables(kk, position, vector, int(k), float(lam), tuple(payload), to_arrow_schema(out_schema))
+
+    def grouped(df):
+        return df.groupBy(*kk).applyInArrow(fn, schema=out_schema)
+
+    if sizes is None:
+        sizes = src.groupBy(*kk).agg(F.count(F.lit(1)).alias("n"))
+    big = sizes.filter(F.col("n") > F.lit(max_group_rows)).select(*kk)
+    n_big = big.count()
+    if n_big == 0:
+        out = grouped(src)
+    else:
+        from .mmr import BROADCAST_MAX_GROUPS
+
+        big_side = F.broadcast(big) if n_big <= BROADCAST_MAX_GROUPS else big
+        small = grouped(src.join(big_side, kk, "left_anti"))
+        big_rows = src.join(big_side, kk, "left_semi")
+        scored = score_rows(big_rows, kk, vector)
+        spec = MMRSpec(tuple(kk), position, UNIT, "score_representative", int(k), float(lam), tuple(payload), True)
+        picks = _lockstep_path(scored, spec, n_big)
+        stats = pick_stats(picks, kk).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
+            "avg_pairwise_cosine", "group_apc")
+        counts = big_rows.groupBy(*kk).agg(F.count(F.lit(1)).alias("group_n"))
+        big_out = picks.join(stats, kk).join(counts, kk).select(*[f.name for f in out_schema.fields])
+        out = small.unionByName(big_out)
+    return out.withColumn("reason", mmr_reason("rank"))

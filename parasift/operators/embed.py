@@ -48,10 +48,14 @@ def _token_sign(t: Column) -> Column:
 
 
 def signed_buckets(text, dim: int) -> Column:
-    """``array<int>``: ``sign * (bucket + 1)`` per token."""
+    """``array<int>``: ``sign * (bucket + 1)`` per token (one MD5 per token)."""
+    digests = F.transform(hash_tokens(text), lambda t: F.md5(t))
     return F.transform(
-        hash_tokens(text),
-        lambda t: ((_token_hash(t) % F.lit(dim)).cast("int") + F.lit(1)) * _token_sign(t),
+        digests,
+        lambda h: (
+            (F.conv(F.substring(h, 1, HASH_HEX_DIGITS), 16, 10).cast("long") % F.lit(dim)).cast("int") + F.lit(1)
+        )
+        * F.when(F.substring(h, HASH_HEX_DIGITS + 1, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1)),
     )
 
 

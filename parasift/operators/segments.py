@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import CHUNK_PARAMS, PRODUCER_TAG, SCHEMA_VERSION, doc_id_from_texts, segment_id
-from ..functions.text import is_blank, lines, utrim
+from ..functions.text import utrim
 
 
 def segment_texts(text) -> Column:
     """``array<string>`` of trimmed non-blank lines, in order."""
     c = F.col(text) if isinstance(text, str) else text
-    kept = F.filter(lines(F.coalesce(c, F.lit(""))), lambda x: ~is_blank(x))
-    return F.transform(kept, lambda x: utrim(x))
+    # trimming also removes the "\r" of a "\r\n" line end
+    trimmed = F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), lambda x: utrim(x))
+    return F.filter(trimmed, lambda x: x != F.lit(""))
 
 
 def segment_struct_array(texts: Column) -> Column:

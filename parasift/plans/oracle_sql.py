@@ -10,8 +10,16 @@ from __future__ import annotations
 WS = r"[\p{Z}\s\x0B\x{85}]"
 
 
+WS_CODEPOINTS = (
+    [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680]
+    + list(range(0x2000, 0x200B))
+    + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
+WS_SQL = " || ".join(f"chr({c})" for c in WS_CODEPOINTS)
+
+
 def utrim(expr: str) -> str:
-    return f"regexp_replace({expr}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"trim({expr}, {WS_SQL})"
 
 
 def unit(v: str) -> str:

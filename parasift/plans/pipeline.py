@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.analysis import UNIT, group_metrics, select_per_group
+from ..operators.analysis import analyze_groups
 from ..operators.embed import HashingEmbedder
 from ..options import AnalyzerOptions
 
@@ -63,11 +63,18 @@ def analyze(
     if vectors is None:
         vectors = embed_segments(segs, embedder, store)
     sizes = segs.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-    picks = select_per_group(
+    picks = analyze_groups(
         vectors, k, "position", "embedding", k=opts.top_n, lam=opts.mmr_lambda,
-        payload=("segment_id",), keep_unit=True, max_group_rows=opts.max_group_rows, sizes=sizes,
+        payload=("segment_id",), max_group_rows=opts.max_group_rows, sizes=sizes,
+    )
+    firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_top_n", "group_apc")
+    metrics = docs.select(*k).join(firsts, k, "left").select(
+        *k,
+        F.coalesce("group_n", F.lit(0)).cast("long").alias("num_segments"),
+        F.coalesce("group_top_n", F.lit(0)).cast("long").alias("top_n"),
+        F.lit(float(opts.mmr_lambda)).alias("mmr_lambda"),
+        F.coalesce("group_apc", F.lit(0.0)).alias("avg_pairwise_cosine"),
     )
-    metrics = group_metrics(docs, vectors, picks, k, opts.mmr_lambda)
     selection = picks.select(
         *k, "rank", "position", "segment_id", "score_representative",
         F.lit(0.0).alias("score_diversity"), F.lit(None).cast("double").alias("score_rerank"),
