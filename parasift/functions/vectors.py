@@ -77,7 +77,7 @@ def masked_mean_pool(token_vectors, mask) -> Column:
     tv, m = _c(token_vectors), _c(mask)
     denom = F.aggregate(m, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     denom = F.when(denom > 0, denom).otherwise(F.lit(1.0))
-    dim = F.size(F.element_at(tv, 1))
+    dim = F.size(F.get(tv, 0))
     zero = F.array_repeat(F.lit(0.0), F.coalesce(dim, F.lit(0)))
     summed = F.aggregate(
         F.arrays_zip(tv.alias("v"), m.alias("m")),

@@ -27,7 +27,7 @@ def _has_class(cls: Column, name: str) -> Column:
 
 
 def _first(nodes: Column, pred) -> Column:
-    return F.element_at(F.filter(nodes, pred), 1)
+    return F.get(F.filter(nodes, pred), 0)
 
 
 def title_expr(nodes="nodes") -> Column:
