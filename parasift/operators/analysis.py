@@ -105,7 +105,7 @@ def _group_vectors(col) -> np.ndarray:
     return flat.reshape(n, d)
 
 
-def _fused_tables(keys, position, vector, k, lam, payload, out_schema):
+def _fused_tables(keys, position, vector, k, lam, payload, out_schema, emit_unit=False):
     import pyarrow as pa
 
     from .mmr import _select_numpy
@@ -136,6 +136,11 @@ def _fused_tables(keys, position, vector, k, lam, payload, out_schema):
         cols["group_n"] = pa.array(np.full(m, n, dtype=np.int64))
         cols["group_top_n"] = pa.array(np.full(m, m, dtype=np.int64))
         cols["group_apc"] = pa.array(np.full(m, apc, dtype=np.float64))
+        if emit_unit:
+            d = u.shape[1] if u.ndim == 2 else 0
+            flat = pa.array(u[picks].ravel(), type=pa.float64())
+            offs = pa.array(np.arange(0, m * d + 1, d, dtype=np.int32) if d else np.zeros(m + 1, dtype=np.int32))
+            cols[UNIT] = pa.ListArray.from_arrays(offs, flat)
         return pa.Table.from_pydict(cols, schema=out_schema)
 
     return fn
@@ -151,6 +156,7 @@ def analyze_groups(
     payload=(),
     max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
     sizes: DataFrame | None = None,
+    emit_unit: bool = False,
 ) -> DataFrame:
     """Picks per group with ``score_representative``, ``rank``, ``mmr_score``,
     ``reason`` and the group metrics ``group_n``, ``group_top_n``, ``group_apc``
@@ -178,8 +184,10 @@ def analyze_groups(
         T.StructField("group_top_n", T.LongType()),
         T.StructField("group_apc", T.DoubleType()),
     ]
+    if emit_unit:
+        fields.append(T.StructField(UNIT, T.ArrayType(T.DoubleType())))
     out_schema = T.StructType(fields)
-    fn = _fused_tables(kk, position, vector, int(k), float(lam), tuple(payload), to_arrow_schema(out_schema))
+    fn = _fused_tables(kk, position, vector, int(k), float(lam), tuple(payload), to_arrow_schema(out_schema), emit_unit)
 
     def grouped(df):
         return df.groupBy(*kk).applyInArrow(fn, schema=out_schema)

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.analysis import analyze_groups
+from ..operators.analysis import analyze_groups, pick_stats
+from ..operators.rerank import QUERY_MODE_CENTROID_SUMMARY, rerank, rerank_query
 from ..operators.embed import HashingEmbedder
 from ..options import AnalyzerOptions
 
@@ -49,6 +50,7 @@ def analyze(
     opts: AnalyzerOptions | None = None,
     store=None,
     vectors: DataFrame | None = None,
+    scorer=None,
 ) -> Analysis:
     """Per-document selection of the ``top_n`` most representative and least
     redundant segments (centroid similarity + MMR) and the analysis metrics.
@@ -63,11 +65,32 @@ def analyze(
     if vectors is None:
         vectors = embed_segments(segs, embedder, store)
     sizes = segs.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-    picks = analyze_groups(
-        vectors, k, "position", "embedding", k=opts.top_n, lam=opts.mmr_lambda,
-        payload=("segment_id",), max_group_rows=opts.max_group_rows, sizes=sizes,
-    )
-    firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_top_n", "group_apc")
+    if not opts.rerank:
+        picks = analyze_groups(
+            vectors, k, "position", "embedding", k=opts.top_n, lam=opts.mmr_lambda,
+            payload=("segment_id",), max_group_rows=opts.max_group_rows, sizes=sizes,
+        )
+        firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_top_n", "group_apc")
+        selection = picks.select(
+            *k, "rank", "position", "segment_id", "score_representative",
+            F.lit(0.0).alias("score_diversity"), F.lit(None).cast("double").alias("score_rerank"),
+            "reason", "mmr_score",
+        )
+    else:
+        # shortlist of top_m by MMR, re-ranked against one query per document
+        short = analyze_groups(
+            vectors, k, "position", "embedding", k=opts.top_m, lam=opts.mmr_lambda,
+            payload=("segment_id", "text"), max_group_rows=opts.max_group_rows, sizes=sizes, emit_unit=True,
+        ).withColumn("shortlist_pos", (F.col("rank") - 1).cast("long")).drop("rank", "reason")
+        queries = rerank_queries(segs, docs, k, opts.query_mode)
+        final = rerank(short, queries, k, scorer, opts.top_n)
+        stats = pick_stats(final, k).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
+            "avg_pairwise_cosine", "group_apc")
+        firsts = final.filter(F.col("rank") == 1).select(*k, "group_n").join(stats, k)
+        selection = final.select(
+            *k, "rank", "position", "segment_id", "score_representative",
+            F.lit(0.0).alias("score_diversity"), "score_rerank", "reason", "mmr_score", "shortlist_pos",
+        )
     metrics = docs.select(*k).join(firsts, k, "left").select(
         *k,
         F.coalesce("group_n", F.lit(0)).cast("long").alias("num_segments"),
@@ -75,9 +98,17 @@ def analyze(
         F.lit(float(opts.mmr_lambda)).alias("mmr_lambda"),
         F.coalesce("group_apc", F.lit(0.0)).alias("avg_pairwise_cosine"),
     )
-    selection = picks.select(
-        *k, "rank", "position", "segment_id", "score_representative",
-        F.lit(0.0).alias("score_diversity"), F.lit(None).cast("double").alias("score_rerank"),
-        "reason", "mmr_score",
-    )
     return Analysis(selection, metrics)
+
+
+def rerank_queries(segs: DataFrame, docs: DataFrame, keys=("doc_id",), mode: str = QUERY_MODE_CENTROID_SUMMARY,
+                   title: str = "title") -> DataFrame:
+    """One query per document from its title (if any) and first segment.
+
+    The first segment is the row at position 0, so no aggregation is needed.
+    """
+    k = _keys(keys)
+    first = segs.filter(F.col("position") == 0).select(*k, F.col("text").alias("_first"))
+    tcol = F.col(title) if title in docs.columns else F.lit(None).cast("string")
+    d = docs.select(*k, tcol.alias("_title")).join(first, k, "left")
+    return d.select(*k, rerank_query(F.col("_title"), F.col("_first"), mode).alias("query"))

@@ -130,7 +130,9 @@ def q_token_windows(spark, d):
     )
 
 
-ANALYSIS_SQL = f"""{UNIQ_SQL},
+def analysis_sql(k: int) -> str:
+    """Hash embeddings -> centroid -> similarity -> MMR picks ``m`` (k per document)."""
+    return f"""{UNIQ_SQL},
 sv AS (SELECT s.doc_id, s.position, s.segment_id, vec.v FROM seg s JOIN vec USING (segment_id)),
 {S.centroid_cte('c', 'sv', 'doc_id', 'v')},
 b AS (
@@ -138,7 +140,10 @@ b AS (
          count(*) OVER (PARTITION BY sv.doc_id) AS n
   FROM sv JOIN c USING (doc_id)
 ),
-{S.mmr_cte('m', 'b', 'doc_id', 'position', OPTS.top_n, OPTS.mmr_lambda)}"""
+{S.mmr_cte('m', 'b', 'doc_id', 'position', k, OPTS.mmr_lambda)}"""
+
+
+ANALYSIS_SQL = analysis_sql(OPTS.top_n)
 
 
 def _analysis(spark, d):
