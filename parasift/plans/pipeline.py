@@ -112,3 +112,109 @@ def rerank_queries(segs: DataFrame, docs: DataFrame, keys=("doc_id",), mode: str
     tcol = F.col(title) if title in docs.columns else F.lit(None).cast("string")
     d = docs.select(*k, tcol.alias("_title")).join(first, k, "left")
     return d.select(*k, rerank_query(F.col("_title"), F.col("_first"), mode).alias("query"))
+
+
+# ---------------------------------------------------------------------------
+# Whole pipelines
+# ---------------------------------------------------------------------------
+
+@dataclass
+class PipelineResult:
+    documents: DataFrame  # nested documents, one per page
+    segments: DataFrame  # long segments table
+    selection: DataFrame  # one row per pick
+    metrics: DataFrame  # one row per document
+    analysis: DataFrame  # nested analysis records
+    summary: DataFrame  # one summary per document
+    observations: dict
+
+
+def nest_analysis(selection: DataFrame, metrics: DataFrame, docs: DataFrame, keys, fingerprint: str) -> DataFrame:
+    """Analysis records: ``keys, doc_id, model_fingerprint, top_segments[], metrics``."""
+    k = _keys(keys)
+    score = F.struct("segment_id", "score_representative", "score_diversity", "score_rerank", "reason")
+    top = selection.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("rank", score.alias("s")))).alias("_t"))
+    m = metrics.select(*k, F.struct("num_segments", "top_n", "mmr_lambda", "avg_pairwise_cosine").alias("metrics"))
+    out = docs.select(*k, "doc_id").join(m, k, "left").join(top, k, "left")
+    return out.select(
+        *k, "doc_id", F.lit(fingerprint).alias("model_fingerprint"),
+        F.coalesce(F.transform("_t", lambda x: x["s"]), F.array().cast("array<struct<segment_id:string,score_representative:double,score_diversity:double,score_rerank:double,reason:string>>")).alias("top_segments"),
+        "metrics",
+    )
+
+
+def run_pages(
+    pages: DataFrame,
+    analyzer_opts: AnalyzerOptions | None = None,
+    summarizer_opts=None,
+    embedder=None,
+    store=None,
+    scorer=None,
+    responses: DataFrame | None = None,
+    key: str = "page_id",
+    fetched_at=None,
+) -> PipelineResult:
+    """Pages ``(key, url, html)`` -> documents -> analysis -> summary.
+
+    All outputs are lazy DataFrames over one plan; per-stage row counts are
+    collected with ``observe`` the first time each output is computed.
+    """
+    from pyspark.sql import Observation
+
+    from ..functions.ids import combined_fingerprint
+    from ..operators.extract import extract_pages
+    from ..operators.segments import build_documents, explode_document_segments
+    from ..operators.summary import pick_lists, resolve_picks, summarize
+
+    opts = analyzer_opts or AnalyzerOptions()
+    embedder = embedder or HashingEmbedder()
+    obs = {name: Observation(name) for name in ("pages", "documents", "segments", "picks")}
+    pages = pages.observe(obs["pages"], F.count(F.lit(1)).alias("rows"))
+    ex = extract_pages(pages, keep=[key, "url"])
+    docs = build_documents(ex, url="url", title="title", text="text_content", fetched_at=fetched_at, keys=[key])
+    docs = docs.observe(obs["documents"], F.count(F.lit(1)).alias("rows"))
+    segs = explode_document_segments(docs, keys=[key]).observe(obs["segments"], F.count(F.lit(1)).alias("rows"))
+    a = analyze(segs, docs.select(key), key, embedder, opts, store, scorer=scorer)
+    selection = a.selection.observe(obs["picks"], F.count(F.lit(1)).alias("rows"))
+    fp = combined_fingerprint(embedder.fingerprint, scorer.fingerprint if (opts.rerank and scorer) else
+                              ("token-overlap@1" if opts.rerank else None))
+    analysis = nest_analysis(selection, a.metrics, docs, key, fp)
+    picks = pick_lists(resolve_picks(selection.select(key, "rank", "segment_id"), segs, key), key)
+    summary = summarize(docs.select(key, "title", "lang"), picks, responses, key, summarizer_opts)
+    return PipelineResult(docs, segs, selection, a.metrics, analysis, summary, obs)
+
+
+def analyze_documents(docs: DataFrame, opts: AnalyzerOptions | None = None, embedder=None, store=None,
+                      scorer=None) -> DataFrame:
+    """Nested documents (as read from JSON) -> nested analysis records.
+
+    Documents are keyed by their content ``doc_id``; copies with the same id
+    have the same content, hence the same analysis, and are analysed once.
+    """
+    from ..operators.segments import explode_document_segments
+
+    opts = opts or AnalyzerOptions()
+    embedder = embedder or HashingEmbedder()
+    d = docs.dropDuplicates(["doc_id"])
+    segs = explode_document_segments(d, keys=["doc_id"])
+    a = analyze(segs, d.select("doc_id"), "doc_id", embedder, opts, store, scorer=scorer)
+    return nest_analysis(a.selection, a.metrics, d.select("doc_id"), "doc_id", embedder.fingerprint)
+
+
+def summarize_documents(analyses: DataFrame, docs: DataFrame, responses: DataFrame | None = None, opts=None):
+    """Nested analyses + documents -> (summaries, mismatches).
+
+    ``mismatches`` lists analyses whose ``doc_id`` has no document (U10).
+    """
+    from ..operators.segments import explode_document_segments
+    from ..operators.summary import pick_lists, resolve_picks, summarize
+
+    d = docs.dropDuplicates(["doc_id"])
+    an = analyses.dropDuplicates(["doc_id"])
+    mismatches = an.join(d.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    matched = an.join(d.select("doc_id"), "doc_id", "left_semi")
+    sel = matched.select("doc_id", F.posexplode("top_segments").alias("pos", "s")).select(
+        "doc_id", (F.col("pos") + 1).alias("rank"), F.col("s.segment_id").alias("segment_id"))
+    segs = explode_document_segments(d, keys=["doc_id"])
+    picks = pick_lists(resolve_picks(sel, segs, "doc_id"), "doc_id")
+    return summarize(d.select("doc_id", "title", "lang"), picks, responses, "doc_id", opts), mismatches

@@ -56,3 +56,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         _SCRATCH = tempfile.mkdtemp(prefix="parasift-ckpt-")
     spark.sparkContext.setCheckpointDir(_SCRATCH)
     return _SCRATCH
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``parasift`` importable in the Python workers.
+
+    Zips the package once per driver process and hands it to
+    ``SparkContext.addPyFile`` (Spark distributes it to every executor).  A
+    no-op when the package already ships with the executors' environment.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="parasift-pkg-")
+    zpath = os.path.join(out_dir, "parasift.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
