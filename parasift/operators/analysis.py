@@ -95,14 +95,25 @@ def group_metrics(groups: DataFrame, rows: DataFrame, picks: DataFrame, keys, la
 # --------------------------------------------------------------------------
 
 def _group_vectors(col) -> np.ndarray:
+    """``(n, d)`` float64 matrix; rows that are null or of another size than
+    the most common one become NaN rows (filtered as invalid)."""
     arr = col.combine_chunks() if hasattr(col, "combine_chunks") else col
     n = len(arr)
     if n == 0:
         return np.zeros((0, 0))
-    lengths = arr.value_lengths().to_numpy(zero_copy_only=False)
+    lengths = arr.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    d = int(lengths[0])
-    return flat.reshape(n, d)
+    vals, counts = np.unique(lengths[lengths >= 0], return_counts=True)
+    if len(vals) == 0:
+        return np.full((n, 0), np.nan)
+    d = int(vals[np.argmax(counts)])
+    if (lengths == d).all():
+        return flat.reshape(n, d)
+    out = np.full((n, d), np.nan)
+    starts = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))[:-1]])
+    for i in np.nonzero(lengths == d)[0]:
+        out[i] = flat[starts[i]:starts[i] + d]
+    return out
 
 
 def _fused_tables(keys, position, vector, k, lam, payload, out_schema, emit_unit=False):
@@ -111,24 +122,35 @@ def _fused_tables(keys, position, vector, k, lam, payload, out_schema, emit_unit
     from .mmr import _select_numpy
 
     def fn(table):
-        table = table.sort_by(position)
-        n = table.num_rows
+        pos = table.column(position).to_numpy()
+        order = np.argsort(pos, kind="stable")
         v = _group_vectors(table.column(vector))
-        centroid = v.mean(axis=0)
-        norms = np.sqrt((v * v).sum(axis=1))
+        if len(order) and not (order == np.arange(len(order))).all():
+            v = v[order]
+        else:
+            order = None
+        n = v.shape[0]
+        # rows with a null/NaN/inf component or a different size are not
+        # analysed (they still count in num_segments)
+        ok = np.isfinite(v).all(axis=1) if n else np.zeros(0, dtype=bool)
+        idx_ok = np.nonzero(ok)[0]
+        vv = v[idx_ok]
+        centroid = vv.mean(axis=0) if len(vv) else np.zeros(v.shape[1] if v.ndim == 2 else 0)
+        norms = np.sqrt((vv * vv).sum(axis=1))
         cn = float(np.sqrt(centroid @ centroid))
         with np.errstate(divide="ignore", invalid="ignore"):
-            rep = np.where((norms > 0) & (cn > 0), (v @ centroid) / (norms * cn), 0.0)
-            u = np.where(norms[:, None] > 0, v / norms[:, None], v)
+            rep = np.where((norms > 0) & (cn > 0), (vv @ centroid) / (norms * cn), 0.0)
+            u = np.where(norms[:, None] > 0, vv / norms[:, None], vv)
         picks, scores = _select_numpy(u, rep, k, lam)
         m = len(picks)
+        rows = idx_ok[picks] if order is None else order[idx_ok[picks]]
         if m > 1:
             up = u[picks]
             g = up @ up.T
             apc = float(g[np.triu_indices(m, 1)].mean())
         else:
             apc = 0.0
-        idx = pa.array(picks, type=pa.int64())
+        idx = pa.array(rows, type=pa.int64())
         cols = {c: table.column(c).take(idx) for c in list(keys) + [position] + list(payload)}
         cols["score_representative"] = pa.array(rep[picks], type=pa.float64())
         cols["rank"] = pa.array(np.arange(1, m + 1, dtype=np.int32))
@@ -173,8 +195,7 @@ def analyze_groups(
     from .mmr import MMRSpec, _lockstep_path
 
     kk = _keys(keys)
-    valid = vectors.filter(is_valid_vector(F.col(vector)))
-    src = valid.select(*kk, position, *payload, vector)
+    src = vectors.select(*kk, position, *payload, vector)
     fields = [src.schema[c] for c in kk + [position] + list(payload)]
     fields += [
         T.StructField("score_representative", T.DoubleType()),
@@ -204,7 +225,7 @@ def analyze_groups(
         big_side = F.broadcast(big) if n_big <= BROADCAST_MAX_GROUPS else big
         small = grouped(src.join(big_side, kk, "left_anti"))
         big_rows = src.join(big_side, kk, "left_semi")
-        scored = score_rows(big_rows, kk, vector)
+        scored = score_rows(big_rows, kk, vector)  # drops invalid vectors natively
         spec = MMRSpec(tuple(kk), position, UNIT, "score_representative", int(k), float(lam), tuple(payload), True)
         picks = _lockstep_path(scored, spec, n_big)
         stats = pick_stats(picks, kk).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +29,17 @@ def embed_segments(segs: DataFrame, embedder=None, store=None, text: str = "text
     """Attach ``embedding`` to every segment row, embedding each distinct
     ``segment_id`` once (read-through the embedding store when given)."""
     embedder = embedder or HashingEmbedder()
-    uniq = segs.select("segment_id", text).dropDuplicates(["segment_id"])
+    # segment_id is a hash of the text, so (segment_id, text) pairs are unique
+    # per id; grouping on both keeps the dedup a hash aggregate with map-side
+    # combine (a boilerplate line repeated everywhere collapses per task).
+    uniq = segs.select("segment_id", text).distinct()
     if store is not None:
         vecs = store.read_through(uniq, embedder, text=text)
     else:
         vecs = embedder.embed(uniq, text=text).select("segment_id", "embedding")
-    return segs.join(vecs, "segment_id", "inner")
+    # The vector side grows with the corpus: never broadcast it.  A shuffled
+    # hash join lets AQE split a hot segment id on the segments side.
+    return segs.join(vecs.hint("shuffle_hash"), "segment_id", "inner")
 
 
 @dataclass
@@ -66,10 +72,13 @@ def analyze(
         vectors = embed_segments(segs, embedder, store)
     sizes = segs.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
     if not opts.rerank:
+        # picks feed both the selection and the metrics: computed once per job
+        # (at most top_n rows per document; blocks lost with an executor are
+        # recomputed from lineage)
         picks = analyze_groups(
             vectors, k, "position", "embedding", k=opts.top_n, lam=opts.mmr_lambda,
             payload=("segment_id",), max_group_rows=opts.max_group_rows, sizes=sizes,
-        )
+        ).persist(StorageLevel.MEMORY_AND_DISK)
         firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_top_n", "group_apc")
         selection = picks.select(
             *k, "rank", "position", "segment_id", "score_representative",
@@ -83,7 +92,7 @@ def analyze(
             payload=("segment_id", "text"), max_group_rows=opts.max_group_rows, sizes=sizes, emit_unit=True,
         ).withColumn("shortlist_pos", (F.col("rank") - 1).cast("long")).drop("rank", "reason")
         queries = rerank_queries(segs, docs, k, opts.query_mode)
-        final = rerank(short, queries, k, scorer, opts.top_n)
+        final = rerank(short, queries, k, scorer, opts.top_n).persist(StorageLevel.MEMORY_AND_DISK)
         stats = pick_stats(final, k).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
             "avg_pairwise_cosine", "group_apc")
         firsts = final.filter(F.col("rank") == 1).select(*k, "group_n").join(stats, k)
@@ -172,7 +181,8 @@ def run_pages(
     pages = pages.observe(obs["pages"], F.count(F.lit(1)).alias("rows"))
     ex = extract_pages(pages, keep=[key, "url"])
     docs = build_documents(ex, url="url", title="title", text="text_content", fetched_at=fetched_at, keys=[key])
-    docs = docs.observe(obs["documents"], F.count(F.lit(1)).alias("rows"))
+    # parsed documents feed segments, analysis and summary: parse HTML once
+    docs = docs.observe(obs["documents"], F.count(F.lit(1)).alias("rows")).persist(StorageLevel.MEMORY_AND_DISK)
     segs = explode_document_segments(docs, keys=[key]).observe(obs["segments"], F.count(F.lit(1)).alias("rows"))
     a = analyze(segs, docs.select(key), key, embedder, opts, store, scorer=scorer)
     selection = a.selection.observe(obs["picks"], F.count(F.lit(1)).alias("rows"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
-from ..operators.analysis import select_per_group
+from ..operators.analysis import analyze_groups, select_per_group
 from ..operators.similarity import centroid_similarity, centroids, redundancy
 from ..operators.pooling import mean_pool_tokens
 from ..options import AnalyzerOptions
@@ -102,7 +102,7 @@ WITH RECURSIVE {S.vec_base()},
     ),
 )
 def q_mmr_top5(spark, d):
-    picks = select_per_group(_emb(spark, d), "label", "vec_id", "embedding", k=5, lam=LAM)
+    picks = analyze_groups(_emb(spark, d), ["label"], "vec_id", "embedding", k=5, lam=LAM)
     return picks.select(
         "label", F.col("rank").cast("long").alias("rank"), "vec_id",
         F.round("score_representative", 6).alias("score_representative"), "reason",
@@ -117,7 +117,7 @@ def q_mmr_top5(spark, d):
     ),
 )
 def q_mmr_shortlist(spark, d):
-    picks = select_per_group(_emb(spark, d), "label", "vec_id", "embedding", k=AnalyzerOptions().top_m, lam=LAM)
+    picks = analyze_groups(_emb(spark, d), ["label"], "vec_id", "embedding", k=AnalyzerOptions().top_m, lam=LAM)
     return picks.select(
         "label", (F.col("rank") - 1).cast("long").alias("shortlist_pos"), "vec_id",
         F.round("mmr_score", 6).alias("mmr_score"),
