@@ -133,3 +133,75 @@ def q_link_render(spark, d):
         format_link("l.url", "l.text").alias("text_line"),
         format_link_markdown("l.url", "l.text").alias("markdown_line"),
     )
+
+
+def _md_sql() -> str:
+    nl = "chr(10)"
+    return f"""
+WITH {PAGES}, {S.title_sql()}, {S.headings_sql()}, {S.links_sql()}, {S.paragraphs_sql()},
+hs AS (SELECT page_id, count(*) AS nh, string_agg('- ' || {S.clean_text('heading')} || {nl}, '' ORDER BY heading_pos) AS hl
+       FROM hd GROUP BY page_id),
+ls AS (SELECT page_id, count(*) AS nl,
+              string_agg(CASE WHEN link_pos < 20 THEN '- ' || {S.format_link('url', 'text', True)} || {nl} ELSE '' END, ''
+                         ORDER BY link_pos) AS ll
+       FROM lk GROUP BY page_id)
+SELECT tt.page_id,
+  '# ' || coalesce(tt.title, '(No title found)') || {nl} || {nl}
+  || CASE WHEN coalesce(hs.nh, 0) > 0 THEN '## Headings' || {nl} || hs.hl || {nl} ELSE '' END
+  || CASE WHEN tcx.text_content <> '' THEN '## Content' || {nl} || {S.clean_text('tcx.text_content')} || {nl} || {nl} ELSE '' END
+  || CASE WHEN coalesce(ls.nl, 0) > 0 THEN '## Links (' || CAST(ls.nl AS VARCHAR) || ')' || {nl} || ls.ll
+          || CASE WHEN ls.nl > 20 THEN '- ... and ' || CAST(ls.nl - 20 AS VARCHAR) || ' more links' || {nl} ELSE '' END
+     ELSE '' END AS markdown
+FROM tt JOIN tcx USING (page_id) LEFT JOIN hs USING (page_id) LEFT JOIN ls USING (page_id)
+"""
+
+
+@register("page_render_markdown", _md_sql())
+def q_page_render_markdown(spark, d):
+    from ..operators.extract import extract_pages
+    from ..operators.render import render_markdown
+
+    ex = extract_pages(read_table(spark, d, "pages"), keep=["page_id"])
+    return ex.select("page_id", render_markdown().alias("markdown"))
+
+
+def _wrap_sql(clean: str, width: int = 80) -> str:
+    """Greedy byte-width word wrap as a fold over the words (struct accumulator)."""
+    words = f"list_filter(string_split({clean}, ' '), lambda w: w <> '')"
+    step = (f"lambda acc, w: CASE WHEN acc.c <> '' AND strlen(acc.c) + strlen(w) + 1 > {width} "
+            f"THEN {{'o': acc.o || acc.c || chr(10), 'c': w}} "
+            f"ELSE {{'o': acc.o, 'c': CASE WHEN acc.c = '' THEN w ELSE acc.c || ' ' || w END}} END")
+    return f"list_reduce({words}, {step}, {{'o': '', 'c': ''}})"
+
+
+def _text_sql() -> str:
+    nl = "chr(10)"
+    return f"""
+WITH {PAGES}, {S.title_sql()}, {S.headings_sql()}, {S.links_sql()}, {S.paragraphs_sql()},
+hs AS (SELECT page_id, count(*) AS nh,
+              string_agg('  ' || CAST(heading_pos + 1 AS VARCHAR) || '. ' || {S.clean_text('heading')} || {nl}, ''
+                         ORDER BY heading_pos) AS hl
+       FROM hd GROUP BY page_id),
+ls AS (SELECT page_id, count(*) AS nl,
+              string_agg(CASE WHEN link_pos < 20 THEN '  ' || CAST(link_pos + 1 AS VARCHAR) || '. '
+                              || {S.format_link('url', 'text', False)} || {nl} ELSE '' END, '' ORDER BY link_pos) AS ll
+       FROM lk GROUP BY page_id),
+wr AS (SELECT page_id, {_wrap_sql(S.clean_text('text_content'))} AS w FROM tcx)
+SELECT tt.page_id,
+  'TITLE: ' || coalesce(tt.title, '(No title found)') || {nl} || repeat('=', 50) || {nl}
+  || CASE WHEN coalesce(hs.nh, 0) > 0 THEN 'HEADINGS:' || {nl} || hs.hl || {nl} ELSE '' END
+  || CASE WHEN tcx.text_content <> '' THEN 'CONTENT:' || {nl} || wr.w.o || wr.w.c || {nl} || {nl} ELSE '' END
+  || CASE WHEN coalesce(ls.nl, 0) > 0 THEN 'LINKS (' || CAST(ls.nl AS VARCHAR) || ' found):' || {nl} || ls.ll
+          || CASE WHEN ls.nl > 20 THEN '  ... and ' || CAST(ls.nl - 20 AS VARCHAR) || ' more links' || {nl} ELSE '' END
+     ELSE 'LINKS: (No links found)' || {nl} END AS text
+FROM tt JOIN tcx USING (page_id) JOIN wr USING (page_id) LEFT JOIN hs USING (page_id) LEFT JOIN ls USING (page_id)
+"""
+
+
+@register("page_render_text", _text_sql())
+def q_page_render_text(spark, d):
+    from ..operators.extract import extract_pages
+    from ..operators.render import render_text
+
+    ex = extract_pages(read_table(spark, d, "pages"), keep=["page_id"])
+    return ex.select("page_id", render_text().alias("text"))

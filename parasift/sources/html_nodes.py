@@ -307,6 +307,13 @@ def html_nodes(pages: DataFrame, html: str = "html", out: str = "nodes", keep=No
     """Add ``nodes`` (``array<struct>``) to every page and drop the raw HTML."""
     keep = [c for c in pages.columns if c != html] if keep is None else list(keep)
     src = pages.select(*keep, html)
+    # Parsing is CPU-bound Python work.  When the scan yields fewer tasks than
+    # there are slots (a small input in few row groups), spread the pages
+    # first; a large input already has more splits than slots and is parsed
+    # where it is read, without a shuffle.
+    slots = pages.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < slots:
+        src = src.repartition(slots)
     out_schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(NODE_TYPE))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
