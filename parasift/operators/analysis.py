@@ -158,6 +158,7 @@ def _fused_tables(keys, position, vector, k, lam, payload, out_schema, emit_unit
         cols["group_n"] = pa.array(np.full(m, n, dtype=np.int64))
         cols["group_top_n"] = pa.array(np.full(m, m, dtype=np.int64))
         cols["group_apc"] = pa.array(np.full(m, apc, dtype=np.float64))
+        cols["group_valid"] = pa.array(np.full(m, len(idx_ok), dtype=np.int64))
         if emit_unit:
             d = u.shape[1] if u.ndim == 2 else 0
             flat = pa.array(u[picks].ravel(), type=pa.float64())
@@ -181,8 +182,8 @@ def analyze_groups(
     emit_unit: bool = False,
 ) -> DataFrame:
     """Picks per group with ``score_representative``, ``rank``, ``mmr_score``,
-    ``reason`` and the group metrics ``group_n``, ``group_top_n``, ``group_apc``
-    repeated on every pick row.
+    ``reason`` and the group metrics ``group_n`` (rows), ``group_valid`` (rows
+    with a valid vector), ``group_top_n``, ``group_apc`` repeated on every pick row.
 
     Groups of at most ``max_group_rows`` rows: one ``applyInArrow`` call per
     group computes centroid, cosine to it, MMR and the pick redundancy with
@@ -204,6 +205,7 @@ def analyze_groups(
         T.StructField("group_n", T.LongType()),
         T.StructField("group_top_n", T.LongType()),
         T.StructField("group_apc", T.DoubleType()),
+        T.StructField("group_valid", T.LongType()),
     ]
     if emit_unit:
         fields.append(T.StructField(UNIT, T.ArrayType(T.DoubleType())))
@@ -230,7 +232,10 @@ def analyze_groups(
         picks = _lockstep_path(scored, spec, n_big)
         stats = pick_stats(picks, kk).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
             "avg_pairwise_cosine", "group_apc")
-        counts = big_rows.groupBy(*kk).agg(F.count(F.lit(1)).alias("group_n"))
+        counts = big_rows.groupBy(*kk).agg(
+            F.count(F.lit(1)).alias("group_n"),
+            F.count_if(is_valid_vector(F.col(vector))).cast("long").alias("group_valid"),
+        )
         big_out = picks.join(stats, kk).join(counts, kk).select(*[f.name for f in out_schema.fields])
         out = small.unionByName(big_out)
     return out.withColumn("reason", mmr_reason("rank"))

@@ -79,7 +79,7 @@ def analyze(
             vectors, k, "position", "embedding", k=opts.top_n, lam=opts.mmr_lambda,
             payload=("segment_id",), max_group_rows=opts.max_group_rows, sizes=sizes,
         ).persist(StorageLevel.MEMORY_AND_DISK)
-        firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_top_n", "group_apc")
+        firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_valid", "group_top_n", "group_apc")
         selection = picks.select(
             *k, "rank", "position", "segment_id", "score_representative",
             F.lit(0.0).alias("score_diversity"), F.lit(None).cast("double").alias("score_rerank"),
@@ -95,7 +95,7 @@ def analyze(
         final = rerank(short, queries, k, scorer, opts.top_n).persist(StorageLevel.MEMORY_AND_DISK)
         stats = pick_stats(final, k).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
             "avg_pairwise_cosine", "group_apc")
-        firsts = final.filter(F.col("rank") == 1).select(*k, "group_n").join(stats, k)
+        firsts = final.filter(F.col("rank") == 1).select(*k, "group_n", "group_valid").join(stats, k)
         selection = final.select(
             *k, "rank", "position", "segment_id", "score_representative",
             F.lit(0.0).alias("score_diversity"), "score_rerank", "reason", "mmr_score", "shortlist_pos",
@@ -106,6 +106,7 @@ def analyze(
         F.coalesce("group_top_n", F.lit(0)).cast("long").alias("top_n"),
         F.lit(float(opts.mmr_lambda)).alias("mmr_lambda"),
         F.coalesce("group_apc", F.lit(0.0)).alias("avg_pairwise_cosine"),
+        F.coalesce("group_valid", F.lit(0)).cast("long").alias("analyzed_segments"),  # coverage (V16)
     )
     return Analysis(selection, metrics)
 
