@@ -94,23 +94,32 @@ def estimate_tokens(col) -> Column:
     return F.floor(F.length(_c(col)) / F.lit(4)).cast("long")
 
 
-def utf8_prefix(col, max_bytes) -> Column:
+def utf8_prefix(col, max_bytes, bound: int | None = None) -> Column:
     """Longest prefix of ``col`` whose UTF-8 encoding fits in ``max_bytes`` bytes.
 
-    Cuts on a character boundary (never inside a multi-byte character).
+    Cuts on a character boundary (never inside a multi-byte character).  The
+    prefix length in code points is found by binary search (byte length is
+    monotone in it); ``bound`` is an upper bound of ``max_bytes`` when that is
+    a column (default 2^31), which fixes the number of search steps.
     """
     c = _c(col)
-    mb = max_bytes if isinstance(max_bytes, Column) else F.lit(max_bytes)
-    # Prefix lengths in code points are tried from the byte budget downwards;
-    # a character is 1-4 bytes, so the answer lies in [mb/4, mb].
-    cand = F.least(F.length(c), F.greatest(mb, F.lit(0)))
-    # Walk down from `cand` code points until the byte length fits.
-    return F.aggregate(
-        F.sequence(F.lit(0), F.greatest(cand, F.lit(0))),
-        F.lit(None).cast("string"),
-        lambda acc, i: F.when(
-            acc.isNull() & (F.octet_length(F.substring(c, 1, cand - i)) <= mb),
-            F.substring(c, 1, cand - i),
-        ).otherwise(acc),
-        lambda acc: F.coalesce(acc, F.lit("")),
-    )
+    if isinstance(max_bytes, Column):
+        mb = max_bytes
+        top = bound if bound is not None else (1 << 31)
+    else:
+        mb = F.lit(int(max_bytes))
+        top = int(max_bytes)
+    steps = max(1, int(top).bit_length() + 1)
+    hi0 = F.least(F.length(c), F.greatest(mb, F.lit(0)))
+    init = F.struct(F.lit(0).alias("lo"), hi0.alias("hi"))
+
+    def step(s, _x):
+        lo, hi = s["lo"], s["hi"]
+        mid = ((lo + hi + F.lit(1)) / F.lit(2)).cast("int")
+        fits = F.octet_length(F.substring(c, F.lit(1), mid)) <= mb
+        return F.when(lo >= hi, s).when(
+            fits, F.struct(mid.alias("lo"), hi.alias("hi"))
+        ).otherwise(F.struct(lo.alias("lo"), (mid - F.lit(1)).alias("hi")))
+
+    found = F.aggregate(F.array_repeat(F.lit(0), steps), init, step)
+    return F.substring(c, F.lit(1), found["lo"])

@@ -74,8 +74,11 @@ def resolve_picks(selection: DataFrame, segments: DataFrame, keys=("doc_id",)) -
 
 def pick_lists(resolved: DataFrame, keys=("doc_id",)) -> DataFrame:
     """One row per document: ``texts`` and ``segment_ids`` in pick order, and
-    the first resolution error (if any)."""
+    the first resolution error (if any).  ``resolved`` may also be a
+    selection that already carries the pick ``text`` (no lookup needed)."""
     k = _keys(keys)
+    if "error" not in resolved.columns:
+        resolved = resolved.withColumn("error", F.lit(None).cast("string"))
     return resolved.groupBy(*k).agg(
         F.array_sort(F.collect_list(F.struct("rank", "text", "segment_id"))).alias("_p"),
         F.min("error").alias("error"),
@@ -186,7 +189,7 @@ def extractive_summary(texts: Column) -> Column:
         buf = acc["buf"]
         rem = F.greatest(F.lit(target) - F.octet_length(buf), F.lit(0))
         over = F.octet_length(buf) + F.octet_length(t) > F.lit(target)
-        cut = F.when(rem > F.lit(minrem), F.concat(buf, utf8_prefix(t, rem), F.lit(ELLIPSIS))).otherwise(buf)
+        cut = F.when(rem > F.lit(minrem), F.concat(buf, utf8_prefix(t, rem, bound=target), F.lit(ELLIPSIS))).otherwise(buf)
         return (
             F.when(acc["stop"], acc)
             .when(over, F.struct(cut.alias("buf"), F.lit(True).alias("stop")))

@@ -77,13 +77,13 @@ def analyze(
         # recomputed from lineage)
         picks = analyze_groups(
             vectors, k, "position", "embedding", k=opts.top_n, lam=opts.mmr_lambda,
-            payload=("segment_id",), max_group_rows=opts.max_group_rows, sizes=sizes,
+            payload=("segment_id", "text"), max_group_rows=opts.max_group_rows, sizes=sizes,
         ).persist(StorageLevel.MEMORY_AND_DISK)
         firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_valid", "group_top_n", "group_apc")
         selection = picks.select(
             *k, "rank", "position", "segment_id", "score_representative",
             F.lit(0.0).alias("score_diversity"), F.lit(None).cast("double").alias("score_rerank"),
-            "reason", "mmr_score",
+            "reason", "mmr_score", "text",
         )
     else:
         # shortlist of top_m by MMR, re-ranked against one query per document
@@ -98,7 +98,7 @@ def analyze(
         firsts = final.filter(F.col("rank") == 1).select(*k, "group_n", "group_valid").join(stats, k)
         selection = final.select(
             *k, "rank", "position", "segment_id", "score_representative",
-            F.lit(0.0).alias("score_diversity"), "score_rerank", "reason", "mmr_score", "shortlist_pos",
+            F.lit(0.0).alias("score_diversity"), "score_rerank", "reason", "mmr_score", "shortlist_pos", "text",
         )
     metrics = docs.select(*k).join(firsts, k, "left").select(
         *k,
@@ -190,7 +190,8 @@ def run_pages(
     fp = combined_fingerprint(embedder.fingerprint, scorer.fingerprint if (opts.rerank and scorer) else
                               ("token-overlap@1" if opts.rerank else None))
     analysis = nest_analysis(selection, a.metrics, docs, key, fp)
-    picks = pick_lists(resolve_picks(selection.select(key, "rank", "segment_id"), segs, key), key)
+    # the picks carry their text, so no lookup join is needed here
+    picks = pick_lists(selection.select(key, "rank", "segment_id", "text"), key)
     summary = summarize(docs.select(key, "title", "lang"), picks, responses, key, summarizer_opts)
     return PipelineResult(docs, segs, selection, a.metrics, analysis, summary, obs)
 

@@ -41,12 +41,15 @@ def _docs(spark, d):
     return read_table(spark, d, "documents").select("doc_id", "text", "lang")
 
 
-def _picks(spark, d):
+def _picks(spark, d, resolve: bool = False):
+    """Picks of the per-document analysis with their texts: carried through
+    the selection, or (``resolve``) looked up in the segments (U1)."""
     docs = _docs(spark, d)
     segs = explode_segments(docs, "doc_id", "text")
     a = analyze(segs, docs.select("doc_id"), "doc_id", HashingEmbedder(DIM), OPTS)
-    resolved = resolve_picks(a.selection.select("doc_id", "rank", "segment_id"), segs)
-    return docs, resolved
+    if resolve:
+        return docs, resolve_picks(a.selection.select("doc_id", "rank", "segment_id"), segs)
+    return docs, a.selection.select("doc_id", "rank", "segment_id", "text")
 
 
 def responses_from_conversations(spark, d):
@@ -135,7 +138,7 @@ SELECT doc_id, rank, segment_id, text FROM pt
 """,
 )
 def q_picks_with_text(spark, d):
-    _, resolved = _picks(spark, d)
+    _, resolved = _picks(spark, d, resolve=True)
     return resolved.select("doc_id", F.col("rank").cast("long").alias("rank"), "segment_id", "text")
 
 
