@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import attention_mask, l2_normalize, pad_truncate
+from ..functions.vectors import attention_mask, pad_truncate
 
 # Fixed values of the hashing tokenizer / embedder (our own design).
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -124,7 +124,7 @@ class ModelEmbedder:
     ``make_predict_fn`` is called once per Python worker and must return a
     function mapping a numpy array of strings to a ``(batch, dim)`` float
     array of sentence vectors (tokenise, run, pool inside it).  The vectors
-    are L2-normalised here.
+    are L2-normalised per Arrow batch before they leave the worker.
     """
 
     def __init__(self, make_predict_fn: Callable, dim: int, fingerprint: str, batch_size: int = 64):
@@ -132,13 +132,22 @@ class ModelEmbedder:
 
         self.dim = int(dim)
         self.fingerprint = fingerprint
+
+        def make_normalised():
+            predict = make_predict_fn()
+
+            def run(texts: np.ndarray) -> np.ndarray:
+                v = np.asarray(predict(texts), dtype=np.float64)
+                n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                return np.where(n > 0, v / np.where(n > 0, n, 1.0), v).astype(np.float32)
+
+            return run
+
         self._udf = predict_batch_udf(
-            make_predict_fn,
+            make_normalised,
             return_type=T.ArrayType(T.FloatType()),
             batch_size=batch_size,
-            input_tensor_shapes=None,
         )
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
-        raw = self._udf(F.col(text))
-        return df.withColumn(out, F.transform(l2_normalize(raw), lambda x: x.cast("float")))
+        return df.withColumn(out, self._udf(F.col(text)))

@@ -88,3 +88,15 @@ def rerank_preview(scored: DataFrame, keys=("doc_id",), n: int = 5) -> DataFrame
     k = [keys] if isinstance(keys, str) else list(keys)
     w = Window.partitionBy(*k).orderBy(F.col("score_rerank").desc_nulls_last(), F.col("shortlist_pos"))
     return scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def pair_window(query, text, max_len: int = 512) -> Column:
+    """Token window of a (query, candidate) pair: query ids then candidate ids,
+    cut from the candidate's tail to ``max_len`` and padded; mask = id > 0."""
+    from ..functions.vectors import attention_mask, pad_truncate
+    from .embed import token_ids
+
+    q = F.col(query) if isinstance(query, str) else query
+    t = F.col(text) if isinstance(text, str) else text
+    ids = pad_truncate(F.concat(token_ids(q), token_ids(t)), max_len)
+    return F.struct(ids.alias("ids"), attention_mask(ids).alias("mask"))

@@ -37,9 +37,10 @@ def embed_segments(segs: DataFrame, embedder=None, store=None, text: str = "text
         vecs = store.read_through(uniq, embedder, text=text)
     else:
         vecs = embedder.embed(uniq, text=text).select("segment_id", "embedding")
-    # The vector side grows with the corpus: never broadcast it.  A shuffled
-    # hash join lets AQE split a hot segment id on the segments side.
-    return segs.join(vecs.hint("shuffle_hash"), "segment_id", "inner")
+    # The vector side grows with the corpus: never broadcast it.  A sort-merge
+    # join spills instead of holding a partition's vectors in memory, and AQE
+    # splits a hot segment id on the segments side.
+    return segs.join(vecs.hint("merge"), "segment_id", "inner")
 
 
 @dataclass
