@@ -19,12 +19,13 @@ def _keys(keys):
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def score_rows(df: DataFrame, keys, vector: str) -> DataFrame:
+def score_rows(df: DataFrame, keys, vector: str, few_groups: bool = False) -> DataFrame:
     """Valid rows with ``score_representative`` (cosine to the group centroid)
     and the unit vector ``_unit``.  Rows with a null/NaN/mixed-size vector are
-    dropped here (they are reported by the coverage columns)."""
+    dropped here (they are reported by the coverage columns).  ``few_groups``
+    broadcasts the (counted, small) centroid table."""
     valid = df.filter(is_valid_vector(F.col(vector)))
-    scored = centroid_similarity(valid, _keys(keys), vector)
+    scored = centroid_similarity(valid, _keys(keys), vector, broadcast_centroids=few_groups)
     return scored.withColumn(UNIT, l2_normalize(F.col(vector)))
 
 
@@ -227,7 +228,9 @@ def analyze_groups(
         big_side = F.broadcast(big) if n_big <= BROADCAST_MAX_GROUPS else big
         small = grouped(src.join(big_side, kk, "left_anti"))
         big_rows = src.join(big_side, kk, "left_semi")
-        scored = score_rows(big_rows, kk, vector)  # drops invalid vectors natively
+        # drops invalid vectors natively; the centroids of the n_big hot groups
+        # are broadcast (their number was just counted) so hot rows never shuffle
+        scored = score_rows(big_rows, kk, vector, few_groups=n_big <= BROADCAST_MAX_GROUPS)
         spec = MMRSpec(tuple(kk), position, UNIT, "score_representative", int(k), float(lam), tuple(payload), True)
         picks = _lockstep_path(scored, spec, n_big)
         stats = pick_stats(picks, kk).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(

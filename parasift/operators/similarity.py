@@ -28,17 +28,19 @@ def centroids(df: DataFrame, keys, vector: str, out: str = "centroid") -> DataFr
 
 
 def centroid_similarity(df: DataFrame, keys, vector: str, out: str = "score_representative",
-                        cents: DataFrame | None = None) -> DataFrame:
+                        cents: DataFrame | None = None, broadcast_centroids: bool = False) -> DataFrame:
     """Cosine of every row to its group's centroid (0 for a zero vector).
 
     The centroid table has one row per group; it is joined on the group keys
     (AQE splits a skewed group on the large side and replicates its centroid).
+    ``broadcast_centroids`` is for callers that know the number of groups is
+    small (e.g. only the hot groups): the rows then never shuffle.
     """
     k = _keys(keys)
     cents = cents if cents is not None else centroids(df, k, vector, "_centroid")
     if "_centroid" not in cents.columns:
         cents = cents.withColumnRenamed("centroid", "_centroid")
-    joined = df.join(cents, k, "inner")
+    joined = df.join(F.broadcast(cents) if broadcast_centroids else cents, k, "inner")
     return joined.withColumn(out, cosine(F.col(vector), F.col("_centroid"))).drop("_centroid")
 
 

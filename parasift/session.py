@@ -52,6 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: point it at storage shared by the cluster "
+            "(a machine-local folder would not survive the loss of an executor)"
+        )
     if _SCRATCH is None:
         _SCRATCH = tempfile.mkdtemp(prefix="parasift-ckpt-")
     spark.sparkContext.setCheckpointDir(_SCRATCH)
