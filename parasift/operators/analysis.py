@@ -54,10 +54,12 @@ def select_per_group(
 def pick_stats(picks: DataFrame, keys, unit: str = UNIT) -> DataFrame:
     """``top_n`` and ``avg_pairwise_cosine`` of the picks per group (linear form)."""
     k = _keys(keys)
+    # a unit vector is either of norm 1 or all zeros: "non-zero" is decided by
+    # the first non-zero component (no full-length norm per row)
     agg = picks.groupBy(*k).agg(
         F.count(F.lit(1)).alias("top_n"),
         vector_to_array(Summarizer.sum(array_to_vector(F.col(unit)))).alias("_s"),
-        F.sum((norm(F.col(unit)) > 0).cast("long")).alias("_nnz"),
+        F.sum(F.exists(F.col(unit), lambda x: x != 0).cast("long")).alias("_nnz"),
     )
     n = F.col("top_n").cast("double")
     apc = F.when(F.col("top_n") > 1, (sq_norm(F.col("_s")) - F.col("_nnz")) / (n * (n - 1))).otherwise(F.lit(0.0))
