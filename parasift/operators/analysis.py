@@ -97,10 +97,38 @@ def group_metrics(groups: DataFrame, rows: DataFrame, picks: DataFrame, keys, la
 # a bounded group in one Arrow call; unbounded groups take the native path.
 # --------------------------------------------------------------------------
 
-def _group_vectors(col) -> np.ndarray:
-    """``(n, d)`` float64 matrix; rows that are null or of another size than
-    the most common one become NaN rows (filtered as invalid)."""
-    arr = col.combine_chunks() if hasattr(col, "combine_chunks") else col
+def _analyze_group(v: np.ndarray, k: int, lam: float):
+    """Centroid, cosine to it, MMR picks and pick redundancy of one group.
+
+    ``v`` holds the group's rows in position order (NaN rows = invalid).
+    Returns (picked row indices, rep of picks, mmr scores, n valid, apc, unit
+    vectors of picks).
+    """
+    from .mmr import _select_numpy
+
+    n = v.shape[0]
+    ok = np.isfinite(v).all(axis=1) if n else np.zeros(0, dtype=bool)
+    idx_ok = np.nonzero(ok)[0]
+    vv = v[idx_ok]
+    centroid = vv.mean(axis=0) if len(vv) else np.zeros(v.shape[1] if v.ndim == 2 else 0)
+    norms = np.sqrt((vv * vv).sum(axis=1))
+    cn = float(np.sqrt(centroid @ centroid))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rep = np.where((norms > 0) & (cn > 0), (vv @ centroid) / (norms * cn), 0.0)
+        u = np.where(norms[:, None] > 0, vv / norms[:, None], vv)
+    picks, scores = _select_numpy(u, rep, k, lam)
+    m = len(picks)
+    up = u[picks]
+    if m > 1:
+        g = up @ up.T
+        apc = float(g[np.triu_indices(m, 1)].mean())
+    else:
+        apc = 0.0
+    return idx_ok[picks], rep[picks], np.asarray(scores, dtype=np.float64), len(idx_ok), apc, up
+
+
+def _matrix(arr) -> np.ndarray:
+    """``(n, d)`` float64 matrix of a list array; null or odd-sized rows -> NaN rows."""
     n = len(arr)
     if n == 0:
         return np.zeros((0, 0))
@@ -119,56 +147,69 @@ def _group_vectors(col) -> np.ndarray:
     return out
 
 
-def _fused_tables(keys, position, vector, k, lam, payload, out_schema, emit_unit=False):
+def _fused_batches(keys, vector, k, lam, payload_cols, out_schema, emit_unit=False):
+    """``mapInArrow`` function over partitions sorted by (keys, position):
+    every complete group of a batch is analysed; the trailing group of a batch
+    may continue in the next batch and is carried over."""
     import pyarrow as pa
 
-    from .mmr import _select_numpy
+    def boundaries(tbl):
+        n = tbl.num_rows
+        change = np.zeros(max(n - 1, 0), dtype=bool)
+        for c in keys:
+            a = tbl.column(c).to_numpy(zero_copy_only=False)
+            change |= a[1:] != a[:-1]
+        return np.concatenate([[0], np.nonzero(change)[0] + 1, [n]])
 
-    def fn(table):
-        pos = table.column(position).to_numpy()
-        order = np.argsort(pos, kind="stable")
-        v = _group_vectors(table.column(vector))
-        if len(order) and not (order == np.arange(len(order))).all():
-            v = v[order]
-        else:
-            order = None
-        n = v.shape[0]
-        # rows with a null/NaN/inf component or a different size are not
-        # analysed (they still count in num_segments)
-        ok = np.isfinite(v).all(axis=1) if n else np.zeros(0, dtype=bool)
-        idx_ok = np.nonzero(ok)[0]
-        vv = v[idx_ok]
-        centroid = vv.mean(axis=0) if len(vv) else np.zeros(v.shape[1] if v.ndim == 2 else 0)
-        norms = np.sqrt((vv * vv).sum(axis=1))
-        cn = float(np.sqrt(centroid @ centroid))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rep = np.where((norms > 0) & (cn > 0), (vv @ centroid) / (norms * cn), 0.0)
-            u = np.where(norms[:, None] > 0, vv / norms[:, None], vv)
-        picks, scores = _select_numpy(u, rep, k, lam)
-        m = len(picks)
-        rows = idx_ok[picks] if order is None else order[idx_ok[picks]]
-        if m > 1:
-            up = u[picks]
-            g = up @ up.T
-            apc = float(g[np.triu_indices(m, 1)].mean())
-        else:
-            apc = 0.0
-        idx = pa.array(rows, type=pa.int64())
-        cols = {c: table.column(c).take(idx) for c in list(keys) + [position] + list(payload)}
-        cols["score_representative"] = pa.array(rep[picks], type=pa.float64())
-        cols["rank"] = pa.array(np.arange(1, m + 1, dtype=np.int32))
-        cols["mmr_score"] = pa.array(np.asarray(scores, dtype=np.float64))
-        cols["group_n"] = pa.array(np.full(m, n, dtype=np.int64))
-        cols["group_top_n"] = pa.array(np.full(m, m, dtype=np.int64))
-        cols["group_apc"] = pa.array(np.full(m, apc, dtype=np.float64))
-        cols["group_valid"] = pa.array(np.full(m, len(idx_ok), dtype=np.int64))
+    def process(tbl):
+        b = boundaries(tbl)
+        v = _matrix(tbl.column(vector).combine_chunks())
+        rows, reps, scores, ranks, gn, gv, gtop, gapc, units = [], [], [], [], [], [], [], [], []
+        for s, e in zip(b[:-1], b[1:]):
+            picked, rep, sc, n_ok, apc, up = _analyze_group(v[s:e], k, lam)
+            m = len(picked)
+            rows.append(picked + s)
+            reps.append(rep)
+            scores.append(sc)
+            ranks.append(np.arange(1, m + 1, dtype=np.int32))
+            gn.append(np.full(m, e - s, dtype=np.int64))
+            gv.append(np.full(m, n_ok, dtype=np.int64))
+            gtop.append(np.full(m, m, dtype=np.int64))
+            gapc.append(np.full(m, apc, dtype=np.float64))
+            if emit_unit:
+                units.append(up)
+        idx = pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), type=pa.int64())
+        cols = {c: tbl.column(c).take(idx) for c in payload_cols}
+        cols["score_representative"] = pa.array(np.concatenate(reps) if reps else np.zeros(0))
+        cols["rank"] = pa.array(np.concatenate(ranks) if ranks else np.zeros(0, dtype=np.int32), type=pa.int32())
+        cols["mmr_score"] = pa.array(np.concatenate(scores) if scores else np.zeros(0))
+        cols["group_n"] = pa.array(np.concatenate(gn) if gn else np.zeros(0, dtype=np.int64), type=pa.int64())
+        cols["group_top_n"] = pa.array(np.concatenate(gtop) if gtop else np.zeros(0, dtype=np.int64), type=pa.int64())
+        cols["group_apc"] = pa.array(np.concatenate(gapc) if gapc else np.zeros(0))
+        cols["group_valid"] = pa.array(np.concatenate(gv) if gv else np.zeros(0, dtype=np.int64), type=pa.int64())
         if emit_unit:
-            d = u.shape[1] if u.ndim == 2 else 0
-            flat = pa.array(u[picks].ravel(), type=pa.float64())
-            offs = pa.array(np.arange(0, m * d + 1, d, dtype=np.int32) if d else np.zeros(m + 1, dtype=np.int32))
-            cols[UNIT] = pa.ListArray.from_arrays(offs, flat)
+            mat = np.concatenate(units) if units else np.zeros((0, 0))
+            cnt, d = mat.shape if mat.ndim == 2 else (0, 0)
+            offs = pa.array(np.arange(0, cnt * d + 1, d, dtype=np.int32) if d else np.zeros(cnt + 1, dtype=np.int32))
+            cols[UNIT] = pa.ListArray.from_arrays(offs, pa.array(mat.ravel(), type=pa.float64()))
         return pa.Table.from_pydict(cols, schema=out_schema)
 
+    def fn(batches):
+        carry = None
+        for rb in batches:
+            tbl = pa.Table.from_batches([rb])
+            if carry is not None:
+                tbl = pa.concat_tables([carry, tbl])
+            if tbl.num_rows == 0:
+                continue
+            b = boundaries(tbl)
+            cut = int(b[-2])  # start of the trailing (possibly incomplete) group
+            carry = tbl.slice(cut)
+            if cut > 0:
+                yield from process(tbl.slice(0, cut).combine_chunks()).to_batches()
+        if carry is not None and carry.num_rows:
+            yield from process(carry.combine_chunks()).to_batches()
+
     return fn
 
 
@@ -188,9 +229,12 @@ def analyze_groups(
     ``reason`` and the group metrics ``group_n`` (rows), ``group_valid`` (rows
     with a valid vector), ``group_top_n``, ``group_apc`` repeated on every pick row.
 
-    Groups of at most ``max_group_rows`` rows: one ``applyInArrow`` call per
-    group computes centroid, cosine to it, MMR and the pick redundancy with
-    numpy.  Larger groups: native partial aggregations for the centroid and the
+    Groups of at most ``max_group_rows`` rows: the rows are hash-partitioned
+    by the group keys and sorted by (keys, position) within partitions; a
+    ``mapInArrow`` pass computes centroid, cosine to it, MMR and the pick
+    redundancy with numpy for every complete group of each Arrow batch (a group
+    straddling two batches is carried over), so many groups share one Python
+    call.  Larger groups: native partial aggregations for the centroid and the
     pick statistics, lock-step MMR rounds (see :mod:`.mmr`).
     """
     from pyspark.sql import types as T
@@ -213,10 +257,14 @@ def analyze_groups(
     if emit_unit:
         fields.append(T.StructField(UNIT, T.ArrayType(T.DoubleType())))
     out_schema = T.StructType(fields)
-    fn = _fused_tables(kk, position, vector, int(k), float(lam), tuple(payload), to_arrow_schema(out_schema), emit_unit)
+    fn = _fused_batches(kk, vector, int(k), float(lam), kk + [position] + list(payload),
+                        to_arrow_schema(out_schema), emit_unit)
 
     def grouped(df):
-        return df.groupBy(*kk).applyInArrow(fn, schema=out_schema)
+        # one exchange by the group keys, rows of a group contiguous and in
+        # position order; many groups per Arrow batch
+        return df.repartition(*[F.col(c) for c in kk]).sortWithinPartitions(*kk, position).mapInArrow(
+            fn, schema=out_schema)
 
     if sizes is None:
         sizes = src.groupBy(*kk).agg(F.count(F.lit(1)).alias("n"))

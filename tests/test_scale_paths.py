@@ -48,3 +48,20 @@ def test_store_read_prunes_fingerprint_partition(spark, tmp_path):
     embed_segments(segs, emb, store).count()
     plan = store.read(emb.fingerprint)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(model_fingerprint" in plan
+
+
+def test_groups_straddling_arrow_batches(spark):
+    v = _vectors(spark).cache()
+    cols = ["doc_id", "rank", "position", "group_n", "group_top_n", "group_valid"]
+
+    def picks():
+        out = analyze_groups(v, ["doc_id"], "position", "embedding", 4, 0.65, payload=("segment_id",))
+        return sorted(tuple(r[c] for c in cols) + (round(r.group_apc, 6),) for r in out.collect())
+
+    base = picks()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        small = picks()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == base and len(base) > 0
