@@ -50,8 +50,10 @@ def lookup(uniq: DataFrame, stored: DataFrame, dim: int | None = None) -> tuple[
         valid = valid.groupBy("segment_id").agg(F.max_by("embedding", "written_at").alias("embedding"))
     else:
         valid = valid.dropDuplicates(["segment_id"])
-    hits = uniq.join(valid, "segment_id", "inner")
-    misses = uniq.join(valid, "segment_id", "left_anti")
+    # the store grows with the corpus and its size may be underestimated when it
+    # is derived (e.g. vectors from a Python step): never broadcast it
+    hits = uniq.join(valid.hint("merge"), "segment_id", "inner")
+    misses = uniq.join(valid.select("segment_id").hint("merge"), "segment_id", "left_anti")
     return hits, misses
 
 
