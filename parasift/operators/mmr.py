@@ -126,16 +126,19 @@ def _grouped_path(df: DataFrame, spec: MMRSpec) -> DataFrame:
 def _lockstep_path(df: DataFrame, spec: MMRSpec, n_groups: int, checkpoint_every: int = 1) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     keys, pos = list(spec.keys), spec.position
-    state = df.select(
-        *keys,
-        pos,
-        *spec.payload,
+    # the rows of the hot groups are materialised once (payload included);
+    # the rounds carry only keys, position, vector and scores
+    base = df.select(
+        *keys, pos, *spec.payload,
         F.col(spec.vector).alias("_u"),
         F.col(spec.rep).cast("double").alias("_rep"),
+    ).checkpoint(eager=True)
+    state = base.select(
+        *keys, pos, "_u", "_rep",
         F.lit(0.0).alias("_ms"),
         F.lit(None).cast("int").alias("rank"),
         F.lit(None).cast("double").alias("mmr_score"),
-    ).checkpoint(eager=True)
+    )
     lam = float(spec.lam)
     for r in range(1, spec.k + 1):
         cand = state.filter(F.col("rank").isNull())
@@ -157,7 +160,6 @@ def _lockstep_path(df: DataFrame, spec: MMRSpec, n_groups: int, checkpoint_every
         state = joined.select(
             *keys,
             pos,
-            *spec.payload,
             "_u",
             "_rep",
             F.when(F.col("_wu").isNotNull(), F.greatest(F.col("_ms"), dot("_u", "_wu"))).otherwise(F.col("_ms")).alias("_ms"),
@@ -166,8 +168,11 @@ def _lockstep_path(df: DataFrame, spec: MMRSpec, n_groups: int, checkpoint_every
         )
         if r % checkpoint_every == 0 or r == spec.k:
             state = state.checkpoint(eager=True)
+    picks = state.filter(F.col("rank").isNotNull()).select(*keys, pos, "rank", "mmr_score")
+    if n_groups <= BROADCAST_MAX_GROUPS:
+        picks = F.broadcast(picks)  # at most k rows per hot group
     vec_out = [F.col("_u").alias(spec.vector)] if spec.keep_vector else []
-    return state.filter(F.col("rank").isNotNull()).select(
+    return base.join(picks, keys + [pos], "inner").select(
         *keys, pos, *spec.payload, *vec_out, F.col("_rep").alias(spec.rep), "rank", "mmr_score"
     )
 

@@ -58,6 +58,7 @@ def analyze(
     store=None,
     vectors: DataFrame | None = None,
     scorer=None,
+    sizes: DataFrame | None = None,
 ) -> Analysis:
     """Per-document selection of the ``top_n`` most representative and least
     redundant segments (centroid similarity + MMR) and the analysis metrics.
@@ -65,13 +66,16 @@ def analyze(
     ``segs`` is the long segments table (``keys, position, segment_id, text``),
     ``docs`` has one row per document (drives the metrics, so an empty
     document still gets a row).  ``vectors`` may pass segments that already
-    carry an ``embedding``.
+    carry an ``embedding``.  ``sizes`` (``keys, n``) may give the segment
+    count per document from a cheaper source than counting ``segs`` (it only
+    routes hot documents to the distributed selection path).
     """
     opts = opts or AnalyzerOptions()
     k = _keys(keys)
     if vectors is None:
         vectors = embed_segments(segs, embedder, store)
-    sizes = segs.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+    if sizes is None:
+        sizes = segs.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
     if not opts.rerank:
         # picks feed both the selection and the metrics: computed once per job
         # (at most top_n rows per document; blocks lost with an executor are
@@ -186,7 +190,8 @@ def run_pages(
     # parsed documents feed segments, analysis and summary: parse HTML once
     docs = docs.observe(obs["documents"], F.count(F.lit(1)).alias("rows")).persist(StorageLevel.MEMORY_AND_DISK)
     segs = explode_document_segments(docs, keys=[key]).observe(obs["segments"], F.count(F.lit(1)).alias("rows"))
-    a = analyze(segs, docs.select(key), key, embedder, opts, store, scorer=scorer)
+    a = analyze(segs, docs.select(key), key, embedder, opts, store, scorer=scorer,
+                sizes=docs.select(key, F.size("segments").alias("n")))
     selection = a.selection.observe(obs["picks"], F.count(F.lit(1)).alias("rows"))
     fp = combined_fingerprint(embedder.fingerprint, scorer.fingerprint if (opts.rerank and scorer) else
                               ("token-overlap@1" if opts.rerank else None))

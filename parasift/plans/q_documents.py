@@ -149,7 +149,9 @@ ANALYSIS_SQL = analysis_sql(OPTS.top_n)
 def _analysis(spark, d):
     docs = documents(spark, d)
     segs = explode_segments(docs, "doc_id", "text")
-    return analyze(segs, docs.select("doc_id"), "doc_id", HashingEmbedder(DIM), OPTS)
+    # segment counts per document straight from each row (no explode/shuffle)
+    sizes = docs.select("doc_id", F.size(segment_texts("text")).alias("n"))
+    return analyze(segs, docs.select("doc_id"), "doc_id", HashingEmbedder(DIM), OPTS, sizes=sizes)
 
 
 @register(
