@@ -68,3 +68,26 @@ def test_page_without_paragraphs_gives_empty_document(spark):
     ex = extract_pages(df, keep=["page_id", "url"])
     docs = build_documents(ex, url="url", title="title", text="text_content", keys=["page_id"]).first()
     assert docs.segments == [] and docs.title == "t" and docs.lang == "en" and docs.hints == {}
+
+
+def test_simple_page_like_fixture(spark):
+    html = ("<!DOCTYPE html><html><head><title>Test Document</title></head><body>"
+            "<h1>Main Heading</h1><p>First paragraph of the test.</p><p>Second paragraph of the test.</p>"
+            "<p>Third paragraph of the test.</p><p>Fourth paragraph of the test.</p></body></html>")
+    df = spark.createDataFrame([(0, "https://e.org/t", html)], "page_id long, url string, html string")
+    ex = extract_pages(df, keep=["page_id", "url"])
+    docs = build_documents(ex, url="url", title="title", text="text_content", keys=["page_id"]).first()
+    r = ex.first()
+    assert r.title == "Test Document" and r.headings == ["Main Heading"] and r.links == []
+    assert [s.position for s in docs.segments] == [0, 1, 2, 3]
+    assert [s.path for s in docs.segments] == ["p[0]", "p[1]", "p[2]", "p[3]"]
+
+
+def test_tree_rules(spark):
+    html = ('<nav><a href="/x?a=1&amp;b=2">A &amp; B</a><a href="/y"><b>bold</b> link</a></nav>'
+            "<h2>Two <i>ital</i></h2><p>one <b>two</b> three, long enough</p>")
+    r = _extract(spark, [("u", html)])[0]
+    assert [(l.url, l.text) for l in r.links] == [("/x?a=1&b=2", "A &amp; B"), ("/y", "<b>bold</b> link")]
+    assert r.headings == ["Two <i>ital</i>"]
+    # text nodes "one ", "two", " three, ..." joined by one space (as the rule says)
+    assert r.text_content == "one  two  three, long enough"
