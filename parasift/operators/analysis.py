@@ -147,7 +147,7 @@ def _matrix(arr) -> np.ndarray:
     return out
 
 
-def _fused_batches(keys, vector, k, lam, payload_cols, out_schema, emit_unit=False):
+def _fused_batches(keys, vector, k, lam, payload_cols, out_schema, emit_unit=False, buckets_dim=None):
     """``mapInArrow`` function over partitions sorted by (keys, position):
     every complete group of a batch is analysed; the trailing group of a batch
     may continue in the next batch and is carried over."""
@@ -163,7 +163,13 @@ def _fused_batches(keys, vector, k, lam, payload_cols, out_schema, emit_unit=Fal
 
     def process(tbl):
         b = boundaries(tbl)
-        v = _matrix(tbl.column(vector).combine_chunks())
+        col = tbl.column(vector).combine_chunks()
+        if buckets_dim is not None:
+            from .embed import dense_from_buckets
+
+            v = dense_from_buckets(col, buckets_dim).astype(np.float64)
+        else:
+            v = _matrix(col)
         rows, reps, scores, ranks, gn, gv, gtop, gapc, units = [], [], [], [], [], [], [], [], []
         for s, e in zip(b[:-1], b[1:]):
             picked, rep, sc, n_ok, apc, up = _analyze_group(v[s:e], k, lam)
@@ -224,6 +230,7 @@ def analyze_groups(
     max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
     sizes: DataFrame | None = None,
     emit_unit: bool = False,
+    buckets_dim: int | None = None,
 ) -> DataFrame:
     """Picks per group with ``score_representative``, ``rank``, ``mmr_score``,
     ``reason`` and the group metrics ``group_n`` (rows), ``group_valid`` (rows
@@ -234,7 +241,8 @@ def analyze_groups(
     ``mapInArrow`` pass computes centroid, cosine to it, MMR and the pick
     redundancy with numpy for every complete group of each Arrow batch (a group
     straddling two batches is carried over), so many groups share one Python
-    call.  Larger groups: native partial aggregations for the centroid and the
+    call.  With ``buckets_dim`` the ``vector`` column holds the hashing
+    embedder's signed token buckets, densified in the same pass.  Larger groups: native partial aggregations for the centroid and the
     pick statistics, lock-step MMR rounds (see :mod:`.mmr`).
     """
     from pyspark.sql import types as T
@@ -258,7 +266,7 @@ def analyze_groups(
         fields.append(T.StructField(UNIT, T.ArrayType(T.DoubleType())))
     out_schema = T.StructType(fields)
     fn = _fused_batches(kk, vector, int(k), float(lam), kk + [position] + list(payload),
-                        to_arrow_schema(out_schema), emit_unit)
+                        to_arrow_schema(out_schema), emit_unit, buckets_dim)
 
     def grouped(df):
         # one exchange by the group keys, rows of a group contiguous and in
@@ -278,6 +286,10 @@ def analyze_groups(
         big_side = F.broadcast(big) if n_big <= BROADCAST_MAX_GROUPS else big
         small = grouped(src.join(big_side, kk, "left_anti"))
         big_rows = src.join(big_side, kk, "left_semi")
+        if buckets_dim is not None:
+            from .embed import densify_column
+
+            big_rows = densify_column(big_rows, vector, buckets_dim)
         # drops invalid vectors natively; the centroids of the n_big hot groups
         # are broadcast (their number was just counted) so hot rows never shuffle
         scored = score_rows(big_rows, kk, vector, few_groups=n_big <= BROADCAST_MAX_GROUPS)

@@ -70,19 +70,27 @@ def token_window(text, max_len: int = 512, vocab: int = DEFAULT_VOCAB) -> Column
     return F.struct(ids.alias("ids"), attention_mask(ids).alias("mask"))
 
 
+def dense_from_buckets(col, dim: int) -> np.ndarray:
+    """``(n, dim)`` float32 unit vectors from a list array of signed buckets
+    (one ``bincount`` for the whole batch)."""
+    n = len(col)
+    lengths = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    vals = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+    idx = rows * dim + (np.abs(vals) - 1)
+    mat = np.bincount(idx, weights=np.sign(vals).astype(np.float64), minlength=n * dim).reshape(n, dim)
+    nrm = np.sqrt((mat * mat).sum(axis=1))
+    nz = nrm > 0
+    mat[nz] = mat[nz] / nrm[nz, None]
+    return mat.astype(np.float32)
+
+
 def _densify_batches(batches, dim: int, src: str, out: str, out_schema: pa.Schema):
     for rb in batches:
         n = rb.num_rows
         col = rb.column(rb.schema.get_field_index(src))
-        lengths = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        vals = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        idx = rows * dim + (np.abs(vals) - 1)
-        mat = np.bincount(idx, weights=np.sign(vals).astype(np.float64), minlength=n * dim).reshape(n, dim)
-        nrm = np.sqrt((mat * mat).sum(axis=1))
-        nz = nrm > 0
-        mat[nz] = mat[nz] / nrm[nz, None]
-        flat = pa.array(mat.astype(np.float32).ravel(), type=pa.float32())
+        mat = dense_from_buckets(col, dim)
+        flat = pa.array(mat.ravel(), type=pa.float32())
         offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32), type=pa.int32())
         emb = pa.ListArray.from_arrays(offsets, flat)
         arrays = [rb.column(i) for i, f in enumerate(rb.schema) if f.name != src]
@@ -96,6 +104,11 @@ class HashingEmbedder:
         self.dim = int(dim)
         self.fingerprint = f"hashing-md5@{self.dim}"
 
+    def buckets(self, text: str = "text") -> Column:
+        """The compact form of the embedding (signed token buckets); the
+        grouped analysis densifies it where the vectors are used."""
+        return signed_buckets(text, self.dim)
+
     def embed(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
         src = "_signed_buckets"
         staged = df.withColumn(src, signed_buckets(text, self.dim))
@@ -112,6 +125,25 @@ class HashingEmbedder:
         return staged.mapInArrow(fn, out_schema)
 
 
+def densify_column(df: DataFrame, col: str, dim: int) -> DataFrame:
+    """Replace a signed-bucket column by its dense unit vector (same name)."""
+    fields = [f if f.name != col else T.StructField(col, T.ArrayType(T.FloatType()), True) for f in df.schema.fields]
+    out_schema = T.StructType(fields)
+    arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType), True) for f in out_schema.fields])
+    names = [f.name for f in df.schema.fields]
+
+    def fn(batches):
+        for rb in batches:
+            n = rb.num_rows
+            mat = dense_from_buckets(rb.column(rb.schema.get_field_index(col)), dim)
+            emb = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)),
+                                           pa.array(mat.ravel(), type=pa.float32()))
+            arrays = [emb if nm == col else rb.column(rb.schema.get_field_index(nm)) for nm in names]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+
+    return df.mapInArrow(fn, out_schema)
+
+
 def _arrow_type(dt: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -65,3 +65,20 @@ def test_groups_straddling_arrow_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert small == base and len(base) > 0
+
+
+def test_analyze_hot_documents_with_bucket_vectors(spark):
+    from parasift.options import AnalyzerOptions
+    from parasift.plans.pipeline import analyze
+
+    docs = read_table(spark, SF0001, "documents").select("doc_id", "text")
+    segs = explode_segments(docs, "doc_id", "text")
+
+    def run(max_rows):
+        a = analyze(segs, docs.select("doc_id"), "doc_id", HashingEmbedder(64),
+                    AnalyzerOptions(top_n=4, max_group_rows=max_rows))
+        sel = sorted((r.doc_id, r.rank, r.position, round(r.score_representative, 6)) for r in a.selection.collect())
+        met = sorted((r.doc_id, r.num_segments, r.top_n, round(r.avg_pairwise_cosine, 6)) for r in a.metrics.collect())
+        return sel, met
+
+    assert run(50_000) == run(8)
