@@ -231,6 +231,7 @@ def analyze_groups(
     sizes: DataFrame | None = None,
     emit_unit: bool = False,
     buckets_dim: int | None = None,
+    vector_expr=None,
 ) -> DataFrame:
     """Picks per group with ``score_representative``, ``rank``, ``mmr_score``,
     ``reason`` and the group metrics ``group_n`` (rows), ``group_valid`` (rows
@@ -242,8 +243,13 @@ def analyze_groups(
     redundancy with numpy for every complete group of each Arrow batch (a group
     straddling two batches is carried over), so many groups share one Python
     call.  With ``buckets_dim`` the ``vector`` column holds the hashing
-    embedder's signed token buckets, densified in the same pass.  Larger groups: native partial aggregations for the centroid and the
-    pick statistics, lock-step MMR rounds (see :mod:`.mmr`).
+    embedder's signed token buckets, densified in the same pass;
+    ``vector_expr`` (a column expression over the columns of ``vectors``)
+    computes the ``vector`` column after the shuffle, so that work is spread
+    over the shuffle partitions.
+
+    Larger groups: native partial aggregations for the centroid and the pick
+    statistics, lock-step MMR rounds (see :mod:`.mmr`).
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -251,8 +257,14 @@ def analyze_groups(
     from .mmr import MMRSpec, _lockstep_path
 
     kk = _keys(keys)
-    src = vectors.select(*kk, position, *payload, vector)
-    fields = [src.schema[c] for c in kk + [position] + list(payload)]
+    if vector_expr is not None:
+        needed = [c for c in vectors.columns if c not in kk + [position] + list(payload)]
+        src = vectors.select(*kk, position, *payload, *[c for c in needed if c != vector])
+        post = vector_expr
+    else:
+        src = vectors.select(*kk, position, *payload, vector)
+        post = None
+    fields = [vectors.schema[c] for c in kk + [position] + list(payload)]
     fields += [
         T.StructField("score_representative", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
@@ -271,8 +283,10 @@ def analyze_groups(
     def grouped(df):
         # one exchange by the group keys, rows of a group contiguous and in
         # position order; many groups per Arrow batch
-        return df.repartition(*[F.col(c) for c in kk]).sortWithinPartitions(*kk, position).mapInArrow(
-            fn, schema=out_schema)
+        part = df.repartition(*[F.col(c) for c in kk]).sortWithinPartitions(*kk, position)
+        if post is not None:
+            part = part.select(*kk, position, *payload, post.alias(vector))
+        return part.mapInArrow(fn, schema=out_schema)
 
     if sizes is None:
         sizes = src.groupBy(*kk).agg(F.count(F.lit(1)).alias("n"))
@@ -286,6 +300,8 @@ def analyze_groups(
         big_side = F.broadcast(big) if n_big <= BROADCAST_MAX_GROUPS else big
         small = grouped(src.join(big_side, kk, "left_anti"))
         big_rows = src.join(big_side, kk, "left_semi")
+        if post is not None:
+            big_rows = big_rows.select(*kk, position, *payload, post.alias(vector))
         if buckets_dim is not None:
             from .embed import densify_column
 

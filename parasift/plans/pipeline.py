@@ -73,14 +73,15 @@ def analyze(
     opts = opts or AnalyzerOptions()
     k = _keys(keys)
     embedder = embedder or HashingEmbedder()
-    buckets_dim = None
+    buckets_dim, vector_expr = None, None
     if vectors is None and store is None and isinstance(embedder, HashingEmbedder):
-        # the hashing embedder is cheap and native: its compact form (signed
-        # token buckets) travels with the segment rows and is densified in
-        # the per-document step -- one shuffle of small rows instead of
-        # dedupe + dense vectors + join back
-        vectors = segs.withColumn("embedding", embedder.buckets("text"))
+        # the hashing embedder is cheap and native: it is computed after the
+        # shuffle by document (signed token buckets from the text) and
+        # densified in the per-document step -- one shuffle of the segment
+        # rows instead of dedupe + dense vectors + join back
+        vectors = segs.select(*k, "position", "segment_id", "text")
         buckets_dim = embedder.dim
+        vector_expr = embedder.buckets("text")
     elif vectors is None:
         vectors = embed_segments(segs, embedder, store)
     if sizes is None:
@@ -92,7 +93,7 @@ def analyze(
         picks = analyze_groups(
             vectors, k, "position", "embedding", k=opts.top_n, lam=opts.mmr_lambda,
             payload=("segment_id", "text"), max_group_rows=opts.max_group_rows, sizes=sizes,
-            buckets_dim=buckets_dim,
+            buckets_dim=buckets_dim, vector_expr=vector_expr,
         ).persist(StorageLevel.MEMORY_AND_DISK)
         firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_valid", "group_top_n", "group_apc")
         selection = picks.select(
@@ -105,7 +106,7 @@ def analyze(
         short = analyze_groups(
             vectors, k, "position", "embedding", k=opts.top_m, lam=opts.mmr_lambda,
             payload=("segment_id", "text"), max_group_rows=opts.max_group_rows, sizes=sizes, emit_unit=True,
-            buckets_dim=buckets_dim,
+            buckets_dim=buckets_dim, vector_expr=vector_expr,
         ).withColumn("shortlist_pos", (F.col("rank") - 1).cast("long")).drop("rank", "reason")
         queries = rerank_queries(segs, docs, k, opts.query_mode)
         final = rerank(short, queries, k, scorer, opts.top_n).persist(StorageLevel.MEMORY_AND_DISK)
