@@ -8,7 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import is_valid_vector, l2_normalize, norm, sq_norm
+from ..functions.vectors import is_valid_vector, l2_normalize, sq_norm
 from .mmr import DEFAULT_MAX_GROUP_ROWS, mmr_reason, mmr_select
 from .similarity import centroid_similarity
 

@@ -7,9 +7,8 @@ ignored.
 
 from __future__ import annotations
 
-import math
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Defaults that change results.
 DEFAULT_MMR_LAMBDA = 0.65  # what the command line hands the analyzer

@@ -5,7 +5,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.segments import explode_segments
 from ..operators.summary import (
@@ -14,7 +13,6 @@ from ..operators.summary import (
     FALLBACK_REASON,
     FALLBACK_TARGET_BYTES,
     INSTRUCTIONS,
-    RESPONSE_BODY,
     build_prompt,
     extractive_summary,
     pick_lists,
