@@ -19,6 +19,7 @@ from ..operators.analysis import analyze_groups, pick_stats
 from ..operators.rerank import QUERY_MODE_CENTROID_SUMMARY, rerank, rerank_query
 from ..operators.embed import HashingEmbedder
 from ..options import AnalyzerOptions
+from ..session import ensure_checkpoint_dir
 
 
 def _keys(keys):
@@ -87,14 +88,15 @@ def analyze(
     if sizes is None:
         sizes = segs.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
     if not opts.rerank:
-        # picks feed both the selection and the metrics: computed once per job
-        # (at most top_n rows per document; blocks lost with an executor are
-        # recomputed from lineage)
-        picks = analyze_groups(
+        # picks feed both the selection and the metrics: materialised once
+        # (at most top_n rows per document) with a reliable checkpoint in
+        # spark.checkpoint.dir -- survives executor loss, cuts the lineage, and
+        # unlike a cached plan lets AQE coalesce the per-document shuffle
+        picks = _materialize(analyze_groups(
             vectors, k, "position", "embedding", k=opts.top_n, lam=opts.mmr_lambda,
             payload=("segment_id", "text"), max_group_rows=opts.max_group_rows, sizes=sizes,
             buckets_dim=buckets_dim, vector_expr=vector_expr,
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        ))
         firsts = picks.filter(F.col("rank") == 1).select(*k, "group_n", "group_valid", "group_top_n", "group_apc")
         selection = picks.select(
             *k, "rank", "position", "segment_id", "score_representative",
@@ -109,7 +111,7 @@ def analyze(
             buckets_dim=buckets_dim, vector_expr=vector_expr,
         ).withColumn("shortlist_pos", (F.col("rank") - 1).cast("long")).drop("rank", "reason")
         queries = rerank_queries(segs, docs, k, opts.query_mode)
-        final = rerank(short, queries, k, scorer, opts.top_n).persist(StorageLevel.MEMORY_AND_DISK)
+        final = _materialize(rerank(short, queries, k, scorer, opts.top_n))
         stats = pick_stats(final, k).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
             "avg_pairwise_cosine", "group_apc")
         firsts = final.filter(F.col("rank") == 1).select(*k, "group_n", "group_valid").join(stats, k)
@@ -128,6 +130,11 @@ def analyze(
     return Analysis(selection, metrics)
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def rerank_queries(segs: DataFrame, docs: DataFrame, keys=("doc_id",), mode: str = QUERY_MODE_CENTROID_SUMMARY,
                    title: str = "title") -> DataFrame:
     """One query per document from its title (if any) and first segment.
