@@ -158,7 +158,7 @@ def _analysis(spark, d):
     "doc_analysis",
     f"""
 WITH RECURSIVE {ANALYSIS_SQL}
-SELECT m.doc_id, m.rank, m.position, b.segment_id, round(m.rep, 6) AS score_representative,
+SELECT m.doc_id, CAST(m.rank AS BIGINT) AS rank, m.position, b.segment_id, round(m.rep, 6) AS score_representative,
        CASE WHEN m.rank = 1 THEN 'highly central' ELSE 'diversity pick' END AS reason
 FROM m JOIN b ON b.doc_id = m.doc_id AND b.position = m.position
 """,

@@ -72,7 +72,7 @@ def q_store_misses(spark, d):
 WITH {SETUP_SQL},
 c AS (SELECT (SELECT count(*) FROM segl) AS n_rows, (SELECT count(*) FROM miss) AS n_miss)
 SELECT CAST(n_rows - n_miss AS BIGINT) AS hits, CAST(n_miss AS BIGINT) AS misses,
-       CASE WHEN n_rows > 0 THEN CAST(n_rows - n_miss AS DOUBLE) / n_rows ELSE 0.0 END AS hit_ratio
+       round(CASE WHEN n_rows > 0 THEN CAST(n_rows - n_miss AS DOUBLE) / n_rows ELSE 0.0 END, 6) AS hit_ratio
 FROM c
 """,
 )

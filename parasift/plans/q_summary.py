@@ -132,7 +132,7 @@ resp AS (
     "picks_with_text",
     f"""
 WITH RECURSIVE {PICKS_SQL}
-SELECT doc_id, rank, segment_id, text FROM pt
+SELECT doc_id, CAST(rank AS BIGINT) AS rank, segment_id, text FROM pt
 """,
 )
 def q_picks_with_text(spark, d):

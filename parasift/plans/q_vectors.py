@@ -97,7 +97,7 @@ WITH RECURSIVE {S.vec_base()},
     "mmr_top5",
     _mmr_oracle(
         5,
-        """SELECT label, rank, vec_id, round(rep, 6) AS score_representative,
+        """SELECT label, CAST(rank AS BIGINT) AS rank, vec_id, round(rep, 6) AS score_representative,
   CASE WHEN rank = 1 THEN 'highly central' ELSE 'diversity pick' END AS reason FROM m""",
     ),
 )
@@ -113,7 +113,7 @@ def q_mmr_top5(spark, d):
     "mmr_shortlist",
     _mmr_oracle(
         AnalyzerOptions().top_m,
-        "SELECT label, rank - 1 AS shortlist_pos, vec_id, round(mmr_score, 6) AS mmr_score FROM m",
+        "SELECT label, CAST(rank - 1 AS BIGINT) AS shortlist_pos, vec_id, round(mmr_score, 6) AS mmr_score FROM m",
     ),
 )
 def q_mmr_shortlist(spark, d):

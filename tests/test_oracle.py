@@ -45,3 +45,17 @@ def test_query_matches_oracle(spark, con, name):
     idx = [ocols.index(c) for c in cols]
     exp = Counter(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
     assert got == exp
+
+
+def test_round_wrapper_keeps_literals_and_nests():
+    from parasift.plans.registry import _positive_zero_rounds as f
+
+    got = f("SELECT round(x, 6) AS a, '(round(' AS c, around(y), round(round(z, 2) + 1, 6) FROM t")
+    assert got == ("SELECT (round(x, 6) + 0.0) AS a, '(round(' AS c, around(y), "
+                   "(round((round(z, 2) + 0.0) + 1, 6) + 0.0) FROM t")
+
+
+def test_oracle_rounding_gives_positive_zero(con):
+    from parasift.plans.registry import _positive_zero_rounds as f
+
+    assert str(con.sql(f("SELECT round(-1e-9, 6) AS z")).fetchall()[0][0]) == "0.0"
