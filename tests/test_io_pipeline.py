@@ -85,3 +85,25 @@ def test_full_pipeline_on_pages(spark):
     m = r.metrics.agg(F.sum("num_segments").alias("n"), F.max("top_n").alias("t")).first()
     assert m.n == r.segments.count() and m.t <= 10
     assert r.observations["pages"].get["rows"] == n_pages
+
+
+def test_pipeline_with_store_and_rerank_second_run_embeds_nothing(spark):
+    from dataclasses import replace
+
+    from parasift.operators.embed import HashingEmbedder
+    from parasift.operators.store import EmbeddingStore
+    from parasift.options import AnalyzerOptions
+
+    store = EmbeddingStore(spark, tempfile.mkdtemp(prefix="p1-store-") + "/s")
+    opts = replace(AnalyzerOptions(), rerank=True, top_n=3)
+    pages = read_table(spark, SF0001, "pages")
+    r1 = run_pages(pages, opts, embedder=HashingEmbedder(64), store=store)
+    sel1 = sorted((x.page_id, x.rank, x.segment_id) for x in r1.selection.collect())
+    first_calls = store.last_run.embedder_calls
+    assert first_calls > 0
+    r2 = run_pages(pages, opts, embedder=HashingEmbedder(64), store=store)
+    sel2 = sorted((x.page_id, x.rank, x.segment_id) for x in r2.selection.collect())
+    assert store.last_run.embedder_calls == 0 and sel1 == sel2
+    a = r2.analysis.first()
+    assert a.model_fingerprint == "hashing-md5@64+token-overlap@1"
+    assert all(s.reason.startswith("rerank:") for s in a.top_segments)
