@@ -91,3 +91,22 @@ def test_tree_rules(spark):
     assert r.headings == ["Two <i>ital</i>"]
     # text nodes "one ", "two", " three, ..." joined by one space (as the rule says)
     assert r.text_content == "one  two  three, long enough"
+
+
+def test_renderers_cap_links_at_twenty(spark):
+    from parasift.operators.render import render_markdown, render_text
+
+    links = "".join(f'<a href="/l{i}">L{i}</a>' for i in range(25))
+    html = f"<title>T</title><h1>H</h1>{links}<p>{'word ' * 30}</p>"
+    df = spark.createDataFrame([(0, "u", html)], "page_id long, url string, html string")
+    ex = extract_pages(df, keep=["page_id"])
+    r = ex.select(render_text().alias("t"), render_markdown().alias("m")).first()
+    t_lines = r.t.split("\n")
+    assert t_lines[0] == "TITLE: T" and t_lines[1] == "=" * 50
+    assert "LINKS (25 found):" in t_lines and "  20. L19 -> /l19" in t_lines and "  ... and 5 more links" in t_lines
+    assert "  21. L20 -> /l20" not in t_lines
+    content = t_lines[t_lines.index("CONTENT:") + 1: t_lines.index("CONTENT:") + 3]
+    assert all(len(x.encode()) <= 80 for x in content) and content[0].startswith("word word")
+    m_lines = r.m.split("\n")
+    assert "## Links (25)" in m_lines and "- [L19](/l19)" in m_lines and "- ... and 5 more links" in m_lines
+    assert r.m.startswith("# T\n\n## Headings\n- H\n\n## Content\n")
