@@ -92,3 +92,20 @@ def test_summarize_api_fallback_and_missing_segment(spark):
     out2 = {r.doc_id: r for r in summarize(docs, picks, None).collect()}
     assert out2[1].summary_text == "Second text. First text." and out2[1].guardrails.reason == FALLBACK_REASON
     assert out2[1].input_tokens == 3 + 2 and out2[1].bullets is None
+
+
+def test_fallback_matches_restatement_on_random_unicode(spark):
+    import random
+
+    rng = random.Random(11)
+    alphabet = ["a", "b", " ", "é", "ü", "€", "漢", "😀", ".", "ß"]
+    cases = []
+    for _ in range(60):
+        n = rng.randint(0, 4)
+        cases.append(["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 120))).strip() or "x"
+                      for _ in range(n)])
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t array<string>")
+    got = {r.i: r.s for r in df.select("i", extractive_summary(F.col("t")).alias("s")).collect()}
+    for i, c in enumerate(cases):
+        assert got[i] == _fallback_py(c), c
+        assert len(got[i].encode()) <= 200
