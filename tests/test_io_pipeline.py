@@ -107,3 +107,15 @@ def test_pipeline_with_store_and_rerank_second_run_embeds_nothing(spark):
     a = r2.analysis.first()
     assert a.model_fingerprint == "hashing-md5@64+token-overlap@1"
     assert all(s.reason.startswith("rerank:") for s in a.top_segments)
+
+
+def test_summarize_reports_doc_id_mismatch(spark):
+    docs = read_documents(spark, _write(DOC, "doc.json"))
+    other = dict(ANALYSIS, doc_id="zz")
+    an = read_analyses(spark, _write(ANALYSIS, "a.json")).unionByName(read_analyses(spark, _write(other, "b.json")))
+    summ, mism = summarize_documents(an, docs)
+    assert [r.doc_id for r in mism.collect()] == ["zz"]
+    s = summ.collect()
+    assert [r.doc_id for r in s] == ["d1"]
+    # picks seg-1 then seg-3, no chat answer -> extractive fallback over both, in pick order
+    assert s[0].summary_text == DOC["segments"][0]["text"] + " " + DOC["segments"][2]["text"]
