@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from parasift.session import ensure_checkpoint_dir
 
+#: Largest side of a join that is broadcast; beyond it the join sorts and merges.
+BROADCAST_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,6 +27,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized_side(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` as one side of a join: broadcast if its measured bytes are within
+    ``BROADCAST_BYTES``, else sort-merged (which Spark can split at a hot key)."""
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """Two hashes (96 bits) over all columns of a row, ``_key`` and ``_key2``."""
+    columns = [docs[c] for c in docs.columns]
+    return [F.xxhash64(*columns).alias("_key"), F.hash(*columns).alias("_key2")]
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, repeated: bool) -> DataFrame:
+    """``docs`` without the rows whose keys are in ``dropped`` (written, small
+    rows); of rows equal in all columns one stays if there are any
+    (``repeated``).  Texts move only if the dropped keys exceed a broadcast."""
+    gone = sized_side(dropped.select(F.col("_key").alias("_gone"), F.col("_key2").alias("_gone2")), F.lit(12))
+    kept = docs.select(*[docs[c] for c in docs.columns], *row_key(docs)).join(
+        gone, (F.col("_key") == F.col("_gone")) & (F.col("_key2") == F.col("_gone2")), "left_anti")
+    return (kept.dropDuplicates(["_key", "_key2"]) if repeated else kept).drop("_key", "_key2")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

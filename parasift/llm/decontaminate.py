@@ -31,10 +31,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_key, without_rows
 from .hashing import Words, combine, mix, utf8_parts
 
 PERCENT, WALKS, TABLES, SAMPLES = 80, 8, 15, 3
@@ -255,12 +254,12 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
         yield ids, texts
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               percent: int = PERCENT) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that no item leaks into, all columns.  Rows are
-    marked in place by a key of id and text, so rows with null ids work too."""
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    marked = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    found = leaks(marked, items, "_key", "_text", percent=percent)
-    bad = materialise(found.select("_key").distinct(), "leaking")
-    return docs.withColumn("_key_", key).join(bad, F.col("_key_") == F.col("_key"), "left_anti").drop("_key_")
+    marked by row hashes, so null and repeated ids work too."""
+    key = F.struct(*row_key(docs))
+    marked = docs.select(F.concat_ws(" ", key["_key"], key["_key2"]).alias("_row"), docs[text_col].alias("_t"))
+    found = leaks(marked, items, "_row", "_t", percent=percent).select("_row").distinct()
+    parts = F.split("_row", " ")
+    bad = materialise(found.select(parts[0].cast("long").alias("_key"), parts[1].cast("int").alias("_key2")), "leaking")
+    return without_rows(docs, bad, False)

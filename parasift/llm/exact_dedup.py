@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, scratch_path, text_or_empty
+from .common import ascii_lower, materialise, row_key, scratch_path, text_or_empty, without_rows
 
 BUCKETS = 64
 
@@ -113,13 +113,21 @@ def classify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 def keep_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
               index: DigestIndex | None = None) -> DataFrame:
     """The rows that stay, with all their columns.  Of rows equal in id and
-    text, the one with the largest other columns stays."""
+    text, the one of largest row hash stays.  Only ids, digests and row hashes
+    are shuffled, not texts."""
     index = _indexed(docs, text_col, id_col, index)
-    row = F.struct(*[docs[c] for c in docs.columns])
-    held = docs.select(row.alias("_row"), F.col(id_col).alias("_id"),
-                       F.unhex(text_digest(F.col(text_col))).alias("_digest"))
-    keep = index.unbucketed().select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    same = held.hint("merge").join(
-        keep, (held["_digest"] == keep["_digest"]) & held["_id"].eqNullSafe(keep["_keep"])
-    ).select("_row", "_id", held["_digest"])
-    return same.groupBy("_id", "_digest").agg(F.max("_row").alias("_row")).select("_row.*")
+    rows = (
+        docs.select(*row_key(docs), docs[id_col].alias("_id"), F.unhex(text_digest(docs[text_col])).alias("_digest"))
+        .groupBy("_id", "_digest", "_key", "_key2").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    keep = index.unbucketed().select(F.col("digest").alias("_d"), F.col("keep_id").alias("_keep"))
+    named = rows.hint("merge").join(keep, F.col("_digest") == F.col("_d"))
+    best = rows.groupBy("_id", "_digest").agg(F.max(F.struct("_key", "_key2")).alias("_best")).select(
+        F.col("_id").alias("_id1"), F.col("_digest").alias("_digest1"), "_best")
+    ranked = materialise(
+        named.join(best.hint("merge"), F.col("_id").eqNullSafe(F.col("_id1")) & (F.col("_digest") == F.col("_digest1")))
+        .select("_key", "_key2", "_n", (F.col("_id").eqNullSafe(F.col("_keep"))
+                                        & (F.struct("_key", "_key2") == F.col("_best"))).alias("_stays")),
+        "dedup-ranked")
+    repeated = not ranked.where("_stays AND _n > 1").isEmpty()
+    return without_rows(docs, ranked.where("NOT _stays"), repeated)

@@ -22,9 +22,9 @@ members that links already join are not compared.  What stays open is verified.
 So a group of near copies, however large, costs one comparison each.  Sets are
 compared by their hashes; two n-grams of equal 64-bit hash count as one.
 
-Edge cases: null or blank text has the empty set and links with nothing; a null
-id takes part in links (a class whose ids are all null has component null);
-equal ids and repeated rows give one result row each; extra columns are ignored.
+Edge cases: null or blank text has the empty set and links with nothing; a row
+with a null id links with nothing and has component null; equal ids and repeated
+rows give one result row each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_key, sized_side, without_rows
 from .components import components
 from .hashing import mix, shingle_sets, utf8_parts
 
 GROWTH = 1.5  # of the size classes
-BROADCAST_BYTES = 16 << 20
 
 
 def size_classes(largest: int) -> list[int]:
@@ -130,13 +129,6 @@ def _overlaps(pairs: DataFrame, words: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, common long")
 
 
-def _side(df: DataFrame, row_bytes) -> DataFrame:
-    """``df`` marked for broadcast if its measured bytes allow it, else for a
-    sort-merge join."""
-    size = df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
-
-
 class JaccardJoin:
     def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80):
         self.words, self.percent, self.id_col = words, percent, id_col
@@ -144,14 +136,14 @@ class JaccardJoin:
         self.sets = materialise(_sets(self.texts, words, percent), "jaccard-sets")
         #: One row per distinct non-empty set: its content id, size, an input id that has it.
         self.classes = materialise(
-            self.sets.where("n > 0").groupBy("cid", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
+            self.sets.where("n > 0 AND id IS NOT NULL").groupBy("cid", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
 
     def _lists(self) -> DataFrame:
         """Index entries ``key, cid, r`` of lists with at least two classes; r
         is the list's representative."""
         by = W.partitionBy("key")
         # one document of each class enters the index, so copies make no long list
-        one = _side(self.classes.select(F.col("cid").alias("_cid"), "rep"), F.lit(16))
+        one = sized_side(self.classes.select(F.col("cid").alias("_cid"), "rep"), F.lit(16))
         entered = self.sets.where(F.size("keys") > 0).join(
             one, (F.col("cid") == F.col("_cid")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
         return (
@@ -167,14 +159,14 @@ class JaccardJoin:
         of = lambda col: pairs.select(F.col(col).alias("cid")).distinct().join(
             classes.select("cid", "n", "rep"), "cid")
         b = materialise(of("b"), "jaccard-b")
-        text = self.texts.where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-        b_text = text.join(_side(b.select("cid", F.col("rep").alias("_id")), F.lit(16)), "_id")
+        text = self.texts.where(F.col("_text").isNotNull())
+        b_text = text.join(sized_side(b.select("cid", F.col("rep").alias("_id")), F.lit(16)), "_id")
         b_sets = materialise(_tokens(b_text.dropDuplicates(["cid"]).select("cid", "_text"), self.words), "jaccard-b-sets")
         b_sets = b_sets.select(F.col("cid").alias("b"), "tokens")
         a = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("rep").alias("_id")), "a")
         a = materialise(a.select("_id", "a", "b"), "jaccard-a")
-        a_text = text.join(_side(a, F.lit(24)), "_id").select("a", "b", "_text")
-        full = a_text.join(_side(b_sets, F.octet_length("tokens") + 8), "b")
+        a_text = text.join(sized_side(a, F.lit(24)), "_id").select("a", "b", "_text")
+        full = a_text.join(sized_side(b_sets, F.octet_length("tokens") + 8), "b")
         size = classes.select("cid", "n")
         return (
             _overlaps(full, self.words).distinct()
@@ -231,8 +223,8 @@ class JaccardJoin:
         least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
         named = of.join(least, "component").select("cid", "component_id")
         full = self.sets.select("id", "n", "cid")
-        out = full.where("n > 0").join(named.hint("merge"), "cid").select("id", "n", "component_id").unionByName(
-            full.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+        out = full.where("n > 0 AND id IS NOT NULL").join(named.hint("merge"), "cid").select("id", "n", "component_id").unionByName(
+            full.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id")))
         return out.select(F.col("id").alias(self.id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -240,3 +232,17 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wor
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the
     smallest id that links reach, its own included)."""
     return JaccardJoin(docs, text_col, id_col, words, percent).components()
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies, all columns: of each class the
+    row of smallest id stays (a null id is larger than any; ties by row hash).
+    Rows without words link with nothing and stay; rows equal in all columns
+    count once."""
+    key = F.struct(*row_key(docs))
+    rows = docs.select(key.alias("_row"), docs[id_col].alias("_id0"), docs[text_col].alias("_t"))
+    named = rows.select(F.struct(F.col("_id0").isNull().alias("none"), F.col("_id0").alias("id"), "_row").alias("_id"), "_t")
+    found = materialise(classes(named, "_t", "_id", words, percent), "jaccard-classes-of-rows")
+    dropped = found.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id._row._key", "_id._row._key2")
+    repeated = found.count() > found.select("_id").distinct().count()
+    return without_rows(docs, dropped, repeated)

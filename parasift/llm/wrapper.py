@@ -34,12 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_or_empty
+from .common import materialise, sized_side, text_or_empty
 
 REFERENCES = 6
 DOMINANT = 0.6
 MAX_DEPTH = 150  # elements nested deeper become siblings at this depth; their text stays
-BROADCAST_BYTES = 16 << 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -328,7 +327,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     rows = pages.where(F.length(text) > 0).select(host_of(F.col(url_col)).alias("host"), text.alias("html"), F.array(*marks).alias("marks"))
     least = rows.groupBy("host").agg(*[F.min(F.col("marks")[k]).alias(f"m{k}") for k in range(REFERENCES)])
     least = least.select(F.col("host").alias("_host"), F.array_distinct(F.array(*[f"m{k}" for k in range(REFERENCES)])).alias("least"))
-    chosen = rows.join(_side(least, F.lit(100)), (F.col("host") == F.col("_host")) & F.arrays_overlap("marks", "least"))
+    chosen = rows.join(sized_side(least, F.lit(100)), (F.col("host") == F.col("_host")) & F.arrays_overlap("marks", "least"))
     chosen = chosen.select("host", "html").distinct()
 
     def induced(group: pd.DataFrame) -> pd.DataFrame:
@@ -339,17 +338,12 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return chosen.groupBy("host").applyInPandas(induced, "host string, wrapper string")
 
 
-def _side(df: DataFrame, row_bytes: Column) -> DataFrame:
-    size = df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
-
-
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` without its html, with ``text`` (replacing a column of that
     name)."""
     keep = [c for c in pages.columns if c not in (html_col, "text")]
     induced = materialise(wrappers(pages, url_col, html_col), "wrappers")
-    side = _side(induced.select(F.col("host").alias("_host"), "wrapper"), F.octet_length("wrapper") + 64)
+    side = sized_side(induced.select(F.col("host").alias("_host"), "wrapper"), F.octet_length("wrapper") + 64)
     rows = pages.select(*[pages[c].alias(f"k{i}") for i, c in enumerate(keep)], host_of(pages[url_col]).alias("host"),
                         pages[html_col].cast("string").alias("html"))
     rows = rows.join(side, F.col("host") == F.col("_host"), "left").select(
