@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Chunking parameters and producer tag hashed into every
-# document id of the page pipeline.
+# Chunking parameters and producer tag hashed into every document id of the
+# page pipeline.
 CHUNK_PARAMS = "paragraphs"
-PRODUCER_TAG = "websearch"
+PRODUCER_TAG = "pages"
 SCHEMA_VERSION = "1.0.0"
 STORE_KEY_PREFIX = "emb:"
 
@@ -56,7 +56,7 @@ def parse_store_key(key) -> Column:
     key is split at the first colon after the prefix only.
     """
     k = _c(key)
-    rest = F.substring(k, len(STORE_KEY_PREFIX) + 1, 1 << 30)
+    rest = F.substr(k, F.lit(len(STORE_KEY_PREFIX) + 1))
     parts = F.split(rest, ":", 2)
     ok = k.startswith(STORE_KEY_PREFIX) & (F.size(parts) == 2)
     return F.when(

@@ -76,17 +76,33 @@ def wrap_text(col, width: int = 80) -> Column:
     A word is appended to the current line unless the line is non-empty and
     ``bytes(line) + bytes(word) + 1 > width``; an over-long word sits alone.
     """
-    init = F.struct(F.lit("").alias("out"), F.lit("").alias("cur"))
+    # Words are wrapped in blocks; the text so far is copied once a block, not
+    # once a line.
+    block = 256
 
-    def step(acc, w):
+    def line_step(acc, w):
         cur = acc["cur"]
         brk = (cur != F.lit("")) & (F.octet_length(cur) + F.octet_length(w) + F.lit(1) > F.lit(width))
-        out = F.when(brk, F.concat(acc["out"], cur, F.lit("\n"))).otherwise(acc["out"])
+        done = F.when(brk, F.concat(acc["done"], cur, F.lit("\n"))).otherwise(acc["done"])
         base = F.when(brk, F.lit("")).otherwise(cur)
         new_cur = F.when(base == F.lit(""), w).otherwise(F.concat(base, F.lit(" "), w))
-        return F.struct(out.alias("out"), new_cur.alias("cur"))
-
-    return F.aggregate(words(col), init, step, lambda acc: F.concat(acc["out"], acc["cur"]))
+        return F.struct(done.alias("done"), new_cur.alias("cur"))
+
+    def block_step(acc, part):
+        init = F.struct(F.lit("").alias("done"), acc["cur"].alias("cur"))
+        return F.transform(
+            F.array(F.aggregate(part, init, line_step)),
+            lambda s: F.struct(F.concat(acc["out"], s["done"]).alias("out"), s["cur"].alias("cur")),
+        )[0]
+
+    def wrapped(w):
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda s: F.slice(w, s, F.lit(block)))
+        init = F.struct(F.lit("").alias("out"), F.lit("").alias("cur"))
+        whole = F.aggregate(parts, init, block_step, lambda acc: F.concat(acc["out"], acc["cur"]))
+        return F.when(w.isNotNull(), whole)
+
+    return F.transform(F.array(words(col)), wrapped)[0]
 
 
 def estimate_tokens(col) -> Column:

@@ -42,8 +42,10 @@ def cosine(a, b) -> Column:
 def l2_normalize(v) -> Column:
     """Divide by the L2 norm; a zero vector is returned unchanged (as doubles)."""
     vv = to_double(v)
-    n = norm(vv)
-    return F.when(n > 0, F.transform(vv, lambda x: x / n)).otherwise(vv)
+    # the norm is bound to a lambda variable: evaluated once per vector, not once per component
+    return F.transform(
+        F.array(norm(vv)), lambda n: F.when(n > 0, F.transform(vv, lambda x: x / n)).otherwise(vv)
+    )[0]
 
 
 def is_valid_vector(v, dim: int | None = None) -> Column:
@@ -84,7 +86,7 @@ def masked_mean_pool(token_vectors, mask) -> Column:
         zero,
         lambda acc, e: F.zip_with(acc, e["v"], lambda s, x: s + x.cast("double") * e["m"].cast("double")),
     )
-    return F.transform(summed, lambda s: s / denom)
+    return F.transform(F.array(denom), lambda d: F.transform(summed, lambda s: s / d))[0]
 
 
 def round_array(v, digits: int = 6) -> Column:

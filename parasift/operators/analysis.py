@@ -19,12 +19,34 @@ def _keys(keys):
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def group_sizes(df: DataFrame, keys, vector: str) -> DataFrame:
+    """Vector size of each group: that of most of its vectors without a null,
+    NaN or infinite component; of sizes equally frequent, the smallest.  Empty
+    vectors have no size."""
+    k = _keys(keys)
+    counts = df.filter(is_valid_vector(F.col(vector)) & (F.size(vector) > 0)).groupBy(*k, F.size(vector).alias("_size")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*k).agg(F.max(F.struct("_n", -F.col("_size"))).alias("_m")).select(
+        *k, (-F.col("_m.col2")).alias("_dim"))
+
+
+def mark_invalid(df: DataFrame, keys, vector: str, few_groups: bool = False) -> DataFrame:
+    """``df`` with the vectors that take no part set to null: those with a
+    null, NaN or infinite component and those of another size than their
+    group's (see :func:`group_sizes`)."""
+    k = _keys(keys)
+    dims = group_sizes(df, k, vector)
+    marked = df.join(F.broadcast(dims) if few_groups else dims, k, "left")
+    ok = is_valid_vector(F.col(vector)) & (F.size(vector) == F.col("_dim"))
+    return marked.withColumn(vector, F.when(ok, F.col(vector))).drop("_dim")
+
+
 def score_rows(df: DataFrame, keys, vector: str, few_groups: bool = False) -> DataFrame:
     """Valid rows with ``score_representative`` (cosine to the group centroid)
-    and the unit vector ``_unit``.  Rows with a null/NaN/mixed-size vector are
-    dropped here (they are reported by the coverage columns).  ``few_groups``
-    broadcasts the (counted, small) centroid table."""
-    valid = df.filter(is_valid_vector(F.col(vector)))
+    and the unit vector ``_unit``.  Rows whose vector takes no part (see
+    :func:`mark_invalid`) are dropped here; the coverage columns report them.
+    ``few_groups`` broadcasts the (counted, small) tables of the groups."""
+    valid = mark_invalid(df, keys, vector, few_groups).filter(F.col(vector).isNotNull())
     scored = centroid_similarity(valid, _keys(keys), vector, broadcast_centroids=few_groups)
     return scored.withColumn(UNIT, l2_normalize(F.col(vector)))
 
@@ -107,7 +129,8 @@ def _analyze_group(v: np.ndarray, k: int, lam: float):
     from .mmr import _select_numpy
 
     n = v.shape[0]
-    ok = np.isfinite(v).all(axis=1) if n else np.zeros(0, dtype=bool)
+    # without a usable vector the matrix has no columns and no row takes part
+    ok = np.isfinite(v).all(axis=1) if n and v.shape[1] else np.zeros(n, dtype=bool)
     idx_ok = np.nonzero(ok)[0]
     vv = v[idx_ok]
     centroid = vv.mean(axis=0) if len(vv) else np.zeros(v.shape[1] if v.ndim == 2 else 0)
@@ -127,24 +150,27 @@ def _analyze_group(v: np.ndarray, k: int, lam: float):
     return idx_ok[picks], rep[picks], np.asarray(scores, dtype=np.float64), len(idx_ok), apc, up
 
 
-def _matrix(arr) -> np.ndarray:
-    """``(n, d)`` float64 matrix of a list array; null or odd-sized rows -> NaN rows."""
-    n = len(arr)
-    if n == 0:
-        return np.zeros((0, 0))
+def _matrices(arr, bounds):
+    """``(n, d)`` float64 matrix of each group ``bounds[i]:bounds[i + 1]`` of a
+    list array.  d is the group's own vector size (see :func:`group_sizes`),
+    never that of other groups of the batch; rows that are null or of another
+    size are NaN rows."""
     lengths = arr.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    vals, counts = np.unique(lengths[lengths >= 0], return_counts=True)
-    if len(vals) == 0:
-        return np.full((n, 0), np.nan)
-    d = int(vals[np.argmax(counts)])
-    if (lengths == d).all():
-        return flat.reshape(n, d)
-    out = np.full((n, d), np.nan)
-    starts = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))[:-1]])
-    for i in np.nonzero(lengths == d)[0]:
-        out[i] = flat[starts[i]:starts[i] + d]
-    return out
+    starts = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
+    for s, e in zip(bounds[:-1], bounds[1:]):
+        own = lengths[s:e]
+        if len(own) and own[0] > 0 and (own == own[0]).all():
+            yield flat[starts[s]:starts[e]].reshape(e - s, own[0])
+            continue
+        rows = {i: flat[starts[s + i]:starts[s + i] + n] for i, n in enumerate(own) if n >= 0}
+        usable = [len(r) for r in rows.values() if len(r) and np.isfinite(r).all()]
+        d = min(usable, key=lambda n: (-usable.count(n), n), default=0)
+        out = np.full((e - s, d), np.nan)
+        for i, r in rows.items():
+            if len(r) == d:
+                out[i] = r
+        yield out
 
 
 def _fused_batches(keys, vector, k, lam, payload_cols, out_schema, emit_unit=False, buckets_dim=None):
@@ -167,12 +193,13 @@ def _fused_batches(keys, vector, k, lam, payload_cols, out_schema, emit_unit=Fal
         if buckets_dim is not None:
             from .embed import dense_from_buckets
 
-            v = dense_from_buckets(col, buckets_dim).astype(np.float64)
+            dense = dense_from_buckets(col, buckets_dim).astype(np.float64)
+            groups = (dense[s:e] for s, e in zip(b[:-1], b[1:]))
         else:
-            v = _matrix(col)
+            groups = _matrices(col, b)
         rows, reps, scores, ranks, gn, gv, gtop, gapc, units = [], [], [], [], [], [], [], [], []
-        for s, e in zip(b[:-1], b[1:]):
-            picked, rep, sc, n_ok, apc, up = _analyze_group(v[s:e], k, lam)
+        for s, e, v in zip(b[:-1], b[1:], groups):
+            picked, rep, sc, n_ok, apc, up = _analyze_group(v, k, lam)
             m = len(picked)
             rows.append(picked + s)
             reps.append(rep)
@@ -194,10 +221,10 @@ def _fused_batches(keys, vector, k, lam, payload_cols, out_schema, emit_unit=Fal
         cols["group_apc"] = pa.array(np.concatenate(gapc) if gapc else np.zeros(0))
         cols["group_valid"] = pa.array(np.concatenate(gv) if gv else np.zeros(0, dtype=np.int64), type=pa.int64())
         if emit_unit:
-            mat = np.concatenate(units) if units else np.zeros((0, 0))
-            cnt, d = mat.shape if mat.ndim == 2 else (0, 0)
-            offs = pa.array(np.arange(0, cnt * d + 1, d, dtype=np.int32) if d else np.zeros(cnt + 1, dtype=np.int32))
-            cols[UNIT] = pa.ListArray.from_arrays(offs, pa.array(mat.ravel(), type=pa.float64()))
+            # groups may differ in vector size
+            offs = np.concatenate([[0], *(np.full(len(u), u.shape[1]) for u in units)]).cumsum().astype(np.int32)
+            flat = np.concatenate([u.ravel() for u in units]) if units else np.zeros(0)
+            cols[UNIT] = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, type=pa.float64()))
         return pa.Table.from_pydict(cols, schema=out_schema)
 
     def fn(batches):
@@ -306,8 +333,10 @@ def analyze_groups(
             from .embed import densify_column
 
             big_rows = densify_column(big_rows, vector, buckets_dim)
-        # drops invalid vectors natively; the centroids of the n_big hot groups
-        # are broadcast (their number was just counted) so hot rows never shuffle
+        # the same rule as in the grouped pass decides which vectors take part;
+        # the centroids of the n_big hot groups are broadcast (their number was
+        # just counted) so hot rows never shuffle
+        big_rows = mark_invalid(big_rows, kk, vector, n_big <= BROADCAST_MAX_GROUPS)
         scored = score_rows(big_rows, kk, vector, few_groups=n_big <= BROADCAST_MAX_GROUPS)
         spec = MMRSpec(tuple(kk), position, UNIT, "score_representative", int(k), float(lam), tuple(payload), True)
         picks = _lockstep_path(scored, spec, n_big)
@@ -315,7 +344,7 @@ def analyze_groups(
             "avg_pairwise_cosine", "group_apc")
         counts = big_rows.groupBy(*kk).agg(
             F.count(F.lit(1)).alias("group_n"),
-            F.count_if(is_valid_vector(F.col(vector))).cast("long").alias("group_valid"),
+            F.count(vector).cast("long").alias("group_valid"),
         )
         big_out = picks.join(stats, kk).join(counts, kk).select(*[f.name for f in out_schema.fields])
         out = small.unionByName(big_out)

@@ -15,7 +15,6 @@ The store root must be on storage shared by the cluster.
 
 from __future__ import annotations
 
-import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -47,9 +46,11 @@ def lookup(uniq: DataFrame, stored: DataFrame, dim: int | None = None) -> tuple[
     """
     valid = stored.filter(is_valid_vector(F.col("embedding"), dim))
     if "written_at" in valid.columns:
-        valid = valid.groupBy("segment_id").agg(F.max_by("embedding", "written_at").alias("embedding"))
+        # a total order: of writes in one instant, the one of larger vector hash
+        valid = valid.groupBy("segment_id").agg(
+            F.max_by("embedding", F.struct("written_at", F.xxhash64("embedding"))).alias("embedding"))
     else:
-        valid = valid.dropDuplicates(["segment_id"])
+        valid = valid.groupBy("segment_id").agg(F.max_by("embedding", F.xxhash64("embedding")).alias("embedding"))
     # the store grows with the corpus and its size may be underestimated when it
     # is derived (e.g. vectors from a Python step): never broadcast it
     hits = uniq.join(valid.hint("merge"), "segment_id", "inner")
@@ -144,8 +145,8 @@ class EmbeddingStore:
             return self.spark.createDataFrame([], STORE_SCHEMA)
         df = self.spark.read.schema(STORE_SCHEMA).parquet(path)
         if self.ttl_days is not None:
-            cutoff = _dt.datetime.now(_dt.timezone.utc) - _dt.timedelta(days=self.ttl_days)
-            df = df.filter(F.col("written_at") >= F.lit(cutoff.replace(tzinfo=None)))
+            # an instant on the session's own clock: no time zone of the driver comes in
+            df = df.filter(F.col("written_at") >= F.current_timestamp() - F.make_dt_interval(days=F.lit(int(self.ttl_days))))
         return df
 
     def read(self, fingerprint: str) -> DataFrame:
@@ -156,8 +157,9 @@ class EmbeddingStore:
 
     # -- read-through ----------------------------------------------------
     def read_through(self, uniq: DataFrame, embedder, text: str = "text") -> DataFrame:
-        """Vectors for every distinct ``segment_id`` of ``uniq``; misses are
-        embedded once, appended to the store, and read back."""
+        """Valid vectors of the distinct ``segment_id``s of ``uniq``; misses are
+        embedded once, appended to the store, and read back.  An id whose
+        vector is invalid has no row."""
         fp = embedder.fingerprint
         if not self.enabled:
             self.last_run = RunStats()
@@ -169,7 +171,8 @@ class EmbeddingStore:
             F.col("embedding"),
             F.current_timestamp().alias("written_at"),
             F.lit(fp).alias("model_fingerprint"),
-        ).observe(obs, F.count(F.lit(1)).alias("n"))
+        ).observe(obs, F.count(F.lit(1)).alias("n")).filter(
+            is_valid_vector(F.col("embedding"), embedder.dim))  # an invalid vector is never stored
         fresh.write.mode("append").partitionBy("model_fingerprint").parquet(self.current_path())
         self.last_run = RunStats(int(obs.get.get("n", 0)))
         hits, _ = lookup(uniq, self.read(fp).select("segment_id", "embedding", "written_at"), embedder.dim)

@@ -66,7 +66,11 @@ def resolve_picks(selection: DataFrame, segments: DataFrame, keys=("doc_id",)) -
     and an ``error`` message.
     """
     k = _keys(keys)
-    seg1 = segments.groupBy(*k, "segment_id").agg(F.max_by("text", "position").alias("text"))
+    # only segments that some pick names are grouped; a small pick table is
+    # broadcast by the planner, and then no segment text is shuffled at all
+    wanted = selection.select(*k, "segment_id").distinct()
+    named = segments.join(wanted, k + ["segment_id"], "left_semi")
+    seg1 = named.groupBy(*k, "segment_id").agg(F.max_by("text", "position").alias("text"))
     out = selection.join(seg1, k + ["segment_id"], "left")
     err = F.when(F.col("text").isNull(), F.format_string(MISSING_SEGMENT.replace("{id}", "%s"), F.col("segment_id")))
     return out.withColumn("error", err)
@@ -153,11 +157,11 @@ def split_answer(content: Column, style: str) -> Column:
         return F.struct(content.alias("summary_text"), F.lit(None).cast("array<string>").alias("bullets"))
     pos = F.instr(content, "\n-")
     head = utrim(F.substring(content, F.lit(1), pos - 1))
-    tail = F.substring(content, pos + 1, F.lit(1 << 30))
+    tail = F.substr(content, pos + 1)
     tail_lines = F.transform(F.split(tail, "\n", -1), lambda x: utrim(x))
     bullets = F.transform(
         F.filter(tail_lines, lambda x: x.startswith("- ") | x.startswith("* ")),
-        lambda x: F.substring(x, 3, 1 << 30),
+        lambda x: F.substr(x, F.lit(3)),
     )
     return F.struct(
         F.when(pos > 0, head).otherwise(content).alias("summary_text"),
@@ -220,7 +224,7 @@ def summarize(
     title: str | None = "title",
     lang: str | None = "lang",
 ) -> DataFrame:
-    """One summary row per document in ``picks`` (see :func:`pick_lists`).
+    """One summary row per document in ``docs``; ``picks`` as in :func:`pick_lists`.
 
     ``responses`` (``keys, status, body, error``) holds the chat answers; a
     document without a usable answer — or any document under the
@@ -233,10 +237,15 @@ def summarize(
     tcol = F.col(title) if title and title in docs.columns else F.lit(None).cast("string")
     lcol = F.col(lang) if lang and lang in docs.columns else F.lit(None).cast("string")
     d = docs.select(*k, tcol.alias("_title"), lcol.alias("_lang"))
-    base = picks.join(d, k, "left")
+    # the documents drive: one without picks has empty lists and gets a row too
+    base = d.join(picks, k, "left")
+    for c in ("texts", "segment_ids"):
+        base = base.withColumn(c, F.coalesce(F.col(c), F.array().cast("array<string>")))
     base = base.withColumn("prompt", build_prompt(F.col("_title"), F.col("_lang"), F.col("texts"), opts.style))
     if responses is not None and opts.style != "extractive":
+        # one answer per document: a usable one first, then the largest
         r = responses.select(*k, response_outcome(F.col("status"), F.col("body"), F.col("error")).alias("_r"))
+        r = r.groupBy(*k).agg(F.max("_r").alias("_r"))
         base = base.join(r, k, "left")
         ok = F.coalesce(F.col("_r.ok"), F.lit(False))
         content = F.col("_r.content")

@@ -1,6 +1,7 @@
 """End-to-end plans: pages -> documents -> analysis -> summaries.
 
-Everything is one lazy plan per output; the only shuffles are on the
+Building a plan runs small jobs (a count that routes very large documents) and
+materialises the picks; everything else is lazy.  The only shuffles are on the
 segment id (embed each distinct text once, join vectors back) and on the
 document key (centroid, selection, metrics).  A repeated boilerplate line
 (one segment id holding a large share of all rows) is collapsed map-side by
@@ -15,6 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import combined_fingerprint
 from ..operators.analysis import analyze_groups, pick_stats
 from ..operators.rerank import QUERY_MODE_CENTROID_SUMMARY, rerank, rerank_query
 from ..operators.embed import HashingEmbedder
@@ -41,7 +43,8 @@ def embed_segments(segs: DataFrame, embedder=None, store=None, text: str = "text
     # The vector side grows with the corpus: never broadcast it.  A sort-merge
     # join spills instead of holding a partition's vectors in memory, and AQE
     # splits a hot segment id on the segments side.
-    return segs.join(vecs.hint("merge"), "segment_id", "inner")
+    # An outer join: a segment whose vector is missing or invalid keeps its row.
+    return segs.join(vecs.hint("merge"), "segment_id", "left")
 
 
 @dataclass
@@ -119,9 +122,11 @@ def analyze(
             *k, "rank", "position", "segment_id", "score_representative",
             F.lit(0.0).alias("score_diversity"), "score_rerank", "reason", "mmr_score", "shortlist_pos", "text",
         )
-    metrics = docs.select(*k).join(firsts, k, "left").select(
+    # all segments count, also those of a document without a single pick
+    counts = sizes.select(*k, F.col("n").alias("_all"))
+    metrics = docs.select(*k).join(firsts, k, "left").join(counts, k, "left").select(
         *k,
-        F.coalesce("group_n", F.lit(0)).cast("long").alias("num_segments"),
+        F.coalesce("_all", F.lit(0)).cast("long").alias("num_segments"),
         F.coalesce("group_top_n", F.lit(0)).cast("long").alias("top_n"),
         F.lit(float(opts.mmr_lambda)).alias("mmr_lambda"),
         F.coalesce("group_apc", F.lit(0.0)).alias("avg_pairwise_cosine"),
@@ -177,6 +182,12 @@ def nest_analysis(selection: DataFrame, metrics: DataFrame, docs: DataFrame, key
     )
 
 
+def run_fingerprint(embedder, opts: AnalyzerOptions, scorer=None) -> str:
+    """Fingerprint of the models of one run: the embedder, and the re-ranker if used."""
+    reranker = (scorer.fingerprint if scorer else "token-overlap@1") if opts.rerank else None
+    return combined_fingerprint(embedder.fingerprint, reranker)
+
+
 def run_pages(
     pages: DataFrame,
     analyzer_opts: AnalyzerOptions | None = None,
@@ -190,12 +201,12 @@ def run_pages(
 ) -> PipelineResult:
     """Pages ``(key, url, html)`` -> documents -> analysis -> summary.
 
-    All outputs are lazy DataFrames over one plan; per-stage row counts are
-    collected with ``observe`` the first time each output is computed.
+    The picks are materialised while the plan is built, the outputs are lazy;
+    per-stage row counts are collected with ``observe`` the first time each
+    output is computed.
     """
     from pyspark.sql import Observation
 
-    from ..functions.ids import combined_fingerprint
     from ..operators.extract import extract_pages
     from ..operators.segments import build_documents, explode_document_segments
     from ..operators.summary import pick_lists, resolve_picks, summarize
@@ -209,11 +220,10 @@ def run_pages(
     # parsed documents feed segments, analysis and summary: parse HTML once
     docs = docs.observe(obs["documents"], F.count(F.lit(1)).alias("rows")).persist(StorageLevel.MEMORY_AND_DISK)
     segs = explode_document_segments(docs, keys=[key]).observe(obs["segments"], F.count(F.lit(1)).alias("rows"))
-    a = analyze(segs, docs.select(key), key, embedder, opts, store, scorer=scorer,
+    a = analyze(segs, docs.select(key, "title"), key, embedder, opts, store, scorer=scorer,
                 sizes=docs.select(key, F.size("segments").alias("n")))
     selection = a.selection.observe(obs["picks"], F.count(F.lit(1)).alias("rows"))
-    fp = combined_fingerprint(embedder.fingerprint, scorer.fingerprint if (opts.rerank and scorer) else
-                              ("token-overlap@1" if opts.rerank else None))
+    fp = run_fingerprint(embedder, opts, scorer)
     analysis = nest_analysis(selection, a.metrics, docs, key, fp)
     # the picks carry their text, so no lookup join is needed here
     picks = pick_lists(selection.select(key, "rank", "segment_id", "text"), key)
@@ -221,37 +231,51 @@ def run_pages(
     return PipelineResult(docs, segs, selection, a.metrics, analysis, summary, obs)
 
 
+def _row_keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``_row``, a hash of all their columns.  ``doc_id`` is an
+    attribute, not a key: documents that share one stay apart; only rows equal
+    in every column have one key."""
+    return docs.withColumn("_row", F.sha2(F.to_json(F.struct(*[docs[c] for c in docs.columns])), 256))
+
+
 def analyze_documents(docs: DataFrame, opts: AnalyzerOptions | None = None, embedder=None, store=None,
                       scorer=None) -> DataFrame:
-    """Nested documents (as read from JSON) -> nested analysis records.
-
-    Documents are keyed by their content ``doc_id``; copies with the same id
-    have the same content, hence the same analysis, and are analysed once.
-    """
+    """Nested documents (as read from JSON) -> nested analysis records, one
+    per document row.  Rows equal in every column are analysed once and each
+    get the record."""
     from ..operators.segments import explode_document_segments
 
     opts = opts or AnalyzerOptions()
     embedder = embedder or HashingEmbedder()
-    d = docs.dropDuplicates(["doc_id"])
-    segs = explode_document_segments(d, keys=["doc_id"])
-    a = analyze(segs, d.select("doc_id"), "doc_id", embedder, opts, store, scorer=scorer)
-    return nest_analysis(a.selection, a.metrics, d.select("doc_id"), "doc_id", embedder.fingerprint)
+    d = _row_keyed(docs)
+    once = d.groupBy("_row", "doc_id").agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"])
+    segs = explode_document_segments(once, keys=["_row"])
+    a = analyze(segs, once.select("_row", "title"), "_row", embedder, opts, store, scorer=scorer)
+    nested = nest_analysis(a.selection, a.metrics, once.select("_row", "doc_id"), "_row", run_fingerprint(embedder, opts, scorer))
+    return d.select("_row").join(nested, "_row").drop("_row")
 
 
 def summarize_documents(analyses: DataFrame, docs: DataFrame, responses: DataFrame | None = None, opts=None):
     """Nested analyses + documents -> (summaries, mismatches).
 
-    ``mismatches`` lists analyses whose ``doc_id`` has no document (U10).
+    One summary per analysis whose ``doc_id`` has a document; ``mismatches``
+    lists those that have none (U10).  A pick is looked up among the segments
+    of all documents of that ``doc_id``; title and language are those of the
+    first of them by (title, lang).
     """
     from ..operators.segments import explode_document_segments
     from ..operators.summary import pick_lists, resolve_picks, summarize
 
-    d = docs.dropDuplicates(["doc_id"])
-    an = analyses.dropDuplicates(["doc_id"])
-    mismatches = an.join(d.select("doc_id"), "doc_id", "left_anti").select("doc_id")
-    matched = an.join(d.select("doc_id"), "doc_id", "left_semi")
-    sel = matched.select("doc_id", F.posexplode("top_segments").alias("pos", "s")).select(
-        "doc_id", (F.col("pos") + 1).alias("rank"), F.col("s.segment_id").alias("segment_id"))
-    segs = explode_document_segments(d, keys=["doc_id"])
-    picks = pick_lists(resolve_picks(sel, segs, "doc_id"), "doc_id")
-    return summarize(d.select("doc_id", "title", "lang"), picks, responses, "doc_id", opts), mismatches
+    heads = docs.groupBy("doc_id").agg(F.min(F.struct("title", "lang")).alias("_h")).select("doc_id", "_h.title", "_h.lang")
+    an = _row_keyed(analyses)
+    mismatches = an.join(heads, "doc_id", "left_anti").select("doc_id")
+    once = an.join(heads, "doc_id", "left_semi").groupBy("_row", "doc_id").agg(F.first("top_segments").alias("top_segments"))
+    sel = once.select("_row", "doc_id", F.posexplode("top_segments").alias("pos", "s")).select(
+        "_row", "doc_id", (F.col("pos") + 1).alias("rank"), F.col("s.segment_id").alias("segment_id"))
+    segs = explode_document_segments(docs, keys=["doc_id"])
+    found = resolve_picks(sel.select("doc_id", "rank", "segment_id").distinct(), segs, "doc_id")
+    picks = sel.join(found.drop("rank").dropDuplicates(["doc_id", "segment_id"]), ["doc_id", "segment_id"], "left")
+    out = summarize(once.select("_row", "doc_id").join(heads, "doc_id"), pick_lists(picks, "_row"), responses=None if responses is None else
+                    once.select("_row", "doc_id").join(responses, "doc_id").drop("doc_id"), keys="_row", opts=opts)
+    rows = an.select("_row", "doc_id").join(out, "_row").drop("_row")
+    return rows, mismatches

@@ -205,3 +205,11 @@ def q_page_render_text(spark, d):
 
     ex = extract_pages(read_table(spark, d, "pages"), keep=["page_id"])
     return ex.select("page_id", render_text().alias("text"))
+
+
+# --------------------------------------------------------------- whole pipelines
+@register("page_parse_errors", "SELECT page_id, CAST(0 AS BIGINT) AS n_errors FROM pages")
+def q_page_parse_errors(spark, d):
+    """Pages that could not be read to their end: none, whatever their markup."""
+    return page_nodes(spark, d).select(
+        "page_id", F.size(F.filter("nodes", lambda n: n["kind"] == "error")).cast("long").alias("n_errors"))

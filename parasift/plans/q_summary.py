@@ -235,9 +235,9 @@ def _final(spark, d):
     f"""
 WITH RECURSIVE {PICKS_SQL}, {RESP_SQL},
 f AS (
-  SELECT pl.doc_id, pl.texts, d.lang, r.content,
+  SELECT d.doc_id, coalesce(pl.texts, CAST([] AS VARCHAR[])) AS texts, d.lang, r.content,
          {_split_sql('r.content')[0]} AS api_text, {_split_sql('r.content')[1]} AS api_bullets
-  FROM pl JOIN documents d USING (doc_id) LEFT JOIN resp r USING (doc_id)
+  FROM documents d LEFT JOIN pl USING (doc_id) LEFT JOIN resp r USING (doc_id)
 )
 SELECT doc_id,
        CASE WHEN content IS NOT NULL THEN api_text ELSE {_fallback_sql('texts')} END AS summary_text,
@@ -246,7 +246,7 @@ SELECT doc_id,
        content IS NULL AS filtered,
        CASE WHEN content IS NULL THEN '{FALLBACK_REASON}' END AS reason,
        CAST(CASE WHEN content IS NOT NULL THEN floor(length({_prompt_sql('lang', 'texts')}) / 4)
-            ELSE list_sum(list_transform(texts, lambda t: floor(length(t) / 4))) END AS BIGINT) AS input_tokens,
+            ELSE coalesce(list_sum(list_transform(texts, lambda t: floor(length(t) / 4))), 0) END AS BIGINT) AS input_tokens,
        CAST(floor(length(CASE WHEN content IS NOT NULL THEN api_text ELSE {_fallback_sql('texts')} END) / 4) AS BIGINT) AS output_tokens
 FROM f
 """,

@@ -82,7 +82,7 @@ def _start_tag(tag: str, attrs) -> str:
 
 
 class _El:
-    __slots__ = ("tag", "attrs", "node", "buf", "texts", "last_text")
+    __slots__ = ("tag", "attrs", "node", "buf", "texts", "last_text", "mask")
 
     def __init__(self, tag, attrs, node=None):
         self.tag = tag
@@ -91,12 +91,17 @@ class _El:
         self.buf = [] if tag in CAPTURE else None
         self.texts = [] if tag == "p" else None
         self.last_text = False
+        self.mask = 1 << 5  # selectors that match a paragraph inside
 
 
 class _NodeParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[_El] = []
+        # kept beside the stack so that no event walks it, however deep it is
+        self.capturing: list[_El] = []
+        self.open: dict[str, int] = {}  # open elements by tag
+        self.open_formatting: set[int] = set()
         self.active: list[tuple[str, list]] = []  # active formatting elements (tag, attrs)
         self.nodes: list[dict] = []
         self.ord = 0
@@ -105,10 +110,9 @@ class _NodeParser(HTMLParser):
 
     # ---- helpers -------------------------------------------------------
     def _emit_markup(self, s: str):
-        for el in self.stack:
+        for el in self.capturing:
             if el.buf is not None:
                 el.buf.append(s)
-        for el in self.stack:
             if el.texts is not None:
                 el.last_text = False
 
@@ -116,7 +120,7 @@ class _NodeParser(HTMLParser):
         if not s:
             return
         esc = s if raw else _esc_text(s)
-        for el in self.stack:
+        for el in self.capturing:
             if el.buf is not None:
                 el.buf.append(esc)
             if el.texts is not None:
@@ -127,6 +131,8 @@ class _NodeParser(HTMLParser):
                     el.last_text = True
 
     def _in_scope(self, tag: str) -> int:
+        if not self.open.get(tag):
+            return -1
         for i in range(len(self.stack) - 1, -1, -1):
             t = self.stack[i].tag
             if t == tag:
@@ -138,6 +144,11 @@ class _NodeParser(HTMLParser):
     def _pop_to(self, idx: int):
         while len(self.stack) > idx:
             el = self.stack.pop()
+            self.open[el.tag] -= 1
+            if el.tag in FORMATTING:
+                self.open_formatting.discard(id(el.attrs))
+            if self.capturing and self.capturing[-1] is el:
+                self.capturing.pop()
             self._finish(el)
             if el.tag not in VOID:
                 self._emit_markup(f"</{el.tag}>")
@@ -151,29 +162,25 @@ class _NodeParser(HTMLParser):
             el.node["text"] = " ".join(el.texts)
 
     def _reconstruct(self):
-        open_tags = [id(el.attrs) for el in self.stack]
-        for tag, attrs in self.active:
-            if id(attrs) not in open_tags:
+        for tag, attrs in list(self.active):
+            if id(attrs) not in self.open_formatting:
                 self._push(tag, attrs)
 
     def _sel_mask(self) -> int:
-        m = 1 << 5
-        for el in self.stack:
-            t = el.tag
-            if t == "div":
-                a = dict(el.attrs)
-                classes = (a.get("class") or "").split()
-                if a.get("id") == "mw-content-text":
-                    m |= 1 << 0
-                if "mw-parser-output" in classes:
-                    m |= 1 << 1
-                if "content" in classes:
-                    m |= 1 << 2
-            elif t == "article":
-                m |= 1 << 3
-            elif t == "main":
-                m |= 1 << 4
-        return m
+        return self.stack[-1].mask if self.stack else 1 << 5
+
+    @staticmethod
+    def _own_mask(tag, attrs) -> int:
+        if tag == "article":
+            return 1 << 3
+        if tag == "main":
+            return 1 << 4
+        if tag != "div":
+            return 0
+        a = dict(attrs)
+        classes = (a.get("class") or "").split()
+        named = (a.get("id") == "mw-content-text", "mw-parser-output" in classes, "content" in classes)
+        return sum(1 << i for i, hit in enumerate(named) if hit)
 
     def _push(self, tag, attrs):
         node = None
@@ -194,7 +201,13 @@ class _NodeParser(HTMLParser):
         self._emit_markup(_start_tag(tag, attrs))
         el = _El(tag, attrs, node)
         if tag not in VOID:
+            el.mask = self._sel_mask() | self._own_mask(tag, attrs)
             self.stack.append(el)
+            self.open[tag] = self.open.get(tag, 0) + 1
+            if tag in FORMATTING:
+                self.open_formatting.add(id(attrs))
+            if el.buf is not None or el.texts is not None:
+                self.capturing.append(el)
         else:
             self._finish(el)
 
@@ -206,7 +219,7 @@ class _NodeParser(HTMLParser):
                 self._pop_to(i)
         if tag in HEADINGS and self.stack and self.stack[-1].tag in HEADINGS:
             self._pop_to(len(self.stack) - 1)
-        if tag == "li":
+        if tag == "li" and self.open.get("li"):
             for i in range(len(self.stack) - 1, -1, -1):
                 t = self.stack[i].tag
                 if t == "li":
@@ -246,11 +259,15 @@ class _NodeParser(HTMLParser):
         if tag in ("html", "body", "head", "br"):
             return
         if tag in HEADINGS:
+            if not any(self.open.get(t) for t in HEADINGS):
+                return
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i].tag in HEADINGS:
                     self._pop_to(i)
                     break
             return
+        if not self.open.get(tag):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
                 attrs = self.stack[i].attrs
@@ -267,10 +284,13 @@ class _NodeParser(HTMLParser):
         if top in RAW_TEXT:
             self._emit_text(data, raw=True)
             return
-        if any(el.tag == "body" for el in self.stack) or self.active:
-            self._reconstruct()
+        self._reconstruct()
         self._emit_text(data, raw=False)
 
+    def parse_marked_section(self, i, report=1):
+        # in HTML content ``<![`` begins a bogus comment, which ends at the next ``>``
+        return self.parse_bogus_comment(i, report)
+
     def handle_comment(self, data):
         self._emit_markup(f"<!--{data}-->")
 
@@ -287,12 +307,14 @@ def parse_nodes(html: str | None) -> list[dict]:
     if not html:
         return []
     p = _NodeParser()
+    out = []
     try:
         p.feed(html)
-        p.close()
-    except Exception:  # noqa: BLE001  (a broken page yields the nodes seen so far)
-        pass
-    out = []
+    except Exception as e:  # noqa: BLE001  (reported as a node of kind ``error``)
+        out.append({"kind": "error", "ord": 0, "level": 0, "cls": None, "html": "", "text": f"{type(e).__name__}: {e}",
+                    "href": None, "sel": 0})
+        p.rawdata = ""
+    p.close()
     for n in p.nodes:
         out.append({
             "kind": n["kind"], "ord": n["ord"], "level": n.get("level", 0), "cls": n.get("cls"),
@@ -304,16 +326,14 @@ def parse_nodes(html: str | None) -> list[dict]:
 
 
 def html_nodes(pages: DataFrame, html: str = "html", out: str = "nodes", keep=None) -> DataFrame:
-    """Add ``nodes`` (``array<struct>``) to every page and drop the raw HTML."""
+    """Add ``nodes`` (``array<struct>``) to every page and drop the raw HTML.
+
+    Parsing is CPU-bound Python work and runs where the pages are read; a small
+    input in few splits is spread by the caller (``pages.repartition(n)``).
+    A page that cannot be read to its end has a node of kind ``error``.
+    """
     keep = [c for c in pages.columns if c != html] if keep is None else list(keep)
     src = pages.select(*keep, html)
-    # Parsing is CPU-bound Python work.  When the scan yields fewer tasks than
-    # there are slots (a small input in few row groups), spread the pages
-    # first; a large input already has more splits than slots and is parsed
-    # where it is read, without a shuffle.
-    slots = pages.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < slots:
-        src = src.repartition(slots)
     out_schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(NODE_TYPE))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
