@@ -232,10 +232,12 @@ def run_pages(
 
 
 def _row_keyed(docs: DataFrame) -> DataFrame:
-    """Documents with ``_row``, a hash of all their columns.  ``doc_id`` is an
-    attribute, not a key: documents that share one stay apart; only rows equal
-    in every column have one key."""
-    return docs.withColumn("_row", F.sha2(F.to_json(F.struct(*[docs[c] for c in docs.columns])), 256))
+    """Documents with ``_row``, a hash of all their columns but the time of
+    fetching (no result depends on it, and it may be the running query's
+    clock).  ``doc_id`` is an attribute, not a key: documents that share one
+    stay apart; only rows equal in all else have one key."""
+    columns = [docs[c] for c in docs.columns if c != "fetched_at"]
+    return docs.withColumn("_row", F.sha2(F.to_json(F.struct(*columns)), 256))
 
 
 def analyze_documents(docs: DataFrame, opts: AnalyzerOptions | None = None, embedder=None, store=None,

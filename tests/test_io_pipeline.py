@@ -61,7 +61,7 @@ def test_analyze_and_summarize_stored_documents(spark):
     assert row.metrics.num_segments == 3 and row.metrics.top_n == 3 and row.top_segments[0].reason == "highly central"
     summ, mism = summarize_documents(an, docs)
     s = summ.first()
-    assert mism.count() == 0 and s.guardrails.filtered and s.summary_text.startswith(DOC["segments"][0]["text"][:4]) is not None
+    assert mism.count() == 0 and s.guardrails.filtered and s.summary_text.startswith(DOC["segments"][0]["text"][:4])
     # JSON exchange keeps nulls
     out = tempfile.mkdtemp(prefix="io-out-")
     write_json(summ.select("doc_id", "summary_text", "bullets"), out + "/s")
