@@ -13,7 +13,9 @@ excluded.  Steps:
 * ``topic_mmr``     embeddings table, MMR top-5 per label
 * ``extract``       pages -> title/headings/links/main text -> segments
 * ``summarize``     analysis -> extractive/API summaries per document
-* ``store_lookup``  read-through lookup against a store of earlier segments
+* ``store_lookup``  lookup of all segments against vectors of earlier segments
+* ``store_second_run``  read-through of all segments from a store filled before (no embedder call)
+* ``lockstep_mmr``  embeddings x 20, every topic on the distributed selection route
 * ``pages_end_to_end``  pages -> documents -> analysis -> summary (P1)
 """
 
@@ -62,22 +64,60 @@ def main() -> None:
     def rerank_step(s, d):
         return q["rerank_top"](s, d)
 
+    def spread_pages(s, d):
+        # one small file: the caller spreads the parsing over the cores
+        return read_table(s, d, "pages").select("page_id", "url", "html").repartition(int(cpus))
+
+    def extract_step(s, d):
+        from parasift.operators.extract import extract_pages
+
+        return explode_segments(extract_pages(spread_pages(s, d), keep=["page_id"]), "page_id", "text_content")
+
     def pipeline_step(s, d):
-        r = run_pages(read_table(s, d, "pages"))
+        r = run_pages(spread_pages(s, d))
         return r.summary.join(r.analysis, "page_id")
 
+    stores = {}
+
+    def prepare_store(s, d):
+        import tempfile
+
+        from parasift.operators.store import EmbeddingStore
+        from parasift.plans.pipeline import embed_segments
+
+        stores[d] = EmbeddingStore(s, tempfile.mkdtemp(prefix="parasift-bench-") + "/store")
+        run(embed_segments(explode_segments(read_table(s, d, "documents"), "doc_id", "text"), store=stores[d]))
+
+    def second_run_step(s, d):
+        from parasift.plans.pipeline import embed_segments
+
+        return embed_segments(explode_segments(read_table(s, d, "documents"), "doc_id", "text"), store=stores[d])
+
+    def lockstep_step(s, d):
+        from parasift.operators.analysis import analyze_groups
+
+        e = read_table(s, d, "embeddings").select("label", "vec_id", "embedding")
+        many = e.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(19)))).select(
+            "label", (F.col("vec_id") * 20 + F.col("copy")).alias("vec_id"),
+            F.transform("embedding", lambda x: x + F.col("copy") * 0.001).alias("embedding"))
+        return analyze_groups(many, "label", "vec_id", "embedding", k=5, lam=0.65, max_group_rows=10)
+
     steps = {
         "segment": q["doc_segments"],
         "embed": embed_step,
         "analyze": analyze_step,
         "analyze_rerank": rerank_step,
         "topic_mmr": q["mmr_top5"],
-        "extract": q["page_segments"],
+        "extract": extract_step,
         "summarize": q["summary_final"],
         "store_lookup": q["store_hits"],
+        "store_second_run": second_run_step,
+        "lockstep_mmr": lockstep_step,
         "pages_end_to_end": pipeline_step,
     }
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    for d in {warm_dir if os.path.isdir(warm_dir) else sf_dir, sf_dir}:
+        prepare_store(spark, d)
     for fn in steps.values():  # warm-up on the small tables: JIT, Python workers
         run(fn(spark, warm_dir if os.path.isdir(warm_dir) else sf_dir))
         spark.catalog.clearCache()
