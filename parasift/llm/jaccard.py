@@ -13,14 +13,19 @@ that many documents share makes no long list unless it fills a block.  A set
 with too few filled blocks is entered again under twice as many, until
 it has enough: no linked pair is missed.
 
-Answers from similar sets.  In each list the members are first compared with
-one representative only (|A xor R| is exact).  For two other members the
-triangle inequality then decides most pairs without their elements: linked when
-|A xor R| + |B xor R| is small enough, not linked when the two differ too much;
-members that links already join are not compared.  What stays open is verified.
-
-So a group of near copies, however large, costs one comparison each.  Sets are
-compared by their hashes; two n-grams of equal 64-bit hash count as one.
+Answers from similar sets.  In each list the members are compared with one
+representative R only, which gives d(A) = A xor R exactly.  All else follows from
+these differences: |A xor B| = |d(A)| + |d(B)| - 2 |d(A) and d(B)|, so two members
+that are not both close to R link only if their differences share many
+elements.  The differences to R, rarest element first, form index lists by
+position; an entry at position i of d(A) is skipped against d(B) unless
+``2 i <= |d(A)| - |d(B)| + most``, ``most`` being the largest |A xor B| of a linked
+pair of these sizes.  Elements that edits of a common text add are rare and come
+first, those that they remove are shared and come too late to be looked at.
+Members that links already join are not compared at all.
+
+So a group of near copies, however large, costs about one comparison each.  Sets
+are compared by their hashes; two n-grams of equal 64-bit hash count as one.
 
 Edge cases: null or blank text has the empty set and links with nothing; a row
 with a null id links with nothing and has component null; equal ids and repeated
@@ -32,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,22 +116,25 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "cid long, tokens binary")
 
 
-def _overlaps(pairs: DataFrame, words: int) -> DataFrame:
-    """``a, b, common`` of rows ``a, _text`` (of a), ``b, tokens`` (of b)."""
+def _differences(pairs: DataFrame, words: int) -> DataFrame:
+    """``a, r, far`` (the elements that one of both sets has) of rows ``a,
+    _text`` (of a), ``r, tokens`` (of r)."""
 
     def run(batches):
         for batch in batches:
             other = batch.column("tokens")
             for row, raw, offsets in utf8_parts(batch.column("_text")):
-                common = [
-                    len(np.intersect1d(t, np.frombuffer(other[row + i].as_buffer(), np.uint64), assume_unique=True))
+                far = [
+                    np.setxor1d(t, np.frombuffer(other[row + i].as_buffer(), np.uint64), assume_unique=True).view(np.int64)
                     for i, t in enumerate(shingle_sets(raw, offsets, words))
                 ]
+                ends = np.cumsum([0, *map(len, far)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").slice(row, len(common)), batch.column("b").slice(row, len(common)),
-                     pa.array(common, pa.int64())], names=["a", "b", "common"])
+                    [batch.column("a").slice(row, len(far)), batch.column("r").slice(row, len(far)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(far)))],
+                    names=["a", "r", "far"])
 
-    return pairs.mapInArrow(run, "a long, b long, common long")
+    return pairs.mapInArrow(run, "a long, r long, far array<long>")
 
 
 class JaccardJoin:
@@ -138,82 +146,87 @@ class JaccardJoin:
         self.classes = materialise(
             self.sets.where("n > 0 AND id IS NOT NULL").groupBy("cid", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
 
-    def _lists(self) -> DataFrame:
-        """Index entries ``key, cid, r`` of lists with at least two classes; r
-        is the list's representative."""
+    def _star(self) -> DataFrame:
+        """Pairs ``a, r``: a class and the representative of a list it is in."""
         by = W.partitionBy("key")
         # one document of each class enters the index, so copies make no long list
         one = sized_side(self.classes.select(F.col("cid").alias("_cid"), "rep"), F.lit(16))
         entered = self.sets.where(F.size("keys") > 0).join(
             one, (F.col("cid") == F.col("_cid")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
         return (
-            entered.select("cid", F.explode("keys").alias("key"))
-            .withColumn("r", F.min("cid").over(by)).withColumn("last", F.max("cid").over(by))
-            .where("r != last").select("key", "cid", "r").distinct()
+            entered.select("cid", F.explode("keys").alias("key")).withColumn("r", F.min("cid").over(by))
+            .where("r != cid").select(F.col("cid").alias("a"), "r").distinct()
         )
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """``a, b`` -> ``a, b, na, nb, common`` with the exact overlap."""
-        pairs = materialise(pairs, "jaccard-pairs")
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """``a, r, na, nr, far`` of pairs ``a, r``."""
         classes = self.classes
-        of = lambda col: pairs.select(F.col(col).alias("cid")).distinct().join(
-            classes.select("cid", "n", "rep"), "cid")
-        b = materialise(of("b"), "jaccard-b")
         text = self.texts.where(F.col("_text").isNotNull())
-        b_text = text.join(sized_side(b.select("cid", F.col("rep").alias("_id")), F.lit(16)), "_id")
-        b_sets = materialise(_tokens(b_text.dropDuplicates(["cid"]).select("cid", "_text"), self.words), "jaccard-b-sets")
-        b_sets = b_sets.select(F.col("cid").alias("b"), "tokens")
-        a = pairs.join(classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("rep").alias("_id")), "a")
-        a = materialise(a.select("_id", "a", "b"), "jaccard-a")
-        a_text = text.join(sized_side(a, F.lit(24)), "_id").select("a", "b", "_text")
-        full = a_text.join(sized_side(b_sets, F.octet_length("tokens") + 8), "b")
+        reps = pairs.select(F.col("r").alias("cid")).distinct().join(classes.select("cid", F.col("rep").alias("_id")), "cid")
+        reps = materialise(reps, "jaccard-reps")
+        r_text = text.join(sized_side(reps, F.lit(16)), "_id").dropDuplicates(["cid"])
+        r_sets = materialise(_tokens(r_text.select("cid", "_text"), self.words), "jaccard-rep-sets")
+        members = materialise(
+            pairs.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("_id")), "a"), "jaccard-members")
+        a_text = text.join(sized_side(members, F.lit(24)), "_id").select("a", "r", "_text")
+        full = a_text.join(sized_side(r_sets.select(F.col("cid").alias("r"), "tokens"), F.octet_length("tokens") + 8), "r")
         size = classes.select("cid", "n")
         return (
-            _overlaps(full, self.words).distinct()
+            _differences(full, self.words).dropDuplicates(["a", "r"])
             .join(size.withColumnsRenamed({"cid": "a", "n": "na"}), "a")
-            .join(size.withColumnsRenamed({"cid": "b", "n": "nb"}), "b")
+            .join(size.withColumnsRenamed({"cid": "r", "n": "nr"}), "r")
         )
 
-    def _linked(self, verified: DataFrame) -> DataFrame:
-        union = F.col("na") + F.col("nb") - F.col("common")
-        return verified.where(100 * F.col("common") >= self.percent * union)
+    def _near(self, far: Column, n: Column) -> Column:
+        """Whether sets that differ in ``far`` elements and have ``n`` together link."""
+        return (100 + self.percent) * far <= (100 - self.percent) * n
 
     def links(self) -> DataFrame:
         """Class links ``a, b`` that together connect what the join connects."""
         p = self.percent
-        lists = materialise(self._lists(), "jaccard-lists")
-        star = materialise(
-            self.verify(lists.where("cid != r").select(F.col("cid").alias("a"), F.col("r").alias("b")).distinct()),
-            "jaccard-star")
-        links = self._linked(star).select("a", "b")
+        star = materialise(self._compared(materialise(self._star(), "jaccard-star-pairs")), "jaccard-star")
+        d = F.size("far").cast("long")
+        known = star.select("a", "r", "na", d.alias("d"), self._near(d, F.col("na") + F.col("nr")).alias("near"))
+        links = known.where("near").select("a", F.col("r").alias("b"))
         joined = components(links)
-        far = star.select(F.col("a").alias("cid"), F.col("b").alias("r"),
-                          (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("far"))
-        by = W.partitionBy("key")
-        open_lists = (
-            lists.join(joined, lists["cid"] == joined["node"], "left")
-            .select("key", "cid", "r", F.coalesce("component", "cid").alias("component"))
-            .withColumn("c0", F.min("component").over(by)).withColumn("c1", F.max("component").over(by))
-            .where("c0 != c1").select("key", "cid", "r", "component")
-            .join(far, ["cid", "r"], "left").join(self.classes.select("cid", "n"), "cid")
-            .select("key", "cid", "r", "component", "n", F.coalesce("far", F.lit(0)).alias("far"))
-        )
-        open_lists = materialise(open_lists, "jaccard-open")
-        one = open_lists.select("key", F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"),
-                                F.col("far").alias("fa"), "r")
-        two = open_lists.select(F.col("key").alias("key2"), F.col("cid").alias("b"), F.col("component").alias("cb"),
-                                F.col("n").alias("nb"), F.col("far").alias("fb"))
-        most = (100 - p) * (F.col("na") + F.col("nb"))  # linked: (100 + p) * |A xor B| <= most
-        rest = one.hint("merge").join(
+        known = known.join(joined, known["a"] == joined["node"], "left").select(
+            "a", "r", "na", "d", "near", F.coalesce("component", "a").alias("c"))
+        groups = known.groupBy("r").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("r")
+        groups = materialise(groups, "jaccard-open")
+        # elements that no other member has come first and make no list: only their number matters
+        entries = star.join(sized_side(groups, F.lit(8)), "r", "left_semi").select("a", "r", F.explode("far").alias("e"))
+        listed = materialise(
+            entries.withColumn("times", F.count(F.lit(1)).over(W.partitionBy("r", "e"))).where("times > 1"), "jaccard-differences")
+        own = W.partitionBy("a", "r")
+        listed = listed.withColumn("k", F.row_number().over(own.orderBy("times", "e"))).withColumn(
+            "shared", F.count(F.lit(1)).over(own))
+        info = known.withColumnsRenamed({"a": "_a", "r": "_r"})
+        listed = listed.join(info, (F.col("a") == F.col("_a")) & (F.col("r") == F.col("_r"))).withColumn(
+            "i", F.col("d") - F.col("shared") + F.col("k") - 1)
+        # a member near r has partners that are not, which ends its useful positions early
+        listed = listed.where(F.when(F.col("near"), (100 + p) * F.col("i") <= 100 * F.col("d"))
+                              .otherwise(p * F.col("i") <= (100 - p) * F.col("na")))
+        listed = materialise(listed.select("a", "r", "na", "d", "c", "e", "i"), "jaccard-positions")
+        one = listed.select("r", "e", "a", "c", "na", "d", "i")
+        two = listed.select(F.col("r").alias("r2"), F.col("e").alias("e2"), F.col("a").alias("b"), F.col("c").alias("cb"),
+                            F.col("na").alias("nb"), F.col("d").alias("db"), F.col("i").alias("j"))
+        most = (100 - p) * (F.col("na") + F.col("nb"))
+        open_pairs = materialise(one.hint("merge").join(
             two,
-            (F.col("key") == F.col("key2")) & (F.col("ca") < F.col("cb")) & (F.col("a") != F.col("r")) & (F.col("b") != F.col("r"))
+            (F.col("r") == F.col("r2")) & (F.col("e") == F.col("e2")) & (F.col("c") < F.col("cb"))
             & (100 * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-            & ((100 + p) * F.abs(F.col("fa") - F.col("fb")) <= most),
-        )
-        rest = materialise(
-            rest.groupBy("a", "b").agg(F.max((100 + p) * (F.col("fa") + F.col("fb")) <= most).alias("sure")), "jaccard-rest")
-        more = self._linked(self.verify(rest.where("NOT sure").select("a", "b"))).select("a", "b")
-        return materialise(links.unionByName(rest.where("sure").select("a", "b")).unionByName(more), "jaccard-links")
+            & ((100 + p) * (2 * F.col("i") - F.col("d") + F.col("db")) <= most)
+            & ((100 + p) * (2 * F.col("j") - F.col("db") + F.col("d")) <= most),
+        ).groupBy("a", "b").agg(F.min("r").alias("r"), F.first("na").alias("n1"), F.first("nb").alias("n2")), "jaccard-open-pairs")
+        side = lambda tag: star.select(
+            F.col("a").alias(f"a{tag}"), F.col("r").alias(f"r{tag}"), F.col("far").alias(f"far{tag}"))
+        derived = side(1).join(sized_side(open_pairs, F.lit(40)), (F.col("a") == F.col("a1")) & (F.col("r") == F.col("r1")))
+        derived = materialise(derived.select("a", "b", "r", "n1", "n2", "far1"), "jaccard-derived")
+        derived = side(2).join(
+            sized_side(derived, F.size("far1") * 8 + 48), (F.col("b") == F.col("a2")) & (F.col("r") == F.col("r2")))
+        apart = F.size("far1") + F.size("far2") - 2 * F.size(F.array_intersect("far1", "far2"))
+        more = derived.where(self._near(apart, F.col("n1") + F.col("n2"))).select("a", "b")
+        return materialise(links.unionByName(more), "jaccard-links")
 
     def components(self) -> DataFrame:
         """One row per input row: the id, ``n_shingles``, ``component_id``."""
