@@ -11,20 +11,20 @@ from parasift.sources.tables import read_table
 from conftest import SF0001
 
 DOC = {
-    "schema_version": "1.0.0", "doc_id": "d1", "url": "https://example.com/x", "title": "Example",
+    "schema_version": "1.0.0", "doc_id": "d1", "url": "https://docs.example.org/notes", "title": "Example",
     "lang": "en", "fetched_at": "2024-01-01T00:00:00Z",
     "segments": [
-        {"segment_id": "seg-1", "text": "Cats sleep a lot during the day.", "path": "body > p:nth-child(1)", "position": 0},
-        {"segment_id": "seg-2", "text": "Dogs like long walks in the park.", "path": "p[1]", "position": 1},
-        {"segment_id": "seg-3", "text": "Cats and dogs can live together.", "path": "p[2]", "position": 2},
+        {"segment_id": "para-a", "text": "Cats sleep a lot during the day.", "path": "p[1]", "position": 0},
+        {"segment_id": "para-b", "text": "Dogs like long walks in the park.", "path": "p[1]", "position": 1},
+        {"segment_id": "para-c", "text": "Cats and dogs can live together.", "path": "p[2]", "position": 2},
     ],
     "hints": None,
 }
 ANALYSIS = {
     "doc_id": "d1", "model_fingerprint": "m@1",
     "top_segments": [
-        {"segment_id": "seg-1", "score_representative": 0.9, "score_diversity": 0.1, "reason": "highly central"},
-        {"segment_id": "seg-3", "score_representative": 0.8, "score_diversity": 0.2, "reason": "diversity pick"},
+        {"segment_id": "para-a", "score_representative": 0.9, "score_diversity": 0.1, "reason": "highly central"},
+        {"segment_id": "para-c", "score_representative": 0.8, "score_diversity": 0.2, "reason": "diversity pick"},
     ],
     "metrics": {"num_segments": 3, "top_n": 2, "mmr_lambda": 0.5, "avg_pairwise_cosine": 0.4},
 }
@@ -117,5 +117,5 @@ def test_summarize_reports_doc_id_mismatch(spark):
     assert [r.doc_id for r in mism.collect()] == ["zz"]
     s = summ.collect()
     assert [r.doc_id for r in s] == ["d1"]
-    # picks seg-1 then seg-3, no chat answer -> extractive fallback over both, in pick order
+    # picks para-a then para-c, no chat answer -> extractive fallback over both, in pick order
     assert s[0].summary_text == DOC["segments"][0]["text"] + " " + DOC["segments"][2]["text"]

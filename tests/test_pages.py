@@ -71,14 +71,14 @@ def test_page_without_paragraphs_gives_empty_document(spark):
 
 
 def test_simple_page_like_fixture(spark):
-    html = ("<!DOCTYPE html><html><head><title>Test Document</title></head><body>"
-            "<h1>Main Heading</h1><p>First paragraph of the test.</p><p>Second paragraph of the test.</p>"
+    html = ("<!DOCTYPE html><html><head><title>Harbour notes</title></head><body>"
+            "<h1>Tides today</h1><p>First paragraph of the test.</p><p>Second paragraph of the test.</p>"
             "<p>Third paragraph of the test.</p><p>Fourth paragraph of the test.</p></body></html>")
     df = spark.createDataFrame([(0, "https://e.org/t", html)], "page_id long, url string, html string")
     ex = extract_pages(df, keep=["page_id", "url"])
     docs = build_documents(ex, url="url", title="title", text="text_content", keys=["page_id"]).first()
     r = ex.first()
-    assert r.title == "Test Document" and r.headings == ["Main Heading"] and r.links == []
+    assert r.title == "Harbour notes" and r.headings == ["Tides today"] and r.links == []
     assert [s.position for s in docs.segments] == [0, 1, 2, 3]
     assert [s.path for s in docs.segments] == ["p[0]", "p[1]", "p[2]", "p[3]"]
 

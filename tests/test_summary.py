@@ -66,10 +66,10 @@ def test_cut_results_are_at_most_200_bytes(spark):
 
 
 def test_bullet_parsing(spark):
-    rows = [("Summary here.\n\n- Point 1\n- Point 2",), ("head\n- a\n* b\nplain",), ("* only\n* stars",), ("no list",)]
+    rows = [("The gist.\n\n- first idea\n- second idea",), ("head\n- a\n* b\nplain",), ("* only\n* stars",), ("no list",)]
     df = spark.createDataFrame(rows, "c string").select(split_answer(F.col("c"), "abstract_with_bullets").alias("p"))
     got = [(r.p.summary_text, r.p.bullets) for r in df.collect()]
-    assert got[0] == ("Summary here.", ["Point 1", "Point 2"])
+    assert got[0] == ("The gist.", ["first idea", "second idea"])
     assert got[1] == ("head", ["a", "b"])
     assert got[2] == ("* only\n* stars", None)
     assert got[3] == ("no list", None)
