@@ -2,7 +2,8 @@
 
 A small network predicts every word from both sides: position-specific vectors of
 the two words before and the two after are added, pass a tanh layer and a
-softmax over the word classes.  A document's score is the sum over all its words
+two-level softmax: the group of the word's class, then the class in its group, so a
+word costs 2 x 32 outputs, not 1,024.  A document's score is the sum over all its words
 of the log-probability of the word given its neighbours.
 
 Classes: the words that occur most in the whole corpus (all documents are
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 from .common import materialise
 from .hashing import Words, mix, utf8_parts
 
-CLASSES, RARE, HIDDEN = 512, 32, 24
+GROUPS, MEMBERS, RARE, HIDDEN = 32, 32, 64, 24
+CLASSES = GROUPS * MEMBERS  # class c is member c // GROUPS of group c % GROUPS
 SIDES = (-2, -1, 1, 2)
 ROUNDS, TRAIN_ONE_IN, BATCH, RATE = 2, 4, 1024, 0.15
 COUNT_BLOCK = 1 << 21
@@ -82,22 +84,26 @@ class Network:
     known: np.ndarray
     inside: np.ndarray  # sides x (classes + border) x hidden
     bias: np.ndarray
-    outside: np.ndarray  # hidden x classes
-    prior: np.ndarray
+    group: np.ndarray  # hidden x groups
+    group_prior: np.ndarray
+    member: np.ndarray  # groups x hidden x members
+    member_prior: np.ndarray  # groups x members
 
     @staticmethod
     def fresh(words: list[int], counts: list[int], total: int) -> Network:
         draw = np.random.default_rng(5)
-        known = np.array(words, np.int64).view(np.uint64)
-        share = np.full(CLASSES, max(1, total - sum(counts)) / RARE, np.float32)
+        share = np.full(CLASSES, max(1, total - sum(counts)) / RARE)
         share[: len(counts)] = counts
         share[len(counts) : CLASSES - RARE] = 1e-3
-        return Network(
-            known, draw.normal(0, 0.1, (len(SIDES), CLASSES + 1, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32),
-            draw.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), np.log(share / share.sum()).astype(np.float32))
+        share = (share / share.sum()).reshape(MEMBERS, GROUPS).T
+        weights = [draw.normal(0, 0.1, shape) for shape in (
+            (len(SIDES), CLASSES + 1, HIDDEN), (HIDDEN, GROUPS), (GROUPS, HIDDEN, MEMBERS))]
+        arrays = (weights[0], np.zeros(HIDDEN), weights[1], np.log(share.sum(axis=1)), weights[2],
+                  np.log(share / share.sum(axis=1, keepdims=True)))
+        return Network(np.array(words, np.int64).view(np.uint64), *(x.astype(np.float32) for x in arrays))
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.inside, self.bias, self.outside, self.prior]
+        return [self.inside, self.bias, self.group, self.group_prior, self.member, self.member_prior]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parameters()])
@@ -134,30 +140,52 @@ class Network:
         """Log-probability of each target given the classes around it."""
         out = np.empty(len(target), np.float64)
         for a in range(0, len(target), 8192):
-            logits = self.hidden(around[a : a + 8192]) @ self.outside + self.prior
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(logits)), target[a : a + 8192]]
-            out[a : a + 8192] = own - np.log(np.exp(logits, out=logits).sum(axis=1))
+            hidden, own = self.hidden(around[a : a + 8192]), target[a : a + 8192]
+            part = _log_softmax(hidden @ self.group + self.group_prior)[np.arange(len(own)), own % GROUPS]
+            for g, rows in _by_group(own):
+                low = _log_softmax(hidden[rows] @ self.member[g] + self.member_prior[g])
+                part[rows] += low[np.arange(len(rows)), own[rows] // GROUPS]
+            out[a : a + 8192] = part
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, seen: list[np.ndarray]) -> None:
         """One Adagrad step; ``seen`` holds the squared gradients so far."""
-        hidden = self.hidden(around)
-        logits = hidden @ self.outside + self.prior
-        logits -= logits.max(axis=1, keepdims=True)
-        error = np.exp(logits)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(len(target)), target] -= 1
-        error /= len(target)
-        back = (error @ self.outside.T) * (1 - hidden * hidden)
+        hidden, every, n = self.hidden(around), np.arange(len(target)), len(target)
+        error = np.exp(_log_softmax(hidden @ self.group + self.group_prior))
+        error[every, target % GROUPS] -= 1
+        error /= n
+        back = error @ self.group.T
+        member, member_prior = np.zeros_like(self.member), np.zeros_like(self.member_prior)
+        for g, rows in _by_group(target):
+            low = np.exp(_log_softmax(hidden[rows] @ self.member[g] + self.member_prior[g]))
+            low[np.arange(len(rows)), target[rows] // GROUPS] -= 1
+            low /= n
+            member[g], member_prior[g] = hidden[rows].T @ low, low.sum(axis=0)
+            back[rows] += low @ self.member[g].T
+        back *= 1 - hidden * hidden
         inside = np.zeros_like(self.inside)
         for k in range(len(SIDES)):
             np.add.at(inside[k], around[:, k], back)
-        for p, g, s in zip(self.parameters(), (inside, back.sum(axis=0), hidden.T @ error, error.sum(axis=0)), seen, strict=True):
+        steps = (inside, back.sum(axis=0), hidden.T @ error, error.sum(axis=0), member, member_prior)
+        for p, g, s in zip(self.parameters(), steps, seen, strict=True):
             s += g * g
             p -= RATE * g / np.sqrt(s + 1e-8)
 
 
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+
+def _by_group(target: np.ndarray):
+    """Rows of the targets of each group that occurs."""
+    group = target % GROUPS
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=GROUPS))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(group[order[a]]), order[a:b]
+
+
 def _laid_out(words: Words, tails: np.ndarray, offsets: np.ndarray, classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes around each word, its own class, and each text's first word;
     texts are separated by borders."""
