@@ -1,42 +1,41 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are split into words by the tokenizer's pattern; every distinct word is
-encoded once: higher-order functions fold ranked merges over its bytes, looking
+Texts are split into words by the tokenizer's pattern and distinct words are
+encoded: higher-order functions fold ranked merges over a word's bytes, looking
 ranks up in a literal map (buckets of a few entries, found by CRC-32, because a
 lookup in one big map literal scans it).  A byte is carried as the code point of
 the same value, so pieces are strings, pieces concatenate with ``concat`` and
 ``decode`` puts the binary pieces together again.
 
-Documents are dealt into chunks of about ``CHUNK_BYTES`` by a hash.  A chunk's
-distinct words meet their ids by a join on the word, and a chunk's documents
-meet the chunk's words in one group, whose size is bounded by the chunk: the
-table of all distinct words is never broadcast and word occurrences never cross
-a shuffle.
+Words are counted over all documents.  Those that occur most (``TABLE_WORDS`` at
+most, of at most ``TABLE_WORD_BYTES`` bytes: a proven bound) are folded once and
+their ids sent to all tasks.  Every other word is folded where it occurs, once for
+each document that has it.  So the only shuffle is that of the word counts;
+neither texts nor word occurrences move.
 
-The result equals the reference library's ordinary encoding (no special tokens)
+The result equals the tokenizer library's ordinary encoding (no special tokens)
 for the same ranks and pattern.  Edge cases: null text counts as empty and has
-no tokens; a text longer than a chunk makes its chunk larger; repeated rows and
-null ids are encoded one by one; columns other than the id pass through
-``encode(keep=...)``; an empty table gives no rows.
+no tokens; repeated rows and null ids are encoded one by one; columns other than
+the text pass through (``keep``); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, text_or_empty
 
-CHUNK_BYTES, RANK_BUCKETS = 8 << 20, 1 << 14
+TABLE_WORDS, TABLE_WORD_BYTES, RANK_BUCKETS = 1 << 20, 32, 1 << 14
 ABSENT = 2**31 - 1
 
 
@@ -59,9 +58,12 @@ class Codec:
             pieces[rank] = s
         self._buckets, self._pieces = json.dumps(buckets), json.dumps(pieces)
 
-    def rank(self, piece: Column) -> Column:
-        literal = F.from_json(F.lit(self._buckets), "array<map<string,int>>")
-        bucket = F.get(literal, (F.crc32(piece.cast("binary")) % RANK_BUCKETS).cast("int"))
+    def _literal(self) -> Column:
+        return F.from_json(F.lit(self._buckets), "array<map<string,int>>")
+
+    @staticmethod
+    def _rank(buckets: Column, piece: Column) -> Column:
+        bucket = F.get(buckets, (F.crc32(piece.cast("binary")) % RANK_BUCKETS).cast("int"))
         return F.coalesce(F.try_element_at(bucket, piece), F.lit(ABSENT))
 
     def words(self, text: Column) -> Column:
@@ -70,11 +72,16 @@ class Codec:
     def word_ids(self, word: Column) -> Column:
         """Ids of one word: a word of the vocabulary at once, any other by
         merging the adjacent pair of lowest rank, leftmost first, until no
-        pair is in the vocabulary."""
+        pair is in the vocabulary.  The literal stands in the plan once, bound
+        to a lambda's variable."""
+        return F.transform(F.array(self._literal()), lambda buckets: self._folded(word, buckets))[0]
+
+    def _folded(self, word: Column, buckets: Column) -> Column:
+        rank = lambda piece: self._rank(buckets, piece)
         whole = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
         one = F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0))
         pair_ranks = lambda p: F.zip_with(
-            F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: self.rank(F.concat(a, b)))
+            F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: rank(F.concat(a, b)))
         start = F.transform(F.array(one), lambda p: F.struct(p.alias("p"), pair_ranks(p).alias("r")))[0]
 
         def merge(state, _):
@@ -82,9 +89,8 @@ class Codec:
 
             def at(i):  # i: 1-based place of the pair to merge; its neighbours get new ranks
                 new = F.concat(F.get(p, i - 1), F.get(p, i))
-                left = F.when(i > 1, F.array(self.rank(F.concat(F.get(p, i - 2), new)))).otherwise(
-                    F.array().cast("array<int>"))
-                right = F.when(i < F.size(r), F.array(self.rank(F.concat(new, F.get(p, i + 1))))).otherwise(
+                left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(F.array().cast("array<int>"))
+                right = F.when(i < F.size(r), F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(
                     F.array().cast("array<int>"))
                 return F.struct(
                     F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
@@ -98,8 +104,8 @@ class Codec:
 
         steps = F.when(F.char_length(whole) > 1, F.sequence(F.lit(1), F.char_length(whole) - 1)).otherwise(
             F.array().cast("array<int>"))
-        merged = F.transform(F.aggregate(steps, start, merge)["p"], self.rank)
-        return F.when(self.rank(whole) < ABSENT, F.array(self.rank(whole))).otherwise(merged)
+        merged = F.transform(F.aggregate(steps, start, merge)["p"], rank)
+        return F.transform(F.array(rank(whole)), lambda known: F.when(known < ABSENT, F.array(known)).otherwise(merged))[0]
 
     def decode(self, ids: Column) -> Column:
         """Bytes of the pieces of ``ids``, one after the other."""
@@ -112,41 +118,126 @@ def vocabulary(words: DataFrame, codec: Codec) -> DataFrame:
     return words.select("word").distinct().select("word", codec.word_ids(F.col("word")).alias("ids"))
 
 
+def common_words(counts: DataFrame, most: int = TABLE_WORDS) -> DataFrame:
+    """Words of ``counts`` (word, n) with a count so high that no more than
+    ``most`` words reach it."""
+    short = counts.where(F.octet_length("word") <= TABLE_WORD_BYTES)
+    by_count = short.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    reach = by_count.select("n", F.sum("words").over(W.orderBy(F.desc("n"))).alias("words"))
+    least = reach.where(F.col("words") <= most).agg(F.min("n")).first()[0]
+    return short.where(F.col("n") >= least).select("word") if least is not None else short.where("false").select("word")
+
+
 def encode(docs: DataFrame, codec: Codec, text_col: str = "text", keep: list[str] | None = None,
-           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+           table_words: int = TABLE_WORDS) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep`` (all but the text by
     default) and ``ids`` (array of int)."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    kept = F.struct(*[docs[c] for c in keep]) if keep else F.struct(F.lit(1).alias("_"))
-    text = text_or_empty(docs[text_col])
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes))
-    rows = docs.select(
-        kept.alias("_kept"), text.alias("_text"), F.pmod(F.xxhash64(kept, text), F.lit(chunks)).cast("int").alias("_chunk"),
-    ).repartition(chunks, "_chunk").select("_chunk", "_kept", codec.words(F.col("_text")).alias("_words"))
-    used = materialise(rows.select("_chunk", F.explode("_words").alias("word")).distinct(), "bpe-words")
-    known = materialise(vocabulary(used, codec), "bpe-vocabulary")
-    lists = used.join(known.hint("merge"), "word").select("_chunk", "word", "ids")
-    out = T.StructType([T.StructField("_kept", rows.schema["_kept"].dataType),
-                        T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    done = rows.groupBy("_chunk").cogroup(lists.groupBy("_chunk")).applyInArrow(_look_up, out)
-    return done.select(*([f"_kept.{c}" for c in keep] if keep else []), "ids")
-
-
-def _look_up(docs: pa.Table, lists: pa.Table) -> pa.Table:
-    """Ids of a chunk's documents: place of each word in the chunk's list, then
-    the ids of these places one after the other."""
-    kept, words = docs.column("_kept").combine_chunks(), docs.column("_words").combine_chunks()
-    table, ids = lists.column("word").combine_chunks(), lists.column("ids").combine_chunks()
-    place = pc.index_in(words.flatten(), value_set=table).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.asarray(ids.offsets, dtype=np.int64)
-    flat = np.asarray(ids.values, dtype=np.int32)
-    size = (start[1:] - start[:-1])[place] if len(place) else np.zeros(0, np.int64)
-    upto = np.concatenate([[0], np.cumsum(size)])
-    if len(place):
-        take = np.repeat(start[place] - upto[:-1], size) + np.arange(upto[-1])
-        values = flat[take]
-    else:
-        values = np.zeros(0, np.int32)
-    bounds = upto[np.asarray(words.offsets, dtype=np.int64) - words.offsets[0].as_py()].astype(np.int32)
-    return pa.table({"_kept": kept, "ids": pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))})
+    kept = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*kept, codec.words(text_or_empty(docs[text_col])).alias("words"))
+    counts = materialise(
+        rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
+    table = materialise(vocabulary(common_words(counts, table_words), codec), "bpe-table").toArrow()
+    send = docs.sparkSession.sparkContext.broadcast
+    known = send(_packed(table.column("word").combine_chunks().cast(pa.string())))
+    ids = send(_packed(table.column("ids").combine_chunks().cast(pa.list_(pa.int32()))))
+    del table
+    names = [f"k{i}" for i in range(len(keep))]
+    same = [rows.schema[n] for n in names]
+    coded = rows.mapInArrow(
+        _coder(known, len(keep)),
+        T.StructType(list(same)).add("codes", T.ArrayType(T.IntegerType())).add("rare", T.ArrayType(T.StringType())))
+    folded = coded.select(*names, "codes", F.transform("rare", codec.word_ids).alias("rare_ids"))
+    out = folded.mapInArrow(_joiner(ids, len(keep)), T.StructType(list(same)).add("ids", T.ArrayType(T.IntegerType())))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids")
+
+
+def _packed(column: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("c", column.type)])) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([column], names=["c"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column("c").combine_chunks()
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Offsets from 0 and values of a list column that may be a slice."""
+    offsets = np.asarray(column.offsets, dtype=np.int64)
+    return offsets - offsets[0], column.flatten()
+
+
+def _slices(bounds: np.ndarray, limit: int = 1 << 18):
+    """Runs of rows with about ``limit`` list elements, one row at least."""
+    row, n = 0, len(bounds) - 1
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + limit, "right")) - 1)
+        yield row, stop
+        row = stop
+
+
+def _coder(known, n: int):
+    """Words to codes: place in the table, or -1 - (place among the document's
+    rare words)."""
+
+    def run(batches):
+        table = _unpacked(known.value)
+        for batch in batches:
+            bounds, flat = _lists(batch.column("words"))
+            coded = flat.dictionary_encode()
+            distinct, index = coded.dictionary, np.asarray(coded.indices)
+            place = pc.fill_null(pc.index_in(distinct, value_set=table), -1).to_numpy(zero_copy_only=False)
+            many = max(1, len(distinct))
+            for a, b in _slices(bounds):
+                ends = bounds[a : b + 1] - bounds[a]
+                own = index[bounds[a] : bounds[b]]
+                codes = place[own] if len(own) else np.zeros(0, np.int32)
+                at = np.flatnonzero(codes < 0)
+                doc = np.searchsorted(ends, at, "right") - 1
+                pairs, back = np.unique(doc * many + own[at], return_inverse=True)
+                first = np.searchsorted(pairs // many, np.arange(b - a + 1))
+                codes[at] = -1 - (back - first[doc])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, b - a) for i in range(n)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32())),
+                     pa.ListArray.from_arrays(pa.array(first, pa.int32()), distinct.take(pa.array(pairs % many)))],
+                    names=[*(f"k{i}" for i in range(n)), "codes", "rare"])
+
+    return run
+
+
+def _joiner(ids, n: int):
+    """Codes to ids, one after the other."""
+
+    def run(batches):
+        table_at, table = _lists(_unpacked(ids.value))
+        table = table.to_numpy(zero_copy_only=False)
+        table_size = np.diff(table_at)
+        for batch in batches:
+            bounds, _ = _lists(batch.column("codes"))
+            for a, b in _slices(bounds):
+                part = batch.slice(a, b - a)
+                ends, codes = _lists(part.column("codes"))
+                codes = codes.to_numpy(zero_copy_only=False).astype(np.int64)
+                first, rare = _lists(part.column("rare_ids"))
+                rare_at, rare = _lists(rare)
+                doc = np.repeat(np.arange(b - a), np.diff(ends))
+                is_rare = codes < 0
+                slot = np.where(is_rare, first[doc] - 1 - codes, codes)
+                size, begin = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
+                for mine, sizes, starts, base in ((~is_rare, table_size, table_at, 0), (is_rare, np.diff(rare_at), rare_at, len(table))):
+                    size[mine], begin[mine] = sizes[slot[mine]], starts[slot[mine]] + base
+                upto = np.concatenate([[0], np.cumsum(size)])
+                take = np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])
+                from_rare = take >= len(table)
+                flat = np.empty(len(take), np.int32)
+                flat[~from_rare] = table[take[~from_rare]]
+                flat[from_rare] = rare.to_numpy(zero_copy_only=False)[take[from_rare] - len(table)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(n)),
+                     pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(flat))],
+                    names=[*(f"k{i}" for i in range(n)), "ids"])
+
+    return run
