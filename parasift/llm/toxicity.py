@@ -41,9 +41,11 @@ from .hashing import _BYTE, _P, _P_INV, _powers, mix
 SAMPLE = {1: 2000, 0: 4000}
 SAMPLE_BYTES = 1 << 16
 WINDOW_WORDS = 16
-PLACES, CODE_BYTES, WORD_BYTES = (4, 6, 8, 10), 4, 6
+PLACES, CODE_BYTES, WORD_BYTES = (4, 6, 8, 10), 6, 6
 #: Zeros before each window: it is then always stored compressed, so its length shows every match.
 PADDING = bytes(48)
+#: The last bytes of a dictionary are never the start of a match.
+DICTIONARY_END = b"\xff" * 16
 FOLD_RATIO, SIGNIFICANCE, LEAST_DOCS = 15.0, 0.01, 3
 THRESHOLD, MARGINS = 0.7, range(2, 15)
 _WORD_BYTES_ONLY = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
@@ -89,7 +91,7 @@ def segment_codes(segments: list[bytes]) -> bytes:
             out += code[-WORD_BYTES - CODE_BYTES:] if len(begin) > 2 else code
         else:
             out += begin if len(begin) == 2 + CODE_BYTES else begin[-2 * CODE_BYTES:]
-    return out
+    return out + DICTIONARY_END if out else out
 
 
 @dataclass(frozen=True)
@@ -187,7 +189,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         hits = sum(y for m, y in seen if m >= least)
         return 2 * hits / max(1, sum(m >= least for m, _ in seen) + sum(y for _, y in seen))
 
-    best = max(MARGINS, key=lambda m: (f1(m), m)) if any(y for _, y in seen) else MARGINS[1]
+    best = max(MARGINS, key=lambda m: (f1(m), -m)) if any(y for _, y in seen) else MARGINS[1]
     return Model(model.toxic, model.ordinary, best, model.segments)
 
 
