@@ -92,7 +92,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 size, cid, keys, bounds = [], [], [], [0]
                 for tokens in shingle_sets(raw, offsets, words):
                     size.append(len(tokens))
-                    cid.append(np.uint64(xxhash.xxh64_intdigest(tokens)).astype(np.int64))
+                    cid.append(content_id(tokens))
                     keys.append(block_keys(tokens, percent) if len(tokens) else np.zeros(0, np.int64))
                     bounds.append(bounds[-1] + len(keys[-1]))
                 yield pa.RecordBatch.from_arrays(
@@ -103,38 +103,48 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {schema}, n long, cid long, keys array<long>")
 
 
+def content_id(tokens: np.ndarray) -> np.int64:
+    return np.uint64(xxhash.xxh64_intdigest(tokens)).astype(np.int64)
+
+
 def _tokens(docs: DataFrame, words: int) -> DataFrame:
-    """``cid, _other`` and the set as bytes, for rows ``_text`` with them."""
+    """``cid`` and the set as bytes of rows ``cid, _text``; a text of other
+    content (ids may repeat) has no row."""
 
     def run(batches):
         for batch in batches:
             for row, raw, offsets in utf8_parts(batch.column("_text")):
-                sets = [t.tobytes() for t in shingle_sets(raw, offsets, words)]
+                cids = batch.column("cid").slice(row, len(offsets) - 1).to_pylist()
+                sets = [(c, t.tobytes()) for c, t in zip(cids, shingle_sets(raw, offsets, words), strict=True) if content_id(t) == c]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("cid").slice(row, len(sets)), pa.array(sets, pa.binary())], names=["cid", "tokens"])
+                    [pa.array([c for c, _ in sets], pa.int64()), pa.array([t for _, t in sets], pa.binary())], names=["cid", "tokens"])
 
     return docs.mapInArrow(run, "cid long, tokens binary")
 
 
 def _differences(pairs: DataFrame, words: int) -> DataFrame:
-    """``a, r, far`` (the elements that one of both sets has) of rows ``a,
-    _text`` (of a), ``r, tokens`` (of r)."""
+    """``a, r, na, nr`` (set sizes) and ``far`` (the elements that one of both
+    sets has) of rows ``a, _text`` (of a), ``r, tokens`` (of r); a text of
+    other content than a (ids may repeat) has no row."""
 
     def run(batches):
         for batch in batches:
             other = batch.column("tokens")
             for row, raw, offsets in utf8_parts(batch.column("_text")):
-                far = [
-                    np.setxor1d(t, np.frombuffer(other[row + i].as_buffer(), np.uint64), assume_unique=True).view(np.int64)
-                    for i, t in enumerate(shingle_sets(raw, offsets, words))
-                ]
-                ends = np.cumsum([0, *map(len, far)])
+                a = batch.column("a").slice(row, len(offsets) - 1).to_pylist()
+                r = batch.column("r").slice(row, len(offsets) - 1).to_pylist()
+                out = []
+                for i, t in enumerate(shingle_sets(raw, offsets, words)):
+                    if content_id(t) == a[i]:
+                        rep = np.frombuffer(other[row + i].as_buffer(), np.uint64)
+                        out.append((a[i], r[i], len(t), len(rep), np.setxor1d(t, rep, assume_unique=True).view(np.int64)))
+                ends = np.cumsum([0, *(len(x[4]) for x in out)])
+                far = np.concatenate([x[4] for x in out]) if out else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("a").slice(row, len(far)), batch.column("r").slice(row, len(far)),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(far)))],
-                    names=["a", "r", "far"])
+                    [*(pa.array([x[k] for x in out], pa.int64()) for k in range(4)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(far))], names=["a", "r", "na", "nr", "far"])
 
-    return pairs.mapInArrow(run, "a long, r long, far array<long>")
+    return pairs.mapInArrow(run, "a long, r long, na long, nr long, far array<long>")
 
 
 class JaccardJoin:
@@ -142,6 +152,8 @@ class JaccardJoin:
         self.words, self.percent, self.id_col = words, percent, id_col
         self.texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
         self.sets = materialise(_sets(self.texts, words, percent), "jaccard-sets")
+        #: Whether some id occurs twice: then a class may have several texts.
+        self.repeated = self.sets.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count() > 0
         #: One row per distinct non-empty set: its content id, size, an input id that has it.
         self.classes = materialise(
             self.sets.where("n > 0 AND id IS NOT NULL").groupBy("cid", "n").agg(F.min("id").alias("rep")), "jaccard-classes")
@@ -170,12 +182,8 @@ class JaccardJoin:
             pairs.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("_id")), "a"), "jaccard-members")
         a_text = text.join(sized_side(members, F.lit(24)), "_id").select("a", "r", "_text")
         full = a_text.join(sized_side(r_sets.select(F.col("cid").alias("r"), "tokens"), F.octet_length("tokens") + 8), "r")
-        size = classes.select("cid", "n")
-        return (
-            _differences(full, self.words).dropDuplicates(["a", "r"])
-            .join(size.withColumnsRenamed({"cid": "a", "n": "na"}), "a")
-            .join(size.withColumnsRenamed({"cid": "r", "n": "nr"}), "r")
-        )
+        found = _differences(full, self.words)
+        return found.dropDuplicates(["a", "r"]) if self.repeated else found
 
     def _near(self, far: Column, n: Column) -> Column:
         """Whether sets that differ in ``far`` elements and have ``n`` together link."""

@@ -100,3 +100,11 @@ def test_query_against_brute_force(spark, sf_dir, duck):
     want = brute(duck.sql("SELECT doc_id, text FROM documents").fetchall(), 3, 90)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op5_ngram_jaccard_join(spark, sf_dir).collect()}
     assert got == want
+
+
+def test_one_id_with_several_texts(make_docs):
+    base = " ".join(f"w{i}" for i in range(120))
+    near = base.replace("w60 ", "x ")
+    rows = [(1, "other words of no relation at all"), (1, base), (1, base), (2, near), (3, base + " tail")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in classes(make_docs(rows), words=3, percent=90).collect())
+    assert got == [(1, 5, 1), (1, 118, 1), (1, 118, 1), (2, 118, 1), (3, 119, 1)]
