@@ -7,8 +7,13 @@ word costs 2 x 32 outputs, not 1,024.  A document's score is the sum over all it
 of the log-probability of the word given its neighbours.
 
 Classes: the words that occur most in the whole corpus (all documents are
-counted), and ``RARE`` classes for all others, by a hash of a word's last two
-bytes.  Training is distributed: in each of ``ROUNDS`` passes every task trains a
+counted) have one each; all others share one in ``SHARED`` of the classes, by a hash of
+their last two bytes.  The classes number twice the square root of the vocabulary,
+``CLASSES`` at least.  A word w of a shared class c has the probability P(c) x n(w) /
+(n(c) + 1) by the counts of all words, a word that the corpus does not have P(c) /
+(n(c) + 1); so the probabilities of all words and of one unknown word per shared
+class add up to 1.  The counts of shared words stay a table and come to the
+documents by a join.  Training is distributed: in each of ``ROUNDS`` passes every task trains a
 copy of the network (numpy, Adagrad) on one in ``TRAIN_ONE_IN`` of the positions of
 its documents, chosen by hash; the copies are averaged per parameter, weighted
 by their positions, in a shuffle whose size follows the corpus.  The driver gets
@@ -16,25 +21,27 @@ the averaged parameters only, which are of fixed size.
 
 Edge cases: null or blank texts have no words, score 0 and mean null; a document
 of one word is predicted from borders only; a corpus without words gives the
-untrained network; rows with equal or null ids are scored one by one; extra
+untrained network and unknown words only; rows with equal or null ids are scored one by one; extra
 columns pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, sized_side
 from .hashing import Words, mix, utf8_parts
 
-GROUPS, MEMBERS, RARE, HIDDEN = 32, 32, 64, 24
-CLASSES = GROUPS * MEMBERS  # class c is member c // GROUPS of group c % GROUPS
+GROUPS, MEMBERS, SHARED, HIDDEN = 32, 32, 16, 24
+CLASSES = GROUPS * MEMBERS  # class c is member c // groups of group c % groups
 SIDES = (-2, -1, 1, 2)
 ROUNDS, TRAIN_ONE_IN, BATCH, RATE = 2, 4, 1024, 0.15
 COUNT_BLOCK = 1 << 21
@@ -43,30 +50,34 @@ _SLOTS = 1 << 20
 
 
 def _words(raw: np.ndarray) -> tuple[Words, np.ndarray]:
-    """Words of a part and the hash of each one's last two bytes."""
+    """Words of a part and each one's last two bytes as a number."""
     folded = _FOLD[raw]
     words = Words(folded)
     tail = folded[words.end - 1].astype(np.uint64) if len(words.end) else np.zeros(0, np.uint64)
     before = np.maximum(words.end - 2, words.start)
-    return words, mix(tail * np.uint64(256) + folded[before].astype(np.uint64) if len(words.end) else tail)
+    return words, tail * np.uint64(256) + folded[before] if len(words.end) else tail
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word`` (hash), ``n`` over all documents."""
+    """``word`` (hash), ``n`` over all documents, ``tail`` (last two bytes)."""
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            word, n = np.unique(np.concatenate(held), return_counts=True)
+            words, tails = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, first, n = np.unique(words, return_index=True, return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(word.view(np.int64)), pa.array(n, pa.int64()), pa.array(tails[first].astype(np.int32))],
+                names=["word", "n", "tail"])
 
         for batch in batches:
             for _, raw, _ in utf8_parts(batch.column(0)):
-                held.append(_words(raw)[0].hash)
-                size += len(held[-1])
+                words, tails = _words(raw)
+                held.append((words.hash, tails.astype(np.uint16)))
+                size += len(words.hash)
                 if size >= COUNT_BLOCK:
                     yield flush()
                     size = 0
@@ -74,14 +85,27 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield flush()
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word long, n long, tail int").groupBy("word").agg(
+        F.sum("n").alias("n"), F.min("tail").alias("tail"))
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(44)
+
+
+def _shared_class(tails: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` shared classes a word of that tail belongs to."""
+    return (mix(tails.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
 @dataclass
 class Network:
-    """``known``: hashes of the classes' words.  Class ``CLASSES`` is the border."""
+    """``known``: hashes of the words with a class of their own; ``shared``:
+    occurrences in each of the shared classes, which are the last ones.  The
+    class after the last is the border."""
 
     known: np.ndarray
+    shared: np.ndarray
     inside: np.ndarray  # sides x (classes + border) x hidden
     bias: np.ndarray
     group: np.ndarray  # hidden x groups
@@ -90,17 +114,29 @@ class Network:
     member_prior: np.ndarray  # groups x members
 
     @staticmethod
-    def fresh(words: list[int], counts: list[int], total: int) -> Network:
+    def fresh(words: list[int], counts: list[int], total: int, side: int = GROUPS, shared: np.ndarray | None = None) -> Network:
+        """``side`` groups of as many members; ``shared`` is by default what
+        ``total`` leaves, spread evenly."""
         draw = np.random.default_rng(5)
-        share = np.full(CLASSES, max(1, total - sum(counts)) / RARE)
+        classes, n = side * side, side * side // SHARED
+        shared = np.full(n, max(0, total - sum(counts)) / n) if shared is None else shared
+        share = np.full(classes, 1e-3)
         share[: len(counts)] = counts
-        share[len(counts) : CLASSES - RARE] = 1e-3
-        share = (share / share.sum()).reshape(MEMBERS, GROUPS).T
+        share[classes - n :] = shared + 1
+        share = (share / share.sum()).reshape(side, side).T
         weights = [draw.normal(0, 0.1, shape) for shape in (
-            (len(SIDES), CLASSES + 1, HIDDEN), (HIDDEN, GROUPS), (GROUPS, HIDDEN, MEMBERS))]
+            (len(SIDES), classes + 1, HIDDEN), (HIDDEN, side), (side, HIDDEN, side))]
         arrays = (weights[0], np.zeros(HIDDEN), weights[1], np.log(share.sum(axis=1)), weights[2],
                   np.log(share / share.sum(axis=1, keepdims=True)))
-        return Network(np.array(words, np.int64).view(np.uint64), *(x.astype(np.float32) for x in arrays))
+        return Network(np.array(words, np.int64).view(np.uint64), np.asarray(shared, np.float64), *(x.astype(np.float32) for x in arrays))
+
+    @property
+    def groups(self) -> int:
+        return len(self.group_prior)
+
+    @property
+    def classes(self) -> int:
+        return self.member_prior.size
 
     def parameters(self) -> list[np.ndarray]:
         return [self.inside, self.bias, self.group, self.group_prior, self.member, self.member_prior]
@@ -113,17 +149,17 @@ class Network:
         for p in self.parameters():
             out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
             at += p.size
-        return Network(self.known, *out)
+        return Network(self.known, self.shared, *out)
 
     def classifier(self):
         """A function from word hashes and tail hashes to classes."""
         slot = np.full(_SLOTS, -1, np.int32)
-        order = np.arange(len(self.known))[::-1]  # of two words of a slot, the more frequent one
-        slot[self.known[order] >> np.uint64(44)] = order
+        slot[_slot(self.known)] = np.arange(len(self.known))
+        first = self.classes - len(self.shared)
 
         def classes(hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
-            at = slot[hashes >> np.uint64(44)]
-            rare = (CLASSES - RARE + (tails % np.uint64(RARE)).astype(np.int64))
+            at = slot[_slot(hashes)]
+            rare = first + _shared_class(tails, len(self.shared))
             if not len(self.known):
                 return rare
             return np.where((at >= 0) & (self.known[np.maximum(at, 0)] == hashes), at, rare)
@@ -141,10 +177,10 @@ class Network:
         out = np.empty(len(target), np.float64)
         for a in range(0, len(target), 8192):
             hidden, own = self.hidden(around[a : a + 8192]), target[a : a + 8192]
-            part = _log_softmax(hidden @ self.group + self.group_prior)[np.arange(len(own)), own % GROUPS]
-            for g, rows in _by_group(own):
+            part = _log_softmax(hidden @ self.group + self.group_prior)[np.arange(len(own)), own % self.groups]
+            for g, rows in _by_group(own, self.groups):
                 low = _log_softmax(hidden[rows] @ self.member[g] + self.member_prior[g])
-                part[rows] += low[np.arange(len(rows)), own[rows] // GROUPS]
+                part[rows] += low[np.arange(len(rows)), own[rows] // self.groups]
             out[a : a + 8192] = part
         return out
 
@@ -152,13 +188,13 @@ class Network:
         """One Adagrad step; ``seen`` holds the squared gradients so far."""
         hidden, every, n = self.hidden(around), np.arange(len(target)), len(target)
         error = np.exp(_log_softmax(hidden @ self.group + self.group_prior))
-        error[every, target % GROUPS] -= 1
+        error[every, target % self.groups] -= 1
         error /= n
         back = error @ self.group.T
         member, member_prior = np.zeros_like(self.member), np.zeros_like(self.member_prior)
-        for g, rows in _by_group(target):
+        for g, rows in _by_group(target, self.groups):
             low = np.exp(_log_softmax(hidden[rows] @ self.member[g] + self.member_prior[g]))
-            low[np.arange(len(rows)), target[rows] // GROUPS] -= 1
+            low[np.arange(len(rows)), target[rows] // self.groups] -= 1
             low /= n
             member[g], member_prior[g] = hidden[rows].T @ low, low.sum(axis=0)
             back[rows] += low @ self.member[g].T
@@ -177,16 +213,16 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def _by_group(target: np.ndarray):
+def _by_group(target: np.ndarray, groups: int):
     """Rows of the targets of each group that occurs."""
-    group = target % GROUPS
+    group = target % groups
     order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=GROUPS))
+    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=groups))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield int(group[order[a]]), order[a:b]
 
 
-def _laid_out(words: Words, tails: np.ndarray, offsets: np.ndarray, classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _laid_out(words: Words, tails: np.ndarray, offsets: np.ndarray, classes, border: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes around each word, its own class, and each text's first word;
     texts are separated by borders."""
     bounds = np.searchsorted(words.start, offsets)
@@ -194,7 +230,7 @@ def _laid_out(words: Words, tails: np.ndarray, offsets: np.ndarray, classes) ->
     gap = max(SIDES)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     place = np.arange(len(own)) + gap * (text + 1)
-    line = np.full(len(own) + gap * (len(offsets) + 1), CLASSES, np.int64)
+    line = np.full(len(own) + gap * (len(offsets) + 1), border, np.int64)
     line[place] = own
     return np.stack([line[place + k] for k in SIDES], axis=1), own, bounds
 
@@ -212,7 +248,7 @@ def _trained(docs: DataFrame, net: Network, text_col: str, round_no: int) -> Net
                 words, tails = _words(raw)
                 if not len(words.hash):
                     continue
-                around, target, _ = _laid_out(words, tails, offsets, classes)
+                around, target, _ = _laid_out(words, tails, offsets, classes, net.classes)
                 pick = np.flatnonzero(mix(words.hash ^ mix(np.arange(len(target), dtype=np.uint64) + np.uint64(round_no))) % np.uint64(TRAIN_ONE_IN) == 0)
                 pick = np.random.default_rng(round_no).permutation(pick)
                 for a in range(0, len(pick), BATCH):
@@ -233,37 +269,68 @@ def _trained(docs: DataFrame, net: Network, text_col: str, round_no: int) -> Net
     return net.replaced(start)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Network:
-    """Network over all documents of a corpus."""
+@dataclass
+class Model:
+    """``vocabulary``: ``word`` (hash) and ``log_n`` of every word that occurs
+    more than once (for others it is 0)."""
+
+    net: Network
+    vocabulary: DataFrame
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """Network and word counts over all documents of a corpus."""
     counts = materialise(count_words(docs, text_col), "pseudo-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - RARE).collect()
-    net = Network.fresh([r["word"] for r in top], [r["n"] for r in top], total)
+    tails = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()  # 65,536 rows at most
+    total, words = int(tails["n"].sum()), int(tails["words"].sum())
+    side = max(GROUPS, math.ceil(math.sqrt(2 * math.sqrt(words))))
+    n_shared = side * side // SHARED
+    top = counts.orderBy(F.desc("n"), "word").limit(side * side - n_shared).toPandas()
+    # of two words of a slot the more frequent one, the other is a shared word
+    _, first = np.unique(_slot(top["word"].to_numpy(np.int64).view(np.uint64)), return_index=True)
+    top = top.iloc[np.sort(first)]
+    shared = np.zeros(n_shared)
+    np.add.at(shared, _shared_class(tails["tail"].to_numpy(np.int64), n_shared), tails["n"].to_numpy(np.float64))
+    np.add.at(shared, _shared_class(top["tail"].to_numpy(np.int64), n_shared), -top["n"].to_numpy(np.float64))
+    net = Network.fresh(top["word"].tolist(), top["n"].tolist(), total, side, shared)
     for k in range(ROUNDS):
         net = _trained(docs, net, text_col, k)
-    return net
+    return Model(net, counts.where("n > 1").select("word", F.log("n").alias("log_n")))
 
 
-def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_words``, ``pseudo_log_likelihood``
     and ``mean_log_prob`` (null without words)."""
+    net = model.net
     own = ["n_words", "pseudo_log_likelihood", "mean_log_prob"]
     keep = [c for c in docs.columns if c != text_col and c not in own]
-    schema = T.StructType([docs.schema[c] for c in keep]).add(own[0], T.LongType()).add(own[1], T.DoubleType()).add(own[2], T.DoubleType())
+    schema = T.StructType([docs.schema[c] for c in keep]).add("_n_", T.LongType()).add("_sum_", T.DoubleType()).add(
+        "_row_", T.LongType()).add("_shared_", T.ArrayType(T.LongType()))
     source = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text_"))
 
     def run(batches):
-        classes = net.classifier()
+        classes, at = net.classifier(), TaskContext.get().partitionId() << 40
+        first, outside = net.classes - len(net.shared), np.log(net.shared + 1)
         for batch in batches:
             for row, raw, offsets in utf8_parts(batch.column(len(keep))):
                 words, tails = _words(raw)
-                around, target, bounds = _laid_out(words, tails, offsets, classes)
-                sums = np.concatenate([[0.0], np.cumsum(net.log_probs(around, target))])
+                around, target, bounds = _laid_out(words, tails, offsets, classes, net.classes)
+                logs, shared = net.log_probs(around, target), np.flatnonzero(target >= first)
+                logs[shared] -= outside[target[shared] - first]
+                sums = np.concatenate([[0.0], np.cumsum(logs)])
                 n = np.diff(bounds)
-                total = sums[bounds[1:]] - sums[bounds[:-1]]
-                mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(shared, bounds), pa.int32()), pa.array(words.hash[shared].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(row, len(n)) for i in range(len(keep))), pa.array(n, pa.int64()),
-                     pa.array(total), pa.array(mean, mask=n == 0)], names=[*keep, *own])
-
-    return source.mapInArrow(run, schema)
+                     pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), pa.array(at + np.arange(len(n))), lists],
+                    names=[*keep, "_n_", "_sum_", "_row_", "_shared_"])
+                at += len(n)
+
+    scored = materialise(source.mapInArrow(run, schema), "pseudo-scores")
+    side = sized_side(model.vocabulary.select(F.col("word").alias("_word_"), "log_n"), F.lit(16))
+    inside = scored.select("_row_", F.explode("_shared_").alias("_w_")).join(side, F.col("_w_") == F.col("_word_"))
+    inside = inside.groupBy(F.col("_row_").alias("_of_")).agg(F.sum("log_n").alias("_inside_"))
+    total = F.col("_sum_") + F.coalesce("_inside_", F.lit(0.0))
+    return scored.drop("_shared_").join(inside, F.col("_row_") == F.col("_of_"), "left").select(
+        *keep, F.col("_n_").alias(own[0]), total.alias(own[1]), F.when(F.col("_n_") > 0, total / F.col("_n_")).alias(own[2]))

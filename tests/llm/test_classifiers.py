@@ -97,6 +97,23 @@ def test_pseudo_likelihood_is_a_distribution():
     assert abs(total - 1) < 1e-4
 
 
+def test_pseudo_likelihood_tells_words_of_a_shared_class_apart(spark, make_docs):
+    import math
+
+    many = [f"q{i}zz" for i in range(3000)]  # one ending, far more than the classes
+    docs = make_docs([(i, " ".join(many[(i * 75 + k) % 3000] for k in range(300))) for i in range(40)] + [(99, "rarezz " * 3)])
+    model = pseudo.train(docs)
+    assert len(model.net.known) < 3000
+    known = set(model.net.known.tolist())
+    one = {w: int(pseudo._words(pseudo._FOLD[list(w.encode())])[0].hash[0]) for w in [*many, "rarezz", "madeupzz"]}
+    shared = next(w for w in many if one[w] not in known)
+    got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in pseudo.score(make_docs([(1, shared), (2, "rarezz"), (3, "madeupzz"), (4, shared)]), model).collect()}
+    assert one["rarezz"] not in known and got[1] == got[4]
+    assert abs(got[1] - got[3] - math.log(4)) < 1e-6  # every word of many occurs four times
+    assert abs(got[2] - got[3] - math.log(3)) < 1e-6
+    assert model.net.shared.sum() + sum(r["n"] for r in pseudo.count_words(docs).collect() if r["word"] % 2**64 in known) == 12_003
+
+
 def test_query_scores_every_document(spark, sf_dir, duck):
     rows = op10_pseudo_likelihood(spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in duck.sql("SELECT doc_id FROM documents").fetchall())
