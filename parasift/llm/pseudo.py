@@ -14,10 +14,10 @@ their last two bytes.  The classes number twice the square root of the vocabular
 (n(c) + 1); so the probabilities of all words and of one unknown word per shared
 class add up to 1.  The counts of shared words stay a table and come to the
 documents by a join.  Training is distributed: in each of ``ROUNDS`` passes every task trains a
-copy of the network (numpy, Adagrad) on one in ``TRAIN_ONE_IN`` of the positions of
-its documents, chosen by hash; the copies are averaged per parameter, weighted
-by their positions, in a shuffle whose size follows the corpus.  The driver gets
-the averaged parameters only, which are of fixed size.
+copy of the network (numpy, Adagrad) on its documents; every position is a
+target in one pass, chosen by hash, and context in all.  The copies are averaged per
+parameter, weighted by their positions, in a shuffle whose size follows the
+corpus.  The driver gets the averaged parameters only.
 
 Edge cases: null or blank texts have no words, score 0 and mean null; a document
 of one word is predicted from borders only; a corpus without words gives the
@@ -43,7 +43,7 @@ from .hashing import Words, mix, utf8_parts
 GROUPS, MEMBERS, SHARED, HIDDEN = 32, 32, 16, 24
 CLASSES = GROUPS * MEMBERS  # class c is member c // groups of group c % groups
 SIDES = (-2, -1, 1, 2)
-ROUNDS, TRAIN_ONE_IN, BATCH, RATE = 2, 4, 1024, 0.15
+ROUNDS, BATCH, RATE = 2, 1024, 0.15
 COUNT_BLOCK = 1 << 21
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint8)
 _SLOTS = 1 << 20
@@ -199,11 +199,14 @@ class Network:
             member[g], member_prior[g] = hidden[rows].T @ low, low.sum(axis=0)
             back[rows] += low @ self.member[g].T
         back *= 1 - hidden * hidden
-        inside = np.zeros_like(self.inside)
         for k in range(len(SIDES)):
-            np.add.at(inside[k], around[:, k], back)
-        steps = (inside, back.sum(axis=0), hidden.T @ error, error.sum(axis=0), member, member_prior)
-        for p, g, s in zip(self.parameters(), steps, seen, strict=True):
+            order = np.argsort(around[:, k], kind="stable")
+            head = np.flatnonzero(np.diff(around[order, k], prepend=-1))
+            rows, g = around[order[head], k], np.add.reduceat(back[order], head, axis=0)
+            seen[0][k][rows] += g * g
+            self.inside[k][rows] -= RATE * g / np.sqrt(seen[0][k][rows] + 1e-8)
+        steps = (back.sum(axis=0), hidden.T @ error, error.sum(axis=0), member, member_prior)
+        for p, g, s in zip(self.parameters()[1:], steps, seen[1:], strict=True):
             s += g * g
             p -= RATE * g / np.sqrt(s + 1e-8)
 
@@ -235,6 +238,12 @@ def _laid_out(words: Words, tails: np.ndarray, offsets: np.ndarray, classes, bor
     return np.stack([line[place + k] for k in SIDES], axis=1), own, bounds
 
 
+def _rounds(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The pass in which each word is a target, by its hash and its place in its text."""
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return (mix(hashes ^ mix(place.astype(np.uint64))) % np.uint64(ROUNDS)).astype(np.int64)
+
+
 def _trained(docs: DataFrame, net: Network, text_col: str, round_no: int) -> Network:
     """The average of the copies that the tasks train on their documents."""
     start = net.flat()
@@ -248,8 +257,8 @@ def _trained(docs: DataFrame, net: Network, text_col: str, round_no: int) -> Net
                 words, tails = _words(raw)
                 if not len(words.hash):
                     continue
-                around, target, _ = _laid_out(words, tails, offsets, classes, net.classes)
-                pick = np.flatnonzero(mix(words.hash ^ mix(np.arange(len(target), dtype=np.uint64) + np.uint64(round_no))) % np.uint64(TRAIN_ONE_IN) == 0)
+                around, target, bounds = _laid_out(words, tails, offsets, classes, net.classes)
+                pick = np.flatnonzero(_rounds(words.hash, bounds) == round_no)
                 pick = np.random.default_rng(round_no).permutation(pick)
                 for a in range(0, len(pick), BATCH):
                     own.learn(around[pick[a : a + BATCH]], target[pick[a : a + BATCH]], seen)

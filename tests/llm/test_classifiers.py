@@ -114,6 +114,20 @@ def test_pseudo_likelihood_tells_words_of_a_shared_class_apart(spark, make_docs)
     assert model.net.shared.sum() + sum(r["n"] for r in pseudo.count_words(docs).collect() if r["word"] % 2**64 in known) == 12_003
 
 
+def test_pseudo_likelihood_trains_on_every_position():
+    import numpy as np
+
+    hashes = np.random.default_rng(3).integers(0, 2**63, 10_000, dtype=np.uint64)
+    picked = pseudo._rounds(hashes, np.array([0, 4000, 4000, 10_000]))
+    assert sorted(set(picked.tolist())) == list(range(pseudo.ROUNDS)) and len(picked) == len(hashes)
+    assert (pseudo._rounds(hashes[4000:], np.array([0, 6000])) == picked[4000:]).all()  # wherever the text is read
+    net = pseudo.Network.fresh([1, 2, 3], [5, 4, 3], 20)
+    around, target = np.array([[0, 1, pseudo.CLASSES, 2]] * 64), np.ones(64, int)
+    before = net.log_probs(around, target)[0]
+    net.learn(around, target, [np.zeros_like(p) for p in net.parameters()])
+    assert net.log_probs(around, target)[0] > before
+
+
 def test_query_scores_every_document(spark, sf_dir, duck):
     rows = op10_pseudo_likelihood(spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in duck.sql("SELECT doc_id FROM documents").fetchall())
