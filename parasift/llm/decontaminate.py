@@ -11,6 +11,10 @@ their 3 n written symbols agree.  Bit sampling turns each walk into
 ``TABLES`` keys of ``SAMPLES`` positions; a window and an item with a key in
 common are a candidate pair (``WALKS`` x ``TABLES`` chances), and candidates are
 verified by their exact edit distance (the best substring around the window).
+The longer an item, the further the walks drift apart at the same share of edits (one
+sided ones most), so this is for items of up to ``SAMPLED_WORDS`` words.  Of a longer
+one every window that passes the q-gram bound below is verified: that bound, four
+in ten of its 3-grams, leaves few, and none is lost.
 
 Which windows are embedded: every window that can be within the distance.  By
 the q-gram lemma it shares at least ``n + 1 - q - q * edits`` of the item's q-grams
@@ -37,6 +41,7 @@ from .common import materialise, row_key, without_rows
 from .hashing import Words, combine, mix, utf8_parts
 
 PERCENT, WALKS, TABLES, SAMPLES = 80, 8, 15, 3
+SAMPLED_WORDS = 40
 ITEM_BLOCK = 1 << 20
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint8)
 _PAD = np.uint64(0)
@@ -125,7 +130,7 @@ class Items:
                 maybe[gram >> np.uint64(44)] = True
                 self.grams[q] = (gram[head], np.append(head, len(gram)), item[order], place[order], maybe)
         self.keys = {}
-        for n in np.unique(size[size > 0]).tolist():
+        for n in np.unique(size[(size > 0) & (size <= SAMPLED_WORDS)]).tolist():
             own = np.flatnonzero(size == n)
             k = keys(np.stack([self.words[i] for i in own]))
             flat, who = k.ravel(), np.repeat(own, k.shape[1])
@@ -169,8 +174,9 @@ class Items:
         if not len(text):
             return
         start = np.clip(start, bounds[text], bounds[text + 1] - 1)
-        sized = np.unique(np.stack([self.size[item], text, start]), axis=1)
-        pairs = set()
+        long = self.size[item] > SAMPLED_WORDS
+        pairs = set(zip(text[long].tolist(), item[long].tolist(), start[long].tolist(), strict=True))
+        sized = np.unique(np.stack([self.size[item], text, start])[:, ~long], axis=1)
         for n in np.unique(sized[0]).tolist():
             _, t, s = sized[:, sized[0] == n]
             for lo in range(0, len(t), 4096):

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from parasift.llm import decontaminate as dc
 from parasift.llm.q_decontaminate import op6_decontamination
@@ -77,6 +78,27 @@ def test_recall_at_the_largest_distance():
     assert hit >= 95
 
 
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "mixed"])
+@pytest.mark.parametrize("n", [5, 10, 20, 30, 40, 41, 60, 100, 200, 400])
+def test_recall_at_the_largest_distance_by_length_and_kind(n, kind):
+    assert recall(n, kind) >= 0.95
+
+
+def recall(n, kind, trials=60):
+    rng = np.random.default_rng(n)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 99_991, n)) for _ in range(trials)]
+    block = dc.Items(list(range(trials)), texts, 80)
+    hit = 0
+    for j, t in enumerate(texts):
+        w = t.split()
+        for k in sorted(rng.choice(n, n // 5, replace=False), reverse=True):
+            to = {"deletions": 0, "insertions": 2, "mixed": int(rng.integers(3))}[kind]
+            w[k : k + 1] = [[], ["zz"], [w[k], "yy"]][to]
+        h = dc.word_hashes("left side words " + " ".join(w) + " right side words")
+        hit += any(i == j for _, i, *_ in block.search(h, np.zeros(len(h), int), np.array([0, len(h)])))
+    return hit / trials
+
+
 def test_embedding_walks_together_again():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, (1, 60), dtype=np.uint64)
