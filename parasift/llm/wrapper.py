@@ -2,8 +2,10 @@
 
 Per host, a few reference pages (``REFERENCES``, chosen by hash, so their number
 is bounded) are parsed and aligned with the first of them by simple tree
-matching.  Nodes whose text is the same wherever they match are template; the
-others are slots that vary.  The content slot is found from the root downwards:
+matching, by element kinds and, as far as they agree, classes (ids and classes
+of a single page do not matter).  Nodes whose text is the same wherever they match
+are template; the others are slots that vary.  A page with the same text in the
+content slot is a copy and teaches nothing.  The content slot is found from the root downwards:
 go to the child that holds most of the varying text, stay out of regions that
 markup names as navigation, advertising, forms, comments and the like, and stop
 where no child dominates or at a text block; an enclosing ``article`` is taken
@@ -46,7 +48,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
     re.S,
 )
-_NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # HTML element kinds.
@@ -78,10 +80,11 @@ BOILERPLATE_NAMES = set(
 
 
 class Node:
-    __slots__ = ("children", "mark", "names", "tag", "text")
+    __slots__ = ("children", "classes", "mark", "names", "tag", "text")
 
-    def __init__(self, tag: str, names: str = ""):
+    def __init__(self, tag: str, names: str = "", classes: str = ""):
         self.tag, self.names, self.mark = tag, names, False
+        self.classes = frozenset(classes.split())
         self.children: list[Node] = []  # text nodes have the tag "" and a text
         self.text = ""
 
@@ -130,8 +133,8 @@ def parse(page: str | None) -> Node:
             close({"p"}, SCOPES["p"] - {"div"} | {"article", "section"})
         if tag in ENDS:
             close(ENDS[tag], SCOPES[tag] - ENDS[tag])
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(found[3])) if found[3] else ""
-        node = Node(tag, names)
+        named = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(found[3])] if found[3] else []
+        node = Node(tag, " ".join(v for _, v in named), " ".join(v for k, v in named if k != "id"))
         stack[-1].children.append(node)
         if tag in RAW and not found[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -156,21 +159,21 @@ def own_text(node: Node) -> str:
 
 
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest set of node pairs that keeps order
-    and ancestry, by dynamic programming over the children of paired nodes."""
+    """Simple tree matching: the heaviest set of node pairs of one tag that keeps
+    order and ancestry, by dynamic programming over the children of paired
+    nodes.  A pair weighs 1, and 1 more if a class is shared or neither has one."""
 
     def size(x: Node, y: Node) -> tuple[int, list]:
-        if x.tag != y.tag or x.names != y.names:
-            return 0, []
+        own = 2 if x.classes & y.classes or not (x.classes or y.classes) else 1
         xs, ys = ([c for c in n.children if c.tag and c.tag not in INLINE and c.tag not in VOID] for n in (x, y))
         if not xs or not ys:
-            return 1, [(x, y)]
+            return own, [(x, y)]
         best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         kept: dict[tuple[int, int], tuple[int, list]] = {}
         for i, p in enumerate(xs, 1):
             for j, q in enumerate(ys, 1):
                 w = (0, [])
-                if p.tag == q.tag and p.names == q.names:
+                if p.tag == q.tag:
                     w = kept[i, j] = size(p, q)
                 best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w[0])
         i, j, pairs = len(xs), len(ys), [(x, y)]
@@ -182,9 +185,9 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             else:
                 pairs += kept[i, j][1]
                 i, j = i - 1, j - 1
-        return best[-1][-1] + 1, pairs
+        return best[-1][-1] + own, pairs
 
-    return size(a, b)[1]
+    return size(a, b)[1] if a.tag == b.tag else []
 
 
 def squeeze(text: str) -> str:
@@ -230,25 +233,27 @@ def induce(pages: list[str]) -> dict:
     trees = [parse(p) for p in pages]
     base = trees[0]
     texts = {id(n): squeeze(own_text(n)) for n in [base, *_elements(base)]}
-    seen: dict[int, int] = {}
-    same: dict[int, int] = {}
-    for other in trees[1:]:
-        pairs = match(base, other)
-        equal = [(x, texts[id(x)] == squeeze(own_text(y))) for x, y in pairs if texts[id(x)]]
-        if not equal or sum(e for _, e in equal) > 0.5 * len(equal):
-            continue  # (nearly) the same page says nothing about what is constant
-        for x, e in equal:
-            seen[id(x)] = seen.get(id(x), 0) + 1
-            same[id(x)] = same.get(id(x), 0) + e
-    constant = {k for k, n in seen.items() if same[k] == n}
-    weight = {k: float(len(t)) for k, t in texts.items() if k not in constant}
-    slot = content_slot(base, weight)
+    others = [{id(x): squeeze(own_text(y)) for x, y in match(base, t) if texts[id(x)]} for t in trees[1:]]
+
+    def varying(held: list[dict[int, str]]) -> tuple[set[int], Node]:
+        """Constant nodes, and the content slot by the text that varies."""
+        seen = {k for other in held for k in other}
+        constant = {k for k in seen if all(other.get(k, texts[k]) == texts[k] for other in held)}
+        return constant, content_slot(base, {k: float(len(t)) for k, t in texts.items() if k not in constant})
+
+    # (nearly) the same page says nothing about what is constant
+    others = [o for o in others if any(texts[k] != t for k, t in o.items())]
+    constant, slot = varying(others)
+    within = {id(n) for n in [slot, *_elements(slot)]}
+    distinct = [o for o in others if any(k in within and texts[k] != t for k, t in o.items())]
+    if len(distinct) < len(others):
+        constant, slot = varying(distinct)
     inside = {id(n) for n in _elements(slot)}
     # constant elements inside the slot that are no paragraphs or headings
     fixed = sorted({texts[k] for k in constant & inside for n in _elements(slot) if id(n) == k and n.tag not in TEXT_BLOCKS})
 
     def outline(node: Node) -> dict:
-        out = {"t": node.tag, "n": node.names}
+        out = {"t": node.tag, "k": " ".join(sorted(node.classes))}
         if node is slot:
             return out | {"s": 1}
         below = [outline(c) for c in node.children if c.tag and c.tag not in INLINE and c.tag not in VOID]
@@ -258,7 +263,7 @@ def induce(pages: list[str]) -> dict:
 
 
 def _tree(outline: dict) -> Node:
-    node = Node(outline["t"], outline["n"])
+    node = Node(outline["t"], classes=outline["k"])
     node.mark = bool(outline.get("s"))
     node.children = [_tree(c) for c in outline.get("c", [])]
     return node

@@ -53,6 +53,25 @@ def test_edge_cases(spark):
     assert wrapper.extract(_pages(spark, [])).count() == 0
 
 
+def _templated(i, ids=""):
+    rows = "".join(f"<li>Section {k} of the site</li>" for k in range(30))
+    return (f"<html><body class='page{ids}'><div class='a{ids}'><ul>{rows}</ul><div>{'All about the house. ' * 40}</div></div>"
+            f"<div class='b{ids}' id='e{i}'><div>Save page</div><p>First of {i}.</p><p>Second of {i}, a little longer.</p></div></body></html>")
+
+
+def test_a_host_whose_nodes_are_mostly_template(spark):
+    rows = [(i, "http://t.example.org/x", _templated(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(_pages(spark, rows)).collect()}
+    assert got == {i: f"First of {i}. Second of {i}, a little longer." for i in range(6)}
+
+
+def test_ids_and_classes_of_a_single_page_do_not_end_the_match(spark):
+    rows = [(i, "http://u.example.org/x", _templated(i, f" postid-{i}")) for i in range(6)]
+    rows += [(10 + i, "http://v.example.org/x", _templated(i).replace("'page'", f"'p{i}'").replace("'b'", f"'post-{i}'")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(_pages(spark, rows)).collect()}
+    assert got == {j + i: f"First of {i}. Second of {i}, a little longer." for i in range(6) for j in (0, 10)}
+
+
 def test_simple_tree_matching_keeps_order():
     a = wrapper.parse("<ul><li>1</li><li>2</li></ul><p>x</p><div><p>y</p></div>")
     b = wrapper.parse("<p>x</p><ul><li>1</li></ul><div><p>z</p><p>y</p></div>")
