@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -102,16 +103,24 @@ def parse(page: str | None) -> Node:
     decoded.  Comments, declarations and the inside of raw elements go."""
     root = Node("#root")
     stack, at, page = [root], 0, page or ""
+    held: Counter[str] = Counter()  # open elements by tag
 
     def add_text(raw: str) -> None:
         if raw:
             node = Node("")
             node.text = _html.unescape(raw)
-            stack[-1].children.append(node)
+            add(node)
 
-    def close(tags: set[str], scope: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+    def add(node: Node) -> None:
+        stack[min(len(stack), MAX_DEPTH) - 1].children.append(node)
+
+    def close(tags: set[str], scope: set[str], reach: int) -> None:
+        """Ends the innermost of the ``reach`` innermost elements that has one of the tags."""
+        if not any(held[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, max(0, len(stack) - 1 - reach), -1):
             if stack[k].tag in tags:
+                held.subtract(n.tag for n in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in scope:
@@ -127,22 +136,23 @@ def parse(page: str | None) -> Node:
         if not tag:
             continue
         if found[1]:
-            close({tag}, {"#root"})
+            close({tag}, {"#root"}, len(stack))
             continue
         if tag in ENDS_P and tag != "p":
-            close({"p"}, SCOPES["p"] - {"div"} | {"article", "section"})
+            close({"p"}, SCOPES["p"] - {"div"} | {"article", "section"}, MAX_DEPTH)
         if tag in ENDS:
-            close(ENDS[tag], SCOPES[tag] - ENDS[tag])
+            close(ENDS[tag], SCOPES[tag] - ENDS[tag], MAX_DEPTH)
         named = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(found[3])] if found[3] else []
         node = Node(tag, " ".join(v for _, v in named), " ".join(v for k, v in named if k != "id"))
-        stack[-1].children.append(node)
+        add(node)
         if tag in RAW and not found[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if end or tag in ("script", "style"):
                 at = end.end() if end else len(page)
                 continue
-        if tag not in VOID and not found[3].endswith("/") and len(stack) < MAX_DEPTH:
+        if tag not in VOID and not found[3].endswith("/"):
             stack.append(node)
+            held[tag] += 1
 
 
 def own_text(node: Node) -> str:

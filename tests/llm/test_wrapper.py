@@ -72,6 +72,12 @@ def test_ids_and_classes_of_a_single_page_do_not_end_the_match(spark):
     assert got == {j + i: f"First of {i}. Second of {i}, a little longer." for i in range(6) for j in (0, 10)}
 
 
+def test_text_after_very_deep_elements_stays():
+    for inside in ("text", "<ul><li>text<li></ul>", "text</i></span>"):
+        page = "<body><div id=w><article>" + "<div>" * 200 + inside + "</div>" * 200 + "<p>rest</p></article><p>after</p></div></body>"
+        assert wrapper.Wrapper(None).extract(page) == "text rest"
+
+
 def test_simple_tree_matching_keeps_order():
     a = wrapper.parse("<ul><li>1</li><li>2</li></ul><p>x</p><div><p>y</p></div>")
     b = wrapper.parse("<p>x</p><ul><li>1</li></ul><div><p>z</p><p>y</p></div>")
