@@ -1,21 +1,24 @@
 """Main-text extraction by wrapper induction.
 
-Per host, a few reference pages (``REFERENCES``, chosen by hash, so their number
-is bounded) are parsed and aligned with the first of them by simple tree
-matching, by element kinds and, as far as they agree, classes (ids and classes
-of a single page do not matter).  Nodes whose text is the same wherever they match
-are template; the others are slots that vary.  A page with the same text in the
-content slot is a copy and teaches nothing.  The content slot is found from the root downwards:
-go to the child that holds most of the varying text, stay out of regions that
-markup names as navigation, advertising, forms, comments and the like, and stop
-where no child dominates or at a text block; an enclosing ``article`` is taken
-whole.  The wrapper is the aligned tree without the inside of the content slot.
-
-Every page is then aligned with its host's wrapper, again by simple tree
-matching, and the text blocks in its content slot are its text; where nothing
-matches, the slot is found in the page alone.  Constant paragraphs and headings
-inside the slot are text that pages share and stay; other constant elements there
-(buttons, link bars) are template and go.
+A layout is the path of elements and classes to the part of a page that holds most
+of its text.  Each layout that at least two pages and ``FREQUENT`` of a host's pages
+have (else the host's most frequent one) gets a wrapper.  Its base is the longest of
+``REFERENCES`` of its pages, chosen by hash.  Every page of the host is aligned with
+the base of its layout (of another layout: with the base that agrees most) by
+simple tree matching, by element kinds and, as far as they agree, classes (ids and
+classes of a single page do not matter).  The texts of each node are counted over
+all these pages, pages of equal text once: a node with one text in ``CONSTANT`` of
+them is template, the others are slots that vary.  The content slot is found from
+the root downwards: go to the child that holds most of the varying text, stay out
+of regions that markup names as navigation, advertising, forms, comments and the
+like, and stop where no child dominates or at a text block; an enclosing
+``article`` is taken whole.  The wrapper is the base without the inside of the
+content slot.
+
+Every page is then aligned with its wrapper in the same way, and the text blocks in
+its content slot are its text; where nothing matches, the slot is found in the page
+alone.  Constant paragraphs and headings inside the slot are text that pages share
+and stay; other constant elements there (buttons, link bars) are template and go.
 
 Edge cases: null or empty html has the empty text; a null url is a host of its
 own; a host with one page is its own reference; repeated pages give repeated
@@ -26,12 +29,12 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
 from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +42,8 @@ from pyspark.sql import types as T
 
 from .common import materialise, sized_side, text_or_empty
 
-REFERENCES = 6
+REFERENCES = 6  # pages of which the longest is the outline of a layout; its texts come from all pages
+FREQUENT, CONSTANT = 0.01, 0.9
 DOMINANT = 0.6
 MAX_DEPTH = 150  # elements nested deeper become siblings at this depth; their text stays
 
@@ -238,42 +242,59 @@ def _elements(node: Node):
             yield from _elements(c)
 
 
-def induce(pages: list[str]) -> dict:
-    """Wrapper of a host from its reference pages."""
-    trees = [parse(p) for p in pages]
-    base = trees[0]
-    texts = {id(n): squeeze(own_text(n)) for n in [base, *_elements(base)]}
-    others = [{id(x): squeeze(own_text(y)) for x, y in match(base, t) if texts[id(x)]} for t in trees[1:]]
-
-    def varying(held: list[dict[int, str]]) -> tuple[set[int], Node]:
-        """Constant nodes, and the content slot by the text that varies."""
-        seen = {k for other in held for k in other}
-        constant = {k for k in seen if all(other.get(k, texts[k]) == texts[k] for other in held)}
-        return constant, content_slot(base, {k: float(len(t)) for k, t in texts.items() if k not in constant})
-
-    # (nearly) the same page says nothing about what is constant
-    others = [o for o in others if any(texts[k] != t for k, t in o.items())]
-    constant, slot = varying(others)
-    within = {id(n) for n in [slot, *_elements(slot)]}
-    distinct = [o for o in others if any(k in within and texts[k] != t for k, t in o.items())]
-    if len(distinct) < len(others):
-        constant, slot = varying(distinct)
-    inside = {id(n) for n in _elements(slot)}
-    # constant elements inside the slot that are no paragraphs or headings
-    fixed = sorted({texts[k] for k in constant & inside for n in _elements(slot) if id(n) == k and n.tag not in TEXT_BLOCKS})
+def text_code(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
 
-    def outline(node: Node) -> dict:
-        out = {"t": node.tag, "k": " ".join(sorted(node.classes))}
+def layout_of(root: Node) -> str:
+    """Path to the part that holds most of a page's text, with classes without digits."""
+    slot = content_slot(root)
+
+    def path(node: Node) -> list[str] | None:
+        own = [".".join([node.tag, *sorted(c for c in node.classes if not any(x.isdigit() for x in c))])]
         if node is slot:
-            return out | {"s": 1}
-        below = [outline(c) for c in node.children if c.tag and c.tag not in INLINE and c.tag not in VOID]
-        return out | ({"c": below} if below else {})
+            return own
+        below = (path(c) for c in node.children if c.tag)
+        rest = next((x for x in below if x is not None), None)
+        return own + rest if rest is not None else None
+
+    return ">".join(path(root) or [])
+
+
+def _nearest(trees: dict[str, Node], root: Node) -> tuple[str, list[tuple[Node, Node]]]:
+    """The layout of a page, or else the one that agrees most, and the matched nodes."""
+    own = layout_of(root)
+    if own in trees:
+        return own, match(trees[own], root)
+    return max(((k, match(t, root)) for k, t in sorted(trees.items())), key=lambda x: len(x[1]))
+
+
+def outline(node: Node, slot: Node | None = None) -> dict:
+    """The elements of a tree that ``match`` looks at; the inside of ``slot`` stays out."""
+    out = {"t": node.tag, "n": node.names, "k": " ".join(sorted(node.classes))}
+    if node is slot:
+        return out | {"s": 1}
+    below = [outline(c, slot) for c in node.children if c.tag and c.tag not in INLINE and c.tag not in VOID]
+    return out | ({"c": below} if below else {})
+
+
+def induce(packed: str, stats: dict[int, tuple[bool, int, float]]) -> dict:
+    """Wrapper of a layout from its base's outline (JSON) and, by place of a node in it:
+    constant or not, code of the most frequent text, mean length of the texts."""
+    base = _tree(json.loads(packed))
+    nodes = [base, *_elements(base)]
+    weight = {id(nodes[k]): size for k, (constant, _, size) in stats.items() if not constant}
+    slot = content_slot(base, weight)
+    inside = {id(n) for n in _elements(slot)}
+    # constant elements inside the slot that are no paragraphs or headings
+    fixed = sorted({code for k, (constant, code, _) in stats.items()
+                    if constant and id(nodes[k]) in inside and nodes[k].tag not in TEXT_BLOCKS})
 
-    return {"tree": outline(base), "fixed": fixed}
+    return {"tree": outline(base, slot), "fixed": fixed}
 
 
 def _tree(outline: dict) -> Node:
-    node = Node(outline["t"], classes=outline["k"])
+    node = Node(outline["t"], outline["n"], outline["k"])
     node.mark = bool(outline.get("s"))
     node.children = [_tree(c) for c in outline.get("c", [])]
     return node
@@ -281,14 +302,18 @@ def _tree(outline: dict) -> Node:
 
 class Wrapper:
     def __init__(self, packed: str | None):
-        held = json.loads(packed) if packed else None
-        self.tree = _tree(held["tree"]) if held else None
-        self.fixed = set(held["fixed"]) if held else set()
+        """``packed``: wrappers of a host (JSON) by layout."""
+        held = json.loads(packed) if packed else {}
+        self.trees = {k: _tree(w["tree"]) for k, w in held.items()}
+        self.constants = {k: set(w["fixed"]) for k, w in held.items()}
+        self.fixed: set[int] = set()
 
     def extract(self, page: str | None) -> str:
         """Text of a page: blocks in page order, joined by one space."""
         root = parse(page)
-        slot = next((y for x, y in match(self.tree, root) if x.mark), None) if self.tree else None
+        layout, pairs = _nearest(self.trees, root) if self.trees else ("", [])
+        self.fixed = self.constants.get(layout, set())
+        slot = next((y for x, y in pairs if x.mark), None)
         blocks = self._blocks(slot) if slot is not None else []
         if not any(blocks):
             blocks = self._blocks(content_slot(root))
@@ -317,7 +342,7 @@ class Wrapper:
                     before = len(out)
                     walk(c)
                     end()
-                    if c.tag not in TEXT_BLOCKS and self.fixed and " ".join(filter(None, out[before:])) in self.fixed:
+                    if c.tag not in TEXT_BLOCKS and self.fixed and text_code(" ".join(filter(None, out[before:]))) in self.fixed:
                         del out[before:]
 
         walk(slot)
@@ -335,22 +360,91 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(text_or_empty(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, wrapper`` (JSON) from each host's reference pages."""
+def bases(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, layout, base``: outline (JSON) of a page of each layout that a host has often."""
     text = text_or_empty(F.col(html_col))
     marks = [F.xxhash64(F.lit(k), F.col(url_col), text) for k in range(REFERENCES)]
     rows = pages.where(F.length(text) > 0).select(host_of(F.col(url_col)).alias("host"), text.alias("html"), F.array(*marks).alias("marks"))
-    least = rows.groupBy("host").agg(*[F.min(F.col("marks")[k]).alias(f"m{k}") for k in range(REFERENCES)])
-    least = least.select(F.col("host").alias("_host"), F.array_distinct(F.array(*[f"m{k}" for k in range(REFERENCES)])).alias("least"))
-    chosen = rows.join(sized_side(least, F.lit(100)), (F.col("host") == F.col("_host")) & F.arrays_overlap("marks", "least"))
-    chosen = chosen.select("host", "html").distinct()
 
-    def induced(group: pd.DataFrame) -> pd.DataFrame:
-        # one order whatever the partitioning: longest first, so that the base has every slot
-        held = sorted(group["html"], key=lambda h: (-len(h), h))[: 2 * REFERENCES]
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(induce(held), sort_keys=True)]})
+    def layouts(batches):
+        for batch in batches:
+            found = [layout_of(parse(p.as_py())) for p in batch.column("html")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), batch.column("marks"), pa.array(found, pa.string())], names=["host", "marks", "layout"])
+
+    least = rows.mapInArrow(layouts, "host string, marks array<long>, layout string").groupBy("host", "layout").agg(
+        F.count("*").alias("n"), *[F.min(F.col("marks")[k]).alias(f"m{k}") for k in range(REFERENCES)])
+    least = materialise(least, "layouts")
+    hosts = least.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("all"), F.max(F.struct("n", "layout"))["layout"].alias("most"))
+    often = least.join(hosts, F.col("host") == F.col("_host")).where(
+        (F.col("layout") == F.col("most")) | (F.col("n") >= 2) & (F.col("n") >= F.lit(FREQUENT) * F.col("all")))
+    often = often.select("_host", "layout", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(REFERENCES)]))).alias("mark"))
+    chosen = rows.select("host", "html", F.explode(F.array_distinct("marks")).alias("_mark")).join(
+        sized_side(often, F.lit(100)), (F.col("host") == F.col("_host")) & (F.col("_mark") == F.col("mark")))
+    # the longest, so that the base has every slot
+    chosen = chosen.groupBy("host", "layout").agg(F.max(F.struct(F.length("html").alias("size"), "html"))["html"].alias("html"))
+
+    def outlines(batches):
+        for batch in batches:
+            packed = [json.dumps(outline(parse(p.as_py()))) for p in batch.column("html")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), batch.column("layout"), pa.array(packed, pa.string())], names=["host", "layout", "base"])
+
+    return chosen.mapInArrow(outlines, "host string, layout string, base string")
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, wrapper`` (JSON, by layout) from all pages of each host."""
+    base = materialise(bases(pages, url_col, html_col), "bases")
+    by_host = base.groupBy(F.col("host").alias("_host")).agg(F.map_from_entries(F.collect_list(F.struct("layout", "base"))).alias("bases"))
+    text = text_or_empty(F.col(html_col))
+    side = sized_side(materialise(by_host, "host-bases"), F.octet_length(F.to_json("bases")))
+    rows = pages.where(F.length(text) > 0).select(host_of(F.col(url_col)).alias("host"), text.alias("html"))
+    rows = rows.join(side, F.col("host") == F.col("_host")).select("host", "html", F.to_json("bases").alias("bases"))
+
+    def texts(batches):
+        held: dict[str, tuple[dict[str, Node], dict[int, int]]] = {}
+        for batch in batches:
+            out = []
+            for host, page, packed in zip(*(batch.column(c) for c in ("host", "html", "bases")), strict=True):
+                host = host.as_py()
+                if host not in held:
+                    if len(held) > 200:
+                        held.clear()
+                    trees = {k: _tree(json.loads(p)) for k, p in json.loads(packed.as_py()).items()}
+                    held[host] = trees, {id(n): i for t in trees.values() for i, n in enumerate([t, *_elements(t)])}
+                trees, place = held[host]
+                root = parse(page.as_py())
+                layout, pairs = _nearest(trees, root)
+                whole = text_code(squeeze(" ".join(c.text for n in (root, *_elements(root)) for c in n.children if not c.tag)))
+                for x, y in pairs:
+                    t = squeeze(own_text(y))
+                    if t:
+                        out.append((host, layout, place[id(x)], text_code(t), len(t), whole))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, (
+                    pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
+                names=["host", "layout", "node", "code", "size", "page"])
+
+    seen = rows.mapInArrow(texts, "host string, layout string, node int, code long, size int, page long").distinct()
+    nodes = seen.groupBy("host", "layout", "node", "code").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    nodes = nodes.groupBy("host", "layout", "node").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "code")).alias("top"))
+    constant = (F.col("n") > 1) & (F.col("top.n") >= F.lit(CONSTANT) * F.col("n"))
+    stats = nodes.select("host", "layout", "n", F.struct("node", constant.alias("constant"), F.col("top.code").alias("code"), "size").alias("s"))
+    stats = stats.groupBy("host", "layout").agg(F.max("n").alias("pages"), F.collect_list("s").alias("stats"))
+    stats = base.join(stats, ["host", "layout"], "left")
+
+    def induced(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                held = {s["node"]: (s["constant"], s["code"], s["size"] / row["pages"]) for s in row["stats"] or []}
+                out.append(json.dumps({row["layout"]: induce(row["base"], held)}, sort_keys=True)[1:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], names=["host", "part"])
 
-    return chosen.groupBy("host").applyInPandas(induced, "host string, wrapper string")
+    done = stats.select("host", "layout", "base", "pages", "stats").mapInArrow(induced, "host string, part string")
+    return done.groupBy("host").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("part")), ","), F.lit("}")).alias("wrapper"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -72,6 +72,16 @@ def test_ids_and_classes_of_a_single_page_do_not_end_the_match(spark):
     assert got == {j + i: f"First of {i}. Second of {i}, a little longer." for i in range(6) for j in (0, 10)}
 
 
+def test_every_frequent_layout_of_a_host_has_a_wrapper(spark):
+    other = ("<html><body><table class='frame'><tr><td class='left'><div>{1}</div></td><td class='right'><section class='story'><div>Save page</div>"
+             "<p>Story {0} of the second kind, which is rather long.</p><p>Its end {0}.</p></section></td></tr></table></body></html>")
+    rows = [(i, "http://w.example.org/x", _templated(i)) for i in range(60)]
+    rows += [(100 + i, "http://w.example.org/y", other.format(i, "All about the house. " * 40)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(_pages(spark, rows)).collect()}
+    want = {i: f"First of {i}. Second of {i}, a little longer." for i in range(60)}
+    assert got == want | {100 + i: f"Story {i} of the second kind, which is rather long. Its end {i}." for i in range(5)}
+
+
 def test_text_after_very_deep_elements_stays():
     for inside in ("text", "<ul><li>text<li></ul>", "text</i></span>"):
         page = "<body><div id=w><article>" + "<div>" * 200 + inside + "</div>" * 200 + "<p>rest</p></article><p>after</p></div></body>"
