@@ -6,8 +6,8 @@ significantly more often than the other, counted once per document and once
 per group of near copies (Poisson test, Bonferroni-corrected).  A text's words
 are written as hash codes of their beginnings of 4, 6, 8 and 10 bytes and of the whole
 word, so that a match in a dictionary is always such a beginning and never a
-piece of another word; each distinct word is written once, ``WINDOW_WORDS`` to a
-window.  A window's margin is its compressed length under the ordinary
+piece of another word.  A window is ``WINDOW_WORDS`` words of the text one after the
+other, each distinct one written once; equal windows are compressed once.  A window's margin is its compressed length under the ordinary
 dictionary less that under the toxic one; a document's margin is the largest of
 its windows, over the whole text.  The threshold is the margin of best F1 on
 labelled rows that training did not see.
@@ -106,12 +106,16 @@ class Model:
         one, two = _compressor(self.ordinary), _compressor(self.toxic)
 
         def margin(text: str | None) -> tuple[int, int]:
-            codes, at = word_codes(list(dict.fromkeys(words_of(text))))
-            most, n = 0, 0
-            for i in range(0, len(at) - 1, WINDOW_WORDS):
-                window = PADDING + codes[at[i] : at[min(i + WINDOW_WORDS, len(at) - 1)]]
-                most, n = max(most, len(one.compress(window)) - len(two.compress(window))), n + 1
-            return most, n
+            words = words_of(text)
+            place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            codes, at = word_codes(list(place))
+            code = [codes[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            windows = [tuple(dict.fromkeys(place[w] for w in words[i : i + WINDOW_WORDS])) for i in range(0, len(words), WINDOW_WORDS)]
+            most = 0
+            for held in dict.fromkeys(windows):
+                window = PADDING + b"".join(code[k] for k in held)
+                most = max(most, len(one.compress(window)) - len(two.compress(window)))
+            return most, len(windows)
 
         return margin
 

@@ -70,6 +70,16 @@ def test_toxic_words_are_learned_and_found_anywhere(make_docs):
     assert toxicity.score(make_docs([]), model).count() == 0
 
 
+def test_toxic_passage_of_words_that_occurred_before():
+    model = toxicity.Model(toxicity.segment_codes([b"vile ", b"scum ", b"filth ", b"creep "]), b"", 5)
+    weak, filler = ["vile", "scum", "filth", "creep"], [f"w{i}" for i in range(400)]
+    apart = [w for i, x in enumerate(weak) for w in [x, *filler[i * 100 : i * 100 + 95]]]  # one to a window
+    margin = model.scorer()
+    alone, whole = margin(" ".join(weak))[0], margin(" ".join(apart))[0]
+    assert alone > whole
+    assert margin(" ".join(apart + weak))[0] == alone
+
+
 def test_toxicity_without_labels(spark, make_docs):
     model = toxicity.fit(spark.createDataFrame([("x", None), (None, 0)], "text string, toxic int"))
     assert [r["predicted"] for r in toxicity.score(make_docs([(1, "x"), (2, None)]), model).collect()] == [0, 0]
