@@ -7,7 +7,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-SF0001 = "/root/testdata/sf0.001"
+@pytest.fixture(scope="session")
+def sf0001():
+    """Folder of the smallest test tables."""
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -62,17 +62,15 @@ def test_pair_window_truncates_candidate_tail(spark):
     assert w.mask == [1, 1, 1, 1, 1, 1, 0, 0]
 
 
-def test_streaming_runner_processes_page_files(spark):
+def test_streaming_runner_processes_page_files(spark, sf0001):
     from parasift.sources.tables import read_table
     from parasift.streaming.pages_stream import start_pages_stream
 
-    from conftest import SF0001
-
     base = tempfile.mkdtemp(prefix="stream-test-")
     src = os.path.join(base, "in")
-    read_table(spark, SF0001, "pages").repartition(3).write.parquet(src)
+    read_table(spark, sf0001, "pages").repartition(3).write.parquet(src)
     q = start_pages_stream(spark, src, os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files_per_trigger=1)
     q.awaitTermination(300)
     summ = spark.read.parquet(os.path.join(base, "out", "summary"))
-    assert summ.count() == read_table(spark, SF0001, "pages").count()
+    assert summ.count() == read_table(spark, sf0001, "pages").count()
     assert summ.select("batch_id").distinct().count() >= 2

@@ -8,8 +8,6 @@ from parasift.plans.pipeline import analyze_documents, run_pages, summarize_docu
 from parasift.sources.io import read_analyses, read_documents, write_json
 from parasift.sources.tables import read_table
 
-from conftest import SF0001
-
 DOC = {
     "schema_version": "1.0.0", "doc_id": "d1", "url": "https://docs.example.org/notes", "title": "Example",
     "lang": "en", "fetched_at": "2024-01-01T00:00:00Z",
@@ -77,8 +75,8 @@ def test_parquet_round_trip(spark):
     assert back.collect() == docs.select(*back.columns).collect()
 
 
-def test_full_pipeline_on_pages(spark):
-    pages = read_table(spark, SF0001, "pages")
+def test_full_pipeline_on_pages(spark, sf0001):
+    pages = read_table(spark, sf0001, "pages")
     r = run_pages(pages)
     n_pages = pages.count()
     assert r.documents.count() == n_pages and r.summary.count() == n_pages
@@ -87,7 +85,7 @@ def test_full_pipeline_on_pages(spark):
     assert r.observations["pages"].get["rows"] == n_pages
 
 
-def test_pipeline_with_store_and_rerank_second_run_embeds_nothing(spark):
+def test_pipeline_with_store_and_rerank_second_run_embeds_nothing(spark, sf0001):
     from dataclasses import replace
 
     from parasift.operators.embed import HashingEmbedder
@@ -96,7 +94,7 @@ def test_pipeline_with_store_and_rerank_second_run_embeds_nothing(spark):
 
     store = EmbeddingStore(spark, tempfile.mkdtemp(prefix="p1-store-") + "/s")
     opts = replace(AnalyzerOptions(), rerank=True, top_n=3)
-    pages = read_table(spark, SF0001, "pages")
+    pages = read_table(spark, sf0001, "pages")
     r1 = run_pages(pages, opts, embedder=HashingEmbedder(64), store=store)
     sel1 = sorted((x.page_id, x.rank, x.segment_id) for x in r1.selection.collect())
     first_calls = store.last_run.embedder_calls

@@ -9,8 +9,6 @@ import pytest
 from parasift.plans import load_all
 from parasift.sources.tables import TABLES, table_path
 
-from conftest import SF0001
-
 QUERIES, ORACLES = load_all()
 
 
@@ -23,10 +21,10 @@ def _norm(v):
 
 
 @pytest.fixture(scope="module")
-def con():
+def con(sf0001):
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(SF0001, t)}')")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(sf0001, t)}')")
     return c
 
 
@@ -35,8 +33,8 @@ def test_every_query_has_an_oracle():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_oracle(spark, con, name):
-    df = QUERIES[name](spark, SF0001)
+def test_query_matches_oracle(spark, con, name, sf0001):
+    df = QUERIES[name](spark, sf0001)
     cols = df.columns
     got = Counter(tuple(_norm(r[c]) for c in cols) for r in df.collect())
     res = con.sql(ORACLES[name])

@@ -8,17 +8,15 @@ from parasift.operators.segments import explode_segments
 from parasift.plans.pipeline import embed_segments
 from parasift.sources.tables import read_table
 
-from conftest import SF0001
 
-
-def _vectors(spark):
-    docs = read_table(spark, SF0001, "documents").select("doc_id", "text")
+def _vectors(spark, sf0001):
+    docs = read_table(spark, sf0001, "documents").select("doc_id", "text")
     segs = explode_segments(docs, "doc_id", "text")
     return embed_segments(segs, HashingEmbedder(64))
 
 
-def test_hot_groups_take_lockstep_path_with_same_result(spark):
-    v = _vectors(spark).cache()
+def test_hot_groups_take_lockstep_path_with_same_result(spark, sf0001):
+    v = _vectors(spark, sf0001).cache()
     cols = ["doc_id", "rank", "position", "group_n", "group_top_n"]
     a = analyze_groups(v, ["doc_id"], "position", "embedding", 5, 0.65, payload=("segment_id",))
     # every document with more than 8 segments is treated as a hot group
@@ -30,11 +28,11 @@ def test_hot_groups_take_lockstep_path_with_same_result(spark):
     assert big > 0
 
 
-def test_scan_prunes_columns_and_vectors_are_not_broadcast(spark):
-    v = _vectors(spark)
+def test_scan_prunes_columns_and_vectors_are_not_broadcast(spark, sf0001):
+    v = _vectors(spark, sf0001)
     plan = v._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
-    docs = read_table(spark, SF0001, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf0001, "documents").select("doc_id", "text")
     scan = explode_segments(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in scan or "struct<doc_id:bigint,text:string>" in scan
 
@@ -50,8 +48,8 @@ def test_store_read_prunes_fingerprint_partition(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(model_fingerprint" in plan
 
 
-def test_groups_straddling_arrow_batches(spark):
-    v = _vectors(spark).cache()
+def test_groups_straddling_arrow_batches(spark, sf0001):
+    v = _vectors(spark, sf0001).cache()
     cols = ["doc_id", "rank", "position", "group_n", "group_top_n", "group_valid"]
 
     def picks():
@@ -67,11 +65,11 @@ def test_groups_straddling_arrow_batches(spark):
     assert small == base and len(base) > 0
 
 
-def test_analyze_hot_documents_with_bucket_vectors(spark):
+def test_analyze_hot_documents_with_bucket_vectors(spark, sf0001):
     from parasift.options import AnalyzerOptions
     from parasift.plans.pipeline import analyze
 
-    docs = read_table(spark, SF0001, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf0001, "documents").select("doc_id", "text")
     segs = explode_segments(docs, "doc_id", "text")
 
     def run(max_rows):
