@@ -30,6 +30,6 @@ def duck(sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "pages", "conversations"):
+    for t in ("documents", "labels", "benchmark", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
