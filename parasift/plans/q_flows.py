@@ -13,7 +13,7 @@ from ..functions.ids import CHUNK_PARAMS, PRODUCER_TAG
 from ..operators.analysis import mark_invalid
 from ..operators.embed import HashingEmbedder
 from ..operators.segments import content_doc_id, explode_segments
-from ..operators.store import lookup
+from ..operators.store import lookup_flagged
 from ..operators.summary import INSTRUCTIONS, build_prompt, response_outcome
 from ..sources.tables import read_table
 from . import oracle_sql as S
@@ -165,9 +165,8 @@ def q_store_last_write(spark, d):
     segs = explode_segments(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     value = F.when(F.col("doc_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("doc_id")).cast("double")
     stored = segs.select("segment_id", F.array(value).alias("embedding"), F.timestamp_seconds("doc_id").alias("written_at"))
-    hits, misses = lookup(segs.select("segment_id").distinct(), stored, 1)
-    return hits.select("segment_id", F.lit(True).alias("hit"), F.col("embedding")[0].alias("stored")).unionByName(
-        misses.select("segment_id", F.lit(False).alias("hit"), F.lit(None).cast("double").alias("stored")))
+    return lookup_flagged(segs.select("segment_id").distinct(), stored, 1).select(
+        "segment_id", "hit", F.col("embedding")[0].alias("stored"))
 
 
 @register(

@@ -75,7 +75,7 @@ def test_store_time_to_live_does_not_follow_the_drivers_zone(spark, tmp_path, mo
     old = spark.range(4).select(
         F.concat(F.lit("s"), "id").alias("segment_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"),
         (F.current_timestamp() - F.make_dt_interval(hours=F.col("id").cast("int") * 11)).alias("written_at"), F.lit("m").alias("model_fingerprint"))
-    old.write.mode("append").partitionBy("model_fingerprint").parquet(store.current_path())
+    store.append(old)
     monkeypatch.setenv("TZ", "America/Los_Angeles")
     time.tzset()
     try:
