@@ -96,7 +96,8 @@ def main() -> None:
     def lockstep_step(s, d):
         from parasift.operators.analysis import analyze_groups
 
-        e = read_table(s, d, "embeddings").select("label", "vec_id", "embedding")
+        # one small file: the caller spreads the rows over the cores
+        e = read_table(s, d, "embeddings").select("label", "vec_id", "embedding").repartition(int(cpus))
         many = e.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(19)))).select(
             "label", (F.col("vec_id") * 20 + F.col("copy")).alias("vec_id"),
             F.transform("embedding", lambda x: x + F.col("copy") * 0.001).alias("embedding"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_valid_vector, l2_normalize, sq_norm
+from ..session import remove_scratch, write_scratch
 from .mmr import DEFAULT_MAX_GROUP_ROWS, mmr_reason, mmr_select
 from .similarity import centroid_similarity
 
@@ -41,12 +42,13 @@ def mark_invalid(df: DataFrame, keys, vector: str, few_groups: bool = False) ->
     return marked.withColumn(vector, F.when(ok, F.col(vector))).drop("_dim")
 
 
-def score_rows(df: DataFrame, keys, vector: str, few_groups: bool = False) -> DataFrame:
+def score_rows(df: DataFrame, keys, vector: str, few_groups: bool = False, marked: bool = False) -> DataFrame:
     """Valid rows with ``score_representative`` (cosine to the group centroid)
     and the unit vector ``_unit``.  Rows whose vector takes no part (see
-    :func:`mark_invalid`) are dropped here; the coverage columns report them.
-    ``few_groups`` broadcasts the (counted, small) tables of the groups."""
-    valid = mark_invalid(df, keys, vector, few_groups).filter(F.col(vector).isNotNull())
+    :func:`mark_invalid`; ``marked``: that has been done) are dropped here; the
+    coverage columns report them.  ``few_groups`` broadcasts the (counted,
+    small) tables of the groups."""
+    valid = (df if marked else mark_invalid(df, keys, vector, few_groups)).filter(F.col(vector).isNotNull())
     scored = centroid_similarity(valid, _keys(keys), vector, broadcast_centroids=few_groups)
     return scored.withColumn(UNIT, l2_normalize(F.col(vector)))
 
@@ -276,12 +278,12 @@ def analyze_groups(
     over the shuffle partitions.
 
     Larger groups: native partial aggregations for the centroid and the pick
-    statistics, lock-step MMR rounds (see :mod:`.mmr`).
+    statistics, lazy MMR rounds (see :mod:`.mmr`).
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    from .mmr import MMRSpec, _lockstep_path
+    from .mmr import MMRSpec, _lazy_path
 
     kk = _keys(keys)
     if vector_expr is not None:
@@ -335,17 +337,20 @@ def analyze_groups(
             big_rows = densify_column(big_rows, vector, buckets_dim)
         # the same rule as in the grouped pass decides which vectors take part;
         # the centroids of the n_big hot groups are broadcast (their number was
-        # just counted) so hot rows never shuffle
-        big_rows = mark_invalid(big_rows, kk, vector, n_big <= BROADCAST_MAX_GROUPS)
-        scored = score_rows(big_rows, kk, vector, few_groups=n_big <= BROADCAST_MAX_GROUPS)
+        # just counted) so hot rows never shuffle; they are written once, as
+        # three passes read them
+        few = n_big <= BROADCAST_MAX_GROUPS
+        hot, hot_path = write_scratch(mark_invalid(big_rows.select(*kk, position, *payload, vector), kk, vector, few), "hot-rows")
+        counts, _ = write_scratch(hot.groupBy(*kk).agg(
+            F.count(F.lit(1)).alias("group_n"),
+            F.count(vector).cast("long").alias("group_valid"),
+        ), "hot-counts")
+        scored = score_rows(hot, kk, vector, few_groups=few, marked=True)
         spec = MMRSpec(tuple(kk), position, UNIT, "score_representative", int(k), float(lam), tuple(payload), True)
-        picks = _lockstep_path(scored, spec, n_big)
+        picks = _lazy_path(scored, spec, n_big)  # written; the hot rows are not read again
+        remove_scratch(src.sparkSession, hot_path)
         stats = pick_stats(picks, kk).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
             "avg_pairwise_cosine", "group_apc")
-        counts = big_rows.groupBy(*kk).agg(
-            F.count(F.lit(1)).alias("group_n"),
-            F.count(vector).cast("long").alias("group_valid"),
-        )
         big_out = picks.join(stats, kk).join(counts, kk).select(*[f.name for f in out_schema.fields])
         out = small.unionByName(big_out)
     return out.withColumn("reason", mmr_reason("rank"))

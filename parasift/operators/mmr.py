@@ -22,11 +22,16 @@ Two exact execution paths produce identical picks:
 * **grouped path** – groups of at most ``max_group_rows`` rows are shuffled to
   one task each (``groupBy().applyInPandas``) and selected with numpy.  The
   running ``max_sim`` makes one round O(n·d) instead of O(n·k·d).
-* **lock-step path** – larger groups (a hot document or topic holding a large
-  share of all rows) never meet in one task: each round finds every group's
-  winner with a distributed ``max_by`` (partial + final aggregation), joins
-  the winners back (broadcast when their count is small) and updates
-  ``max_sim`` in place.  ``k`` rounds, lineage cut with a reliable checkpoint.
+* **lazy path** – larger groups (a hot document or topic holding a large share
+  of all rows) never meet in one task.  A row's score never rises from one
+  pick to the next, so a score computed earlier is an upper bound.  A round
+  scores all open rows against the picks so far, keeps the best
+  ``CANDIDATES`` of each group (bounded in every partition before the shuffle)
+  and picks among them greedily for as long as a pick beats the bound of every
+  row outside the list; then the next round refreshes the scores.  The first
+  pick of a round is always exact, so there are at most ``k`` rounds, mostly
+  one or two.  Vectors stay in the base table: what a round writes is keys,
+  position, rank and score of its picks.
 
 Routing uses the per-group row count, computed on key columns only.
 """
@@ -37,19 +42,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import dot
-from ..session import ensure_checkpoint_dir
+from ..session import remove_scratch, write_scratch
 
 # Largest group (rows) handled in one task by the grouped path; 50k rows of
 # 384 doubles is ~150 MB of numpy memory.
 DEFAULT_MAX_GROUP_ROWS = 50_000
-# Winners of one lock-step round are broadcast while there are at most this
-# many big groups (each winner carries one vector); beyond it a shuffle join.
+# Keys and picks of the hot groups are broadcast while there are at most this
+# many groups, their chosen vectors and candidate positions up to these sizes;
+# beyond them a join that sorts and merges.
 BROADCAST_MAX_GROUPS = 20_000
+BROADCAST_MAX_BYTES = 64 << 20
+BROADCAST_MAX_ROWS = 200_000
+# Candidates of a hot group that a round looks at (at least 8 for each pick).
+CANDIDATES = 64
 # Resolution at which selection scores are compared.
 SCORE_DECIMALS = 9
 
@@ -123,56 +133,96 @@ def _grouped_path(df: DataFrame, spec: MMRSpec) -> DataFrame:
     return src.groupBy(*keys).applyInPandas(per_group, schema=out_schema)
 
 
-def _lockstep_path(df: DataFrame, spec: MMRSpec, n_groups: int, checkpoint_every: int = 1) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    keys, pos = list(spec.keys), spec.position
-    # the rows of the hot groups are materialised once (payload included);
-    # the rounds carry only keys, position, vector and scores
-    base = df.select(
-        *keys, pos, *spec.payload,
-        F.col(spec.vector).alias("_u"),
-        F.col(spec.rep).cast("double").alias("_rep"),
-    ).checkpoint(eager=True)
-    state = base.select(
-        *keys, pos, "_u", "_rep",
-        F.lit(0.0).alias("_ms"),
-        F.lit(None).cast("int").alias("rank"),
-        F.lit(None).cast("double").alias("mmr_score"),
-    )
-    lam = float(spec.lam)
-    for r in range(1, spec.k + 1):
-        cand = state.filter(F.col("rank").isNull())
-        if r == 1:
-            score, tie = F.col("_rep"), F.col(pos)
+def _greedy_candidates(spec: MMRSpec, limit: int):
+    """One group's candidates -> the picks that no row outside can beat."""
+    keys, pos, lam = list(spec.keys), spec.position, float(spec.lam)
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos, kind="stable").reset_index(drop=True)
+        u = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["_u"]])
+        rep, max_sim = pdf["_rep"].to_numpy(np.float64), pdf["_ms"].to_numpy(np.float64).copy()
+        have, need = int(pdf["_have"].iloc[0]), int(pdf["_need"].iloc[0])
+        # upper bound of the score of any row outside the list, at any later pick
+        bound = -np.inf
+        if len(pdf) >= limit:
+            least = float(pdf["_s"].min())
+            bound = (lam * least if have == 0 else least) + 2 * 10.0**-SCORE_DECIMALS
+            if not 0.0 <= lam <= 1.0:
+                bound = np.inf  # scores may rise: only the first pick of a round is sure
+        avail, picks, scores = np.ones(len(pdf), dtype=bool), [], []
+        while have + len(picks) < need and avail.any():
+            if have + len(picks) == 0:
+                score = rep
+                best = len(rep) - 1 - int(np.argmax(np.round(rep, SCORE_DECIMALS)[::-1]))
+            else:
+                score = lam * rep - (1.0 - lam) * max_sim
+                best = int(np.argmax(np.where(avail, np.round(score, SCORE_DECIMALS), -np.inf)))
+            if picks and not round(float(score[best]), SCORE_DECIMALS) > bound:
+                break
+            picks.append(best)
+            scores.append(float(score[best]))
+            avail[best] = False
+            max_sim = np.maximum(max_sim, u @ u[best])
+        out = pdf.loc[picks, keys + [pos]].reset_index(drop=True)
+        out["rank"] = np.arange(have + 1, have + 1 + len(picks), dtype=np.int32)
+        out["mmr_score"] = np.asarray(scores, dtype=np.float64)
+        return out
+
+    return per_group
+
+
+def _lazy_path(df: DataFrame, spec: MMRSpec, n_groups: int, candidates: int | None = None) -> DataFrame:
+    spark, keys, pos, lam = df.sparkSession, list(spec.keys), spec.position, float(spec.lam)
+    limit = candidates or max(CANDIDATES, 8 * spec.k)
+    # the rows of the hot groups are written once (payload included); rounds read the columns they need
+    base, _ = write_scratch(df.select(
+        *keys, pos, *spec.payload, F.col(spec.vector).alias("_u"), F.col(spec.rep).cast("double").alias("_rep"),
+    ).filter("_u IS NOT NULL AND _rep IS NOT NULL"), "mmr-base")
+    need, need_path = write_scratch(base.groupBy(*keys).agg(
+        F.least(F.count(F.lit(1)), F.lit(spec.k)).alias("_need"), F.max(F.size("_u")).alias("_dim")), "mmr-groups")
+    dim = need.agg(F.max("_dim")).first()[0] or 0
+    few = n_groups <= BROADCAST_MAX_GROUPS
+    few_vectors = n_groups * spec.k * dim * 8 <= BROADCAST_MAX_BYTES
+
+    def side(small, ok):
+        return F.broadcast(small) if ok else small.hint("merge")
+
+    schema = T.StructType([base.schema[c] for c in keys + [pos]] + [
+        T.StructField("rank", T.IntegerType()), T.StructField("mmr_score", T.DoubleType())])
+    picks, written = None, []
+    while True:
+        left = need
+        if picks is not None:
+            left = need.join(picks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have")), keys)
+        left = left.select(*keys, "_need", (F.lit(0) if picks is None else F.col("_have")).cast("long").alias("_have")).filter("_have < _need")
+        n_open = left.count()
+        if n_open == 0:
+            break
+        rows = base.select(*keys, pos, "_u", "_rep").join(side(left, few), keys)
+        if picks is None:
+            rows = rows.withColumn("_ms", F.lit(0.0)).withColumn("_s", F.col("_rep"))
+            order = [F.round("_s", SCORE_DECIMALS).desc(), F.col(pos).desc()]
         else:
-            score = F.lit(lam) * F.col("_rep") - F.lit(1.0 - lam) * F.col("_ms")
-            tie = -F.col(pos)
-        win = cand.groupBy(*keys).agg(
-            F.max_by(
-                F.struct(F.col(pos).alias("_wpos"), F.col("_u").alias("_wu"), score.alias("_wscore")),
-                F.struct(F.round(score, SCORE_DECIMALS), tie),
-            ).alias("_w")
-        ).select(*keys, "_w._wpos", "_w._wu", "_w._wscore")
-        if n_groups <= BROADCAST_MAX_GROUPS:
-            win = F.broadcast(win)
-        joined = state.join(win, keys, "left")
-        hit = F.col("_wpos").isNotNull() & (F.col(pos) == F.col("_wpos"))
-        state = joined.select(
-            *keys,
-            pos,
-            "_u",
-            "_rep",
-            F.when(F.col("_wu").isNotNull(), F.greatest(F.col("_ms"), dot("_u", "_wu"))).otherwise(F.col("_ms")).alias("_ms"),
-            F.when(hit, F.lit(r)).otherwise(F.col("rank")).alias("rank"),
-            F.when(hit, F.col("_wscore")).otherwise(F.col("mmr_score")).alias("mmr_score"),
-        )
-        if r % checkpoint_every == 0 or r == spec.k:
-            state = state.checkpoint(eager=True)
-    picks = state.filter(F.col("rank").isNotNull()).select(*keys, pos, "rank", "mmr_score")
-    if n_groups <= BROADCAST_MAX_GROUPS:
-        picks = F.broadcast(picks)  # at most k rows per hot group
+            chosen = base.select(*keys, pos, "_u").join(side(picks.select(*keys, pos), few), keys + [pos]).groupBy(*keys).agg(
+                F.collect_list("_u").alias("_p"))
+            rows = rows.join(side(picks.select(*keys, pos), few), keys + [pos], "left_anti").join(side(chosen, few_vectors), keys)
+            rows = rows.withColumn("_ms", F.aggregate("_p", F.lit(0.0), lambda m, p: F.greatest(m, dot("_u", p))))
+            rows = rows.withColumn("_s", F.lit(lam) * F.col("_rep") - F.lit(1.0 - lam) * F.col("_ms"))
+            order = [F.round("_s", SCORE_DECIMALS).desc(), F.col(pos).asc()]
+        top = rows.select(*keys, pos, "_ms", "_s", "_have", "_need").withColumn(
+            "_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= limit).drop("_n")
+        top, top_path = write_scratch(top, "mmr-top")
+        found, path = write_scratch(
+            base.select(*keys, pos, "_u", "_rep").join(side(top, n_open * limit <= BROADCAST_MAX_ROWS), keys + [pos])
+            .groupBy(*keys).applyInPandas(_greedy_candidates(spec, limit), schema), "mmr-picks")
+        remove_scratch(spark, top_path)
+        written.append(path)
+        picks = spark.read.schema(schema).parquet(*written)
+    remove_scratch(spark, need_path)
+    if picks is None:
+        picks = spark.createDataFrame([], schema)
     vec_out = [F.col("_u").alias(spec.vector)] if spec.keep_vector else []
-    return base.join(picks, keys + [pos], "inner").select(
+    return base.join(side(picks, few), keys + [pos], "inner").select(  # at most k picks per hot group
         *keys, pos, *spec.payload, *vec_out, F.col("_rep").alias(spec.rep), "rank", "mmr_score"
     )
 
@@ -213,7 +263,7 @@ def mmr_select(
     big_side = F.broadcast(big) if n_big <= BROADCAST_MAX_GROUPS else big
     small_rows = df.join(big_side, list(keys), "left_anti")
     big_rows = df.join(big_side, list(keys), "left_semi")
-    return _grouped_path(small_rows, spec).unionByName(_lockstep_path(big_rows, spec, n_big))
+    return _grouped_path(small_rows, spec).unionByName(_lazy_path(big_rows, spec, n_big))
 
 
 def mmr_reason(rank_col, shortlist_pos_col=None, reranked: bool = False):

@@ -134,13 +134,13 @@ def response_outcome(status: Column, body: Column, error: Column) -> Column:
     parsed = F.from_json(body, RESPONSE_BODY)
     content = F.get(parsed["choices"], 0)["message"]["content"]
     failure = (
-        F.when(error.isNotNull(), F.concat(F.lit("API request failed: "), error))
-        .when(status.isNull(), F.lit("API request timed out"))
+        F.when(error.isNotNull(), F.concat(F.lit("no answer, transport: "), error))
+        .when(status.isNull(), F.lit("no answer, time ran out"))
         .when((status < 200) | (status > 299),
-              F.concat(F.lit("API request failed with status "), status.cast("string"), F.lit(": "), F.coalesce(body, F.lit(""))))
-        .when(parsed.isNull() | parsed["choices"].isNull(), F.lit("error decoding response body"))
-        .when(F.size(parsed["choices"]) == 0, F.lit("API returned no choices"))
-        .when(content.isNull(), F.lit("error decoding response body"))
+              F.concat(F.lit("refused, HTTP "), status.cast("string"), F.lit(": "), F.coalesce(body, F.lit(""))))
+        .when(parsed.isNull() | parsed["choices"].isNull(), F.lit("answer is not readable"))
+        .when(F.size(parsed["choices"]) == 0, F.lit("answer has no choice"))
+        .when(content.isNull(), F.lit("answer is not readable"))
     )
     return F.struct(failure.isNull().alias("ok"), content.alias("content"), failure.alias("failure"))
 
@@ -223,17 +223,21 @@ def summarize(
     opts: SummarizerOptions | None = None,
     title: str | None = "title",
     lang: str | None = "lang",
+    answer_keys=(),
 ) -> DataFrame:
     """One summary row per document in ``docs``; ``picks`` as in :func:`pick_lists`.
 
-    ``responses`` (``keys, status, body, error``) holds the chat answers; a
+    ``responses`` (``keys, status, body, error``) holds the chat answers, one
+    for a document unless ``answer_keys`` name the columns that tell its
+    answers apart: then every answer has a row (with those columns), and a
+    document without any has one row where they are null.  A
     document without a usable answer — or any document under the
     ``extractive`` style — gets the extractive fallback with
     ``guardrails.filtered = true``.  A document whose picks did not resolve
     gets the fixed job-level fallback row instead of failing the job.
     """
     opts = opts or SummarizerOptions()
-    k = _keys(keys)
+    k, ak = _keys(keys), _keys(answer_keys)
     tcol = F.col(title) if title and title in docs.columns else F.lit(None).cast("string")
     lcol = F.col(lang) if lang and lang in docs.columns else F.lit(None).cast("string")
     d = docs.select(*k, tcol.alias("_title"), lcol.alias("_lang"))
@@ -243,13 +247,15 @@ def summarize(
         base = base.withColumn(c, F.coalesce(F.col(c), F.array().cast("array<string>")))
     base = base.withColumn("prompt", build_prompt(F.col("_title"), F.col("_lang"), F.col("texts"), opts.style))
     if responses is not None and opts.style != "extractive":
-        # one answer per document: a usable one first, then the largest
-        r = responses.select(*k, response_outcome(F.col("status"), F.col("body"), F.col("error")).alias("_r"))
-        r = r.groupBy(*k).agg(F.max("_r").alias("_r"))
+        # of several answers under one key: a usable one first, then the largest
+        r = responses.select(*k, *ak, response_outcome(F.col("status"), F.col("body"), F.col("error")).alias("_r"))
+        r = r.groupBy(*k, *ak).agg(F.max("_r").alias("_r"))
         base = base.join(r, k, "left")
         ok = F.coalesce(F.col("_r.ok"), F.lit(False))
         content = F.col("_r.content")
     else:
+        for c in ak:
+            base = base.withColumn(c, F.lit(None).cast(responses.schema[c].dataType if responses is not None else "string"))
         ok = F.lit(False)
         content = F.lit(None).cast("string")
     parsed = split_answer(content, opts.style)
@@ -270,7 +276,7 @@ def summarize(
         .when(ok, estimate_tokens(F.col("prompt")))
         .otherwise(picks_tokens(F.col("texts")))
     )
-    out = base.select(*k, summary_text.alias("summary_text"), bullets.alias("bullets"), cites.alias("citations"),
+    out = base.select(*k, *ak, summary_text.alias("summary_text"), bullets.alias("bullets"), cites.alias("citations"),
                       guard.alias("guardrails"), in_tokens.alias("input_tokens"))
     out_tokens = F.when(F.col("guardrails.reason").startswith("API error: "), F.lit(0).cast("long")).otherwise(
         estimate_tokens(F.col("summary_text")))

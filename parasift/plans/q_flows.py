@@ -191,8 +191,8 @@ def q_summary_outcomes(spark, d):
     r = response_outcome(F.col("status"), F.col("body"), F.lit(None).cast("string"))
     return rows.select("conv_id", "turn", r.alias("r")).select(
         "conv_id", "turn", "r.ok", "r.content",
-        F.when(F.col("r.ok"), F.lit(None)).when(F.col("r.failure").contains("status 503"), "status")
-        .when(F.col("r.failure").contains("timed out"), "timeout").when(F.col("r.failure").contains("no choices"), "no choices")
+        F.when(F.col("r.ok"), F.lit(None)).when(F.col("r.failure").contains("HTTP 503"), "status")
+        .when(F.col("r.failure").contains("time ran out"), "timeout").when(F.col("r.failure").contains("no choice"), "no choices")
         .otherwise("other").alias("outcome"))
 
 

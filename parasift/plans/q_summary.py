@@ -1,6 +1,6 @@
 """Registered summary queries (U1-U13) over the per-document analysis of the
 ``documents`` table; chat answers come from the ``conversations`` table
-(first assistant turn of conversation ``conv_id = doc_id``)."""
+(every assistant turn of conversation ``conv_id = doc_id``)."""
 
 from __future__ import annotations
 
@@ -51,13 +51,12 @@ def _picks(spark, d, resolve: bool = False):
 
 
 def responses_from_conversations(spark, d):
-    """Chat responses table derived from the conversations: the first
-    assistant turn of conversation ``conv_id`` answers document ``doc_id = conv_id``."""
+    """Chat responses table derived from the conversations: every assistant
+    turn of conversation ``conv_id`` answers document ``doc_id = conv_id``."""
     conv = read_table(spark, d, "conversations").filter(F.col("role") == "assistant")
-    first = conv.groupBy("conv_id").agg(F.min_by("text", "turn").alias("content"))
-    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("content").alias("content")).alias("message"))).alias("choices")))
-    return first.select(
-        F.col("conv_id").alias("doc_id"), F.lit(200).alias("status"), body.alias("body"),
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")).alias("message"))).alias("choices")))
+    return conv.select(
+        F.col("conv_id").alias("doc_id"), "turn", F.lit(200).alias("status"), body.alias("body"),
         F.lit(None).cast("string").alias("error"),
     )
 
@@ -122,8 +121,7 @@ def _split_sql(content: str) -> tuple[str, str]:
 
 RESP_SQL = """
 resp AS (
-  SELECT conv_id AS doc_id, arg_min(text, turn) AS content
-  FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+  SELECT conv_id AS doc_id, turn, text AS content FROM conversations WHERE role = 'assistant'
 )"""
 
 
@@ -227,7 +225,8 @@ def q_summary_parse(spark, d):
 
 def _final(spark, d):
     docs, resolved = _picks(spark, d)
-    return summarize(docs, pick_lists(resolved), responses_from_conversations(spark, d), opts=SOPTS, title=None)
+    return summarize(docs, pick_lists(resolved), responses_from_conversations(spark, d), opts=SOPTS, title=None,
+                     answer_keys="turn")
 
 
 @register(
@@ -235,11 +234,11 @@ def _final(spark, d):
     f"""
 WITH RECURSIVE {PICKS_SQL}, {RESP_SQL},
 f AS (
-  SELECT d.doc_id, coalesce(pl.texts, CAST([] AS VARCHAR[])) AS texts, d.lang, r.content,
+  SELECT d.doc_id, coalesce(pl.texts, CAST([] AS VARCHAR[])) AS texts, d.lang, r.turn, r.content,
          {_split_sql('r.content')[0]} AS api_text, {_split_sql('r.content')[1]} AS api_bullets
   FROM documents d LEFT JOIN pl USING (doc_id) LEFT JOIN resp r USING (doc_id)
 )
-SELECT doc_id,
+SELECT doc_id, turn,
        CASE WHEN content IS NOT NULL THEN api_text ELSE {_fallback_sql('texts')} END AS summary_text,
        CAST(CASE WHEN content IS NOT NULL THEN len(api_bullets) END AS BIGINT) AS n_bullets,
        CAST(CASE WHEN content IS NOT NULL THEN len(texts) END AS BIGINT) AS n_citations,
@@ -254,7 +253,7 @@ FROM f
 def q_summary_final(spark, d):
     s = _final(spark, d)
     return s.select(
-        "doc_id", "summary_text", F.size("bullets").cast("long").alias("n_bullets"),
+        "doc_id", "turn", "summary_text", F.size("bullets").cast("long").alias("n_bullets"),
         F.size("citations").cast("long").alias("n_citations"),
         F.coalesce(F.col("guardrails.filtered"), F.lit(False)).alias("filtered"),
         F.col("guardrails.reason").alias("reason"), "input_tokens", "output_tokens",
@@ -266,11 +265,11 @@ def q_summary_final(spark, d):
     "summary_citations",
     f"""
 WITH RECURSIVE {PICKS_SQL}, {RESP_SQL}
-SELECT pt.doc_id, CAST(pt.rank - 1 AS BIGINT) AS cite_pos, pt.segment_id, CAST(0 AS BIGINT) AS "start", CAST(0 AS BIGINT) AS "end"
+SELECT pt.doc_id, resp.turn, CAST(pt.rank - 1 AS BIGINT) AS cite_pos, pt.segment_id, CAST(0 AS BIGINT) AS "start", CAST(0 AS BIGINT) AS "end"
 FROM pt JOIN resp USING (doc_id)
 """,
 )
 def q_summary_citations(spark, d):
     s = _final(spark, d)
-    c = s.select("doc_id", F.posexplode("citations").alias("cite_pos", "c"))
-    return c.select("doc_id", F.col("cite_pos").cast("long").alias("cite_pos"), "c.segment_id", "c.start", "c.end")
+    c = s.select("doc_id", "turn", F.posexplode("citations").alias("cite_pos", "c"))
+    return c.select("doc_id", "turn", F.col("cite_pos").cast("long").alias("cite_pos"), "c.segment_id", "c.start", "c.end")

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: str | None = None
 
@@ -63,6 +64,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return _SCRATCH
 
 
+def write_scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in a new folder of the shared checkpoint folder
+    and read it back: cuts the lineage, survives lost executors, and later
+    reads prune columns.  Returns the rows and the folder."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders that no plan reads any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[int] = set()
 
 

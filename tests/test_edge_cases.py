@@ -23,10 +23,10 @@ def test_response_outcome_classes(spark):
     ]
     df = spark.createDataFrame(rows, "k int, status int, body string, error string")
     out = {r.k: r.o for r in df.select("k", response_outcome(F.col("status"), F.col("body"), F.col("error")).alias("o")).collect()}
-    assert out[1].failure == "API request failed: connection refused"
-    assert out[2].failure == "API request timed out"
-    assert out[3].failure == "API request failed with status 503: busy"
-    assert out[4].failure == "API returned no choices"
+    assert out[1].failure == "no answer, transport: connection refused"
+    assert out[2].failure == "no answer, time ran out"
+    assert out[3].failure == "refused, HTTP 503: busy"
+    assert out[4].failure == "answer has no choice"
     assert out[5].ok and out[5].content == "hi"
 
 

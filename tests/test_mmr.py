@@ -59,3 +59,42 @@ def test_grouped_and_lockstep_paths_agree(spark):
     ka = sorted((r.g, r.rank, r.pos) for r in a.collect())
     kb = sorted((r.g, r.rank, r.pos) for r in b.collect())
     assert ka == kb and len(ka) == 6 + 3 + 6
+
+
+@pytest.mark.parametrize("lam", [0.0, 0.3, 0.65, 1.0])
+def test_lazy_rounds_give_the_greedy_picks_with_any_list_length(spark, monkeypatch, lam):
+    """Near copies and exact ties, lists from one candidate to all rows."""
+    from parasift.operators import mmr
+
+    rng = np.random.default_rng(3)
+    u = np.repeat(_rand_unit(rng, 12, 4), 5, axis=0)
+    u[::7] = _rand_unit(rng, len(u[::7]), 4)
+    rep = np.round(u @ u.mean(axis=0), 3)  # ties among copies
+    want = _select_numpy(u, rep, 7, lam)[0]
+    df = spark.createDataFrame([(1, i, u[i].tolist(), float(rep[i])) for i in range(len(u))] + [(2, 0, [1.0, 0.0, 0.0, 0.0], 0.5), (2, 1, None, 0.9)],
+                               "g int, pos long, u array<double>, rep double").repartition(5)
+    spec = mmr.MMRSpec(("g",), "pos", "u", "rep", 7, lam)
+    for limit in (1, 3, 20, 1000):
+        got = sorted((r["g"], r["rank"], r["pos"]) for r in mmr._lazy_path(df, spec, 2, candidates=limit).collect())
+        assert got == [(1, n + 1, p) for n, p in enumerate(want)] + [(2, 1, 0)], limit
+
+
+def test_rounds_write_no_vectors_and_few_of_them(spark, monkeypatch):
+    from parasift.operators import mmr
+
+    rng = np.random.default_rng(5)
+    u = _rand_unit(rng, 400, 8)
+    rep = u @ _rand_unit(rng, 1, 8)[0]
+    df = spark.createDataFrame([(1, i, u[i].tolist(), float(rep[i])) for i in range(len(u))], "g int, pos long, u array<double>, rep double")
+    written = []
+    keep = mmr.write_scratch
+
+    def note(rows, name):
+        written.append((name, rows.columns))
+        return keep(rows, name)
+
+    monkeypatch.setattr(mmr, "write_scratch", note)
+    out = mmr._lazy_path(df, mmr.MMRSpec(("g",), "pos", "u", "rep", 5, 0.65), 1)
+    assert [r["pos"] for r in out.orderBy("rank").collect()] == _select_numpy(u, rep, 5, 0.65)[0]
+    assert [c for n, c in written if n == "mmr-picks"] and len([n for n, _ in written if n == "mmr-picks"]) <= 2
+    assert all("_u" not in c for n, c in written if n != "mmr-base")

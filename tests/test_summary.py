@@ -94,6 +94,23 @@ def test_summarize_api_fallback_and_missing_segment(spark):
     assert out2[1].input_tokens == 3 + 2 and out2[1].bullets is None
 
 
+def test_every_answer_of_a_document_has_its_row(spark):
+    docs = spark.createDataFrame([(1, "en"), (2, "en"), (3, "en")], "doc_id long, lang string")
+    picks = spark.createDataFrame([(1, ["One text."], ["s1"], None), (2, ["Two."], ["s2"], None)],
+                                  "doc_id long, texts array<string>, segment_ids array<string>, error string")
+    body = '{"choices":[{"message":{"role":"assistant","content":"%s"}}]}'
+    resp = spark.createDataFrame([(1, 0, 200, body % "A.", None), (1, 4, 200, body % "B.", None), (1, 6, 500, "x", None),
+                                  (2, 1, None, None, None), (1, 4, None, None, "late")],
+                                 "doc_id long, turn int, status int, body string, error string")
+    out = summarize(docs, picks, resp, answer_keys="turn")
+    rows = {(r.doc_id, r.turn): (r.summary_text, r.citations is not None) for r in out.collect()}
+    assert out.count() == len(rows) == 5
+    assert rows == {(1, 0): ("A.", True), (1, 4): ("B.", True), (1, 6): ("One text.", False), (2, 1): ("Two.", False),
+                    (3, None): ("", False)}
+    none = summarize(docs, picks, None, answer_keys="turn").collect()
+    assert sorted((r.doc_id, r.turn) for r in none) == [(1, None), (2, None), (3, None)]
+
+
 def test_fallback_matches_restatement_on_random_unicode(spark):
     import random
 
