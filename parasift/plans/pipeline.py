@@ -167,6 +167,11 @@ class PipelineResult:
     summary: DataFrame  # one summary per document
     observations: dict
 
+    def release(self) -> None:
+        """Give back the executors' copy of the parsed documents, once the
+        outputs are written.  They can still be read (and are parsed again)."""
+        self.documents.unpersist()
+
 
 def nest_analysis(selection: DataFrame, metrics: DataFrame, docs: DataFrame, keys, fingerprint: str) -> DataFrame:
     """Analysis records: ``keys, doc_id, model_fingerprint, top_segments[], metrics``."""
@@ -201,8 +206,9 @@ def run_pages(
 ) -> PipelineResult:
     """Pages ``(key, url, html)`` -> documents -> analysis -> summary.
 
-    The picks are materialised while the plan is built, the outputs are lazy;
-    per-stage row counts are collected with ``observe`` the first time each
+    The picks are materialised while the plan is built, the outputs are lazy
+    (``release`` the result after use; ``plans/stages.py`` has the same job
+    with every stage written and timed); per-stage row counts are collected with ``observe`` the first time each
     output is computed.
     """
     from pyspark.sql import Observation

@@ -36,6 +36,7 @@ def process_batch(batch: DataFrame, batch_id: int, out_dir: str, analyzer_opts=N
         (df.withColumn("batch_id", F.lit(int(batch_id)))
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("batch_id").parquet(f"{out_dir.rstrip('/')}/{name}"))
+    r.release()
 
 
 def start_pages_stream(
