@@ -181,7 +181,8 @@ class JaccardJoin:
         members = materialise(
             pairs.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("_id")), "a"), "jaccard-members")
         a_text = text.join(sized_side(members, F.lit(24)), "_id").select("a", "r", "_text")
-        full = a_text.join(sized_side(r_sets.select(F.col("cid").alias("r"), "tokens"), F.octet_length("tokens") + 8), "r")
+        # sets grow with the corpus: sorted and merged at every size
+        full = a_text.join(r_sets.select(F.col("cid").alias("r"), "tokens").hint("merge"), "r")
         found = _differences(full, self.words)
         return found.dropDuplicates(["a", "r"]) if self.repeated else found
 
@@ -231,7 +232,7 @@ class JaccardJoin:
         derived = side(1).join(sized_side(open_pairs, F.lit(40)), (F.col("a") == F.col("a1")) & (F.col("r") == F.col("r1")))
         derived = materialise(derived.select("a", "b", "r", "n1", "n2", "far1"), "jaccard-derived")
         derived = side(2).join(
-            sized_side(derived, F.size("far1") * 8 + 48), (F.col("b") == F.col("a2")) & (F.col("r") == F.col("r2")))
+            derived.hint("merge"), (F.col("b") == F.col("a2")) & (F.col("r") == F.col("r2")))
         apart = F.size("far1") + F.size("far2") - 2 * F.size(F.array_intersect("far1", "far2"))
         more = derived.where(self._near(apart, F.col("n1") + F.col("n2"))).select("a", "b")
         return materialise(links.unionByName(more), "jaccard-links")
