@@ -53,9 +53,10 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 _RUNS = re.compile(r"[a-zÀ-ÿ]{%d,}" % MIN_LETTERS)  # maximal: a shorter run has no such part
 
 
-def slip(doc_id: str, run: str) -> str:
-    """The run, one letter short if the checksum of id and run says so."""
-    h = zlib.crc32(f"{doc_id}:{run}".encode())
+def slip(seed: int, run: str) -> str:
+    """The run, one letter short if the checksum of id and run says so
+    (``seed``: the checksum of the id and a colon)."""
+    h = zlib.crc32(run.encode(), seed)
     if h % SLIP_ONE_IN:
         return run
     i = h % len(run)
@@ -70,8 +71,9 @@ def _count_batches(batches):
     counts = Counter()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            seed = zlib.crc32(f"{doc_id or ''}:".encode())
             for run, n in Counter(_RUNS.findall((text.as_py() or "").translate(_LOWER))).items():
-                word = slip(doc_id or "", run)
+                word = slip(seed, run)
                 if len(word) >= MIN_LETTERS:
                     counts[word] += n
             if len(counts) >= TABLE:
@@ -129,7 +131,8 @@ def _arrivals(words: DataFrame, groups: list[str]) -> DataFrame:
     """``key, own, word, n``: each word in its own block, in the blocks with a
     letter less and in those with a letter moved to an earlier group.  Of two
     neighbouring blocks exactly one sees the other's words."""
-    counts = _counts(F.col("word"), groups)
+    counts = [F.col(f"c{i}") for i in range(len(groups))]  # each counted once, in a projection of its own
+    counted = words.select("word", "n", *[c.alias(f"c{i}") for i, c in enumerate(_counts(F.col("word"), groups))])
 
     def moved(less, more=None):
         return _key([c - 1 if i == less else c + 1 if i == more else c for i, c in enumerate(counts)])
@@ -140,7 +143,7 @@ def _arrivals(words: DataFrame, groups: list[str]) -> DataFrame:
     places = [F.struct(_key(counts).alias("key"), F.lit(True).alias("own"))]
     places += [visit(i) for i in range(len(groups))]
     places += [visit(j, i) for i, j in combinations(range(len(groups)), 2)]
-    return (words.select("word", "n", F.explode(F.array_compact(F.array(*places))).alias("p"))
+    return (counted.select("word", "n", F.explode(F.array_compact(F.array(*places))).alias("p"))
             .select("p.key", "p.own", "word", "n"))
 
 
@@ -181,16 +184,18 @@ def gram_pairs(left: np.ndarray, right: np.ndarray, at_most: int = 2):
         cells = place[rows] + (np.arange(len(rows)) * len(used))[:, None]
         return np.bincount(cells.ravel(), minlength=len(rows) * len(used)).reshape(len(rows), len(used)).astype(dtype)
 
-    b = counts(right)
-    b2 = np.einsum("ij,ij->i", b, b)
+    def wide(rows, times, square, one):
+        """Counts with their squared norm, so that one product gives |a|^2 - 2ab + |b|^2."""
+        out = np.empty((len(rows), len(used) + 2), dtype)
+        c = counts(rows)
+        out[:, :-2], out[:, square], out[:, one] = times * c, np.einsum("ij,ij->i", c, c), 1
+        return out
+
+    b = wide(right, 1, -1, -2).T
     step = max(1, CELLS // max(len(right), 1))
     for lo in range(0, len(left), step):
-        a = counts(left[lo : lo + step])
-        gram = a @ b.T
-        gram *= -2
-        gram += np.einsum("ij,ij->i", a, a)[:, None]
-        gram += b2
-        i, j = np.nonzero(gram <= at_most)
+        cells = np.flatnonzero(wide(left[lo : lo + step], -2, -2, -1) @ b <= at_most)
+        i, j = np.divmod(cells, len(right))
         yield i + lo, j
 
 
