@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split into words by the tokenizer's pattern and distinct words are
-encoded: higher-order functions fold ranked merges over a word's bytes, looking
-ranks up in a literal map (buckets of a few entries, found by CRC-32, because a
-lookup in one big map literal scans it).  A byte is carried as the code point of
-the same value, so pieces are strings, pieces concatenate with ``concat`` and
-``decode`` puts the binary pieces together again.
+encoded: higher-order functions fold ranked merges over a word's array of
+bytes.  A piece is carried as its rank, so a merge looks up a pair of ranks and
+puts the rank it finds in their place.  The literal rank map of pairs is an
+array with a place for every pair of its own (a hash table whose displacements
+were chosen free of collisions), because a lookup in a map literal scans it.
+``decode`` puts the binary pieces of the ranks together again.
 
 Words are counted over all documents.  Those that occur most (``TABLE_WORDS`` at
 most, of at most ``TABLE_WORD_BYTES`` bytes: a proven bound) are folded once and
@@ -36,7 +37,11 @@ from pyspark.sql import types as T
 from .common import materialise, text_or_empty
 
 TABLE_WORDS, TABLE_WORD_BYTES, RANK_BUCKETS = 1 << 20, 32, 1 << 14
-ABSENT = 2**31 - 1
+#: A piece as one number: 16 bits of rank, 27 of place (a word is below 2^27 bytes), and above
+#: them the rank of the pair it begins.
+PIECE, PLACE_SHIFT, PAIR_SHIFT = (1 << 16) - 1, 16, 43
+PLACED, ABSENT = (1 << PAIR_SHIFT) - 1, (1 << 16) - 1
+ABSENT_PAIR = ABSENT << PAIR_SHIFT
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,10 +50,64 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class PairTable:
+    """Pairs of ranks and the rank of the piece they make, as two arrays.
+
+    ``(a, b)`` has the key ``a * 2^16 + b``; the displacement of its group,
+    found by one product, gives its own place in ``slots`` by another.  A slot
+    holds ``key * 2^16 + rank``, or -1.
+    """
+
+    FIRST, SECOND = 715827883, 805306457  # odd factors below 2^30: products of 32-bit keys fit 64 bits
+
+    def __init__(self, pairs: dict[int, int]):
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.groups, self.size = max(1, len(keys) // 3) | 1, max(1, len(keys) * 3 // 2) | 1
+        group, base = keys * self.FIRST % self.groups, keys * self.SECOND % self.size
+        shift, slots = np.zeros(self.groups, np.int64), np.full(self.size, -1, np.int64)
+        order = np.argsort(group, kind="stable")
+        count = np.bincount(group, minlength=self.groups)
+        start = np.concatenate([[0], np.cumsum(count)])
+        for g in np.argsort(-count, kind="stable")[: np.count_nonzero(count)].tolist():
+            mine = order[start[g] : start[g + 1]]
+            at = (base[mine]).tolist()
+            for d in range(self.size):
+                places = {(p + d) % self.size for p in at}
+                if len(places) == len(at) and all(slots[p] < 0 for p in places):
+                    break
+            else:
+                raise ValueError("two pairs of one group share every place")
+            shift[g] = d
+            slots[(base[mine] + d) % self.size] = keys[mine] << 16 | ranks[mine]
+        self.shift, self.slots = shift, slots
+
+    def literals(self) -> Column:
+        """Both arrays in one struct; constant-folded by the optimizer."""
+        return F.struct(F.from_json(F.lit(json.dumps(self.shift.tolist())), "array<int>").alias("shift"),
+                        F.from_json(F.lit(json.dumps(self.slots.tolist())), "array<bigint>").alias("slots"))
+
+    def rank(self, t: Column, a: Column, b: Column) -> Column:
+        """Rank of the piece that the pieces of ranks ``a`` and ``b`` make."""
+        key = F.shiftleft(a, 16).bitwiseOR(b)
+        place = (key * self.SECOND + F.get(t["shift"], (key * self.FIRST % self.groups).cast("int"))) % self.size
+        slot = F.get(t["slots"], place.cast("int"))
+        return F.when(F.shiftright(slot, 16) == key, slot.bitwiseAND(PIECE)).otherwise(F.lit(ABSENT))
+
+
+def rank_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """All pairs of pieces whose bytes together are a piece: key and rank."""
+    return {ranks[p[:i]] << 16 | ranks[p[i:]]: rank for p, rank in ranks.items() for i in range(1, len(p))
+            if p[:i] in ranks and p[i:] in ranks}
+
+
 class Codec:
-    """Column expressions for one vocabulary (its size bounds the literals)."""
+    """Column expressions for one vocabulary of at most 2^16 pieces that holds
+    every single byte (its size bounds the literals)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if max(ranks.values()) >= ABSENT or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must be below 65,535 and include every byte")
         self.pattern = "(?U)" + pattern
         buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
         pieces = [""] * (max(ranks.values()) + 1)
@@ -57,14 +116,8 @@ class Codec:
             buckets[zlib.crc32(s.encode()) % RANK_BUCKETS][s] = rank
             pieces[rank] = s
         self._buckets, self._pieces = json.dumps(buckets), json.dumps(pieces)
-
-    def _literal(self) -> Column:
-        return F.from_json(F.lit(self._buckets), "array<map<string,int>>")
-
-    @staticmethod
-    def _rank(buckets: Column, piece: Column) -> Column:
-        bucket = F.get(buckets, (F.crc32(piece.cast("binary")) % RANK_BUCKETS).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, piece), F.lit(ABSENT))
+        self._bytes = json.dumps([ranks[bytes([b])] for b in range(256)])
+        self._pairs = PairTable(rank_pairs(ranks))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -72,40 +125,41 @@ class Codec:
     def word_ids(self, word: Column) -> Column:
         """Ids of one word: a word of the vocabulary at once, any other by
         merging the adjacent pair of lowest rank, leftmost first, until no
-        pair is in the vocabulary.  The literal stands in the plan once, bound
+        pair is in the vocabulary.  The literals stand in the plan once, bound
         to a lambda's variable."""
-        return F.transform(F.array(self._literal()), lambda buckets: self._folded(word, buckets))[0]
-
-    def _folded(self, word: Column, buckets: Column) -> Column:
-        rank = lambda piece: self._rank(buckets, piece)
-        whole = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        one = F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0))
-        pair_ranks = lambda p: F.zip_with(
-            F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: rank(F.concat(a, b)))
-        start = F.transform(F.array(one), lambda p: F.struct(p.alias("p"), pair_ranks(p).alias("r")))[0]
-
-        def merge(state, _):
-            p, r = state["p"], state["r"]
-
-            def at(i):  # i: 1-based place of the pair to merge; its neighbours get new ranks
-                new = F.concat(F.get(p, i - 1), F.get(p, i))
-                left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(i < F.size(r), F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(
-                    F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right,
-                             F.slice(r, i + 2, F.size(r))).alias("r"),
-                )
-
-            low = F.array_min(r)
-            place = F.array_position(r, low).cast("int")
-            return F.when(low < ABSENT, F.transform(F.array(place), at)[0]).otherwise(state)
-
-        steps = F.when(F.char_length(whole) > 1, F.sequence(F.lit(1), F.char_length(whole) - 1)).otherwise(
-            F.array().cast("array<int>"))
-        merged = F.transform(F.aggregate(steps, start, merge)["p"], rank)
-        return F.transform(F.array(rank(whole)), lambda known: F.when(known < ABSENT, F.array(known)).otherwise(merged))[0]
+        tables = F.struct(F.from_json(F.lit(self._buckets), "array<map<string,int>>").alias("whole"),
+                          F.from_json(F.lit(self._bytes), "array<int>").alias("bytes"), self._pairs.literals().alias("pairs"))
+        return F.transform(F.array(tables), lambda t: self._folded(word, t))[0]
+
+    def _folded(self, word: Column, t: Column) -> Column:
+        """A piece is one number: rank of the pair it begins, place of its
+        first byte, own rank.  The least number is the pair to merge next."""
+        pair = lambda a, b: self._pairs.rank(t["pairs"], a, b)
+        piece = lambda s: s.bitwiseAND(F.lit(PIECE).cast("bigint"))
+        begins = lambda s, rank: s.bitwiseAND(F.lit(PLACED)).bitwiseOR(F.shiftleft(rank, PAIR_SHIFT))
+        text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a byte is the code point of its value
+        ranks = F.transform(F.split(text, ""), lambda c: F.get(t["bytes"], F.ascii(c)).cast("bigint"))
+        start = F.transform(F.array(ranks), lambda all_: F.transform(all_, lambda x, i: begins(
+            F.shiftleft(i.cast("bigint"), PLACE_SHIFT).bitwiseOR(x),
+            F.when(i + 1 < F.size(all_), pair(x, F.get(all_, i + 1))).otherwise(F.lit(ABSENT)))))[0]
+
+        def merge(s, _):
+            def at(least, i):  # i: 1-based place of the pair; it and the piece before it begin new pairs
+                new, after, before = F.shiftright(least, PAIR_SHIFT), F.get(s, i + 1), F.get(s, i - 2)
+                one = begins(least.bitwiseAND(F.lit(PLACED - PIECE)).bitwiseOR(new),
+                             F.when(after.isNull(), F.lit(ABSENT)).otherwise(pair(new, piece(after))))
+                both = F.when(i > 1, F.array(begins(before, pair(piece(before), new)), one)).otherwise(F.array(one))
+                return F.concat(F.slice(s, F.lit(1), F.greatest(i - 2, F.lit(0))), both, F.slice(s, i + 2, F.size(s)))
+
+            return F.transform(F.array(F.array_min(s)), lambda least: F.when(
+                least < F.lit(ABSENT_PAIR),
+                F.transform(F.array(F.array_position(s, least).cast("int")), lambda i: at(least, i))[0]).otherwise(s))[0]
+
+        steps = F.when(F.char_length(text) > 1, F.sequence(F.lit(1), F.char_length(text) - 1)).otherwise(F.array().cast("array<int>"))
+        merged = F.transform(F.aggregate(steps, start, merge), lambda s: piece(s).cast("int"))
+        bucket = F.get(t["whole"], (F.crc32(text.cast("binary")) % RANK_BUCKETS).cast("int"))
+        return F.transform(F.array(F.try_element_at(bucket, text)), lambda known: F.when(
+            known.isNotNull(), F.array(known)).otherwise(merged))[0]
 
     def decode(self, ids: Column) -> Column:
         """Bytes of the pieces of ``ids``, one after the other."""
@@ -115,7 +169,21 @@ class Codec:
 
 def vocabulary(words: DataFrame, codec: Codec) -> DataFrame:
     """``word, ids`` of the distinct words in column ``word``."""
-    return words.select("word").distinct().select("word", codec.word_ids(F.col("word")).alias("ids"))
+    return words.select("word", codec.word_ids(F.col("word")).alias("ids"))
+
+
+def _count_batches(batches):
+    """Words and their counts, one batch of texts at a time."""
+    for batch in batches:
+        bounds, flat = _lists(batch.column("words"))
+        for a, b in _slices(bounds, 1 << 22):
+            found = pc.value_counts(flat.slice(bounds[a], bounds[b] - bounds[a]))
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+
+def count_words(words: DataFrame) -> DataFrame:
+    """``word, n`` of a list column ``words``, combined in the task first."""
+    return words.select("words").mapInArrow(_count_batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def common_words(counts: DataFrame, most: int = TABLE_WORDS) -> DataFrame:
@@ -135,8 +203,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", keep: list[str
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     kept = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, codec.words(text_or_empty(docs[text_col])).alias("words"))
-    counts = materialise(
-        rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
+    counts = materialise(count_words(rows), "bpe-words")
     table = materialise(vocabulary(common_words(counts, table_words), codec), "bpe-table").toArrow()
     send = docs.sparkSession.sparkContext.broadcast
     known = send(_packed(table.column("word").combine_chunks().cast(pa.string())))
