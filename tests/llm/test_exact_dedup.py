@@ -27,17 +27,27 @@ def test_empty_table(make_docs):
 
 def test_index_persists_over_batches(spark, make_docs):
     index = DigestIndex(spark, buckets=4)
-    index.add(make_docs([(1, "a"), (2, "b"), (3, "B")]))
-    index.add(make_docs([(9, "A"), (10, "c")]))
+    assert index.add(make_docs([(1, "a"), (2, "b"), (3, "B")]))
+    assert not index.add(make_docs([(9, "A"), (10, "c")]))
     again = DigestIndex(spark, path=index.path, buckets=4)  # the files outlive the table
-    rows = {r["keep_id"] for r in again.rows().collect()}
-    assert rows == {1, 3, 10}  # a text seen before is not appended again
-    kept = keep_rows(make_docs([(20, "a"), (21, "new")]), index=again)
-    assert [r["doc_id"] for r in kept.collect()] == [21]
+    assert {(r["keep_id"], r["group_size"]) for r in again.rows().collect()} == {(9, 2), (3, 2), (10, 1)}
+    kept = keep_rows(make_docs([(8, "a"), (21, "new")]), index=again)
+    assert [r["doc_id"] for r in kept.collect()] == [21]  # 9 stays
+
+
+def test_largest_id_stays_over_batches(spark, make_docs):
+    index = DigestIndex(spark, buckets=4)
+    classify(make_docs([(1, "a"), (2, "A")]), index=index).collect()
+    rows = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in
+            classify(make_docs([(9, "a"), (10, "A"), (4, "b")]), index=index).collect()}
+    assert rows == {9: (10, 4, False), 10: (10, 4, True), 4: (4, 1, True)}
+    assert sorted(r["doc_id"] for r in keep_rows(make_docs([(11, "a"), (3, "B"), (12, None)]), index=index).collect()) == [11, 12]
+    plan = index.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_bucketed_index_is_not_shuffled(spark):
     index = DigestIndex(spark, buckets=8)
-    one, two = index.rows().select("digest").hint("merge"), index.rows().select("digest")
+    one, two = index.entries().select("digest").hint("merge"), index.entries().select("digest")
     plan = one.join(two, "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
