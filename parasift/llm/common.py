@@ -44,10 +44,13 @@ def without_rows(docs: DataFrame, dropped: DataFrame, repeated: bool) -> DataFra
     """``docs`` without the rows whose keys are in ``dropped`` (written, small
     rows); of rows equal in all columns one stays if there are any
     (``repeated``).  Texts move only if the dropped keys exceed a broadcast."""
-    gone = sized_side(dropped.select(F.col("_key").alias("_gone"), F.col("_key2").alias("_gone2")), F.lit(12))
-    kept = docs.select(*[docs[c] for c in docs.columns], *row_key(docs)).join(
-        gone, (F.col("_key") == F.col("_gone")) & (F.col("_key2") == F.col("_gone2")), "left_anti")
-    return (kept.dropDuplicates(["_key", "_key2"]) if repeated else kept).drop("_key", "_key2")
+    own = uuid.uuid4().hex  # no column of docs has such a name
+    one, two, gone_one, gone_two = (f"_{own}_{i}" for i in range(4))
+    key, key2 = row_key(docs)
+    gone = sized_side(dropped.select(F.col("_key").alias(gone_one), F.col("_key2").alias(gone_two)), F.lit(12))
+    kept = docs.select(*[docs[c] for c in docs.columns], key.alias(one), key2.alias(two)).join(
+        gone, (F.col(one) == F.col(gone_one)) & (F.col(two) == F.col(gone_two)), "left_anti")
+    return (kept.dropDuplicates([one, two]) if repeated else kept).drop(one, two)
 
 
 def ascii_lower(c: Column) -> Column:

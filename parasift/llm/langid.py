@@ -16,7 +16,6 @@ and extra columns pass through; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +28,15 @@ from .hashing import utf8_parts
 
 BUCKETS, SMOOTHING, PENALTY, STEPS = 1 << 14, 0.5, 3.0, 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter (Unicode category L: no number
+    signs such as the half, circled digits or Roman numerals)."""
+    return any(map(str.isalpha, text))
+
+
 def _grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of the trigram around each word byte (space outside of words),
     first byte of each word, and number of bytes of each word."""
@@ -132,7 +136,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     source = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_text_"))
 
     def one(text: str | None, like: np.ndarray):
-        if not len(like) or not model.langs or text is None or not _LETTER.search(text):
+        if not len(like) or not model.langs or text is None or not has_letter(text):
             return UNKNOWN, 0.0, []
         best, share = model.infer(like)
         return model.langs[best], float(min(1.0, share[best])), [

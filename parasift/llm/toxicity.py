@@ -234,6 +234,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the model does not reject."""
-    marked = score(docs.withColumn("_body", F.col(text_col)), model, "_body")
-    return marked.where("predicted = 0").select(*docs.columns)
+    """The rows of ``docs``, all columns as they are whatever their names, that
+    the model does not reject."""
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    marked = score(docs.select(*[docs[c].alias(n) for c, n in own.items()], docs[text_col].alias("body")), model, "body")
+    return marked.where("predicted = 0").select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -32,17 +32,68 @@ def test_language_mixture_and_edge_cases(spark, make_docs):
         "text string, lang string")
     model = langid.train(langid.count(learn))
     docs = make_docs([(1, "the house of the cat " * 20 + "das haus und die katze " * 10), (2, "the king and the cat"), (3, None), (4, ""),
-                      (5, "123 -- !!"), (None, "der könig " * 9), (7, "das haus " * 30_000)], extra=True)
+                      (5, "123 -- !!"), (8, "½ ² ①② Ⅷ 〇"), (None, "der könig " * 9), (7, "das haus " * 30_000)], extra=True)
     got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
     assert got[1]["lang_pred"] == "en" and set(got[1]["mixture"]) == {"en", "de"} and 0.5 < got[1]["score"] < 0.85
     assert got[2]["lang_pred"] == "en" and set(got[2]["mixture"]) == {"en"}
-    assert [got[i]["lang_pred"] for i in (3, 4, 5)] == ["und"] * 3 and got[3]["score"] == 0
+    assert [got[i]["lang_pred"] for i in (3, 4, 5, 8)] == ["und"] * 4 and got[3]["score"] == 0
     assert got[None]["lang_pred"] == "de" and got[7]["lang_pred"] == "de" and got[7]["id"] == "clash"
     none = langid.train(langid.count(learn.where("false")))
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.predict(make_docs([]), model).count() == 0
 
 
+def _mixture_by_rule(text, model):
+    """Proportions by EM and elimination, in plain Python."""
+    import math
+
+    folded = [c + 32 if 65 <= c < 91 else c if 97 <= c < 123 or c >= 128 else 32 for c in text.encode()]
+    words = bytes(folded).split(b" ")
+    langs = range(len(model.langs))
+    rows = []
+    for w in filter(None, words):
+        b = [32, *w, 32]
+        grams = [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32) >> 18 for i in range(len(w))]
+        rows.append([sum(float(model.logp[g][k]) for g in grams) for k in langs])
+    like = [[math.exp(x - max(r)) for x in r] for r in rows]
+
+    def em(chosen):
+        share = [1 / len(chosen)] * len(chosen)
+        for _ in range(langid.STEPS if len(chosen) > 1 else 0):
+            total = [sum(s * r[k] for s, k in zip(share, chosen)) for r in like]
+            new = [s * sum(r[k] / t for r, t in zip(like, total)) / len(like) for s, k in zip(share, chosen)]
+            moved, share = max(abs(a - b) for a, b in zip(new, share)), new
+            if moved < 1e-4:
+                break
+        whole = sum(share)
+        share = [s / whole for s in share]
+        return share, sum(math.log(sum(s * r[k] for s, k in zip(share, chosen))) for r in like)
+
+    chosen = list(langs)
+    share, fit = em(chosen)
+    while len(chosen) > 1:
+        least = share.index(min(share))
+        rest = chosen[:least] + chosen[least + 1 :]
+        share2, fit2 = em(rest)
+        if fit - fit2 > langid.PENALTY * math.log(len(rows) + 1):
+            break
+        chosen, share, fit = rest, share2, fit2
+    return {model.langs[k]: s for k, s in zip(chosen, share)}
+
+
+def test_language_mixture_equals_plain_em(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(langid.count(docs.where("doc_id % 3 > 0").select("text", "lang")))
+    few = docs.where("doc_id % 40 = 0").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in langid.predict(few, model).collect()}
+    for r in few.collect():
+        want = _mixture_by_rule(r["text"], model)
+        mine = got[r["doc_id"]]
+        assert set(mine["mixture"]) == {k for k, v in want.items() if v > 0}, r["doc_id"]
+        assert all(abs(mine["mixture"][k] - v) < 1e-6 for k, v in want.items() if v > 0)
+        assert abs(mine["score"] - max(want.values())) < 1e-6
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = dict(_rows("labels").select("doc_id, toxic").fetchall())
     rows = op8_toxicity(spark, SF).collect()
@@ -70,6 +121,45 @@ def test_toxic_words_are_learned_and_found_anywhere(make_docs):
     assert toxicity.score(make_docs([]), model).count() == 0
 
 
+def test_margin_equals_plain_compression():
+    """Window lengths by fresh compressors, one call a window."""
+    import zstandard
+
+    model = toxicity.train(_toxic_rows())
+
+    def length(window, content):
+        params = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_GREEDY, min_match=6, hash_log=14, chain_log=14, search_log=5, window_log=14,
+            target_length=0, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
+        return len(zstandard.ZstdCompressor(compression_params=params, **({"dict_data": held} if held else {})).compress(window))
+
+    for text in ["w3 vile w4", "plain words only here", " ".join(f"w{i}" for i in range(200)) + " scum and vile", ""]:
+        words = toxicity.words_of(text)
+        margins = [0]
+        for i in range(0, len(words), toxicity.WINDOW_WORDS):
+            codes = b"".join(toxicity.word_codes([w])[0] for w in dict.fromkeys(words[i : i + toxicity.WINDOW_WORDS]))
+            window = toxicity.PADDING + codes
+            margins.append(length(window, model.ordinary) - length(window, model.toxic))
+        assert model.scorer()(text)[0] == max(margins)
+
+
+def test_clean_rows_keep_their_columns(spark):
+    model = toxicity.train(_toxic_rows())
+    docs = spark.createDataFrame([(1, "w1 vile", "a", 5, "k", "b"), (2, "w1 w2", "x", 7, "y", None)],
+                                 "doc_id long, text string, score string, margin int, _body string, c0 string")
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.dtypes == docs.dtypes and [tuple(r) for r in kept.collect()] == [(2, "w1 w2", "x", 7, "y", None)]
+
+
+def test_rows_are_dropped_whatever_their_columns_are_named(spark):
+    from parasift.llm.common import row_key, without_rows
+
+    docs = spark.createDataFrame([(1, "a", 2), (2, "b", 3), (2, "b", 3)], "_key long, _gone string, _key2 int")
+    gone = docs.where("_key = 1").select(*row_key(docs))
+    assert [tuple(r) for r in without_rows(docs, gone, True).collect()] == [(2, "b", 3)]
+
+
 def test_toxic_passage_of_words_that_occurred_before():
     model = toxicity.Model(toxicity.segment_codes([b"vile ", b"scum ", b"filth ", b"creep "]), b"", 5)
     weak, filler = ["vile", "scum", "filth", "creep"], [f"w{i}" for i in range(400)]
