@@ -12,7 +12,9 @@ Words are counted over all documents.  Those that occur most (``TABLE_WORDS`` at
 most, of at most ``TABLE_WORD_BYTES`` bytes: a proven bound) are folded once and
 their ids sent to all tasks.  Every other word is folded where it occurs, once for
 each document that has it.  So the only shuffle is that of the word counts;
-neither texts nor word occurrences move.
+neither texts nor word occurrences move.  Word lists pass to the Python workers in
+batches of ``BATCH_ROWS`` texts, as a list takes several times the memory of its
+text; the ids are written before anything reads them.
 
 The result equals the tokenizer library's ordinary encoding (no special tokens)
 for the same ranks and pattern.  Edge cases: null text counts as empty and has
@@ -25,6 +27,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,25 @@ from pyspark.sql import types as T
 
 from .common import materialise, text_or_empty
 
-TABLE_WORDS, TABLE_WORD_BYTES, RANK_BUCKETS = 1 << 20, 32, 1 << 14
+TABLE_WORDS, TABLE_WORD_BYTES, RANK_BUCKETS = 1 << 19, 32, 1 << 14
 #: A piece as one number: 16 bits of rank, 27 of place (a word is below 2^27 bytes), and above
 #: them the rank of the pair it begins.
 PIECE, PLACE_SHIFT, PAIR_SHIFT = (1 << 16) - 1, 16, 43
 PLACED, ABSENT = (1 << PAIR_SHIFT) - 1, (1 << 16) - 1
 ABSENT_PAIR = ABSENT << PAIR_SHIFT
+BATCH_ROWS, _BATCH_CONF = 2_500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _small_batches(spark):
+    """Arrow batches of at most ``BATCH_ROWS`` rows for the jobs run inside."""
+    before = spark.conf.get(_BATCH_CONF)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -203,7 +219,8 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", keep: list[str
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     kept = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, codec.words(text_or_empty(docs[text_col])).alias("words"))
-    counts = materialise(count_words(rows), "bpe-words")
+    with _small_batches(docs.sparkSession):
+        counts = materialise(count_words(rows), "bpe-words")
     table = materialise(vocabulary(common_words(counts, table_words), codec), "bpe-table").toArrow()
     send = docs.sparkSession.sparkContext.broadcast
     known = send(_packed(table.column("word").combine_chunks().cast(pa.string())))
@@ -213,9 +230,13 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", keep: list[str
     same = [rows.schema[n] for n in names]
     coded = rows.mapInArrow(
         _coder(known, len(keep)),
-        T.StructType(list(same)).add("codes", T.ArrayType(T.IntegerType())).add("rare", T.ArrayType(T.StringType())))
+        T.StructType(list(same)).add("codes", T.BinaryType()).add("rare", T.ArrayType(T.StringType())))
     folded = coded.select(*names, "codes", F.transform("rare", codec.word_ids).alias("rare_ids"))
     out = folded.mapInArrow(_joiner(ids, len(keep)), T.StructType(list(same)).add("ids", T.ArrayType(T.IntegerType())))
+    with _small_batches(docs.sparkSession):
+        out = materialise(out, "bpe-ids")
+    for sent in (known, ids):
+        sent.destroy()
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids")
 
 
@@ -236,6 +257,12 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return offsets - offsets[0], column.flatten()
 
 
+def _blobs(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary value per row: the JVM passes it on as it is, where it would
+    copy a list number by number."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+
 def _slices(bounds: np.ndarray, limit: int = 1 << 18):
     """Runs of rows with about ``limit`` list elements, one row at least."""
     row, n = 0, len(bounds) - 1
@@ -256,6 +283,9 @@ def _coder(known, n: int):
             coded = flat.dictionary_encode()
             distinct, index = coded.dictionary, np.asarray(coded.indices)
             place = pc.fill_null(pc.index_in(distinct, value_set=table), -1).to_numpy(zero_copy_only=False)
+            own_columns = [pc.take(batch.column(i), pa.array(np.arange(batch.num_rows))) for i in range(n)]  # copies
+            del batch, flat, coded  # the words themselves are not needed any more
+            pa.default_memory_pool().release_unused()
             many = max(1, len(distinct))
             for a, b in _slices(bounds):
                 ends = bounds[a : b + 1] - bounds[a]
@@ -267,8 +297,8 @@ def _coder(known, n: int):
                 first = np.searchsorted(pairs // many, np.arange(b - a + 1))
                 codes[at] = -1 - (back - first[doc])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(a, b - a) for i in range(n)),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32())),
+                    [*(c.slice(a, b - a) for c in own_columns),
+                     _blobs(ends * 4, codes.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(first, pa.int32()), distinct.take(pa.array(pairs % many)))],
                     names=[*(f"k{i}" for i in range(n)), "codes", "rare"])
 
@@ -283,11 +313,12 @@ def _joiner(ids, n: int):
         table = table.to_numpy(zero_copy_only=False)
         table_size = np.diff(table_at)
         for batch in batches:
-            bounds, _ = _lists(batch.column("codes"))
-            for a, b in _slices(bounds):
+            column = batch.column("codes")
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            every = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            for a, b in _slices(at // 4):
                 part = batch.slice(a, b - a)
-                ends, codes = _lists(part.column("codes"))
-                codes = codes.to_numpy(zero_copy_only=False).astype(np.int64)
+                ends, codes = (at[a : b + 1] - at[a]) // 4, every[at[a] : at[b]].view(np.int32).astype(np.int64)
                 first, rare = _lists(part.column("rare_ids"))
                 rare_at, rare = _lists(rare)
                 doc = np.repeat(np.arange(b - a), np.diff(ends))
