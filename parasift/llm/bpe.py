@@ -195,6 +195,9 @@ def _count_batches(batches):
         for a, b in _slices(bounds, 1 << 22):
             found = pc.value_counts(flat.slice(bounds[a], bounds[b] - bounds[a]))
             yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+            del found
+        del batch, flat
+        pa.default_memory_pool().release_unused()  # a reused worker would hold it
 
 
 def count_words(words: DataFrame) -> DataFrame:

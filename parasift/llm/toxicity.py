@@ -26,9 +26,11 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -235,7 +237,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are whatever their names, that
-    the model does not reject."""
-    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    marked = score(docs.select(*[docs[c].alias(n) for c, n in own.items()], docs[text_col].alias("body")), model, "body")
-    return marked.where("predicted = 0").select(*[F.col(n).alias(c) for c, n in own.items()])
+    the model does not reject.  Only the text passes to the Python workers, once."""
+
+    @F.pandas_udf("int")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        margin = model.scorer()
+        for texts in batches:
+            yield pd.Series([int(model.score(margin(t)[0]) >= THRESHOLD) for t in texts], dtype="int32")
+
+    return docs.where(predicted(docs[text_col].cast("string")) == 0)
