@@ -304,6 +304,8 @@ def _coder(known, n: int):
                      _blobs(ends * 4, codes.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(first, pa.int32()), distinct.take(pa.array(pairs % many)))],
                     names=[*(f"k{i}" for i in range(n)), "codes", "rare"])
+            del distinct, index, place, own_columns
+            pa.default_memory_pool().release_unused()  # a reused worker would hold it
 
     return run
 
@@ -340,5 +342,7 @@ def _joiner(ids, n: int):
                     [*(part.column(i) for i in range(n)),
                      pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(flat))],
                     names=[*(f"k{i}" for i in range(n)), "ids"])
+                del part, codes, rare, doc, slot, take, from_rare, flat
+            pa.default_memory_pool().release_unused()
 
     return run
