@@ -1,25 +1,33 @@
 """Main-text extraction by wrapper induction.
 
 A layout is the path of elements and classes to the part of a page that holds most
-of its text.  Each layout that at least two pages and ``FREQUENT`` of a host's pages
-have (else the host's most frequent one) gets a wrapper.  Its base is the longest of
-``REFERENCES`` of its pages, chosen by hash.  Every page of the host is aligned with
-the base of its layout (of another layout: with the base that agrees most) by
-simple tree matching, by element kinds and, as far as they agree, classes (ids and
-classes of a single page do not matter).  The texts of each node are counted over
-all these pages, pages of equal text once: a node with one text in ``CONSTANT`` of
-them is template, the others are slots that vary.  The content slot is found from
-the root downwards: go to the child that holds most of the varying text, stay out
-of regions that markup names as navigation, advertising, forms, comments and the
-like, and stop where no child dominates or at a text block; an enclosing
-``article`` is taken whole.  The wrapper is the base without the inside of the
-content slot.
+of its text.  Each layout that at least two pages of a host have (else the host's
+most frequent one) gets a wrapper.  Its base is its page with the most elements.
+Neighbouring paragraphs, items or cells of one kind are one list slot of any length.
+Every page of the host is aligned with the base of its layout (of another layout:
+with the base that agrees most) by simple tree matching, by element kinds and, as
+far as they agree, classes (ids and classes of a single page do not matter); equal
+subtrees at both ends of two child lists are paired first, and of two lists with
+over ``CELLS`` pairs of children the n-th of each shape are paired in order.  The
+texts of each node are counted over all these pages, pages of equal text once: a
+node with one text in ``CONSTANT`` of them is template, the others are slots that
+vary.  The content slot is found from the root downwards: go to the child that
+holds most of the varying text and stop where no child dominates or at a text
+block; an enclosing ``article`` is taken whole.  At the edges of a slot that is no
+article, an element beside the text blocks with less than ``EDGE`` of the varying
+text is a slot of its own (an advert, a date line).  The wrapper is the base without
+the inside of the content slot.
 
 Every page is then aligned with its wrapper in the same way, and the text blocks in
 its content slot are its text; where nothing matches, the slot is found in the page
 alone.  Constant paragraphs and headings inside the slot are text that pages share
 and stay; other constant elements there (buttons, link bars) are template and go.
 
+Markup that names navigation, advertising, forms, comments and the like is left out
+on top of that.  A class counts only if all of its words do (``related-posts``, not
+``related-work``), never on inline elements nor on what holds the article; a form
+around the whole page is no form.
+
 Edge cases: null or empty html has the empty text; a null url is a host of its
 own; a host with one page is its own reference; repeated pages give repeated
 rows and teach nothing about what is constant; unclosed and misnested elements
@@ -33,7 +41,9 @@ import hashlib
 import html as _html
 import json
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,9 +52,9 @@ from pyspark.sql import types as T
 
 from .common import materialise, sized_side, text_or_empty
 
-REFERENCES = 6  # pages of which the longest is the outline of a layout; its texts come from all pages
-FREQUENT, CONSTANT = 0.01, 0.9
-DOMINANT = 0.6
+CONSTANT = 0.9
+DOMINANT, EDGE = 0.6, 0.2
+CELLS = 10_000
 MAX_DEPTH = 150  # elements nested deeper become siblings at this depth; their text stays
 
 _TOKEN = re.compile(
@@ -58,11 +68,14 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # HTML element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title select svg math object".split())
+RAW = set("script style noscript template iframe textarea title select svg object annotation annotation-xml".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var".split()
+    "span strike strong sub sup time tt u var "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mfenced mstyle mpadded "
+    "mphantom menclose mtable mtr mtd".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split())
 # An opening tag ends an open element of the same group.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -82,24 +95,70 @@ BOILERPLATE_NAMES = set(
     "pager popup promo promoted promotion related reply replies respond search share sharing sidebar sidebars signup "
     "skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets alert alerts".split()
 )
+# Words that say nothing about the kind of an element.
+NEUTRAL_NAMES = set(
+    "area articles bar block bottom box button buttons center column container content footer global group header icons inner item "
+    "items left link links list main outer page panel post posts primary right row secondary section site text title top "
+    "wrap wrapper".split()
+)
+PAGE_HOLDERS = {"form", "header", "aside", "dialog"}
+
+
+_NONE: frozenset[str] = frozenset()
 
 
 class Node:
-    __slots__ = ("children", "classes", "mark", "names", "tag", "text")
+    __slots__ = ("children", "classes", "mark", "names", "nodes", "off", "shape", "size", "tag", "text")
 
     def __init__(self, tag: str, names: str = "", classes: str = ""):
-        self.tag, self.names, self.mark = tag, names, False
-        self.classes = frozenset(classes.split())
+        self.tag, self.names, self.mark, self.off = tag, names, "", False
+        self.classes = frozenset(classes.split()) if classes else _NONE
         self.children: list[Node] = []  # text nodes have the tag "" and a text
         self.text = ""
-
-    def boilerplate(self) -> bool:
-        if self.tag in BOILERPLATE_TAGS:
+        self.size = 0  # code points of its own text
+        self.nodes: list[Node] = []
+        self.shape = 0
+
+
+@lru_cache(maxsize=100_000)
+def _named(names: str) -> bool:
+    """A class, id or role all of whose words name what is not the article."""
+    for token in names.split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        named = [w in BOILERPLATE_NAMES for w in words]
+        if any(named) and all(n or w in NEUTRAL_NAMES for n, w in zip(named, words)):
             return True
-        if not self.names or not any(w.lower() in BOILERPLATE_NAMES for w in _WORD.findall(self.names)):
-            return False
-        # a name such as has-sidebar on what holds the article is about its layout
-        return not any(n.tag in ("article", "main", "h1") for n in _elements(self))
+    return False
+
+
+def _settle(root: Node) -> Node:
+    """Sets ``off`` on the elements that markup names as something else than the article."""
+    off: list[tuple[Node, int, bool]] = []
+
+    def visit(node: Node) -> tuple[int, bool, str, bool]:
+        """Text kept inside, and whether an article is inside, the highest heading, whether a text block."""
+        tag, held, article, top, block = node.tag, node.size, False, "h9", False
+        for c in inner(node):
+            n, x, y, z = visit(c)
+            held, article, top, block = held + n, article or x, min(top, y), block or z
+        heading = top == "h1"
+        if tag in BOILERPLATE_TAGS:  # an article's own header with its title is content
+            node.off = not (tag in PAGE_HOLDERS and article or tag == "form" and heading or tag == "header" and top <= "h2")
+        elif node.names and tag not in ("html", "body", "article", "main") and not (article or heading):
+            node.off = _named(node.names)
+        if node.off:
+            off.append((node, held, block))
+            held = 0
+        top = min(top, tag) if tag in HEADINGS else top
+        return held, article or tag in ("article", "main"), top, block or tag in TEXT_BLOCKS and held > 0
+
+    kept, article, _, _ = visit(root)
+    if not article:  # a form around the whole page, or all of the page in an element of such a name
+        for node, held, block in off:
+            if block and held > kept and (node.tag == "form" or not kept and node.tag not in BOILERPLATE_TAGS and any(
+                    n.tag in HEADINGS for n in _elements(node))):
+                node.off = False
+    return root
 
 
 def parse(page: str | None) -> Node:
@@ -112,7 +171,7 @@ def parse(page: str | None) -> Node:
     def add_text(raw: str) -> None:
         if raw:
             node = Node("")
-            node.text = _html.unescape(raw)
+            node.text = _html.unescape(raw) if "&" in raw else raw
             add(node)
 
     def add(node: Node) -> None:
@@ -124,7 +183,8 @@ def parse(page: str | None) -> Node:
             return
         for k in range(len(stack) - 1, max(0, len(stack) - 1 - reach), -1):
             if stack[k].tag in tags:
-                held.subtract(n.tag for n in stack[k:])
+                for n in stack[k:]:
+                    held[n.tag] -= 1
                 del stack[k:]
                 return
             if stack[k].tag in scope:
@@ -134,15 +194,20 @@ def parse(page: str | None) -> Node:
         found = _TOKEN.search(page, at)
         if not found:
             add_text(page[at:])
-            return root
+            _measure(root)
+            return _settle(root)
         add_text(page[at : found.start()])
         at, tag = found.end(), (found[2] or "").lower()
         if not tag:
             continue
         if found[1]:
-            close({tag}, {"#root"}, len(stack))
+            if stack[-1].tag == tag:
+                stack.pop()
+                held[tag] -= 1
+            elif held[tag]:
+                close({tag}, {"#root"}, len(stack))
             continue
-        if tag in ENDS_P and tag != "p":
+        if tag in ENDS_P and tag != "p" and held["p"]:
             close({"p"}, SCOPES["p"] - {"div"} | {"article", "section"}, MAX_DEPTH)
         if tag in ENDS:
             close(ENDS[tag], SCOPES[tag] - ENDS[tag], MAX_DEPTH)
@@ -172,38 +237,117 @@ def own_text(node: Node) -> str:
     return "".join(parts)
 
 
+def inner(node: Node):
+    """The elements just below a node; inline ones are looked through."""
+    for c in node.children:
+        if c.tag in INLINE:
+            yield from inner(c)
+        elif c.tag and c.tag not in VOID:
+            yield c
+
+
+def _measure(node: Node) -> None:
+    node.size = len(squeeze(own_text(node)))
+    for c in inner(node):
+        _measure(c)
+
+
+def condense(node: Node) -> Node:
+    """The elements that ``match`` looks at: no inline ones, and neighbouring text
+    blocks of one kind without elements of their own are one node."""
+    out = Node(node.tag, node.names, " ".join(node.classes))
+    out.nodes, out.off = [node], node.off
+    for c in inner(node):
+        new, last = condense(c), out.children[-1] if out.children else None
+        if (last is not None and c.tag in TEXT_BLOCKS and last.tag == c.tag and not new.children and not last.children
+                and last.off == new.off and (last.classes & new.classes or not (last.classes or new.classes))):
+            last.nodes += new.nodes
+        else:
+            out.children.append(new)
+    return _shaped(out)
+
+
+def _shaped(node: Node) -> Node:
+    node.shape = hash((node.tag, *(c.shape for c in node.children)))
+    return node
+
+
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the heaviest set of node pairs of one tag that keeps
-    order and ancestry, by dynamic programming over the children of paired
-    nodes.  A pair weighs 1, and 1 more if a class is shared or neither has one."""
+    """Simple tree matching of two condensed trees: the heaviest set of node pairs
+    of one tag that keeps order and ancestry, by dynamic programming over the
+    children of paired nodes.  A pair weighs 1, and 1 more if a class is shared
+    or neither has one."""
+
+    def own(x: Node, y: Node) -> int:
+        return 2 if x.classes & y.classes or not (x.classes or y.classes) else 1
+
+    def alike(x: Node, y: Node) -> bool:
+        return x.tag == y.tag and x.shape == y.shape and own(x, y) == 2
 
     def size(x: Node, y: Node) -> tuple[int, list]:
-        own = 2 if x.classes & y.classes or not (x.classes or y.classes) else 1
-        xs, ys = ([c for c in n.children if c.tag and c.tag not in INLINE and c.tag not in VOID] for n in (x, y))
-        if not xs or not ys:
-            return own, [(x, y)]
-        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        xs, ys = x.children, y.children
+        total, pairs = own(x, y), [(x, y)]
+        start, end = 0, 0
+        least = min(len(xs), len(ys))
+        while start < least and alike(xs[start], ys[start]):
+            start += 1
+        while end < least - start and alike(xs[-1 - end], ys[-1 - end]):
+            end += 1
+        chosen = [*zip(xs[:start], ys[:start]), *(zip(xs[-end:], ys[-end:]) if end else ())]
+        xs, ys = xs[start : len(xs) - end], ys[start : len(ys) - end]
         kept: dict[tuple[int, int], tuple[int, list]] = {}
-        for i, p in enumerate(xs, 1):
-            for j, q in enumerate(ys, 1):
-                w = (0, [])
-                if p.tag == q.tag:
-                    w = kept[i, j] = size(p, q)
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w[0])
-        i, j, pairs = len(xs), len(ys), [(x, y)]
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                pairs += kept[i, j][1]
-                i, j = i - 1, j - 1
-        return best[-1][-1] + own, pairs
+        if len(xs) * len(ys) > CELLS:
+            chosen += _in_order(xs, ys)
+        elif xs and ys:
+            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+            for i, p in enumerate(xs, 1):
+                for j, q in enumerate(ys, 1):
+                    w = 0
+                    if p.tag == q.tag:
+                        kept[i, j] = size(p, q)
+                        w = kept[i, j][0]
+                    best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
+            i, j = len(xs), len(ys)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    total, pairs = total + kept[i, j][0], pairs + kept[i, j][1]
+                    i, j = i - 1, j - 1
+        for p, q in chosen:
+            w, inside = size(p, q)
+            total += w
+            pairs += inside
+        return total, pairs
 
     return size(a, b)[1] if a.tag == b.tag else []
 
 
+def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """The n-th child of a shape with the n-th of that shape, as many as keep the order."""
+    places, seen = defaultdict(list), Counter()
+    for j, y in enumerate(ys):
+        places[y.tag, y.shape].append(j)
+    found = []
+    for i, x in enumerate(xs):
+        key = x.tag, x.shape
+        if seen[key] < len(places.get(key, ())):
+            found.append((i, places[key][seen[key]]))
+            seen[key] += 1
+    tails, tops, before = [], [], [-1] * len(found)  # longest increasing subsequence
+    for k, (_, j) in enumerate(found):
+        at = bisect_left(tails, j)
+        tails[at:at + 1], tops[at:at + 1] = [j], [k]
+        before[k] = tops[at - 1] if at else -1
+    out, k = [], tops[-1] if tops else -1
+    while k >= 0:
+        out.append((xs[found[k][0]], ys[found[k][1]]))
+        k = before[k]
+    return out
+
+
 def squeeze(text: str) -> str:
     return " ".join(text.split())
 
@@ -211,35 +355,62 @@ def squeeze(text: str) -> str:
 def content_slot(root: Node, weight: dict[int, float] | None = None) -> Node:
     """The node that holds the varying text; ``weight`` by node id is its own
     varying text (by default all of its text)."""
+    return _slot_path(root, _totals(root, weight))[-1]
+
+
+def _totals(root: Node, weight: dict[int, float] | None = None) -> dict[int, float]:
+    """Varying text by node id, with all below it; elements named otherwise have none."""
     sums: dict[int, float] = {}
 
     def total(node: Node) -> float:
-        if node.tag and node.boilerplate():
+        if node.off:
             return 0.0
-        own = weight.get(id(node), 0.0) if weight is not None else float(len(squeeze(own_text(node))))
-        sums[id(node)] = own + sum(total(c) for c in node.children if c.tag and c.tag not in INLINE)
-        return sums[id(node)]
+        held = weight.get(id(node), 0.0) if weight is not None else float(node.size)
+        sums[id(node)] = held = held + sum(map(total, inner(node)))
+        return held
 
     total(root)
-    node, article = root, None
+    return sums
+
+
+def _slot_path(root: Node, sums: dict[int, float]) -> list[Node]:
+    path = [root]
     while True:
-        article = article or (node if node.tag == "article" else None)
-        children = [c for c in node.children if c.tag and sums.get(id(c), 0.0) > 0 and c.tag not in TEXT_BLOCKS]
+        node = path[-1]
+        if node.tag == "article":
+            return path
+        children = [c for c in inner(node) if sums.get(id(c), 0.0) > 0 and c.tag not in TEXT_BLOCKS]
         best = max(children, key=lambda c: sums[id(c)], default=None)
         if best is None or sums[id(best)] < DOMINANT * sums[id(node)]:
             break
-        node = best
-    if article is None:
-        articles = [n for n in _elements(node) if n.tag == "article" and not n.boilerplate()]
-        node = articles[0] if len(articles) == 1 else node
-    return article or node
+        path.append(best)
+    articles = [n for n in _elements(path[-1]) if n.tag == "article" and id(n) in sums]
+    return path + _way(path[-1], articles[0]) if len(articles) == 1 else path
+
+
+def _way(node: Node, below: Node) -> list[Node]:
+    """Nodes from under ``node`` down to ``below``."""
+    for c in inner(node):
+        if c is below:
+            return [c]
+        if rest := _way(c, below):
+            return [c, *rest]
+    return []
+
+
+def _edges(slot: Node, sums: dict[int, float]) -> list[Node]:
+    """Small elements before the first and after the last text block of a slot that is no article."""
+    if slot.tag in ("article", "main"):
+        return []
+    at = [k for k, c in enumerate(slot.children) if c.tag in TEXT_BLOCKS]
+    outer = [c for k, c in enumerate(slot.children) if at and not at[0] <= k <= at[-1]]
+    return [c for c in outer if c.tag in ("div", "section") and sums.get(id(c), 0.0) < EDGE * sums[id(slot)]]
 
 
 def _elements(node: Node):
-    for c in node.children:
-        if c.tag:
-            yield c
-            yield from _elements(c)
+    for c in inner(node):
+        yield c
+        yield from _elements(c)
 
 
 def text_code(text: str) -> int:
@@ -248,56 +419,53 @@ def text_code(text: str) -> int:
 
 def layout_of(root: Node) -> str:
     """Path to the part that holds most of a page's text, with classes without digits."""
-    slot = content_slot(root)
-
-    def path(node: Node) -> list[str] | None:
-        own = [".".join([node.tag, *sorted(c for c in node.classes if not any(x.isdigit() for x in c))])]
-        if node is slot:
-            return own
-        below = (path(c) for c in node.children if c.tag)
-        rest = next((x for x in below if x is not None), None)
-        return own + rest if rest is not None else None
-
-    return ">".join(path(root) or [])
+    return ">".join(".".join([n.tag, *sorted(c for c in n.classes if not any(x.isdigit() for x in c))])
+                    for n in _slot_path(root, _totals(root)))
 
 
 def _nearest(trees: dict[str, Node], root: Node) -> tuple[str, list[tuple[Node, Node]]]:
     """The layout of a page, or else the one that agrees most, and the matched nodes."""
-    own = layout_of(root)
+    own, page = layout_of(root), condense(root)
     if own in trees:
-        return own, match(trees[own], root)
-    return max(((k, match(t, root)) for k, t in sorted(trees.items())), key=lambda x: len(x[1]))
+        return own, match(trees[own], page)
+    return max(((k, match(t, page)) for k, t in sorted(trees.items())), key=lambda x: len(x[1]))
 
 
-def outline(node: Node, slot: Node | None = None) -> dict:
-    """The elements of a tree that ``match`` looks at; the inside of ``slot`` stays out."""
+def outline(node: Node, marks: dict[int, str] | None = None) -> dict:
+    """A condensed tree as plain values; of a marked slot only the marked children."""
+    marks = marks or {}
     out = {"t": node.tag, "n": node.names, "k": " ".join(sorted(node.classes))}
-    if node is slot:
-        return out | {"s": 1}
-    below = [outline(c, slot) for c in node.children if c.tag and c.tag not in INLINE and c.tag not in VOID]
+    if node.off:
+        out["o"] = 1
+    if mark := marks.get(id(node)):
+        out["m"] = mark
+    below = [outline(c, marks) for c in node.children]
     return out | ({"c": below} if below else {})
 
 
-def induce(packed: str, stats: dict[int, tuple[bool, int, float]]) -> dict:
+def induce(packed: str, stats: dict[int, tuple[bool, int, float]], pages: int) -> dict:
     """Wrapper of a layout from its base's outline (JSON) and, by place of a node in it:
     constant or not, code of the most frequent text, mean length of the texts."""
     base = _tree(json.loads(packed))
     nodes = [base, *_elements(base)]
     weight = {id(nodes[k]): size for k, (constant, _, size) in stats.items() if not constant}
-    slot = content_slot(base, weight)
+    sums = _totals(base, weight)
+    slot = _slot_path(base, sums)[-1]
+    marks = {id(slot): "slot"}
+    if pages > 1:
+        marks |= {id(c): "edge" for c in _edges(slot, sums)}
     inside = {id(n) for n in _elements(slot)}
     # constant elements inside the slot that are no paragraphs or headings
     fixed = sorted({code for k, (constant, code, _) in stats.items()
                     if constant and id(nodes[k]) in inside and nodes[k].tag not in TEXT_BLOCKS})
-
-    return {"tree": outline(base, slot), "fixed": fixed}
+    return {"tree": outline(base, marks), "fixed": fixed}
 
 
 def _tree(outline: dict) -> Node:
     node = Node(outline["t"], outline["n"], outline["k"])
-    node.mark = bool(outline.get("s"))
+    node.mark, node.off = outline.get("m", ""), bool(outline.get("o"))
     node.children = [_tree(c) for c in outline.get("c", [])]
-    return node
+    return _shaped(node)
 
 
 class Wrapper:
@@ -306,20 +474,19 @@ class Wrapper:
         held = json.loads(packed) if packed else {}
         self.trees = {k: _tree(w["tree"]) for k, w in held.items()}
         self.constants = {k: set(w["fixed"]) for k, w in held.items()}
-        self.fixed: set[int] = set()
 
     def extract(self, page: str | None) -> str:
         """Text of a page: blocks in page order, joined by one space."""
         root = parse(page)
         layout, pairs = _nearest(self.trees, root) if self.trees else ("", [])
-        self.fixed = self.constants.get(layout, set())
-        slot = next((y for x, y in pairs if x.mark), None)
-        blocks = self._blocks(slot) if slot is not None else []
+        slot = next((y.nodes[0] for x, y in pairs if x.mark == "slot"), None)
+        edges = {id(n) for x, y in pairs if x.mark == "edge" for n in y.nodes}
+        blocks = self._blocks(slot, edges, self.constants.get(layout, set())) if slot is not None else []
         if not any(blocks):
-            blocks = self._blocks(content_slot(root))
+            blocks = self._blocks(content_slot(root), set(), set())
         return " ".join(b for b in blocks if b)
 
-    def _blocks(self, slot: Node) -> list[str]:
+    def _blocks(self, slot: Node, edges: set[int], fixed: set[int]) -> list[str]:
         out, line = [], []
 
         def end() -> None:
@@ -332,17 +499,16 @@ class Wrapper:
                     line.append(c.text)
                 elif c.tag == "br":
                     line.append(" ")
-                elif c.tag in VOID or (c.boilerplate() and not _has_heading(c)):
-                    if c.tag not in INLINE:
-                        end()
                 elif c.tag in INLINE:
                     walk(c)
+                elif c.tag in VOID or c.off or id(c) in edges:
+                    end()
                 else:
                     end()
                     before = len(out)
                     walk(c)
                     end()
-                    if c.tag not in TEXT_BLOCKS and self.fixed and text_code(" ".join(filter(None, out[before:]))) in self.fixed:
+                    if fixed and c.tag not in TEXT_BLOCKS and text_code(" ".join(filter(None, out[before:]))) in fixed:
                         del out[before:]
 
         walk(slot)
@@ -350,43 +516,37 @@ class Wrapper:
         return out
 
 
-def _has_heading(node: Node) -> bool:
-    """An article's own header with its title is content."""
-    return node.tag == "header" and any(n.tag in ("h1", "h2") for n in _elements(node))
-
-
 def host_of(url: Column) -> Column:
     """Lower-case host of a url without port; empty for null."""
     return F.lower(F.regexp_extract(text_or_empty(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def bases(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, layout, base``: outline (JSON) of a page of each layout that a host has often."""
+    """``host, layout, base``: outline (JSON) of a page of each layout that a host has twice."""
     text = text_or_empty(F.col(html_col))
-    marks = [F.xxhash64(F.lit(k), F.col(url_col), text) for k in range(REFERENCES)]
-    rows = pages.where(F.length(text) > 0).select(host_of(F.col(url_col)).alias("host"), text.alias("html"), F.array(*marks).alias("marks"))
+    mark = F.xxhash64(F.col(url_col), text).alias("mark")
+    rows = pages.where(F.length(text) > 0).select(host_of(F.col(url_col)).alias("host"), text.alias("html"), mark)
 
     def layouts(batches):
         for batch in batches:
-            found = [layout_of(parse(p.as_py())) for p in batch.column("html")]
+            roots = [parse(p.as_py()) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), batch.column("marks"), pa.array(found, pa.string())], names=["host", "marks", "layout"])
-
-    least = rows.mapInArrow(layouts, "host string, marks array<long>, layout string").groupBy("host", "layout").agg(
-        F.count("*").alias("n"), *[F.min(F.col("marks")[k]).alias(f"m{k}") for k in range(REFERENCES)])
-    least = materialise(least, "layouts")
-    hosts = least.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("all"), F.max(F.struct("n", "layout"))["layout"].alias("most"))
-    often = least.join(hosts, F.col("host") == F.col("_host")).where(
-        (F.col("layout") == F.col("most")) | (F.col("n") >= 2) & (F.col("n") >= F.lit(FREQUENT) * F.col("all")))
-    often = often.select("_host", "layout", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(REFERENCES)]))).alias("mark"))
-    chosen = rows.select("host", "html", F.explode(F.array_distinct("marks")).alias("_mark")).join(
-        sized_side(often, F.lit(100)), (F.col("host") == F.col("_host")) & (F.col("_mark") == F.col("mark")))
-    # the longest, so that the base has every slot
-    chosen = chosen.groupBy("host", "layout").agg(F.max(F.struct(F.length("html").alias("size"), "html"))["html"].alias("html"))
+                [batch.column("host"), batch.column("mark"), pa.array([layout_of(r) for r in roots], pa.string()),
+                 pa.array([sum(1 for _ in _elements(condense(r))) for r in roots], pa.int64())], names=["host", "mark", "layout", "nodes"])
+
+    # the page with the most elements, so that the base has every slot
+    top = rows.mapInArrow(layouts, "host string, mark long, layout string, nodes long").groupBy("host", "layout").agg(
+        F.count("*").alias("n"), F.max(F.struct("nodes", "mark"))["mark"].alias("mark"))
+    top = materialise(top, "layouts")
+    hosts = top.groupBy(F.col("host").alias("_host")).agg(F.max(F.struct("n", "layout"))["layout"].alias("most"))
+    often = top.join(hosts, F.col("host") == F.col("_host")).where((F.col("layout") == F.col("most")) | (F.col("n") >= 2))
+    often = often.select("_host", "layout", F.col("mark").alias("_mark"))
+    chosen = rows.join(sized_side(often, F.lit(100)), (F.col("host") == F.col("_host")) & (F.col("_mark") == F.col("mark")))
+    chosen = chosen.groupBy("host", "layout").agg(F.max("html").alias("html"))
 
     def outlines(batches):
         for batch in batches:
-            packed = [json.dumps(outline(parse(p.as_py()))) for p in batch.column("html")]
+            packed = [json.dumps(outline(condense(parse(p.as_py())))) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("host"), batch.column("layout"), pa.array(packed, pa.string())], names=["host", "layout", "base"])
 
@@ -416,9 +576,9 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 trees, place = held[host]
                 root = parse(page.as_py())
                 layout, pairs = _nearest(trees, root)
-                whole = text_code(squeeze(" ".join(c.text for n in (root, *_elements(root)) for c in n.children if not c.tag)))
+                whole = text_code(squeeze(" ".join(own_text(n) for n in (root, *_elements(root)))))
                 for x, y in pairs:
-                    t = squeeze(own_text(y))
+                    t = squeeze(" ".join(map(own_text, y.nodes)))
                     if t:
                         out.append((host, layout, place[id(x)], text_code(t), len(t), whole))
             yield pa.RecordBatch.from_arrays(
@@ -440,7 +600,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             out = []
             for row in batch.to_pylist():
                 held = {s["node"]: (s["constant"], s["code"], s["size"] / row["pages"]) for s in row["stats"] or []}
-                out.append(json.dumps({row["layout"]: induce(row["base"], held)}, sort_keys=True)[1:-1])
+                out.append(json.dumps({row["layout"]: induce(row["base"], held, row["pages"] or 0)}, sort_keys=True)[1:-1])
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], names=["host", "part"])
 
     done = stats.select("host", "layout", "base", "pages", "stats").mapInArrow(induced, "host string, part string")

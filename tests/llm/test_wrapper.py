@@ -1,5 +1,7 @@
 import html
 import re
+import time
+from collections import Counter
 
 from parasift.llm import wrapper
 from parasift.llm.q_wrapper import op3_wrapper_extraction
@@ -89,13 +91,60 @@ def test_text_after_very_deep_elements_stays():
 
 
 def test_simple_tree_matching_keeps_order():
-    a = wrapper.parse("<ul><li>1</li><li>2</li></ul><p>x</p><div><p>y</p></div>")
-    b = wrapper.parse("<p>x</p><ul><li>1</li></ul><div><p>z</p><p>y</p></div>")
+    a = wrapper.condense(wrapper.parse("<ul><li>1</li><li>2</li></ul><p>x</p><div><p>y</p></div>"))
+    b = wrapper.condense(wrapper.parse("<p>x</p><ul><li>1</li></ul><div><p>z</p><p>y</p></div>"))
     pairs = [(x.tag, y.tag) for x, y in wrapper.match(a, b)]
     assert pairs[0] == ("#root", "#root") and all(x == y for x, y in pairs)
     assert len(pairs) == 5  # root, ul, one li, div, one p; the p before it would cross
 
 
+def test_no_text_goes_for_its_markup_names():
+    got = wrapper.Wrapper(None).extract
+    text = "<p>A first paragraph.</p><p>A second one.</p>"
+    want = "A first paragraph. A second one."
+    assert got(f"<body><form id='aspnetForm'><div>{text}</div></form></body>") == want
+    assert got(f"<body><form id='f'><nav><p>menu</p></nav><div>{text}</div></form><div>c</div></body>") == want
+    assert got("<article><p>See <a class='related'>other essay</a> and <span class='tags'>foo</span>, <span class='ad-hoc'>bar</span>.</p></article>") == (
+        "See other essay and foo, bar.")
+    for name in ("related-work", "notice-of-award", "comment-policy", "has-sidebar", "searchable"):
+        assert got(f"<article><h1>T</h1><section class='{name}'><p>Kept text.</p></section></article>") == "T Kept text."
+    for name in ("related-posts", "cookie-notice", "commentlist", "adBox", "site-sidebar sidebar-left", "social-share-buttons"):
+        assert got(f"<article><h1>T</h1><p>Kept.</p><div class='{name}'><p>Other text.</p></div></article>") == "T Kept."
+    assert got("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>") == "Let x=2 hold."
+    assert got("<nav><p>menu</p></nav><div class='ad'>Buy</div><article></article><form><p>Mail</p></form><footer>c</footer>") == ""
+    assert got("<article><font><nav><p>menu</p></nav><p>Inside.</p></font></article>") == "Inside."
+
+
+def test_many_siblings_are_aligned_in_linear_time():
+    def page(n, extra=""):
+        return ("<body><div>" + "".join(f"<p>par {i}</p>" for i in range(n)) + "</div><table>" + "".join(
+            f"<tr><td>{i}<td>{'<div>x</div>' if extra and i % 7 == 0 else i}" for i in range(n)) + "</table><dl>" + "".join(
+            f"<dt>k{i}<dd>v{i}{extra if i % 5 == 0 else ''}" for i in range(n)) + "</dl></body>")
+
+    a, b = (wrapper.condense(wrapper.parse(p)) for p in (page(5000), page(4000, "<div>y</div>")))
+    start = time.perf_counter()
+    pairs = wrapper.match(a, b)
+    assert time.perf_counter() - start < 20
+    kinds = Counter(x.tag for x, y in pairs)
+    assert kinds["tr"] > 3000 and kinds["dl"] == 1 and kinds["p"] == 1
+    assert [y.nodes[0].children[0].text for x, y in pairs if x.tag == "p"] == ["par 0"]
+
+
+def _stripped(page):
+    """A page without article tags and without class names."""
+    return re.sub(r"</?article>|\sclass=(?:\"[^\"]*\"|'[^']*')", "", page or "")
+
+
+def test_template_decides_on_stripped_pages(spark, sf_dir, duck):
+    want = duck.sql("SELECT page_id, url, html FROM pages").fetchall()
+    hosts = Counter(re.sub(r"^[a-z]+://([^/:?#]*).*", r"\1", u or "") for _, u, _ in want)
+    whole = {r["page_id"]: r["text"] for r in op3_wrapper_extraction(spark, sf_dir).collect()}
+    pages = spark.createDataFrame([(i, u, _stripped(h), "", "") for i, u, h in want], PAGES)
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(pages).collect()}
+    often = [i for i, u, _ in want if hosts[re.sub(r"^[a-z]+://([^/:?#]*).*", r"\1", u or "")] >= 3]
+    assert sum(got[i] == whole[i] for i in often) >= 0.95 * len(often)
+
+
 def test_query_returns_the_articles(spark, sf_dir, duck):
     def article(page):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page or "", re.S)[1]
