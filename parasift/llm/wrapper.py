@@ -108,12 +108,13 @@ _NONE: frozenset[str] = frozenset()
 
 
 class Node:
-    __slots__ = ("children", "classes", "mark", "names", "nodes", "off", "shape", "size", "tag", "text")
+    __slots__ = ("blocks", "children", "classes", "mark", "names", "nodes", "off", "shape", "size", "tag", "text")
 
     def __init__(self, tag: str, names: str = "", classes: str = ""):
         self.tag, self.names, self.mark, self.off = tag, names, "", False
         self.classes = frozenset(classes.split()) if classes else _NONE
         self.children: list[Node] = []  # text nodes have the tag "" and a text
+        self.blocks: list[Node] = []  # the elements just below it; inline ones are looked through
         self.text = ""
         self.size = 0  # code points of its own text
         self.nodes: list[Node] = []
@@ -138,7 +139,7 @@ def _settle(root: Node) -> Node:
     def visit(node: Node) -> tuple[int, bool, str, bool]:
         """Text kept inside, and whether an article is inside, the highest heading, whether a text block."""
         tag, held, article, top, block = node.tag, node.size, False, "h9", False
-        for c in inner(node):
+        for c in node.blocks:
             n, x, y, z = visit(c)
             held, article, top, block = held + n, article or x, min(top, y), block or z
         heading = top == "h1"
@@ -237,18 +238,24 @@ def own_text(node: Node) -> str:
     return "".join(parts)
 
 
-def inner(node: Node):
-    """The elements just below a node; inline ones are looked through."""
+def _gather(node: Node, parts: list[str], blocks: list[Node]) -> None:
     for c in node.children:
-        if c.tag in INLINE:
-            yield from inner(c)
-        elif c.tag and c.tag not in VOID:
-            yield c
+        if not c.tag:
+            parts.append(c.text)
+        elif c.tag == "br":
+            parts.append(" ")
+        elif c.tag in INLINE:
+            _gather(c, parts, blocks)
+        elif c.tag not in VOID:
+            blocks.append(c)
 
 
 def _measure(node: Node) -> None:
-    node.size = len(squeeze(own_text(node)))
-    for c in inner(node):
+    """Sets the size and the blocks of all elements."""
+    parts: list[str] = []
+    _gather(node, parts, node.blocks)
+    node.size = len(squeeze("".join(parts)))
+    for c in node.blocks:
         _measure(c)
 
 
@@ -257,13 +264,14 @@ def condense(node: Node) -> Node:
     blocks of one kind without elements of their own are one node."""
     out = Node(node.tag, node.names, " ".join(node.classes))
     out.nodes, out.off = [node], node.off
-    for c in inner(node):
+    for c in node.blocks:
         new, last = condense(c), out.children[-1] if out.children else None
         if (last is not None and c.tag in TEXT_BLOCKS and last.tag == c.tag and not new.children and not last.children
                 and last.off == new.off and (last.classes & new.classes or not (last.classes or new.classes))):
             last.nodes += new.nodes
         else:
             out.children.append(new)
+    out.blocks = out.children
     return _shaped(out)
 
 
@@ -366,7 +374,7 @@ def _totals(root: Node, weight: dict[int, float] | None = None) -> dict[int, flo
         if node.off:
             return 0.0
         held = weight.get(id(node), 0.0) if weight is not None else float(node.size)
-        sums[id(node)] = held = held + sum(map(total, inner(node)))
+        sums[id(node)] = held = held + sum(map(total, node.blocks))
         return held
 
     total(root)
@@ -379,7 +387,7 @@ def _slot_path(root: Node, sums: dict[int, float]) -> list[Node]:
         node = path[-1]
         if node.tag == "article":
             return path
-        children = [c for c in inner(node) if sums.get(id(c), 0.0) > 0 and c.tag not in TEXT_BLOCKS]
+        children = [c for c in node.blocks if sums.get(id(c), 0.0) > 0 and c.tag not in TEXT_BLOCKS]
         best = max(children, key=lambda c: sums[id(c)], default=None)
         if best is None or sums[id(best)] < DOMINANT * sums[id(node)]:
             break
@@ -390,7 +398,7 @@ def _slot_path(root: Node, sums: dict[int, float]) -> list[Node]:
 
 def _way(node: Node, below: Node) -> list[Node]:
     """Nodes from under ``node`` down to ``below``."""
-    for c in inner(node):
+    for c in node.blocks:
         if c is below:
             return [c]
         if rest := _way(c, below):
@@ -408,7 +416,7 @@ def _edges(slot: Node, sums: dict[int, float]) -> list[Node]:
 
 
 def _elements(node: Node):
-    for c in inner(node):
+    for c in node.blocks:
         yield c
         yield from _elements(c)
 
@@ -464,7 +472,7 @@ def induce(packed: str, stats: dict[int, tuple[bool, int, float]], pages: int) -
 def _tree(outline: dict) -> Node:
     node = Node(outline["t"], outline["n"], outline["k"])
     node.mark, node.off = outline.get("m", ""), bool(outline.get("o"))
-    node.children = [_tree(c) for c in outline.get("c", [])]
+    node.children = node.blocks = [_tree(c) for c in outline.get("c", [])]
     return _shaped(node)
 
 
@@ -529,10 +537,14 @@ def bases(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
     def layouts(batches):
         for batch in batches:
-            roots = [parse(p.as_py()) for p in batch.column("html")]
+            found, nodes = [], []
+            for page in batch.column("html"):
+                root = parse(page.as_py())
+                found.append(layout_of(root))
+                nodes.append(sum(1 for _ in _elements(condense(root))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), batch.column("mark"), pa.array([layout_of(r) for r in roots], pa.string()),
-                 pa.array([sum(1 for _ in _elements(condense(r))) for r in roots], pa.int64())], names=["host", "mark", "layout", "nodes"])
+                [batch.column("host"), batch.column("mark"), pa.array(found, pa.string()), pa.array(nodes, pa.int64())],
+                names=["host", "mark", "layout", "nodes"])
 
     # the page with the most elements, so that the base has every slot
     top = rows.mapInArrow(layouts, "host string, mark long, layout string, nodes long").groupBy("host", "layout").agg(
