@@ -11,10 +11,11 @@ their 3 n written symbols agree.  Bit sampling turns each walk into
 ``TABLES`` keys of ``SAMPLES`` positions; a window and an item with a key in
 common are a candidate pair (``WALKS`` x ``TABLES`` chances), and candidates are
 verified by their exact edit distance (the best substring around the window).
-The longer an item, the further the walks drift apart at the same share of edits (one
-sided ones most), so this is for items of up to ``SAMPLED_WORDS`` words.  Of a longer
-one every window that passes the q-gram bound below is verified: that bound, four
-in ten of its 3-grams, leaves few, and none is lost.
+The longer a string, the further the walks drift apart at the same share of edits (one
+sided ones most), so an item of over ``PART_WORDS`` words is cut into equal parts of
+at most that many.  If the item is within its distance, some part is within the
+same share of its own words; windows are part-sized, and a window that has a key in
+common with a part makes the whole item a candidate there.
 
 Which windows are embedded: every window that can be within the distance.  By
 the q-gram lemma it shares at least ``n + 1 - q - q * edits`` of the item's q-grams
@@ -41,7 +42,7 @@ from .common import materialise, row_key, without_rows
 from .hashing import Words, combine, mix, utf8_parts
 
 PERCENT, WALKS, TABLES, SAMPLES = 80, 8, 15, 3
-SAMPLED_WORDS = 40
+PART_WORDS = 40
 ITEM_BLOCK = 1 << 20
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint8)
 _PAD = np.uint64(0)
@@ -129,18 +130,24 @@ class Items:
                 maybe = np.zeros(1 << 20, bool)
                 maybe[gram >> np.uint64(44)] = True
                 self.grams[q] = (gram[head], np.append(head, len(gram)), item[order], place[order], maybe)
+        # parts of items: of which item, first word, words
+        cuts = [np.linspace(0, n, -(-n // PART_WORDS) + 1).astype(np.int64) for n in size.tolist()]
+        self.first_part = np.concatenate([[0], np.cumsum([len(c) - 1 for c in cuts])]).astype(np.int64)
+        self.part_item = np.repeat(np.arange(len(ids)), np.diff(self.first_part))
+        self.part_at = np.concatenate([np.zeros(0, np.int64), *(c[:-1] for c in cuts)])
+        self.part_size = np.concatenate([np.zeros(0, np.int64), *(np.diff(c) for c in cuts)])
         self.keys = {}
-        for n in np.unique(size[(size > 0) & (size <= SAMPLED_WORDS)]).tolist():
-            own = np.flatnonzero(size == n)
-            k = keys(np.stack([self.words[i] for i in own]))
+        for n in np.unique(self.part_size).tolist():
+            own = np.flatnonzero(self.part_size == n)
+            k = keys(np.stack([self.words[self.part_item[i]][self.part_at[i] : self.part_at[i] + n] for i in own]))
             flat, who = k.ravel(), np.repeat(own, k.shape[1])
             flat, who = flat[flat != 0], who[flat != 0]
             order = np.argsort(flat, kind="stable")
             self.keys[n] = (flat[order], who[order])
 
     def hits(self, words: np.ndarray, text_of: np.ndarray):
-        """Shared q-grams that enough others accompany: text, item, start of
-        the window they suggest."""
+        """Shared q-grams that enough others accompany: text, part of an item,
+        start of the window they suggest for it."""
         found = []
         for q, (gram, head, item, place, maybe) in self.grams.items():
             own = combine(words, q)
@@ -166,17 +173,20 @@ class Items:
         np.add.at(marks, np.flatnonzero(full), 1)
         np.add.at(marks, last[full] + 1, -1)
         keep = np.cumsum(marks)[:-1] > 0
-        return text_of[at[keep]], item[keep], (at - place)[keep]
+        at, item, place = at[keep], item[keep], place[keep]
+        # parts are in the order of items and their words, so is item * wide + first word
+        wide = int(self.size.max()) + 1
+        part = np.searchsorted(self.part_item * wide + self.part_at, item * wide + place, "right") - 1
+        return text_of[at], part, at - place + self.part_at[part]
 
     def search(self, words: np.ndarray, text_of: np.ndarray, bounds: np.ndarray):
         """Leaks in the texts of a part: ``text, item, distance, start, end``."""
-        text, item, start = self.hits(words, text_of)
+        text, part, start = self.hits(words, text_of)
         if not len(text):
             return
         start = np.clip(start, bounds[text], bounds[text + 1] - 1)
-        long = self.size[item] > SAMPLED_WORDS
-        pairs = set(zip(text[long].tolist(), item[long].tolist(), start[long].tolist(), strict=True))
-        sized = np.unique(np.stack([self.size[item], text, start])[:, ~long], axis=1)
+        pairs = set()
+        sized = np.unique(np.stack([self.part_size[part], text, start]), axis=1)
         for n in np.unique(sized[0]).tolist():
             _, t, s = sized[:, sized[0] == n]
             for lo in range(0, len(t), 4096):
@@ -191,7 +201,8 @@ class Items:
                 row = np.repeat(np.arange(len(tt)).repeat(mine.shape[1]), times)
                 ends = np.cumsum(times)
                 entry = np.repeat(left - (ends - times), times) + np.arange(ends[-1])
-                pairs.update(zip(tt[row].tolist(), who[entry].tolist(), ss[row].tolist(), strict=True))
+                begin = np.maximum(ss[row] - self.part_at[who[entry]], bounds[tt[row]])
+                pairs.update(zip(tt[row].tolist(), self.part_item[who[entry]].tolist(), begin.tolist(), strict=True))
         done: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: dict[tuple[int, int], int] = {}
         for t, i, s in sorted(pairs):

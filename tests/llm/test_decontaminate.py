@@ -79,7 +79,7 @@ def test_recall_at_the_largest_distance():
 
 
 @pytest.mark.parametrize("kind", ["deletions", "insertions", "mixed"])
-@pytest.mark.parametrize("n", [5, 10, 20, 30, 40, 41, 60, 100, 200, 400])
+@pytest.mark.parametrize("n", [5, 10, 20, 30, 40, 41, 60, 81, 100, 200, 400])
 def test_recall_at_the_largest_distance_by_length_and_kind(n, kind):
     assert recall(n, kind) >= 0.95
 
