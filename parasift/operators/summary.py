@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import estimate_tokens, utf8_prefix, utrim
 from ..options import SummarizerOptions
+from .key_filter import key_bitmap, may_hold
 
 # Prompt fragments, fallback rule and guardrail texts.
 PROMPT_TITLE = "Document Title: "
@@ -57,7 +58,7 @@ def _keys(keys):
 
 
 # ---------------------------------------------------------------- U1 / U13
-def resolve_picks(selection: DataFrame, segments: DataFrame, keys=("doc_id",)) -> DataFrame:
+def resolve_picks(selection: DataFrame, segments: DataFrame, keys=("doc_id",), filter_rows: int | None = None) -> DataFrame:
     """Attach the text to every pick (left join on key + segment id).
 
     Segments are first reduced to one row per (key, segment_id) — the last
@@ -69,6 +70,8 @@ def resolve_picks(selection: DataFrame, segments: DataFrame, keys=("doc_id",)) -
     # only segments that some pick names are grouped; a small pick table is
     # broadcast by the planner, and then no segment text is shuffled at all
     wanted = selection.select(*k, "segment_id").distinct()
+    if filter_rows:
+        segments = may_hold(segments, key_bitmap(wanted, k + ["segment_id"], filter_rows), k + ["segment_id"], filter_rows)
     named = segments.join(wanted, k + ["segment_id"], "left_semi")
     seg1 = named.groupBy(*k, "segment_id").agg(F.max_by("text", "position").alias("text"))
     out = selection.join(seg1, k + ["segment_id"], "left")

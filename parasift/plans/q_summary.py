@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.key_filter import FILTER_ROWS
 from ..operators.segments import explode_segments
 from ..operators.summary import (
     FALLBACK_MIN_REMAINDER,
@@ -46,7 +47,7 @@ def _picks(spark, d, resolve: bool = False):
     segs = explode_segments(docs, "doc_id", "text")
     a = analyze(segs, docs.select("doc_id"), "doc_id", HashingEmbedder(DIM), OPTS)
     if resolve:
-        return docs, resolve_picks(a.selection.select("doc_id", "rank", "segment_id"), segs)
+        return docs, resolve_picks(a.selection.select("doc_id", "rank", "segment_id"), segs, filter_rows=FILTER_ROWS)
     return docs, a.selection.select("doc_id", "rank", "segment_id", "text")
 
 
