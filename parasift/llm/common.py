@@ -11,6 +11,8 @@ from parasift.session import ensure_checkpoint_dir
 
 #: Largest side of a join that is broadcast; beyond it the join sorts and merges.
 BROADCAST_BYTES = 16 << 20
+#: Setting that removes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,9 +23,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
-    lineage, survives lost executors, and later reads prune columns."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    lineage, survives lost executors, and later reads prune columns.  The
+    shuffle files of the write go when it ends: nothing reads them again."""
+    return materialise_at(df, scratch_path(df.sparkSession, name))
+
+
+def materialise_at(df: DataFrame, path: str) -> DataFrame:
+    """:func:`materialise` in the folder ``path``, for tables that are removed
+    as soon as their last reader is done."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -41,7 +41,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, sized_side, without_rows
+from parasift.session import remove_scratch
+
+from .common import materialise, materialise_at, row_key, scratch_path, sized_side, without_rows
 from .components import components
 from .hashing import mix, shingle_sets, utf8_parts
 
@@ -151,7 +153,11 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 80):
         self.words, self.percent, self.id_col = words, percent, id_col
         self.texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        self.sets = materialise(_sets(self.texts, words, percent), "jaccard-sets")
+        spark = docs.sparkSession
+        #: Folders of tables that go once the star is written: index keys, sets of representatives.
+        self._keys_at, self._rep_sets_at = scratch_path(spark, "jaccard-keys"), scratch_path(spark, "jaccard-rep-sets")
+        self._keyed = materialise_at(_sets(self.texts, words, percent), self._keys_at)
+        self.sets = materialise(self._keyed.select("id", "n", "cid"), "jaccard-sets")
         #: Whether some id occurs twice: then a class may have several texts.
         self.repeated = self.sets.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count() > 0
         #: One row per distinct non-empty set: its content id, size, an input id that has it.
@@ -163,7 +169,7 @@ class JaccardJoin:
         by = W.partitionBy("key")
         # one document of each class enters the index, so copies make no long list
         one = sized_side(self.classes.select(F.col("cid").alias("_cid"), "rep"), F.lit(16))
-        entered = self.sets.where(F.size("keys") > 0).join(
+        entered = self._keyed.where(F.size("keys") > 0).join(
             one, (F.col("cid") == F.col("_cid")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
         return (
             entered.select("cid", F.explode("keys").alias("key")).withColumn("r", F.min("cid").over(by))
@@ -177,7 +183,7 @@ class JaccardJoin:
         reps = pairs.select(F.col("r").alias("cid")).distinct().join(classes.select("cid", F.col("rep").alias("_id")), "cid")
         reps = materialise(reps, "jaccard-reps")
         r_text = text.join(sized_side(reps, F.lit(16)), "_id").dropDuplicates(["cid"])
-        r_sets = materialise(_tokens(r_text.select("cid", "_text"), self.words), "jaccard-rep-sets")
+        r_sets = materialise_at(_tokens(r_text.select("cid", "_text"), self.words), self._rep_sets_at)
         members = materialise(
             pairs.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("_id")), "a"), "jaccard-members")
         a_text = text.join(sized_side(members, F.lit(24)), "_id").select("a", "r", "_text")
@@ -191,9 +197,13 @@ class JaccardJoin:
         return (100 + self.percent) * far <= (100 - self.percent) * n
 
     def links(self) -> DataFrame:
-        """Class links ``a, b`` that together connect what the join connects."""
-        p = self.percent
-        star = materialise(self._compared(materialise(self._star(), "jaccard-star-pairs")), "jaccard-star")
+        """Class links ``a, b`` that together connect what the join connects
+        (called once: it removes the index keys)."""
+        p, spark = self.percent, self.texts.sparkSession
+        pairs = materialise(self._star(), "jaccard-star-pairs")
+        remove_scratch(spark, self._keys_at)
+        star = materialise(self._compared(pairs), "jaccard-star")
+        remove_scratch(spark, self._rep_sets_at)
         d = F.size("far").cast("long")
         known = star.select("a", "r", "na", d.alias("d"), self._near(d, F.col("na") + F.col("nr")).alias("near"))
         links = known.where("near").select("a", F.col("r").alias("b"))
