@@ -110,3 +110,19 @@ def test_renderers_cap_links_at_twenty(spark):
     m_lines = r.m.split("\n")
     assert "## Links (25)" in m_lines and "- [L19](/l19)" in m_lines and "- ... and 5 more links" in m_lines
     assert r.m.startswith("# T\n\n## Headings\n- H\n\n## Content\n")
+
+
+def test_pages_are_parsed_in_bounded_pieces(spark):
+    import pyarrow as pa
+
+    from parasift.sources.html_nodes import PIECE_CHARS, _pieces, parse_nodes
+
+    pages = ["<p>a paragraph of words</p>" * 400, None, "", "<title>t</title>" + "<p>x</p>" * PIECE_CHARS] + ["<a href='u'>b</a>" * 100] * 500
+    pieces = list(_pieces(pa.array(pages, pa.string())))
+    ends = [s + len(n) for s, n in pieces]
+    assert [s for s, _ in pieces] == [0, *ends[:-1]] and ends[-1] == len(pages) and len(pieces) > 3
+    assert all(sum(len(h or "") for h in pages[s:e - 1]) < PIECE_CHARS for (s, _), e in zip(pieces, ends))
+    assert [n for _, nodes in pieces for n in nodes] == [parse_nodes(h) for h in pages]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages) if i != 3], "page_id long, url string, html string").coalesce(1)
+    rows = {r.page_id: len(r.links) for r in extract_pages(df, keep=["page_id"]).select("page_id", "links").collect()}
+    assert rows == {i: 100 if i > 3 else 0 for i in range(len(pages)) if i != 3}
