@@ -2,8 +2,9 @@
 
 A model pads every batch to its longest text, so a batch of mixed lengths is
 mostly padding.  Here texts are dealt to partitions by ranges of (length
-bucket, text hash): a bucket that holds most texts spans several partitions,
-and within a partition batches follow the buckets.
+bucket, text hash) of about the same rows and bytes: a bucket that holds most
+texts spans several partitions, and within a partition batches follow the
+buckets.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 from .embed import hash_tokens
 
 BUCKET_STEP, MAX_LEN = 16, 512
+#: Bytes of text that a partition is dealt at most (one longer text alone may exceed them).
+PART_BYTES = 64 << 20
+_HASH_STEPS = 1 << 30
 
 
 def token_count(text, max_len: int = MAX_LEN) -> Column:
@@ -30,12 +34,32 @@ def length_bucket(tokens: Column, step: int = BUCKET_STEP, max_len: int = MAX_LE
 
 def by_length(df: DataFrame, partitions: int, text: str = "text", step: int = BUCKET_STEP, max_len: int = MAX_LEN) -> DataFrame:
     """Rows of ``df`` in partitions of about equal size that follow the length
-    buckets, in bucket order within each; the columns stay as they are."""
+    buckets, in bucket order within each; the columns stay as they are.
+
+    The size of a row counts half by rows and half by bytes of text, so of ``n``
+    partitions none has more than about ``2 / n`` of either.  There are
+    ``partitions`` of them, or as many as keep each below ``PART_BYTES``.  Runs a
+    job that measures the buckets, so ``df`` is computed twice.
+    """
     at = "_bucket"
     while at in df.columns:
         at += "_"
     d = df.withColumn(at, length_bucket(token_count(text, max_len), step, max_len))
-    return d.repartitionByRange(partitions, F.col(at), F.xxhash64(text)).sortWithinPartitions(at).drop(at)
+    sizes = d.groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)).alias("b")).orderBy(at).collect()
+    if not sizes:
+        return df.limit(0)
+    rows, total = sum(r["n"] for r in sizes), sum(r["b"] for r in sizes)
+    parts = max(int(partitions), -(-2 * total // PART_BYTES))
+    # a row's place in 0..1: the buckets below, and its hash's share of its own
+    before, spans = 0.0, []
+    for r in sizes:
+        width = (r["n"] / rows + r["b"] / max(total, 1)) / (2 if total else 1)
+        spans += [F.lit(r[at]), F.struct(F.lit(before).alias("before"), F.lit(width).alias("width"))]
+        before += width
+    span = F.element_at(F.create_map(*spans), F.col(at))
+    share = F.pmod(F.xxhash64(text), F.lit(_HASH_STEPS)) / F.lit(float(_HASH_STEPS))
+    place = F.floor((span["before"] + share * span["width"]) * parts).cast("int")
+    return d.repartitionById(parts, F.least(F.coalesce(place, F.lit(0)), F.lit(parts - 1))).sortWithinPartitions(at).drop(at)
 
 
 def batch_padding(df: DataFrame, batch_size: int, text: str = "text", max_len: int = MAX_LEN) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators.rerank import EMPTY_DOCUMENT_QUERY, rerank_query
 from ..operators.segments import explode_segments, title_fallback
 from ..operators.summary import request_body
 from ..options import SummarizerOptions
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_scratch
 from ..sources.tables import read_table
 from . import oracle_sql as S
 from .q_documents import SEG_SQL
@@ -99,7 +99,9 @@ def q_length_batches(spark, d):
     """Distinct segments dealt by length: padding of each bucket, and what a
     fixed window would pad."""
     segs = explode_segments(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    dealt = by_length(segs.select("text").distinct(), spark.sparkContext.defaultParallelism)
+    # written, as dealing reads them twice
+    texts, _ = write_scratch(segs.select("text").distinct(), "length-texts")
+    dealt = by_length(texts, spark.sparkContext.defaultParallelism)
     n = dealt.select(token_count("text").alias("n"))
     return n.groupBy(length_bucket(F.col("n")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("texts"), F.sum("n").cast("long").alias("tokens"),

@@ -103,3 +103,21 @@ def test_text_shuffled_follows_the_picks(spark):
         assert sorted(reduced.collect()) == sorted(plain.collect()) and reduced.count() == 160
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_length_batches_hold_equal_bytes_in_partitions_that_follow_the_input(spark, monkeypatch):
+    from parasift.operators import length_batches
+
+    name = F.col("id").cast("string")
+    texts = spark.range(400).select(F.concat(F.lit("short "), name).alias("text")).union(
+        spark.range(400).select(F.concat(F.repeat(F.lit("one "), 400), F.repeat(F.lit("x"), 20000), name)))
+
+    def parts(df):
+        return [r["b"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text")).alias("b")).orderBy("p").collect()]
+
+    held = parts(by_length(texts, 4))
+    assert len(held) == 4 and max(held) < 0.45 * sum(held)
+    monkeypatch.setattr(length_batches, "PART_BYTES", 1 << 19)
+    dealt = by_length(texts, 4)
+    assert max(parts(dealt)) < 2 * (1 << 19) and dealt.count() == 800 and dealt.columns == ["text"]
+    assert sorted(r["text"] for r in dealt.collect()) == sorted(r["text"] for r in texts.collect())
