@@ -17,7 +17,7 @@ from ..functions.ids import model_fingerprint
 from ..operators.embed import HashingEmbedder
 from ..operators.segments import explode_segments
 from ..operators.store import EmbeddingStore, hit_miss_stats, lookup, lookup_flagged, store_keys, store_stats
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_scratch
 from ..sources.tables import read_table
 from . import oracle_sql as S
 from .q_documents import DIM, UNIQ_SQL
@@ -138,16 +138,19 @@ def q_store_read_through(spark, d):
     """Three runs over one store (English documents, all, all again) and one
     of another model: vectors of the third run, embedder calls of each."""
     segs, uniq, _ = _setup(spark, d)
-    texts = segs.select("segment_id", "text").distinct()
+    # written: every run reads the distinct texts
+    marked, _ = write_scratch(segs.groupBy("segment_id", "text").agg(
+        F.max(F.col("lang") == PRIOR_LANG).alias("prior")), "store-texts")
+    texts = marked.select("segment_id", "text")
     store, calls = _store(spark), []
     store.read_through(texts, HashingEmbedder(DIM // 2))
-    for run in (segs.filter(F.col("lang") == PRIOR_LANG).select("segment_id", "text").distinct(), texts, texts):
+    for run in (marked.filter("prior").select("segment_id", "text"), texts, texts):
         vectors = store.read_through(run, EMB)
         calls.append(store.last_run.embedder_calls)
     counts = [F.lit(n).cast("long").alias(f"calls_{i + 1}") for i, n in enumerate(calls)]
     entries = store.read(EMB.fingerprint).count(), store.read_all().count()
     return vectors.select(
-        "segment_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_nonzero"), *counts,
+        "segment_id", F.size(F.array_remove("embedding", F.lit(0).cast("float"))).cast("long").alias("n_nonzero"), *counts,
         F.lit(entries[0]).cast("long").alias("entries"), F.lit(entries[1]).cast("long").alias("all_entries"))
 
 

@@ -39,3 +39,18 @@ def test_masked_mean_pool_all_masked_is_zero(spark):
     assert _one(spark, masked_mean_pool("t", "m"), s, ([[1.0, 2.0], [3.0, 4.0]], [1, 0])) == [1.0, 2.0]
     assert _one(spark, masked_mean_pool("t", "m"), s, ([[1.0, 2.0], [3.0, 4.0]], [1, 1])) == [2.0, 3.0]
     assert _one(spark, masked_mean_pool("t", "m"), s, ([[1.0, 2.0], [3.0, 4.0]], [0, 0])) == [0.0, 0.0]
+
+
+def test_valid_vectors_without_a_call_per_component(spark):
+    from parasift.functions.vectors import is_valid_vector
+
+    nan, inf = float("nan"), float("inf")
+    cases = [([1.0, 0.0], True), ([], True), (None, False), ([None], False), ([1.0, None], False), ([None, None], False), ([nan], False),
+             ([1.0, nan], False), ([inf, 1.0], False), ([1.0, -inf], False), ([nan, -inf], False), ([None, inf], False), ([-0.0], True)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], f"i int, v array<{kind}>")
+        out = df.select("i", is_valid_vector("v").alias("ok"), is_valid_vector("v", 2).alias("ok2"))
+        assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+        for r in out.collect():
+            v, ok = cases[r["i"]]
+            assert (r["ok"], r["ok2"]) == (ok, ok and len(v) == 2), v
