@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import combined_fingerprint
-from ..operators.analysis import analyze_groups, pick_stats
+from ..functions.vectors import l2_normalize
+from ..operators.analysis import UNIT, analyze_groups, pick_stats
 from ..operators.rerank import QUERY_MODE_CENTROID_SUMMARY, rerank, rerank_query
-from ..operators.embed import HashingEmbedder
+from ..operators.embed import HashingEmbedder, densify_column
 from ..options import AnalyzerOptions
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_scratch
 
 
 def _keys(keys):
@@ -107,15 +108,20 @@ def analyze(
             "reason", "mmr_score", "text",
         )
     else:
-        # shortlist of top_m by MMR, re-ranked against one query per document
+        # shortlist of top_m by MMR, re-ranked against one query per document;
+        # vectors that follow from the text do not travel with it
+        derived = vector_expr is not None
         short = analyze_groups(
             vectors, k, "position", "embedding", k=opts.top_m, lam=opts.mmr_lambda,
-            payload=("segment_id", "text"), max_group_rows=opts.max_group_rows, sizes=sizes, emit_unit=True,
+            payload=("segment_id", "text"), max_group_rows=opts.max_group_rows, sizes=sizes, emit_unit=not derived,
             buckets_dim=buckets_dim, vector_expr=vector_expr,
         ).withColumn("shortlist_pos", (F.col("rank") - 1).cast("long")).drop("rank", "reason")
         queries = rerank_queries(segs, docs, k, opts.query_mode)
         final = _materialize(rerank(short, queries, k, scorer, opts.top_n))
-        stats = pick_stats(final, k).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
+        picked = final
+        if derived:
+            picked = densify_column(final.select(*k, vector_expr.alias(UNIT)), UNIT, buckets_dim).withColumn(UNIT, l2_normalize(UNIT))
+        stats = pick_stats(picked, k).withColumnRenamed("top_n", "group_top_n").withColumnRenamed(
             "avg_pairwise_cosine", "group_apc")
         firsts = final.filter(F.col("rank") == 1).select(*k, "group_n", "group_valid").join(stats, k)
         selection = final.select(
@@ -256,11 +262,15 @@ def analyze_documents(docs: DataFrame, opts: AnalyzerOptions | None = None, embe
     opts = opts or AnalyzerOptions()
     embedder = embedder or HashingEmbedder()
     d = _row_keyed(docs)
-    once = d.groupBy("_row", "doc_id").agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"])
+    # written once: segments, sizes, titles and the records read it
+    once, _ = write_scratch(d.groupBy("_row", "doc_id").agg(
+        *[F.first(c).alias(c) for c in docs.columns if c != "doc_id"], F.count(F.lit(1)).alias("_copies")), "analysed-documents")
     segs = explode_document_segments(once, keys=["_row"])
-    a = analyze(segs, once.select("_row", "title"), "_row", embedder, opts, store, scorer=scorer)
+    sizes = once.select("_row", F.greatest(F.coalesce(F.size("segments"), F.lit(0)), F.lit(0)).alias("n"))
+    a = analyze(segs, once.select("_row", "title"), "_row", embedder, opts, store, scorer=scorer, sizes=sizes)
     nested = nest_analysis(a.selection, a.metrics, once.select("_row", "doc_id"), "_row", run_fingerprint(embedder, opts, scorer))
-    return d.select("_row").join(nested, "_row").drop("_row")
+    copies = once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return copies.join(nested, "_row").drop("_row")
 
 
 def summarize_documents(analyses: DataFrame, docs: DataFrame, responses: DataFrame | None = None, opts=None):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.embed import HashingEmbedder
 from ..operators.rerank import overlap_score
-from ..operators.segments import explode_segments
+from ..operators.segments import explode_segments, segment_texts
 from ..sources.tables import read_table
 from . import oracle_sql as S
 from .pipeline import analyze, rerank_queries
@@ -101,7 +101,8 @@ FROM rk WHERE rank <= {ROPTS.top_n}
 def q_rerank_top(spark, d):
     docs = _docs(spark, d)
     segs = explode_segments(docs, "doc_id", "text")
-    a = analyze(segs, docs.select("doc_id"), "doc_id", HashingEmbedder(DIM), ROPTS)
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.size(segment_texts("text"))).alias("n"))
+    a = analyze(segs, docs.select("doc_id"), "doc_id", HashingEmbedder(DIM), ROPTS, sizes=sizes)
     return a.selection.select(
         "doc_id", F.col("rank").cast("long").alias("rank"), "shortlist_pos", "segment_id",
         F.round("score_rerank", 6).alias("score_rerank"), "reason",
