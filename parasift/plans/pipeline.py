@@ -284,8 +284,10 @@ def summarize_documents(analyses: DataFrame, docs: DataFrame, responses: DataFra
     from ..operators.segments import explode_document_segments
     from ..operators.summary import pick_lists, resolve_picks, summarize
 
-    heads = docs.groupBy("doc_id").agg(F.min(F.struct("title", "lang")).alias("_h")).select("doc_id", "_h.title", "_h.lang")
-    an = _row_keyed(analyses)
+    # each read several times below: written, so that neither input is computed again
+    heads, _ = write_scratch(docs.groupBy("doc_id").agg(F.min(F.struct("title", "lang")).alias("_h")).select(
+        "doc_id", "_h.title", "_h.lang"), "document-heads")
+    an, _ = write_scratch(_row_keyed(analyses).select("_row", "doc_id", "top_segments"), "keyed-analyses")
     mismatches = an.join(heads, "doc_id", "left_anti").select("doc_id")
     once = an.join(heads, "doc_id", "left_semi").groupBy("_row", "doc_id").agg(F.first("top_segments").alias("top_segments"))
     sel = once.select("_row", "doc_id", F.posexplode("top_segments").alias("pos", "s")).select(

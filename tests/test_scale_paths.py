@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parasift.operators.analysis import analyze_groups
 from parasift.operators.embed import HashingEmbedder
 from parasift.operators.segments import explode_segments
+from parasift.options import AnalyzerOptions
 from parasift.plans.pipeline import embed_segments
 from parasift.sources.tables import read_table
 
@@ -80,3 +81,59 @@ def test_analyze_hot_documents_with_bucket_vectors(spark, sf0001):
         return sel, met
 
     assert run(50_000) == run(8)
+
+
+def _counted(df, seen):
+    """``df``, each row of which adds one to ``seen`` whenever it is computed."""
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_rerank_moves_no_vector_that_follows_from_the_text(spark, monkeypatch):
+    from parasift.operators.analysis import UNIT
+    from parasift.plans import pipeline
+
+    seen, real = [], pipeline.rerank
+    monkeypatch.setattr(pipeline, "rerank", lambda short, *a: seen.append(short.columns) or real(short, *a))
+    segs = spark.createDataFrame(
+        [(d, p, f"s{d}-{p}", f"word{p % 3} of text {d} and {p}") for d in range(3) for p in range(1 + 4 * d)],
+        "doc_id long, position long, segment_id string, text string")
+    docs = spark.createDataFrame([(d,) for d in range(4)], "doc_id long")
+    emb, opts = pipeline.HashingEmbedder(32), AnalyzerOptions(rerank=True, top_m=6, top_n=3)
+    lean = pipeline.analyze(segs, docs, "doc_id", emb, opts)
+    full = pipeline.analyze(segs, docs, "doc_id", emb, opts, vectors=pipeline.embed_segments(segs, emb))
+    assert UNIT not in seen[0] and UNIT in seen[1]
+    assert sorted(lean.selection.collect()) == sorted(full.selection.collect())
+    a, b = ({r["doc_id"]: r for r in x.metrics.collect()} for x in (lean, full))
+    for d in range(4):
+        assert abs(a[d]["avg_pairwise_cosine"] - b[d]["avg_pairwise_cosine"]) < 1e-9
+        assert a[d].asDict() | {"avg_pairwise_cosine": 0} == b[d].asDict() | {"avg_pairwise_cosine": 0}
+
+
+def test_stored_documents_and_analyses_are_computed_once(spark):
+    from parasift.plans.pipeline import analyze_documents, run_pages, summarize_documents
+
+    page = "<title>T</title><p>A first long paragraph.</p><p>And a second paragraph.</p>"
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", page), (3, "v", ""), (4, "w", page)], "page_id long, url string, html string")
+    docs = run_pages(pages, fetched_at=F.lit("2024-01-01").cast("timestamp")).documents.drop("page_id").localCheckpoint()
+    seen = spark.sparkContext.accumulator(0)
+    analyses = analyze_documents(_counted(docs, seen))
+    rows = analyses.collect()
+    assert len(rows) == 4 and seen.value == 4  # equal documents get a record each
+    analyses = analyses.localCheckpoint()
+    seen = spark.sparkContext.accumulator(0)
+    summaries, _ = summarize_documents(_counted(analyses, seen), docs)
+    assert summaries.count() == 4 and seen.value == 4
+
+
+def test_store_runs_cut_the_documents_once(spark, sf0001, monkeypatch):
+    from parasift.plans import q_store
+
+    seen, real = spark.sparkContext.accumulator(0), q_store.read_table
+    monkeypatch.setattr(q_store, "read_table", lambda s, d, name: _counted(real(s, d, name), seen))
+    assert q_store.q_store_read_through(spark, sf0001).count() > 0
+    assert seen.value == real(spark, sf0001, "documents").count()
