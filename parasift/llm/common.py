@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parasift.session import ensure_checkpoint_dir
@@ -48,6 +49,13 @@ def sized_side(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
 
 
+def least_count(counts: DataFrame, most: int) -> int | None:
+    """The least ``n`` that no more than ``most`` rows of ``counts`` reach."""
+    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    reach = by_count.select("n", F.sum("words").over(W.orderBy(F.desc("n"))).alias("words"))
+    return reach.where(F.col("words") <= most).agg(F.min("n")).first()[0]
+
+
 def row_key(docs: DataFrame) -> list[Column]:
     """Two hashes (96 bits) over all columns of a row, ``_key`` and ``_key2``."""
     columns = [docs[c] for c in docs.columns]

@@ -8,6 +8,8 @@ per byte whatever the number of words.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -20,6 +22,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = _SPACE.tobytes()
+_FOLDED_BYTE = _BYTE[_FOLD]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,12 +39,24 @@ def _powers(p: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+@cache
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of both factors for a block and the word that reaches into it."""
+    n = BLOCK + (1 << 12)
+    return _powers(_P, n), _powers(_P_INV, n)
+
+
+def mapped(raw: np.ndarray, table: bytes) -> np.ndarray:
+    """``raw`` with every byte replaced by its place in ``table``."""
+    return np.frombuffer(raw.tobytes().translate(table), np.uint8)
+
+
 class Words:
     """Words of a byte string: ``start``, ``end`` (byte places) and ``hash``."""
 
     def __init__(self, raw: np.ndarray):
-        gap = _SPACE[raw]
-        edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
+        gap = mapped(raw, _GAP).view(np.int8)
+        edge = np.flatnonzero(np.diff(gap, prepend=np.int8(1), append=np.int8(1)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.hash = np.empty(len(self.start), np.uint64)
         if not len(self.start):
@@ -52,9 +68,10 @@ class Words:
             n = int(hi - lo)
             running = np.empty(n + 1, np.uint64)
             running[0] = 0
-            np.cumsum(_BYTE[_FOLD[raw[lo:hi]]] * _powers(_P, n), out=running[1:])
+            powers, back = _block_powers() if n <= BLOCK + (1 << 12) else (_powers(_P, n), _powers(_P_INV, n))
+            np.cumsum(_FOLDED_BYTE.take(raw[lo:hi]) * powers[:n], out=running[1:])
             s, e = self.start[a:b] - lo, self.end[a:b] - lo
-            self.hash[a:b] = mix((running[e] - running[s]) * _powers(_P_INV, n)[s] + (e - s).astype(np.uint64))
+            self.hash[a:b] = mix((running[e] - running[s]) * back[s] + (e - s).astype(np.uint64))
 
 
 def combine(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -12,12 +12,14 @@ their last two bytes.  The classes number twice the square root of the vocabular
 ``CLASSES`` at least.  A word w of a shared class c has the probability P(c) x n(w) /
 (n(c) + 1) by the counts of all words, a word that the corpus does not have P(c) /
 (n(c) + 1); so the probabilities of all words and of one unknown word per shared
-class add up to 1.  The counts of shared words stay a table and come to the
-documents by a join.  Training is distributed: in each of ``ROUNDS`` passes every task trains a
+class add up to 1.  The counts of the up to ``TABLE_WORDS`` most frequent words are sent
+to the tasks; those of all others stay a table and come to the documents by a join.  Training is distributed: in each of ``ROUNDS`` passes every task trains a
 copy of the network (numpy, Adagrad) on its documents; every position is a
 target in one pass, chosen by hash, and context in all.  The copies are averaged per
-parameter, weighted by their positions, in a shuffle whose size follows the
-corpus.  The driver gets the averaged parameters only.
+parameter, weighted by their positions.  A copy learns from ``LEAST_TARGETS`` positions
+for each of its parameters at least (tasks read more of the corpus as the network
+grows), so the shuffle of the copies follows the corpus.  The driver gets the averaged
+parameters and the word table only.
 
 Edge cases: null or blank texts have no words, score 0 and mean null; a document
 of one word is predicted from borders only; a corpus without words gives the
@@ -28,7 +30,7 @@ columns pass through; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +39,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, sized_side
-from .hashing import Words, mix, utf8_parts
+from .common import least_count, materialise, sized_side
+from .hashing import Words, mapped, mix, utf8_parts
 
 GROUPS, MEMBERS, SHARED, HIDDEN = 32, 32, 16, 24
 CLASSES = GROUPS * MEMBERS  # class c is member c // groups of group c % groups
 SIDES = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 1024, 0.15
 COUNT_BLOCK = 1 << 21
+TABLE_WORDS, LEAST_TARGETS, PARAMETER_BLOCK = 1 << 19, 2, 1 << 12
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint8)
 _SLOTS = 1 << 20
 
 
 def _words(raw: np.ndarray) -> tuple[Words, np.ndarray]:
     """Words of a part and each one's last two bytes as a number."""
-    folded = _FOLD[raw]
+    folded = mapped(raw, _FOLD.tobytes())
     words = Words(folded)
     tail = folded[words.end - 1].astype(np.uint64) if len(words.end) else np.zeros(0, np.uint64)
     before = np.maximum(words.end - 2, words.start)
@@ -167,62 +170,97 @@ class Network:
         return classes
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.bias + self.inside[0][around[:, 0]]
+        total = self.inside[0].take(around[:, 0], axis=0)
         for k in range(1, len(SIDES)):
-            total += self.inside[k][around[:, k]]
-        return np.tanh(total)
+            total += self.inside[k].take(around[:, k], axis=0)
+        total += self.bias
+        return np.tanh(total, out=total)
+
+    def _outputs(self, hidden: np.ndarray, group: np.ndarray, runs) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the groups and of the members of each row's group; rows
+        of one group stand together (``runs``)."""
+        low = np.empty((len(hidden), self.member.shape[2]), np.float32)
+        for g, a, b in runs:
+            np.dot(hidden[a:b], self.member[g], out=low[a:b])
+        low += self.member_prior.take(group, axis=0)
+        high = hidden @ self.group
+        high += self.group_prior
+        return high, low
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given the classes around it."""
         out = np.empty(len(target), np.float64)
-        for a in range(0, len(target), 8192):
-            hidden, own = self.hidden(around[a : a + 8192]), target[a : a + 8192]
-            part = _log_softmax(hidden @ self.group + self.group_prior)[np.arange(len(own)), own % self.groups]
-            for g, rows in _by_group(own, self.groups):
-                low = _log_softmax(hidden[rows] @ self.member[g] + self.member_prior[g])
-                part[rows] += low[np.arange(len(rows)), own[rows] // self.groups]
-            out[a : a + 8192] = part
+        for at in range(0, len(target), 4096):
+            group, order, runs = _by_group(target[at : at + 4096], self.groups)
+            hidden, member = self.hidden(around[at : at + 4096][order]), target[at : at + 4096][order] // self.groups
+            part = np.zeros(len(order))
+            for logits, own in zip(self._outputs(hidden, group, runs), (group, member), strict=True):
+                part += logits[np.arange(len(own)), own]
+                top = logits.max(axis=1)
+                logits -= top[:, None]
+                np.exp(logits, out=logits)
+                part -= top + np.log(logits @ np.ones(logits.shape[1], np.float32))
+            out[at + order] = part
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, seen: list[np.ndarray]) -> None:
         """One Adagrad step; ``seen`` holds the squared gradients so far."""
-        hidden, every, n = self.hidden(around), np.arange(len(target)), len(target)
-        error = np.exp(_log_softmax(hidden @ self.group + self.group_prior))
-        error[every, target % self.groups] -= 1
-        error /= n
+        group, order, runs = _by_group(target, self.groups)
+        around, every, n = around[order], np.arange(len(target)), len(target)
+        hidden = self.hidden(around)
+        error, low = self._outputs(hidden, group, runs)
+        for logits, own in ((error, group), (low, target[order] // self.groups)):
+            logits -= logits.max(axis=1)[:, None]
+            np.exp(logits, out=logits)
+            logits /= (logits @ np.full(logits.shape[1], n, np.float32))[:, None]
+            logits[every, own] -= np.float32(1 / n)
         back = error @ self.group.T
         member, member_prior = np.zeros_like(self.member), np.zeros_like(self.member_prior)
-        for g, rows in _by_group(target, self.groups):
-            low = np.exp(_log_softmax(hidden[rows] @ self.member[g] + self.member_prior[g]))
-            low[np.arange(len(rows)), target[rows] // self.groups] -= 1
-            low /= n
-            member[g], member_prior[g] = hidden[rows].T @ low, low.sum(axis=0)
-            back[rows] += low @ self.member[g].T
+        low_back = np.empty_like(back)
+        for g, a, b in runs:
+            own = low[a:b]
+            np.dot(hidden[a:b].T, own, out=member[g])
+            np.dot(own, self.member[g].T, out=low_back[a:b])
+        member_prior[[g for g, _, _ in runs]] = np.add.reduceat(low, [a for _, a, _ in runs], axis=0)
+        back += low_back
         back *= 1 - hidden * hidden
-        for k in range(len(SIDES)):
-            order = np.argsort(around[:, k], kind="stable")
-            head = np.flatnonzero(np.diff(around[order, k], prepend=-1))
-            rows, g = around[order[head], k], np.add.reduceat(back[order], head, axis=0)
-            seen[0][k][rows] += g * g
-            self.inside[k][rows] -= RATE * g / np.sqrt(seen[0][k][rows] + 1e-8)
+        # all sides at once: row k * (classes + 1) + c is the vector of class c on side k
+        place = (around + np.arange(len(SIDES)) * (self.classes + 1)).T.ravel()
+        order = _argsort(place, len(SIDES) * (self.classes + 1))
+        ranked = place[order]
+        head = np.flatnonzero(np.diff(ranked, prepend=-1))
+        rows, g = ranked[head], np.add.reduceat(back.take(order % n, axis=0), head, axis=0)
+        inside, squares = (x.reshape(-1, x.shape[-1]) for x in (self.inside, seen[0]))  # views
+        so_far = squares.take(rows, axis=0) + g * g
+        squares[rows] = so_far
+        inside[rows] -= _step(g, so_far)
         steps = (back.sum(axis=0), hidden.T @ error, error.sum(axis=0), member, member_prior)
         for p, g, s in zip(self.parameters()[1:], steps, seen[1:], strict=True):
             s += g * g
-            p -= RATE * g / np.sqrt(s + 1e-8)
+            p -= _step(g, s)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _step(gradient: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    root = squares + np.float32(1e-8)
+    np.sqrt(root, out=root)
+    np.divide(gradient, root, out=root)
+    root *= np.float32(RATE)
+    return root
 
 
-def _by_group(target: np.ndarray, groups: int):
-    """Rows of the targets of each group that occurs."""
+def _argsort(values: np.ndarray, below: int) -> np.ndarray:
+    """Stable order; values that fit 16 bits are sorted by radix."""
+    return np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
+
+
+def _by_group(target: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Group of each target in group order, that order, and ``group, from, to``
+    of the groups that occur."""
     group = target % groups
-    order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=groups))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(group[order[a]]), order[a:b]
+    order = _argsort(group, groups)
+    group = group[order]
+    cuts = np.flatnonzero(np.diff(group, prepend=-1, append=groups)).tolist()
+    return group, order, [(int(group[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _laid_out(words: Words, tails: np.ndarray, offsets: np.ndarray, classes, border: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,8 +282,14 @@ def _rounds(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (mix(hashes ^ mix(place.astype(np.uint64))) % np.uint64(ROUNDS)).astype(np.int64)
 
 
-def _trained(docs: DataFrame, net: Network, text_col: str, round_no: int) -> Network:
-    """The average of the copies that the tasks train on their documents."""
+def most_copies(words: int, parameters: int) -> int:
+    """Copies to train on a corpus of ``words`` words."""
+    return max(1, words // (ROUNDS * LEAST_TARGETS * parameters))
+
+
+def _trained(docs: DataFrame, net: Network, text_col: str, round_no: int, copies: int) -> Network:
+    """The average of the copies (``copies`` at most) that the tasks train on
+    their documents."""
     start = net.flat()
 
     def run(batches):
@@ -265,29 +309,43 @@ def _trained(docs: DataFrame, net: Network, text_col: str, round_no: int) -> Net
                 steps += len(pick)
         if steps:
             flat = own.flat()
+            at = np.append(np.arange(0, len(flat), PARAMETER_BLOCK), len(flat))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat.astype(np.float64) * steps), pa.array(np.full(len(flat), float(steps)))],
-                names=["i", "total", "weight"])
+                [pa.array(np.arange(len(at) - 1), pa.int32()), pa.array(np.full(len(at) - 1, float(steps))),
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
+                names=["block", "weight", "values"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(run, "i int, total double, weight double").groupBy("i").agg(
-        (F.sum("total") / F.sum("weight")).alias("v")).toPandas()
+    blocks = texts.coalesce(copies).mapInArrow(run, "block int, weight double, values array<float>").repartition("block")
+    rows = blocks.select("block", "weight", F.posexplode("values").alias("place", "v")).groupBy("block", "place").agg(
+        (F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v")).toPandas()
     if not len(rows):
         return net
-    start[rows["i"].to_numpy()] = rows["v"].to_numpy()
+    start[rows["block"].to_numpy(np.int64) * PARAMETER_BLOCK + rows["place"].to_numpy()] = rows["v"].to_numpy()
     return net.replaced(start)
 
 
 @dataclass
 class Model:
-    """``vocabulary``: ``word`` (hash) and ``log_n`` of every word that occurs
-    more than once (for others it is 0)."""
+    """``words``: hashes, ascending, of the words of the table, ``log_n``
+    beside them; ``vocabulary``: ``word`` and ``log_n`` of all others that
+    occur more than once (for the rest it is 0)."""
 
     net: Network
+    words: np.ndarray
+    log_n: np.ndarray
     vocabulary: DataFrame
 
+    def logs(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is in the table, and its ``log_n`` (else 0)."""
+        if not len(self.words):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        found = self.words[at] == hashes
+        return found, np.where(found, self.log_n[at], 0.0)
+
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
+def train(docs: DataFrame, text_col: str = "text", table_words: int = TABLE_WORDS) -> Model:
     """Network and word counts over all documents of a corpus."""
     counts = materialise(count_words(docs, text_col), "pseudo-words")
     tails = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()  # 65,536 rows at most
@@ -302,15 +360,23 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     np.add.at(shared, _shared_class(tails["tail"].to_numpy(np.int64), n_shared), tails["n"].to_numpy(np.float64))
     np.add.at(shared, _shared_class(top["tail"].to_numpy(np.int64), n_shared), -top["n"].to_numpy(np.float64))
     net = Network.fresh(top["word"].tolist(), top["n"].tolist(), total, side, shared)
+    copies = most_copies(total, len(net.flat()))
     for k in range(ROUNDS):
-        net = _trained(docs, net, text_col, k)
-    return Model(net, counts.where("n > 1").select("word", F.log("n").alias("log_n")))
+        net = _trained(docs, net, text_col, k, copies)
+    logs = counts.where("n > 1").select("word", "n", F.log("n").alias("log_n"))
+    least = least_count(logs, table_words)
+    if least is None:
+        return Model(net, np.zeros(0, np.uint64), np.zeros(0), logs.drop("n"))
+    table = logs.where(F.col("n") >= least).select("word", "log_n").toArrow()
+    words, log_n = table["word"].to_numpy().view(np.uint64), table["log_n"].to_numpy()
+    order = np.argsort(words)
+    return Model(net, words[order], log_n[order], logs.where(F.col("n") < least).drop("n"))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_words``, ``pseudo_log_likelihood``
     and ``mean_log_prob`` (null without words)."""
-    net = model.net
+    net, table = model.net, replace(model, vocabulary=None)  # a data frame stays on the driver
     own = ["n_words", "pseudo_log_likelihood", "mean_log_prob"]
     keep = [c for c in docs.columns if c != text_col and c not in own]
     schema = T.StructType([docs.schema[c] for c in keep]).add("_n_", T.LongType()).add("_sum_", T.DoubleType()).add(
@@ -326,6 +392,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 around, target, bounds = _laid_out(words, tails, offsets, classes, net.classes)
                 logs, shared = net.log_probs(around, target), np.flatnonzero(target >= first)
                 logs[shared] -= outside[target[shared] - first]
+                found, log_n = table.logs(words.hash[shared])
+                logs[shared] += log_n
+                shared = shared[~found]
                 sums = np.concatenate([[0.0], np.cumsum(logs)])
                 n = np.diff(bounds)
                 lists = pa.ListArray.from_arrays(

@@ -232,3 +232,51 @@ def test_query_scores_every_document(spark, sf_dir, duck):
     rows = op10_pseudo_likelihood(spark, sf_dir).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in duck.sql("SELECT doc_id FROM documents").fetchall())
     assert all(r["pseudo_log_likelihood"] < 0 for r in rows if r["n_words"])
+
+
+def test_pseudo_likelihood_same_sums_by_table_and_join(spark, make_docs):
+    docs = make_docs([(i, " ".join(f"w{(i * 7 + k * k) % 4000}y" for k in range(200))) for i in range(60)])
+    score = lambda m: {r["doc_id"]: r["pseudo_log_likelihood"] for r in pseudo.score(docs, m).collect()}
+    model = pseudo.train(docs)
+    none, some = pseudo.train(docs, table_words=0), pseudo.train(docs, table_words=100)
+    assert len(model.words) and not model.vocabulary.count()
+    assert not len(none.words) and 0 < len(some.words) <= 100 and some.vocabulary.count() + len(some.words) == len(model.words)
+    want = score(model)
+    for other in (none, some):
+        got = score(pseudo.Model(model.net, other.words, other.log_n, other.vocabulary))
+        assert all(abs(got[i] - want[i]) < 1e-9 * abs(want[i]) for i in want)
+
+
+def test_pseudo_likelihood_copies_follow_the_corpus():
+    # bytes of all copies for each word of the corpus, for vocabularies that grow with it
+    for words in (10**6, 10**8, 10**10):
+        side = max(pseudo.GROUPS, int((2 * (words / 20) ** 0.5) ** 0.5) + 1)
+        parameters = len(pseudo.Network.fresh([], [], 0, side).flat())
+        copies = pseudo.most_copies(words, parameters)
+        assert copies == 1 or copies * parameters * 4 <= 4 * words / (pseudo.ROUNDS * pseudo.LEAST_TARGETS)
+
+
+def test_pseudo_likelihood_step_equals_the_plain_rule():
+    import numpy as np
+
+    net = pseudo.Network.fresh([1, 2, 3], [5, 4, 3], 20)
+    draw = np.random.default_rng(2)
+    around, target = draw.integers(0, net.classes + 1, (200, 4)), draw.integers(0, net.classes, 200)
+    plain = net.replaced(net.flat().copy())
+    hidden = np.tanh(plain.bias + sum(plain.inside[k][around[:, k]] for k in range(4)))
+    soft = lambda x: np.exp(x - x.max(axis=1, keepdims=True)) / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
+    group, own = target % net.groups, target // net.groups
+    error = (soft(hidden @ plain.group + plain.group_prior) - np.eye(net.groups)[group]) / 200
+    low = (soft(np.einsum("nh,nhm->nm", hidden, plain.member[group]) + plain.member_prior[group]) - np.eye(net.groups)[own]) / 200
+    back = (error @ plain.group.T + np.einsum("nm,nhm->nh", low, plain.member[group])) * (1 - hidden**2)
+    grads = [np.zeros(p.shape) for p in plain.parameters()]
+    for k in range(4):
+        np.add.at(grads[0][k], around[:, k], back)
+    grads[1], grads[2], grads[3] = back.sum(axis=0), hidden.T @ error, error.sum(axis=0)
+    np.add.at(grads[4], group, np.einsum("nh,nm->nhm", hidden, low))
+    np.add.at(grads[5], group, low)
+    seen = [np.zeros_like(p) for p in net.parameters()]
+    net.learn(around, target, seen)
+    for p, q, g, s in zip(net.parameters(), plain.parameters(), grads, seen, strict=True):
+        assert np.allclose(s, g * g, rtol=1e-3, atol=1e-9)
+        assert np.allclose(p, q - pseudo.RATE * g / np.sqrt(g * g + 1e-8), atol=1e-3)
