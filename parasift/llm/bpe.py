@@ -1,20 +1,21 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split into words by the tokenizer's pattern and distinct words are
-encoded: higher-order functions fold ranked merges over a word's array of
-bytes.  A piece is carried as its rank, so a merge looks up a pair of ranks and
-puts the rank it finds in their place.  The literal rank map of pairs is an
-array with a place for every pair of its own (a hash table whose displacements
-were chosen free of collisions), because a lookup in a map literal scans it.
-``decode`` puts the binary pieces of the ranks together again.
+encoded: merges are folded over many words at once, each word's adjacent pair of
+lowest rank first.  A piece is carried as its rank, so a merge looks up a pair of ranks
+and puts the rank it finds in their place.  The rank map of pairs is an array with a
+place for every pair of its own (a hash table whose displacements were chosen free of
+collisions).  Words of more than ``LONG_BYTES`` bytes are folded one by one with a heap of
+pairs, so no word takes time by the square of its length.  ``decode`` puts the binary
+pieces of the ranks together again.
 
 Words are counted over all documents.  Those that occur most (``TABLE_WORDS`` at
 most, of at most ``TABLE_WORD_BYTES`` bytes: a proven bound) are folded once and
 their ids sent to all tasks.  Every other word is folded where it occurs, once for
-each document that has it.  So the only shuffle is that of the word counts;
+each batch of texts that has it.  So the only shuffle is that of the word counts;
 neither texts nor word occurrences move.  Word lists pass to the Python workers in
-batches of ``BATCH_ROWS`` texts, as a list takes several times the memory of its
-text; the ids are written before anything reads them.
+small batches, as a list takes several times the memory of its text; the ids are
+written before anything reads them.
 
 The result equals the tokenizer library's ordinary encoding (no special tokens)
 for the same ranks and pattern.  Edge cases: null text counts as empty and has
@@ -25,39 +26,21 @@ the text pass through (``keep``); an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import zlib
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_or_empty
+from .common import least_count, materialise, small_batches, text_or_empty
 
-TABLE_WORDS, TABLE_WORD_BYTES, RANK_BUCKETS = 1 << 19, 32, 1 << 14
-#: A piece as one number: 16 bits of rank, 27 of place (a word is below 2^27 bytes), and above
-#: them the rank of the pair it begins.
-PIECE, PLACE_SHIFT, PAIR_SHIFT = (1 << 16) - 1, 16, 43
-PLACED, ABSENT = (1 << PAIR_SHIFT) - 1, (1 << 16) - 1
-ABSENT_PAIR = ABSENT << PAIR_SHIFT
-BATCH_ROWS, _BATCH_CONF = 2_500, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextmanager
-def _small_batches(spark):
-    """Arrow batches of at most ``BATCH_ROWS`` rows for the jobs run inside."""
-    before = spark.conf.get(_BATCH_CONF)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_CONF, before)
+TABLE_WORDS, TABLE_WORD_BYTES, LONG_BYTES = 1 << 19, 32, 128
+ABSENT = (1 << 16) - 1
+FOLD_BYTES = 1 << 18  # of words folded at once
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,17 +81,16 @@ class PairTable:
             slots[(base[mine] + d) % self.size] = keys[mine] << 16 | ranks[mine]
         self.shift, self.slots = shift, slots
 
-    def literals(self) -> Column:
-        """Both arrays in one struct; constant-folded by the optimizer."""
-        return F.struct(F.from_json(F.lit(json.dumps(self.shift.tolist())), "array<int>").alias("shift"),
-                        F.from_json(F.lit(json.dumps(self.slots.tolist())), "array<bigint>").alias("slots"))
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces that the pieces of ranks ``a`` and ``b`` make."""
+        key = a << 16 | b
+        slot = self.slots[(key * self.SECOND + self.shift[key * self.FIRST % self.groups]) % self.size]
+        return np.where(slot >> 16 == key, slot & ABSENT, ABSENT)
 
-    def rank(self, t: Column, a: Column, b: Column) -> Column:
-        """Rank of the piece that the pieces of ranks ``a`` and ``b`` make."""
-        key = F.shiftleft(a, 16).bitwiseOR(b)
-        place = (key * self.SECOND + F.get(t["shift"], (key * self.FIRST % self.groups).cast("int"))) % self.size
-        slot = F.get(t["slots"], place.cast("int"))
-        return F.when(F.shiftright(slot, 16) == key, slot.bitwiseAND(PIECE)).otherwise(F.lit(ABSENT))
+    def rank(self, a: int, b: int) -> int:
+        key = a << 16 | b
+        slot = int(self.slots[(key * self.SECOND + int(self.shift[key * self.FIRST % self.groups])) % self.size])
+        return slot & ABSENT if slot >> 16 == key else ABSENT
 
 
 def rank_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
@@ -117,66 +99,100 @@ def rank_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
             if p[:i] in ranks and p[i:] in ranks}
 
 
+class Merges:
+    """Folds words to ids: a word of the vocabulary at once, any other by
+    merging the adjacent pair of lowest rank, leftmost first, until no pair is
+    in the vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pieces, self.piece_ranks = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int64)
+        self.byte_ranks = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs = PairTable(rank_pairs(ranks))
+
+    def fold(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words`` (strings), and where those of each begin."""
+        words = words.cast(pa.large_string()).cast(pa.large_binary())
+        at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        whole = pc.fill_null(pc.index_in(words, value_set=self.pieces.cast(pa.large_binary())), -1).to_numpy(zero_copy_only=False)
+        size = np.diff(at)
+        known = np.flatnonzero(whole >= 0)
+        found = [(known, self.piece_ranks[whole[known]])]
+        for w in np.flatnonzero((whole < 0) & (size > LONG_BYTES)).tolist():
+            ids = self._long(self.byte_ranks[raw[at[w] : at[w + 1]]])
+            found.append((np.full(len(ids), w), np.array(ids, np.int64)))
+        short = np.flatnonzero((whole < 0) & (size <= LONG_BYTES) & (size > 0))
+        upto = np.concatenate([[0], np.cumsum(size[short])])
+        for a, b in _slices(upto, FOLD_BYTES):
+            mine, many = np.repeat(short[a:b], size[short[a:b]]), upto[b] - upto[a]
+            places = np.repeat(at[short[a:b]] - (upto[a:b] - upto[a]), size[short[a:b]]) + np.arange(many)
+            found += self._many(self.byte_ranks[raw[places]], mine)
+        word, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))]), ids[np.argsort(word, kind="stable")].astype(np.int32)
+
+    def _many(self, ids: np.ndarray, word: np.ndarray):
+        """Word numbers and ids of words whose pieces ``ids`` stand one after
+        the other, as words come to their end; a step merges one pair of each."""
+        pair, done = np.full(len(ids), ABSENT, np.int64), []
+
+        def renew(at):
+            after = np.minimum(at + 1, len(ids) - 1)
+            pair[at] = np.where((word[after] == word[at]) & (after > at), self.pairs.ranks(ids[at], ids[after]), ABSENT)
+
+        renew(np.arange(len(ids)))
+        while len(ids):
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            least = np.minimum.reduceat(pair << 32 | np.arange(len(ids)), start)
+            over = least >> 32 == ABSENT
+            ended = np.repeat(over, np.diff(start, append=len(ids)))
+            done.append((word[ended], ids[ended]))
+            at, rank = least[~over] & 0xFFFFFFFF, least[~over] >> 32
+            ids[at] = rank
+            keep = ~ended
+            keep[at + 1] = False
+            at = (np.cumsum(keep) - 1)[at]
+            ids, word, pair = ids[keep], word[keep], pair[keep]
+            renew(at)
+            renew(at[at > 0] - 1)
+        return done
+
+    def _long(self, ids: np.ndarray) -> list[int]:
+        """Ids of one word of pieces ``ids``: its pieces are a linked list."""
+        first, ids, n = self.pairs.ranks(ids[:-1], ids[1:]).tolist(), ids.tolist(), len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != ABSENT]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j == n or ids[j] != b:
+                continue  # merged meanwhile
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (new := self.pairs.rank(ids[k], ids[after[k]])) != ABSENT:
+                    heapq.heappush(heap, (new, k, ids[k], ids[after[k]]))
+        return [x for x in ids if x >= 0]
+
+
 class Codec:
-    """Column expressions for one vocabulary of at most 2^16 pieces that holds
-    every single byte (its size bounds the literals)."""
+    """One vocabulary of at most 2^16 pieces that holds every single byte (its
+    size bounds the literal of ``decode``)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if max(ranks.values()) >= ABSENT or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("ranks must be below 65,535 and include every byte")
         self.pattern = "(?U)" + pattern
-        buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
-            s = piece.decode("latin-1")
-            buckets[zlib.crc32(s.encode()) % RANK_BUCKETS][s] = rank
-            pieces[rank] = s
-        self._buckets, self._pieces = json.dumps(buckets), json.dumps(pieces)
-        self._bytes = json.dumps([ranks[bytes([b])] for b in range(256)])
-        self._pairs = PairTable(rank_pairs(ranks))
+            pieces[rank] = piece.decode("latin-1")
+        self._pieces = json.dumps(pieces)
+        self.merges = Merges(ranks)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def word_ids(self, word: Column) -> Column:
-        """Ids of one word: a word of the vocabulary at once, any other by
-        merging the adjacent pair of lowest rank, leftmost first, until no
-        pair is in the vocabulary.  The literals stand in the plan once, bound
-        to a lambda's variable."""
-        tables = F.struct(F.from_json(F.lit(self._buckets), "array<map<string,int>>").alias("whole"),
-                          F.from_json(F.lit(self._bytes), "array<int>").alias("bytes"), self._pairs.literals().alias("pairs"))
-        return F.transform(F.array(tables), lambda t: self._folded(word, t))[0]
-
-    def _folded(self, word: Column, t: Column) -> Column:
-        """A piece is one number: rank of the pair it begins, place of its
-        first byte, own rank.  The least number is the pair to merge next."""
-        pair = lambda a, b: self._pairs.rank(t["pairs"], a, b)
-        piece = lambda s: s.bitwiseAND(F.lit(PIECE).cast("bigint"))
-        begins = lambda s, rank: s.bitwiseAND(F.lit(PLACED)).bitwiseOR(F.shiftleft(rank, PAIR_SHIFT))
-        text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a byte is the code point of its value
-        ranks = F.transform(F.split(text, ""), lambda c: F.get(t["bytes"], F.ascii(c)).cast("bigint"))
-        start = F.transform(F.array(ranks), lambda all_: F.transform(all_, lambda x, i: begins(
-            F.shiftleft(i.cast("bigint"), PLACE_SHIFT).bitwiseOR(x),
-            F.when(i + 1 < F.size(all_), pair(x, F.get(all_, i + 1))).otherwise(F.lit(ABSENT)))))[0]
-
-        def merge(s, _):
-            def at(least, i):  # i: 1-based place of the pair; it and the piece before it begin new pairs
-                new, after, before = F.shiftright(least, PAIR_SHIFT), F.get(s, i + 1), F.get(s, i - 2)
-                one = begins(least.bitwiseAND(F.lit(PLACED - PIECE)).bitwiseOR(new),
-                             F.when(after.isNull(), F.lit(ABSENT)).otherwise(pair(new, piece(after))))
-                both = F.when(i > 1, F.array(begins(before, pair(piece(before), new)), one)).otherwise(F.array(one))
-                return F.concat(F.slice(s, F.lit(1), F.greatest(i - 2, F.lit(0))), both, F.slice(s, i + 2, F.size(s)))
-
-            return F.transform(F.array(F.array_min(s)), lambda least: F.when(
-                least < F.lit(ABSENT_PAIR),
-                F.transform(F.array(F.array_position(s, least).cast("int")), lambda i: at(least, i))[0]).otherwise(s))[0]
-
-        steps = F.when(F.char_length(text) > 1, F.sequence(F.lit(1), F.char_length(text) - 1)).otherwise(F.array().cast("array<int>"))
-        merged = F.transform(F.aggregate(steps, start, merge), lambda s: piece(s).cast("int"))
-        bucket = F.get(t["whole"], (F.crc32(text.cast("binary")) % RANK_BUCKETS).cast("int"))
-        return F.transform(F.array(F.try_element_at(bucket, text)), lambda known: F.when(
-            known.isNotNull(), F.array(known)).otherwise(merged))[0]
-
     def decode(self, ids: Column) -> Column:
         """Bytes of the pieces of ``ids``, one after the other."""
         literal = F.from_json(F.lit(self._pieces), "array<string>")
@@ -185,7 +201,15 @@ class Codec:
 
 def vocabulary(words: DataFrame, codec: Codec) -> DataFrame:
     """``word, ids`` of the distinct words in column ``word``."""
-    return words.select("word", codec.word_ids(F.col("word")).alias("ids"))
+    merges = codec.merges
+
+    def run(batches):
+        for batch in batches:
+            at, ids = merges.fold(batch.column("word"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
 
 
 def _count_batches(batches):
@@ -209,9 +233,7 @@ def common_words(counts: DataFrame, most: int = TABLE_WORDS) -> DataFrame:
     """Words of ``counts`` (word, n) with a count so high that no more than
     ``most`` words reach it."""
     short = counts.where(F.octet_length("word") <= TABLE_WORD_BYTES)
-    by_count = short.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    reach = by_count.select("n", F.sum("words").over(W.orderBy(F.desc("n"))).alias("words"))
-    least = reach.where(F.col("words") <= most).agg(F.min("n")).first()[0]
+    least = least_count(short, most)
     return short.where(F.col("n") >= least).select("word") if least is not None else short.where("false").select("word")
 
 
@@ -222,7 +244,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", keep: list[str
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     kept = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, codec.words(text_or_empty(docs[text_col])).alias("words"))
-    with _small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession):
         counts = materialise(count_words(rows), "bpe-words")
     table = materialise(vocabulary(common_words(counts, table_words), codec), "bpe-table").toArrow()
     send = docs.sparkSession.sparkContext.broadcast
@@ -231,12 +253,9 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", keep: list[str
     del table
     names = [f"k{i}" for i in range(len(keep))]
     same = [rows.schema[n] for n in names]
-    coded = rows.mapInArrow(
-        _coder(known, len(keep)),
-        T.StructType(list(same)).add("codes", T.BinaryType()).add("rare", T.ArrayType(T.StringType())))
-    folded = coded.select(*names, "codes", F.transform("rare", codec.word_ids).alias("rare_ids"))
-    out = folded.mapInArrow(_joiner(ids, len(keep)), T.StructType(list(same)).add("ids", T.ArrayType(T.IntegerType())))
-    with _small_batches(docs.sparkSession):
+    out = rows.mapInArrow(
+        _encoder(known, ids, codec.merges, len(keep)), T.StructType(list(same)).add("ids", T.ArrayType(T.IntegerType())))
+    with small_batches(docs.sparkSession):
         out = materialise(out, "bpe-ids")
     for sent in (known, ids):
         sent.destroy()
@@ -260,12 +279,6 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return offsets - offsets[0], column.flatten()
 
 
-def _blobs(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    """A binary value per row: the JVM passes it on as it is, where it would
-    copy a list number by number."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
-
-
 def _slices(bounds: np.ndarray, limit: int = 1 << 18):
     """Runs of rows with about ``limit`` list elements, one row at least."""
     row, n = 0, len(bounds) - 1
@@ -275,74 +288,38 @@ def _slices(bounds: np.ndarray, limit: int = 1 << 18):
         row = stop
 
 
-def _coder(known, n: int):
-    """Words to codes: place in the table, or -1 - (place among the document's
-    rare words)."""
+def _encoder(known, ids, merges: Merges, n: int):
+    """Words to ids: those of the table as they are, others folded once a batch."""
 
     def run(batches):
         table = _unpacked(known.value)
+        table_at, table_ids = _lists(_unpacked(ids.value))
+        table_ids = table_ids.to_numpy(zero_copy_only=False)
         for batch in batches:
             bounds, flat = _lists(batch.column("words"))
             coded = flat.dictionary_encode()
             distinct, index = coded.dictionary, np.asarray(coded.indices)
-            place = pc.fill_null(pc.index_in(distinct, value_set=table), -1).to_numpy(zero_copy_only=False)
             own_columns = [pc.take(batch.column(i), pa.array(np.arange(batch.num_rows))) for i in range(n)]  # copies
             del batch, flat, coded  # the words themselves are not needed any more
+            place = pc.fill_null(pc.index_in(distinct, value_set=table), -1).to_numpy(zero_copy_only=False)
+            common, rare = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            rare_at, rare_ids = merges.fold(distinct.take(pa.array(rare)))
+            begin, size = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+            begin[common], size[common] = table_at[place[common]], np.diff(table_at)[place[common]]
+            begin[rare], size[rare] = rare_at[:-1] + len(table_ids), np.diff(rare_at)
+            every = np.concatenate([table_ids, rare_ids])
+            del distinct, place
             pa.default_memory_pool().release_unused()
-            many = max(1, len(distinct))
             for a, b in _slices(bounds):
-                ends = bounds[a : b + 1] - bounds[a]
                 own = index[bounds[a] : bounds[b]]
-                codes = place[own] if len(own) else np.zeros(0, np.int32)
-                at = np.flatnonzero(codes < 0)
-                doc = np.searchsorted(ends, at, "right") - 1
-                pairs, back = np.unique(doc * many + own[at], return_inverse=True)
-                first = np.searchsorted(pairs // many, np.arange(b - a + 1))
-                codes[at] = -1 - (back - first[doc])
+                sizes = size[own]
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                take = np.repeat(begin[own] - upto[:-1], sizes) + np.arange(upto[-1])
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(a, b - a) for c in own_columns),
-                     _blobs(ends * 4, codes.astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(first, pa.int32()), distinct.take(pa.array(pairs % many)))],
-                    names=[*(f"k{i}" for i in range(n)), "codes", "rare"])
-            del distinct, index, place, own_columns
-            pa.default_memory_pool().release_unused()  # a reused worker would hold it
-
-    return run
-
-
-def _joiner(ids, n: int):
-    """Codes to ids, one after the other."""
-
-    def run(batches):
-        table_at, table = _lists(_unpacked(ids.value))
-        table = table.to_numpy(zero_copy_only=False)
-        table_size = np.diff(table_at)
-        for batch in batches:
-            column = batch.column("codes")
-            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            every = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-            for a, b in _slices(at // 4):
-                part = batch.slice(a, b - a)
-                ends, codes = (at[a : b + 1] - at[a]) // 4, every[at[a] : at[b]].view(np.int32).astype(np.int64)
-                first, rare = _lists(part.column("rare_ids"))
-                rare_at, rare = _lists(rare)
-                doc = np.repeat(np.arange(b - a), np.diff(ends))
-                is_rare = codes < 0
-                slot = np.where(is_rare, first[doc] - 1 - codes, codes)
-                size, begin = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
-                for mine, sizes, starts, base in ((~is_rare, table_size, table_at, 0), (is_rare, np.diff(rare_at), rare_at, len(table))):
-                    size[mine], begin[mine] = sizes[slot[mine]], starts[slot[mine]] + base
-                upto = np.concatenate([[0], np.cumsum(size)])
-                take = np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])
-                from_rare = take >= len(table)
-                flat = np.empty(len(take), np.int32)
-                flat[~from_rare] = table[take[~from_rare]]
-                flat[from_rare] = rare.to_numpy(zero_copy_only=False)[take[from_rare] - len(table)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(n)),
-                     pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(flat))],
+                     pa.ListArray.from_arrays(pa.array(upto[bounds[a : b + 1] - bounds[a]], pa.int32()), pa.array(every[take]))],
                     names=[*(f"k{i}" for i in range(n)), "ids"])
-                del part, codes, rare, doc, slot, take, from_rare, flat
-            pa.default_memory_pool().release_unused()
+            del index, begin, size, every, own_columns
+            pa.default_memory_pool().release_unused()  # a reused worker would hold it
 
     return run

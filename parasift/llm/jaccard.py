@@ -43,11 +43,12 @@ from pyspark.sql import functions as F
 
 from parasift.session import remove_scratch
 
-from .common import materialise, materialise_at, row_key, scratch_path, sized_side, without_rows
+from .common import materialise, materialise_at, row_key, scratch_path, sized_side, small_batches, without_rows
 from .components import components
 from .hashing import mix, shingle_sets, utf8_parts
 
 GROWTH = 1.5  # of the size classes
+PART_BYTES = 1 << 19  # of texts hashed at once: the arrays take some tens of bytes for each of text
 
 
 def size_classes(largest: int) -> list[int]:
@@ -90,7 +91,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("_id")
-            for row, raw, offsets in utf8_parts(batch.column("_text")):
+            for row, raw, offsets in utf8_parts(batch.column("_text"), PART_BYTES):
                 size, cid, keys, bounds = [], [], [], [0]
                 for tokens in shingle_sets(raw, offsets, words):
                     size.append(len(tokens))
@@ -101,6 +102,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     [ids.slice(row, len(size)), pa.array(size, pa.int64()), pa.array(cid, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(keys)))],
                     names=["id", "n", "cid", "keys"])
+            pa.default_memory_pool().release_unused()  # a reused worker would hold it
 
     return docs.mapInArrow(run, f"id {schema}, n long, cid long, keys array<long>")
 
@@ -115,7 +117,7 @@ def _tokens(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row, raw, offsets in utf8_parts(batch.column("_text")):
+            for row, raw, offsets in utf8_parts(batch.column("_text"), PART_BYTES):
                 cids = batch.column("cid").slice(row, len(offsets) - 1).to_pylist()
                 sets = [(c, t.tobytes()) for c, t in zip(cids, shingle_sets(raw, offsets, words), strict=True) if content_id(t) == c]
                 yield pa.RecordBatch.from_arrays(
@@ -132,7 +134,7 @@ def _differences(pairs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             other = batch.column("tokens")
-            for row, raw, offsets in utf8_parts(batch.column("_text")):
+            for row, raw, offsets in utf8_parts(batch.column("_text"), PART_BYTES):
                 a = batch.column("a").slice(row, len(offsets) - 1).to_pylist()
                 r = batch.column("r").slice(row, len(offsets) - 1).to_pylist()
                 out = []
@@ -156,7 +158,8 @@ class JaccardJoin:
         spark = docs.sparkSession
         #: Folders of tables that go once the star is written: index keys, sets of representatives.
         self._keys_at, self._rep_sets_at = scratch_path(spark, "jaccard-keys"), scratch_path(spark, "jaccard-rep-sets")
-        self._keyed = materialise_at(_sets(self.texts, words, percent), self._keys_at)
+        with small_batches(spark):
+            self._keyed = materialise_at(_sets(self.texts, words, percent), self._keys_at)
         self.sets = materialise(self._keyed.select("id", "n", "cid"), "jaccard-sets")
         #: Whether some id occurs twice: then a class may have several texts.
         self.repeated = self.sets.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count() > 0
@@ -183,7 +186,8 @@ class JaccardJoin:
         reps = pairs.select(F.col("r").alias("cid")).distinct().join(classes.select("cid", F.col("rep").alias("_id")), "cid")
         reps = materialise(reps, "jaccard-reps")
         r_text = text.join(sized_side(reps, F.lit(16)), "_id").dropDuplicates(["cid"])
-        r_sets = materialise_at(_tokens(r_text.select("cid", "_text"), self.words), self._rep_sets_at)
+        with small_batches(text.sparkSession):
+            r_sets = materialise_at(_tokens(r_text.select("cid", "_text"), self.words), self._rep_sets_at)
         members = materialise(
             pairs.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("_id")), "a"), "jaccard-members")
         a_text = text.join(sized_side(members, F.lit(24)), "_id").select("a", "r", "_text")
@@ -202,7 +206,8 @@ class JaccardJoin:
         p, spark = self.percent, self.texts.sparkSession
         pairs = materialise(self._star(), "jaccard-star-pairs")
         remove_scratch(spark, self._keys_at)
-        star = materialise(self._compared(pairs), "jaccard-star")
+        with small_batches(spark):
+            star = materialise(self._compared(pairs), "jaccard-star")
         remove_scratch(spark, self._rep_sets_at)
         d = F.size("far").cast("long")
         known = star.select("a", "r", "na", d.alias("d"), self._near(d, F.col("na") + F.col("nr")).alias("near"))

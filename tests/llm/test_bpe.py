@@ -46,3 +46,16 @@ def test_query_against_the_library(spark, sf_dir, duck, plain):
         want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in op2_byte_bpe(spark, sf_dir).collect()}
     assert got == want
+
+
+def test_long_and_short_words_fold_as_in_the_library(plain):
+    import pyarrow as pa
+
+    words = ["", "a", "zzqxj", "é東🙂", "ab" * 30_000, *("xqzjk é" * n for n in range(1, 60)), *(f"w{n * n}q" for n in range(500))]
+    at, ids = default_codec().merges.fold(pa.array(words).slice(0))
+    for w, a, b in zip(words, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == (plain._core_bpe.encode_single_piece(w.encode()) if w else [])
+    part, few = default_codec().merges.fold(pa.array(words).slice(5, 7))
+    assert few.tolist() == ids[at[5] : at[12]].tolist() and (part == at[5:13] - at[5]).all()
+    at, ids = default_codec().merges.fold(pa.array([], pa.string()))
+    assert at.tolist() == [0] and not len(ids)

@@ -108,3 +108,22 @@ def test_one_id_with_several_texts(make_docs):
     rows = [(1, "other words of no relation at all"), (1, base), (1, base), (2, near), (3, base + " tail")]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in classes(make_docs(rows), words=3, percent=90).collect())
     assert got == [(1, 5, 1), (1, 118, 1), (1, 118, 1), (2, 118, 1), (3, 119, 1)]
+
+
+def test_texts_reach_the_workers_in_small_batches_and_parts(spark, make_docs, monkeypatch):
+    from parasift.llm import common, jaccard
+
+    seen = []
+    own = common.materialise_at
+
+    def watched(df, path):
+        if "jaccard-keys" in path or "jaccard-star-" in path or "jaccard-rep-sets" in path:
+            seen.append(int(spark.conf.get(common._BATCH_CONF)))
+        return own(df, path)
+
+    monkeypatch.setattr(jaccard, "materialise_at", watched)
+    before = spark.conf.get(common._BATCH_CONF)
+    text = " ".join(f"w{k}" for k in range(300))
+    rows = jaccard.classes(make_docs([(1, text), (2, text + " x"), (3, "other words than those of the rest")])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 1, 3: 3}
+    assert len(seen) == 2 and max(seen) <= common.BATCH_ROWS and spark.conf.get(common._BATCH_CONF) == before
