@@ -13,6 +13,12 @@ that many documents share makes no long list unless it fills a block.  A set
 with too few filled blocks is entered again under twice as many, until
 it has enough: no linked pair is missed.
 
+A set with s filled blocks agrees with a linked one on s minus that number of
+elements at least, its ``need``; so of its lists the ``need - 1`` longest can be left
+out: two sets that agree on ``need`` blocks meet in one of the others (lists
+ordered by length, then key, for all sets alike).  Texts that share a phrase or two
+meet nowhere.
+
 Answers from similar sets.  In each list the members are compared with one
 representative R only, which gives d(A) = A xor R exactly.  All else follows from
 these differences: |A xor B| = |d(A)| + |d(B)| - 2 |d(A) and d(B)|, so two members
@@ -48,6 +54,7 @@ from .components import components
 from .hashing import mix, shingle_sets, utf8_parts
 
 GROWTH = 1.5  # of the size classes
+TAG_BITS = 12  # of a key: 64 size classes, 64 levels
 PART_BYTES = 1 << 19  # of texts hashed at once: the arrays take some tens of bytes for each of text
 
 
@@ -61,7 +68,13 @@ def size_classes(largest: int) -> list[int]:
 
 def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Index keys of one set (sorted hashes): see the module text."""
-    n, keys = len(tokens), []
+    return block_index(tokens, percent)[0]
+
+
+def block_index(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set (sorted hashes) and, for each size class and level
+    it is entered under, ``need << TAG_BITS | tag``; a key ends with its tag."""
+    n, keys, needs = len(tokens), [], []
     lows = size_classes(n)
     high32 = tokens >> np.uint64(32)
     mixed = mix(tokens)
@@ -77,34 +90,42 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             block = (high32 * np.uint64(blocks)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(block, prepend=np.uint64(2**63)))
             content = np.add.reduceat(mixed, starts)
-            keys.append(mix(content ^ mix(block[starts] + np.uint64((c * 64 + level) << 40))))
+            tag = c * 64 + level
+            key = mix(content ^ mix(block[starts] + np.uint64(tag << 40)))
+            keys.append(key >> np.uint64(TAG_BITS) << np.uint64(TAG_BITS) | np.uint64(tag))
+            needs.append(max(1, len(starts) - differ) << TAG_BITS | tag)
             if len(starts) > differ:
                 break
             blocks, level = min(blocks * 2, 2**32 - 1), level + 1
-    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+    return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64), np.array(needs, np.int64)
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id, n, cid, keys`` per row: set size, content id, index keys."""
+    """``id, n, cid, keys, needs`` per row: set size, content id, index keys."""
     schema = docs.schema["_id"].simpleString().partition(":")[2]
 
     def run(batches):
         for batch in batches:
             ids = batch.column("_id")
             for row, raw, offsets in utf8_parts(batch.column("_text"), PART_BYTES):
-                size, cid, keys, bounds = [], [], [], [0]
+                size, cid, keys, needs = [], [], [], []
                 for tokens in shingle_sets(raw, offsets, words):
                     size.append(len(tokens))
                     cid.append(content_id(tokens))
-                    keys.append(block_keys(tokens, percent) if len(tokens) else np.zeros(0, np.int64))
-                    bounds.append(bounds[-1] + len(keys[-1]))
+                    key, need = block_index(tokens, percent) if len(tokens) else (np.zeros(0, np.int64),) * 2
+                    keys.append(key)
+                    needs.append(need)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, len(size)), pa.array(size, pa.int64()), pa.array(cid, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(keys)))],
-                    names=["id", "n", "cid", "keys"])
+                    [ids.slice(row, len(size)), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), _lists(keys), _lists(needs)],
+                    names=["id", "n", "cid", "keys", "needs"])
             pa.default_memory_pool().release_unused()  # a reused worker would hold it
 
-    return docs.mapInArrow(run, f"id {schema}, n long, cid long, keys array<long>")
+    return docs.mapInArrow(run, f"id {schema}, n long, cid long, keys array<long>, needs array<long>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(arrays)))
 
 
 def content_id(tokens: np.ndarray) -> np.int64:
@@ -169,13 +190,23 @@ class JaccardJoin:
 
     def _star(self) -> DataFrame:
         """Pairs ``a, r``: a class and the representative of a list it is in."""
-        by = W.partitionBy("key")
+        by, own = W.partitionBy("key"), W.partitionBy("cid", "tag")
         # one document of each class enters the index, so copies make no long list
         one = sized_side(self.classes.select(F.col("cid").alias("_cid"), "rep"), F.lit(16))
         entered = self._keyed.where(F.size("keys") > 0).join(
             one, (F.col("cid") == F.col("_cid")) & F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+        lists = entered.select("cid", F.explode("keys").alias("key")).select(
+            "cid", "key", F.count(F.lit(1)).over(by).alias("times"), (F.min("cid").over(by) < F.max("cid").over(by)).alias("shared"))
+        lists = materialise(lists.where("shared").drop("shared"), "jaccard-lists")
+        tag = lambda c: F.col(c).bitwiseAND((1 << TAG_BITS) - 1)
+        needs = entered.select(F.col("cid").alias("_cid"), F.explode("needs").alias("need")).select(
+            "_cid", tag("need").alias("_tag"), F.shiftright("need", TAG_BITS).alias("need"))
+        ranked = lists.withColumn("tag", tag("key")).withColumn("place", F.row_number().over(own.orderBy("times", "key"))).withColumn(
+            "held", F.count(F.lit(1)).over(own))
+        used = ranked.hint("merge").join(needs, (F.col("cid") == F.col("_cid")) & (F.col("tag") == F.col("_tag"))).where(
+            F.col("place") + F.col("need") <= F.col("held") + 1)
         return (
-            entered.select("cid", F.explode("keys").alias("key")).withColumn("r", F.min("cid").over(by))
+            used.select("cid", "key").withColumn("r", F.min("cid").over(by))
             .where("r != cid").select(F.col("cid").alias("a"), "r").distinct()
         )
 

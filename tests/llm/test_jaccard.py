@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from parasift.llm.hashing import shingle_sets, utf8_parts
-from parasift.llm.jaccard import block_keys, classes, keep_one
+from parasift.llm.jaccard import TAG_BITS, JaccardJoin, block_index, block_keys, classes, keep_one
 from parasift.llm.q_jaccard import op5_ngram_jaccard_join
 
 
@@ -127,3 +127,38 @@ def test_texts_reach_the_workers_in_small_batches_and_parts(spark, make_docs, mo
     rows = jaccard.classes(make_docs([(1, text), (2, text + " x"), (3, "other words than those of the rest")])).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == {1: 1, 2: 1, 3: 3}
     assert len(seen) == 2 and max(seen) <= common.BATCH_ROWS and spark.conf.get(common._BATCH_CONF) == before
+
+
+def test_texts_that_share_phrases_only_are_not_compared(make_docs):
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(5)) for k in range(4)]
+    rows = []
+    for i in range(1, 61):
+        parts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(25)) for _ in range(12)]
+        for at, phrase in zip(rng.sample(range(12), 4), phrases, strict=True):
+            parts[at] += f" {phrase}"
+        rows.append((i, " ".join(parts)))
+    rows.append((61, f"{rows[0][1]} end"))
+    join = JaccardJoin(make_docs(rows), words=5, percent=80)
+    assert join._star().count() == 1
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes(make_docs(rows), words=5, percent=80).collect()}
+    assert got == brute(rows, 5, 80) and got[61][1] == 1
+
+
+def test_linked_sets_meet_in_one_of_the_lists_that_are_kept():
+    rng = np.random.default_rng(5)
+    for percent in (60, 80, 90):
+        for n in (5, 30, 200, 900):
+            base = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            sets = [base]
+            while len(sets) < 6:
+                other = np.unique(np.append(rng.permutation(base)[: n - rng.integers(n // 5 + 1)], rng.integers(0, 2**64, rng.integers(n // 5 + 1), np.uint64)))
+                both = len(np.intersect1d(base, other))
+                if 100 * both >= percent * (len(base) + len(other) - both):
+                    sets.append(other)
+            index = [block_index(s, percent) for s in sets]
+            for keys, needs in index[1:]:
+                agreed = np.intersect1d(keys, index[0][0]) % (1 << TAG_BITS)
+                tags = [dict(zip(x % (1 << TAG_BITS), x >> TAG_BITS, strict=True)) for x in (needs, index[0][1])]
+                if len(keys):
+                    assert any((agreed == t).sum() >= max(tags[0][t], tags[1][t]) for t in tags[0].keys() & tags[1].keys())
