@@ -43,7 +43,7 @@ import json
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -86,6 +86,8 @@ ENDS_P = set(
 )
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
           "p": {"table", "td", "th", "li", "div", "section", "article", "body"}, "option": {"select"}}
+ENDS_WITHIN = {tag: SCOPES[tag] - ENDS[tag] for tag in ENDS}
+P_WITHIN = SCOPES["p"] - {"div"} | {"article", "section"}
 # Elements and names that mark what is not the article.
 BOILERPLATE_TAGS = RAW | set("head nav footer aside form button input menu dialog".split())
 BOILERPLATE_NAMES = set(
@@ -107,17 +109,27 @@ PAGE_HOLDERS = {"form", "header", "aside", "dialog"}
 _NONE: frozenset[str] = frozenset()
 
 
+class Text:
+    """A text node: it has the tag ""."""
+
+    __slots__ = ("text",)
+    tag = ""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
 class Node:
     __slots__ = ("blocks", "children", "classes", "mark", "names", "nodes", "off", "shape", "size", "tag", "text")
 
     def __init__(self, tag: str, names: str = "", classes: str = ""):
         self.tag, self.names, self.mark, self.off = tag, names, "", False
         self.classes = frozenset(classes.split()) if classes else _NONE
-        self.children: list[Node] = []  # text nodes have the tag "" and a text
+        self.children: list[Node | Text] = []
         self.blocks: list[Node] = []  # the elements just below it; inline ones are looked through
-        self.text = ""
+        self.text = ""  # of its inline inside, squeezed
         self.size = 0  # code points of its own text
-        self.nodes: list[Node] = []
+        self.nodes: list[Node] | tuple[()] = ()
         self.shape = 0
 
 
@@ -132,28 +144,28 @@ def _named(names: str) -> bool:
     return False
 
 
+def _visit(node: Node, off: list[tuple[Node, int, bool]]) -> tuple[int, bool, str, bool]:
+    """Text kept inside, and whether an article is inside, the highest heading, whether a text block."""
+    tag, held, article, top, block = node.tag, node.size, False, "h9", False
+    for c in node.blocks:
+        n, x, y, z = _visit(c, off)
+        held, article, top, block = held + n, article or x, min(top, y), block or z
+    heading = top == "h1"
+    if tag in BOILERPLATE_TAGS:  # an article's own header with its title is content
+        node.off = not (tag in PAGE_HOLDERS and article or tag == "form" and heading or tag == "header" and top <= "h2")
+    elif node.names and tag not in ("html", "body", "article", "main") and not (article or heading):
+        node.off = _named(node.names)
+    if node.off:
+        off.append((node, held, block))
+        held = 0
+    top = min(top, tag) if tag in HEADINGS else top
+    return held, article or tag in ("article", "main"), top, block or tag in TEXT_BLOCKS and held > 0
+
+
 def _settle(root: Node) -> Node:
     """Sets ``off`` on the elements that markup names as something else than the article."""
     off: list[tuple[Node, int, bool]] = []
-
-    def visit(node: Node) -> tuple[int, bool, str, bool]:
-        """Text kept inside, and whether an article is inside, the highest heading, whether a text block."""
-        tag, held, article, top, block = node.tag, node.size, False, "h9", False
-        for c in node.blocks:
-            n, x, y, z = visit(c)
-            held, article, top, block = held + n, article or x, min(top, y), block or z
-        heading = top == "h1"
-        if tag in BOILERPLATE_TAGS:  # an article's own header with its title is content
-            node.off = not (tag in PAGE_HOLDERS and article or tag == "form" and heading or tag == "header" and top <= "h2")
-        elif node.names and tag not in ("html", "body", "article", "main") and not (article or heading):
-            node.off = _named(node.names)
-        if node.off:
-            off.append((node, held, block))
-            held = 0
-        top = min(top, tag) if tag in HEADINGS else top
-        return held, article or tag in ("article", "main"), top, block or tag in TEXT_BLOCKS and held > 0
-
-    kept, article, _, _ = visit(root)
+    kept, article, _, _ = _visit(root, off)
     if not article:  # a form around the whole page, or all of the page in an element of such a name
         for node, held, block in off:
             if block and held > kept and (node.tag == "form" or not kept and node.tag not in BOILERPLATE_TAGS and any(
@@ -167,21 +179,14 @@ def parse(page: str | None) -> Node:
     decoded.  Comments, declarations and the inside of raw elements go."""
     root = Node("#root")
     stack, at, page = [root], 0, page or ""
-    held: Counter[str] = Counter()  # open elements by tag
+    held: defaultdict[str, int] = defaultdict(int)  # open elements by tag
+    search = _TOKEN.search
 
-    def add_text(raw: str) -> None:
-        if raw:
-            node = Node("")
-            node.text = _html.unescape(raw) if "&" in raw else raw
-            add(node)
-
-    def add(node: Node) -> None:
+    def add(node: Node | Text) -> None:
         stack[min(len(stack), MAX_DEPTH) - 1].children.append(node)
 
     def close(tags: set[str], scope: set[str], reach: int) -> None:
         """Ends the innermost of the ``reach`` innermost elements that has one of the tags."""
-        if not any(held[t] for t in tags):
-            return
         for k in range(len(stack) - 1, max(0, len(stack) - 1 - reach), -1):
             if stack[k].tag in tags:
                 for n in stack[k:]:
@@ -192,16 +197,20 @@ def parse(page: str | None) -> Node:
                 return
 
     while True:
-        found = _TOKEN.search(page, at)
+        found = search(page, at)
+        start = found.start() if found else len(page)
+        if start > at:
+            raw = page[at:start]
+            add(Text(_html.unescape(raw) if "&" in raw else raw))
         if not found:
-            add_text(page[at:])
             _measure(root)
             return _settle(root)
-        add_text(page[at : found.start()])
-        at, tag = found.end(), (found[2] or "").lower()
+        at = found.end()
+        slash, tag, inside = found.groups()
         if not tag:
             continue
-        if found[1]:
+        tag = tag.lower()
+        if slash:
             if stack[-1].tag == tag:
                 stack.pop()
                 held[tag] -= 1
@@ -209,33 +218,33 @@ def parse(page: str | None) -> Node:
                 close({tag}, {"#root"}, len(stack))
             continue
         if tag in ENDS_P and tag != "p" and held["p"]:
-            close({"p"}, SCOPES["p"] - {"div"} | {"article", "section"}, MAX_DEPTH)
+            close(ENDS["p"], P_WITHIN, MAX_DEPTH)
         if tag in ENDS:
-            close(ENDS[tag], SCOPES[tag] - ENDS[tag], MAX_DEPTH)
-        named = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(found[3])] if found[3] else []
-        node = Node(tag, " ".join(v for _, v in named), " ".join(v for k, v in named if k != "id"))
+            for t in ENDS[tag]:
+                if held[t]:
+                    close(ENDS[tag], ENDS_WITHIN[tag], MAX_DEPTH)
+                    break
+        if inside:
+            named = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(inside)]
+            node = Node(tag, " ".join([v for _, v in named]), " ".join([v for k, v in named if k != "id"]))
+            alone = inside.endswith("/")
+        else:
+            node, alone = Node(tag), False
         add(node)
-        if tag in RAW and not found[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if tag in RAW and not alone:
+            end = _raw_end(tag).search(page, at)
             if end or tag in ("script", "style"):
                 at = end.end() if end else len(page)
                 continue
-        if tag not in VOID and not found[3].endswith("/"):
+        if tag not in VOID and not alone:
             stack.append(node)
             held[tag] += 1
 
 
-def own_text(node: Node) -> str:
-    """Text of a node's inline inside."""
-    parts = []
-    for c in node.children:
-        if not c.tag:
-            parts.append(c.text)
-        elif c.tag == "br":
-            parts.append(" ")
-        elif c.tag in INLINE:
-            parts.append(own_text(c))
-    return "".join(parts)
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    """End of a raw element."""
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
 
 
 def _gather(node: Node, parts: list[str], blocks: list[Node]) -> None:
@@ -251,10 +260,12 @@ def _gather(node: Node, parts: list[str], blocks: list[Node]) -> None:
 
 
 def _measure(node: Node) -> None:
-    """Sets the size and the blocks of all elements."""
+    """Sets the text, its size and the blocks of all elements."""
     parts: list[str] = []
     _gather(node, parts, node.blocks)
-    node.size = len(squeeze("".join(parts)))
+    if parts:
+        node.text = squeeze("".join(parts))
+        node.size = len(node.text)
     for c in node.blocks:
         _measure(c)
 
@@ -262,8 +273,8 @@ def _measure(node: Node) -> None:
 def condense(node: Node) -> Node:
     """The elements that ``match`` looks at: no inline ones, and neighbouring text
     blocks of one kind without elements of their own are one node."""
-    out = Node(node.tag, node.names, " ".join(node.classes))
-    out.nodes, out.off = [node], node.off
+    out = Node(node.tag, node.names)
+    out.classes, out.nodes, out.off = node.classes, [node], node.off
     for c in node.blocks:
         new, last = condense(c), out.children[-1] if out.children else None
         if (last is not None and c.tag in TEXT_BLOCKS and last.tag == c.tag and not new.children and not last.children
@@ -276,7 +287,7 @@ def condense(node: Node) -> Node:
 
 
 def _shaped(node: Node) -> Node:
-    node.shape = hash((node.tag, *(c.shape for c in node.children)))
+    node.shape = hash((node.tag, *[c.shape for c in node.children]))
     return node
 
 
@@ -285,52 +296,54 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     of one tag that keeps order and ancestry, by dynamic programming over the
     children of paired nodes.  A pair weighs 1, and 1 more if a class is shared
     or neither has one."""
-
-    def own(x: Node, y: Node) -> int:
-        return 2 if x.classes & y.classes or not (x.classes or y.classes) else 1
-
-    def alike(x: Node, y: Node) -> bool:
-        return x.tag == y.tag and x.shape == y.shape and own(x, y) == 2
-
-    def size(x: Node, y: Node) -> tuple[int, list]:
-        xs, ys = x.children, y.children
-        total, pairs = own(x, y), [(x, y)]
-        start, end = 0, 0
-        least = min(len(xs), len(ys))
-        while start < least and alike(xs[start], ys[start]):
-            start += 1
-        while end < least - start and alike(xs[-1 - end], ys[-1 - end]):
-            end += 1
-        chosen = [*zip(xs[:start], ys[:start]), *(zip(xs[-end:], ys[-end:]) if end else ())]
-        xs, ys = xs[start : len(xs) - end], ys[start : len(ys) - end]
-        kept: dict[tuple[int, int], tuple[int, list]] = {}
-        if len(xs) * len(ys) > CELLS:
-            chosen += _in_order(xs, ys)
-        elif xs and ys:
-            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, p in enumerate(xs, 1):
-                for j, q in enumerate(ys, 1):
-                    w = 0
-                    if p.tag == q.tag:
-                        kept[i, j] = size(p, q)
-                        w = kept[i, j][0]
-                    best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-            i, j = len(xs), len(ys)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    total, pairs = total + kept[i, j][0], pairs + kept[i, j][1]
-                    i, j = i - 1, j - 1
-        for p, q in chosen:
-            w, inside = size(p, q)
-            total += w
-            pairs += inside
-        return total, pairs
-
-    return size(a, b)[1] if a.tag == b.tag else []
+    return _weigh(a, b)[1] if a.tag == b.tag else []
+
+
+def _weight(x: Node, y: Node) -> int:
+    return 2 if x.classes & y.classes or not (x.classes or y.classes) else 1
+
+
+def _alike(x: Node, y: Node) -> bool:
+    return x.tag == y.tag and x.shape == y.shape and _weight(x, y) == 2
+
+
+def _weigh(x: Node, y: Node) -> tuple[int, list]:
+    xs, ys = x.children, y.children
+    total, pairs = _weight(x, y), [(x, y)]
+    start, end = 0, 0
+    least = min(len(xs), len(ys))
+    while start < least and _alike(xs[start], ys[start]):
+        start += 1
+    while end < least - start and _alike(xs[-1 - end], ys[-1 - end]):
+        end += 1
+    chosen = [*zip(xs[:start], ys[:start]), *(zip(xs[-end:], ys[-end:]) if end else ())]
+    xs, ys = xs[start : len(xs) - end], ys[start : len(ys) - end]
+    kept: dict[tuple[int, int], tuple[int, list]] = {}
+    if len(xs) * len(ys) > CELLS:
+        chosen += _in_order(xs, ys)
+    elif xs and ys:
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, p in enumerate(xs, 1):
+            for j, q in enumerate(ys, 1):
+                w = 0
+                if p.tag == q.tag:
+                    kept[i, j] = _weigh(p, q)
+                    w = kept[i, j][0]
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
+        i, j = len(xs), len(ys)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                total, pairs = total + kept[i, j][0], pairs + kept[i, j][1]
+                i, j = i - 1, j - 1
+    for p, q in chosen:
+        w, inside = _weigh(p, q)
+        total += w
+        pairs += inside
+    return total, pairs
 
 
 def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
@@ -369,16 +382,16 @@ def content_slot(root: Node, weight: dict[int, float] | None = None) -> Node:
 def _totals(root: Node, weight: dict[int, float] | None = None) -> dict[int, float]:
     """Varying text by node id, with all below it; elements named otherwise have none."""
     sums: dict[int, float] = {}
+    _total(root, weight, sums)
+    return sums
 
-    def total(node: Node) -> float:
-        if node.off:
-            return 0.0
-        held = weight.get(id(node), 0.0) if weight is not None else float(node.size)
-        sums[id(node)] = held = held + sum(map(total, node.blocks))
-        return held
 
-    total(root)
-    return sums
+def _total(node: Node, weight: dict[int, float] | None, sums: dict[int, float]) -> float:
+    if node.off:
+        return 0.0
+    held = weight.get(id(node), 0.0) if weight is not None else float(node.size)
+    sums[id(node)] = held = held + sum([_total(c, weight, sums) for c in node.blocks])
+    return held
 
 
 def _slot_path(root: Node, sums: dict[int, float]) -> list[Node]:
@@ -416,9 +429,12 @@ def _edges(slot: Node, sums: dict[int, float]) -> list[Node]:
 
 
 def _elements(node: Node):
-    for c in node.blocks:
+    """All elements below a node, in page order."""
+    stack = node.blocks[::-1]
+    while stack:
+        c = stack.pop()
         yield c
-        yield from _elements(c)
+        stack += c.blocks[::-1]
 
 
 def text_code(text: str) -> int:
@@ -588,9 +604,9 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 trees, place = held[host]
                 root = parse(page.as_py())
                 layout, pairs = _nearest(trees, root)
-                whole = text_code(squeeze(" ".join(own_text(n) for n in (root, *_elements(root)))))
+                whole = text_code(" ".join([n.text for n in (root, *_elements(root)) if n.text]))
                 for x, y in pairs:
-                    t = squeeze(" ".join(map(own_text, y.nodes)))
+                    t = " ".join([n.text for n in y.nodes if n.text])
                     if t:
                         out.append((host, layout, place[id(x)], text_code(t), len(t), whole))
             yield pa.RecordBatch.from_arrays(

@@ -155,3 +155,9 @@ def test_query_returns_the_articles(spark, sf_dir, duck):
     rows = op3_wrapper_extraction(spark, sf_dir).collect()
     assert {r["page_id"]: r["text"] for r in rows} == want
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_the_text_of_an_element_is_kept_from_the_parse():
+    root = wrapper.parse("<div> a <b>b<i>c</i></b><br>d<p>e &amp;amp; f</p> g</div>")
+    assert [n.text for n in wrapper._elements(root)] == ["a bc d g", "e &amp; f"]
+    assert [n.size for n in wrapper._elements(root)] == [8, 9]
