@@ -47,6 +47,7 @@ CLASSES = GROUPS * MEMBERS  # class c is member c // groups of group c % groups
 SIDES = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 1024, 0.15
 COUNT_BLOCK = 1 << 21
+EXPONENT = 64  # logits below it in size need no shift: sums of their exponentials stay in 32 bits
 TABLE_WORDS, LEAST_TARGETS, PARAMETER_BLOCK = 1 << 19, 2, 1 << 12
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint8)
 _SLOTS = 1 << 20
@@ -195,11 +196,10 @@ class Network:
             hidden, member = self.hidden(around[at : at + 4096][order]), target[at : at + 4096][order] // self.groups
             part = np.zeros(len(order))
             for logits, own in zip(self._outputs(hidden, group, runs), (group, member), strict=True):
+                _lower(logits)
                 part += logits[np.arange(len(own)), own]
-                top = logits.max(axis=1)
-                logits -= top[:, None]
                 np.exp(logits, out=logits)
-                part -= top + np.log(logits @ np.ones(logits.shape[1], np.float32))
+                part -= np.log(logits @ np.ones(logits.shape[1], np.float32))
             out[at + order] = part
         return out
 
@@ -210,7 +210,7 @@ class Network:
         hidden = self.hidden(around)
         error, low = self._outputs(hidden, group, runs)
         for logits, own in ((error, group), (low, target[order] // self.groups)):
-            logits -= logits.max(axis=1)[:, None]
+            _lower(logits)
             np.exp(logits, out=logits)
             logits /= (logits @ np.full(logits.shape[1], n, np.float32))[:, None]
             logits[every, own] -= np.float32(1 / n)
@@ -221,25 +221,40 @@ class Network:
             own = low[a:b]
             np.dot(hidden[a:b].T, own, out=member[g])
             np.dot(own, self.member[g].T, out=low_back[a:b])
-        member_prior[[g for g, _, _ in runs]] = np.add.reduceat(low, [a for _, a, _ in runs], axis=0)
+        member_prior[[g for g, _, _ in runs]] = _sums(low, [a for _, a, _ in runs])
         back += low_back
         back *= 1 - hidden * hidden
         # all sides at once: row k * (classes + 1) + c is the vector of class c on side k
         place = (around + np.arange(len(SIDES)) * (self.classes + 1)).T.ravel()
         order = _argsort(place, len(SIDES) * (self.classes + 1))
         ranked = place[order]
-        head = np.flatnonzero(np.diff(ranked, prepend=-1))
-        rows, g = ranked[head], np.add.reduceat(back.take(order % n, axis=0), head, axis=0)
+        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        rows, g = ranked[head], _sums(back.take(order % n, axis=0), head)
         inside, squares = (x.reshape(-1, x.shape[-1]) for x in (self.inside, seen[0]))  # views
         so_far = squares.take(rows, axis=0) + g * g
         squares[rows] = so_far
-        inside[rows] -= _step(g, so_far)
-        steps = (back.sum(axis=0), hidden.T @ error, error.sum(axis=0), member, member_prior)
+        inside[rows] = inside.take(rows, axis=0) - _step(g, so_far)
+        ones = np.ones(n, np.float32)
+        steps = (ones @ back, hidden.T @ error, ones @ error, member, member_prior)
         for p, g, s in zip(self.parameters()[1:], steps, seen[1:], strict=True):
             s += g * g
             p -= _step(g, s)
 
 
+def _lower(logits: np.ndarray) -> None:
+    """Subtracts each row's largest value where ``exp`` could leave the 32-bit range."""
+    if not -EXPONENT < logits.min() <= logits.max() < EXPONENT:
+        logits -= logits.max(axis=1)[:, None]
+
+
+def _sums(rows: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``head``; two columns are added
+    at once, as the parts of a complex number."""
+    if rows.shape[1] % 2:
+        return np.add.reduceat(rows, head, axis=0)
+    return np.add.reduceat(rows.view(np.complex64), head, axis=0).view(np.float32)
+
+
 def _step(gradient: np.ndarray, squares: np.ndarray) -> np.ndarray:
     root = squares + np.float32(1e-8)
     np.sqrt(root, out=root)

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from parasift.llm import langid, pseudo, toxicity
 from parasift.llm.q_langid import op7_language_mixture
 from parasift.llm.q_pseudo import op10_pseudo_likelihood
@@ -280,3 +282,17 @@ def test_pseudo_likelihood_step_equals_the_plain_rule():
     for p, q, g, s in zip(net.parameters(), plain.parameters(), grads, seen, strict=True):
         assert np.allclose(s, g * g, rtol=1e-3, atol=1e-9)
         assert np.allclose(p, q - pseudo.RATE * g / np.sqrt(g * g + 1e-8), atol=1e-3)
+
+
+def test_pseudo_sums_of_runs_and_logits_beyond_the_range_of_exp():
+    rows = np.random.default_rng(2).normal(size=(50, 24)).astype(np.float32)
+    head = np.array([0, 1, 7, 8, 30])
+    for columns in (24, 23):
+        part = np.ascontiguousarray(rows[:, :columns])
+        assert np.allclose(pseudo._sums(part, head), np.add.reduceat(part, head, axis=0), atol=1e-5)
+    small = rows.copy()
+    pseudo._lower(small)
+    assert (small == rows).all()
+    for large in (rows + 500, rows - 500):
+        pseudo._lower(large)
+        assert (large.max(axis=1) == 0).all()
