@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,12 @@ CLASSES = GROUPS * MEMBERS  # class c is member c // groups of group c % groups
 SIDES = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE = 2, 1024, 0.15
 COUNT_BLOCK = 1 << 21
+SCORED, PLANNED, RANKS, DENSE_BLOCK = 2048, 16, 12, 1 << 14  # rows at once, steps sorted at once, rows of a cell added up by rank
 EXPONENT = 64  # logits below it in size need no shift: sums of their exponentials stay in 32 bits
 TABLE_WORDS, LEAST_TARGETS, PARAMETER_BLOCK = 1 << 19, 2, 1 << 12
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256)], np.uint8)
 _SLOTS = 1 << 20
+BUCKET_BITS, PLACE_BITS = 19, 21
 
 
 def _words(raw: np.ndarray) -> tuple[Words, np.ndarray]:
@@ -62,6 +65,23 @@ def _words(raw: np.ndarray) -> tuple[Words, np.ndarray]:
     return words, tail * np.uint64(256) + folded[before] if len(words.end) else tail
 
 
+def _distinct(words: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, ascending, how often each occurs, and its tail.  The
+    hashes alone are sorted; a place of each word is kept by its first bits,
+    and only words that lost theirs to another are sorted with their places."""
+    ranked = np.sort(words)
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), ranked[1:] != ranked[:-1]]))
+    word, n = ranked.take(head), np.diff(head, append=len(words))
+    held, bits = np.zeros(1 << PLACE_BITS, np.int32), np.uint64(64 - PLACE_BITS)
+    held[words >> bits] = np.arange(len(words))
+    at = held.take((word >> bits).view(np.int64))
+    lost = np.flatnonzero(words.take(at) != word)
+    if len(lost):
+        rest = np.flatnonzero(words.take(held.take((words >> bits).view(np.int64))) != words)
+        at[lost] = rest[np.unique(words.take(rest), return_index=True)[1]]
+    return word, n, tails.take(at)
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word`` (hash), ``n`` over all documents, ``tail`` (last two bytes)."""
 
@@ -71,10 +91,10 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         def flush():
             words, tails = (np.concatenate(x) for x in zip(*held, strict=True))
-            word, first, n = np.unique(words, return_index=True, return_counts=True)
+            word, n, tail = _distinct(words, tails)
             held.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(word.view(np.int64)), pa.array(n, pa.int64()), pa.array(tails[first].astype(np.int32))],
+                [pa.array(word.view(np.int64)), pa.array(n, pa.int64()), pa.array(tail.astype(np.int32))],
                 names=["word", "n", "tail"])
 
         for batch in batches:
@@ -157,88 +177,185 @@ class Network:
 
     def classifier(self):
         """A function from word hashes and tail hashes to classes."""
-        slot = np.full(_SLOTS, -1, np.int32)
+        slot = np.zeros(_SLOTS, np.int32)
         slot[_slot(self.known)] = np.arange(len(self.known))
-        first = self.classes - len(self.shared)
+        rare = self.classes - len(self.shared) + _shared_class(np.arange(1 << 16), len(self.shared))  # of each tail
 
         def classes(hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
-            at = slot[_slot(hashes)]
-            rare = first + _shared_class(tails, len(self.shared))
-            if not len(self.known):
-                return rare
-            return np.where((at >= 0) & (self.known[np.maximum(at, 0)] == hashes), at, rare)
+            own = rare.take(tails.view(np.int64))
+            if len(self.known):
+                at = slot.take(_slot(hashes).view(np.int64))
+                np.copyto(own, at, where=self.known.take(at) == hashes)
+            return own
 
         return classes
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.inside[0].take(around[:, 0], axis=0)
-        for k in range(1, len(SIDES)):
-            total += self.inside[k].take(around[:, k], axis=0)
-        total += self.bias
-        return np.tanh(total, out=total)
-
-    def _outputs(self, hidden: np.ndarray, group: np.ndarray, runs) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the groups and of the members of each row's group; rows
-        of one group stand together (``runs``)."""
-        low = np.empty((len(hidden), self.member.shape[2]), np.float32)
-        for g, a, b in runs:
-            np.dot(hidden[a:b], self.member[g], out=low[a:b])
-        low += self.member_prior.take(group, axis=0)
-        high = hidden @ self.group
-        high += self.group_prior
-        return high, low
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the groups (hidden + 1 x groups) and of the members
+        (groups x hidden + 1 x members), the priors in the last row."""
+        return (np.concatenate([self.group, self.group_prior[None]]),
+                np.concatenate([self.member, self.member_prior[:, None]], axis=1))
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target given the classes around it."""
-        out = np.empty(len(target), np.float64)
-        for at in range(0, len(target), 4096):
-            group, order, runs = _by_group(target[at : at + 4096], self.groups)
-            hidden, member = self.hidden(around[at : at + 4096][order]), target[at : at + 4096][order] // self.groups
-            part = np.zeros(len(order))
-            for logits, own in zip(self._outputs(hidden, group, runs), (group, member), strict=True):
-                _lower(logits)
-                part += logits[np.arange(len(own)), own]
-                np.exp(logits, out=logits)
-                part -= np.log(logits @ np.ones(logits.shape[1], np.float32))
-            out[at + order] = part
+        out, (high, low) = np.empty(len(target), np.float64), self.joined()
+        # hidden values are 1 at most in size, so logits are no larger than these sums
+        large = max(np.abs(high).sum(axis=0).max(), np.abs(low).sum(axis=1).max()) >= EXPONENT
+        vectors, side, ones = self.inside.copy(), self.groups, np.ones(self.groups, np.float32)
+        vectors[0] += self.bias
+        vectors, values = vectors.reshape(-1, HIDDEN), np.ones((SCORED, HIDDEN + 1), np.float32)
+        member = target // side
+        group = target - member * side
+        _, order = _sorted(group, len(group).bit_length(), side)
+        held, first = np.empty((SCORED, side), np.float32), np.arange(SCORED) * side
+        for at in range(0, len(target), SCORED):
+            rows = order[at : at + SCORED]
+            of, logits = group.take(rows), held[: len(rows)]
+            hidden = _hidden(vectors, _cells(around.take(rows, axis=0), self.classes).ravel(), None, values)
+            part = np.zeros(len(rows), np.float32)
+            for level, own in enumerate((of, member.take(rows))):
+                if level:
+                    _members(hidden, low, _runs(of), logits)
+                else:
+                    hidden.dot(high, out=logits)
+                if large:
+                    _lower(logits)
+                part += held.reshape(-1).take(first[: len(rows)] + own)
+                part -= np.log(np.exp(logits, out=logits).dot(ones))
+            out[rows] = part
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, seen: list[np.ndarray]) -> None:
         """One Adagrad step; ``seen`` holds the squared gradients so far."""
-        group, order, runs = _by_group(target, self.groups)
-        around, every, n = around[order], np.arange(len(target)), len(target)
-        hidden = self.hidden(around)
-        error, low = self._outputs(hidden, group, runs)
-        for logits, own in ((error, group), (low, target[order] // self.groups)):
-            _lower(logits)
-            np.exp(logits, out=logits)
-            logits /= (logits @ np.full(logits.shape[1], n, np.float32))[:, None]
-            logits[every, own] -= np.float32(1 / n)
-        back = error @ self.group.T
-        member, member_prior = np.zeros_like(self.member), np.zeros_like(self.member_prior)
-        low_back = np.empty_like(back)
+        copy = Copy(self, seen)
+        copy.learn(around, target, len(target))
+        for held, now in ((self.parameters(), copy.parameters(0)), (seen, copy.parameters(1))):
+            for p, q in zip(held, now, strict=True):
+                p[...] = q
+
+
+class Copy:
+    """A network in training, in the layout its steps work on.  ``inside`` and
+    ``dense``: the class vectors, and all other parameters in one array; of
+    each the values, their squared gradients so far and, of the dense, the
+    gradients of a step."""
+
+    def __init__(self, net: Network, seen: list[np.ndarray] | None = None):
+        self.net, side = net, net.groups
+        self.values = np.ones((BATCH, HIDDEN + 1), np.float32)
+        self.inside = np.zeros((2, len(SIDES) * (net.classes + 1), HIDDEN), np.float32)
+        self.dense = np.zeros((3, HIDDEN + (HIDDEN + 1) * side * (side + 1)), np.float32)
+        at = HIDDEN, HIDDEN + (HIDDEN + 1) * side
+        self.parts = [(x[: at[0]], x[at[0] : at[1]].reshape(HIDDEN + 1, side), x[at[1] :].reshape(side, HIDDEN + 1, side)) for x in self.dense]
+        for k, values in enumerate((net.parameters(), seen or [])):
+            for p, q in zip(self.parameters(k), values, strict=False):
+                p[...] = q
+
+    def parameters(self, k: int) -> list[np.ndarray]:
+        """Views in the order of ``Network.parameters`` of the parameters (0)
+        or their squared gradients (1)."""
+        bias, high, low = self.parts[k]
+        return [self.inside[k].reshape(len(SIDES), -1, HIDDEN), bias, high[:HIDDEN], high[HIDDEN], low[:, :HIDDEN], low[:, HIDDEN]]
+
+    def network(self) -> Network:
+        return self.net.replaced(np.concatenate([p.ravel() for p in self.parameters(0)]))
+
+    def learn(self, around: np.ndarray, target: np.ndarray, size: int = BATCH) -> None:
+        """An Adagrad step for each ``size`` rows."""
+        full = len(target) - len(target) % size
+        for at in range(0, full, size * PLANNED):
+            rows = slice(at, min(full, at + size * PLANNED))
+            for step in _steps(around[rows], target[rows], self.net, size):
+                self._step(*step)
+        if full < len(target):
+            self.learn(around[full:], target[full:], len(target) - full)
+
+    def _step(self, cells: np.ndarray, runs: list[tuple[int, int, int]], own: np.ndarray, changed: np.ndarray,
+              ranks: list[np.ndarray], rest: np.ndarray, head: np.ndarray) -> None:
+        n = len(own) // 2
+        bias, high, low = self.parts[0]
+        if len(self.values) < n:
+            self.values = np.ones((n, HIDDEN + 1), np.float32)
+        hidden = _hidden(self.inside[0], cells, bias, self.values)
+        logits = _softmax(hidden, high, low, runs, n)
+        logits.reshape(-1)[own] -= np.float32(1 / n)
+        error, errors = logits
+        new_bias, new_high, new_low = self.parts[2]
+        np.dot(hidden.T, error, out=new_high)
+        if len(runs) < len(low):
+            new_low[...] = 0
+        back = np.empty((n, HIDDEN), np.float32)
         for g, a, b in runs:
-            own = low[a:b]
-            np.dot(hidden[a:b].T, own, out=member[g])
-            np.dot(own, self.member[g].T, out=low_back[a:b])
-        member_prior[[g for g, _, _ in runs]] = _sums(low, [a for _, a, _ in runs])
-        back += low_back
-        back *= 1 - hidden * hidden
-        # all sides at once: row k * (classes + 1) + c is the vector of class c on side k
-        place = (around + np.arange(len(SIDES)) * (self.classes + 1)).T.ravel()
-        order = _argsort(place, len(SIDES) * (self.classes + 1))
-        ranked = place[order]
-        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        rows, g = ranked[head], _sums(back.take(order % n, axis=0), head)
-        inside, squares = (x.reshape(-1, x.shape[-1]) for x in (self.inside, seen[0]))  # views
-        so_far = squares.take(rows, axis=0) + g * g
-        squares[rows] = so_far
-        inside[rows] = inside.take(rows, axis=0) - _step(g, so_far)
-        ones = np.ones(n, np.float32)
-        steps = (ones @ back, hidden.T @ error, ones @ error, member, member_prior)
-        for p, g, s in zip(self.parameters()[1:], steps, seen[1:], strict=True):
-            s += g * g
-            p -= _step(g, s)
+            part = errors[a:b]
+            hidden[a:b].T.dot(part, out=new_low[g])
+            part.dot(low[g, :HIDDEN].T, out=back[a:b])
+        back += error @ high[:HIDDEN].T
+        slope = hidden[:, :HIDDEN] * hidden[:, :HIDDEN]
+        back *= np.subtract(1, slope, out=slope)
+        np.dot(np.ones(n, np.float32), back, out=new_bias)
+        for at in range(0, self.dense.shape[1], DENSE_BLOCK):  # what stays in the processor's cache
+            _adagrad(*self.dense[:, at : at + DENSE_BLOCK])
+        total = back.take(ranks[0], axis=0)
+        for rank in ranks[1:]:
+            total[: len(rank)] += back.take(rank, axis=0)
+        if len(head):
+            total[: len(head)] += _sums(back.take(rest, axis=0), head)
+        whole = [x.reshape(-1).view(f"V{4 * HIDDEN}") for x in self.inside]  # a vector is one item
+        now = [x.take(changed).view(np.float32) for x in whole]
+        _adagrad(*now, total.reshape(-1))
+        for x, values in zip(whole, now, strict=True):
+            x[changed] = values.view(x.dtype)
+
+
+def _cells(around: np.ndarray, classes: int) -> np.ndarray:
+    """Rows of the class vectors of all sides, side by side: k * (classes + 1)
+    + c is class c on side k."""
+    return around.swapaxes(-1, -2) + (np.arange(len(SIDES), dtype=np.int64) * (classes + 1))[:, None]
+
+
+def _hidden(vectors: np.ndarray, cells: np.ndarray, bias: np.ndarray | None, out: np.ndarray) -> np.ndarray:
+    """Hidden values of each row, written to ``out`` before its column of
+    ones, which the priors are weights of."""
+    parts = vectors.take(cells, axis=0).reshape(len(SIDES), -1, HIDDEN)
+    total = parts[0]
+    for part in parts[1:]:
+        total += part
+    if bias is not None:
+        total += bias
+    out = out[: len(total)]
+    out[:, :HIDDEN] = np.tanh(total, out=total)
+    return out
+
+
+def _logits(hidden: np.ndarray, high: np.ndarray, low: np.ndarray, runs) -> np.ndarray:
+    """Logits of the groups and of the members of each row's group; rows of
+    one group stand together (``runs``)."""
+    out = np.empty((2, len(hidden), high.shape[1]), np.float32)
+    hidden.dot(high, out=out[0])
+    _members(hidden, low, runs, out[1])
+    return out
+
+
+def _members(hidden: np.ndarray, low: np.ndarray, runs, out: np.ndarray) -> None:
+    for g, a, b in runs:  # the method: a call of np.dot costs as much again
+        hidden[a:b].dot(low[g], out=out[a:b])
+
+
+def _softmax(hidden: np.ndarray, high: np.ndarray, low: np.ndarray, runs, n: int) -> np.ndarray:
+    """Probabilities by those logits, divided by ``n``; they are shifted only
+    where the sums of their exponentials leave the 32-bit range."""
+    logits = _logits(hidden, high, low, runs)
+    rows = logits.reshape(-1, logits.shape[2])
+    ones = np.ones(rows.shape[1], np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        sums = np.exp(rows, out=rows) @ ones
+    if not math.exp(-EXPONENT) < sums.min() <= sums.max() < math.exp(EXPONENT):
+        rows[...] = _logits(hidden, high, low, runs).reshape(rows.shape)
+        _lower(rows)
+        sums = np.exp(rows, out=rows) @ ones
+    sums *= n
+    rows /= sums[:, None]
+    return logits
 
 
 def _lower(logits: np.ndarray) -> None:
@@ -255,40 +372,87 @@ def _sums(rows: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.add.reduceat(rows.view(np.complex64), head, axis=0).view(np.float32)
 
 
-def _step(gradient: np.ndarray, squares: np.ndarray) -> np.ndarray:
-    root = squares + np.float32(1e-8)
+def _adagrad(values: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
+    root = gradient * gradient
+    squares += root
+    np.add(squares, np.float32(1e-8), out=root)
     np.sqrt(root, out=root)
     np.divide(gradient, root, out=root)
     root *= np.float32(RATE)
-    return root
-
-
-def _argsort(values: np.ndarray, below: int) -> np.ndarray:
-    """Stable order; values that fit 16 bits are sorted by radix."""
-    return np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
-
-
-def _by_group(target: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Group of each target in group order, that order, and ``group, from, to``
-    of the groups that occur."""
-    group = target % groups
-    order = _argsort(group, groups)
-    group = group[order]
-    cuts = np.flatnonzero(np.diff(group, prepend=-1, append=groups)).tolist()
-    return group, order, [(int(group[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-def _laid_out(words: Words, tails: np.ndarray, offsets: np.ndarray, classes, border: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values -= root
+
+
+def _sorted(value: np.ndarray, shift: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (less than ``below``) of each row in stable order, and their
+    places in the row (less than 2 ** ``shift``); both are sorted as one number."""
+    kind = np.uint32 if below << shift <= 1 << 32 else np.uint64
+    key = value.astype(kind) << kind(shift)
+    key |= np.arange(value.shape[-1], dtype=kind) & kind((1 << shift) - 1)
+    key.sort(axis=-1)
+    return key >> kind(shift), key & kind((1 << shift) - 1)
+
+
+def _steps(around: np.ndarray, target: np.ndarray, net: Network, size: int):
+    """What ``Copy._step`` takes for each ``size`` rows, sorted for many steps
+    at once: the rows' cells (see ``_cells``) and ``_runs`` in group order; the
+    places of their own logits; the cells that occur, by falling number of
+    rows; the row that has each cell first, second and so on up to ``RANKS``
+    (each list is for the first cells); the rows beyond that, cell by cell,
+    and where those of a cell begin."""
+    many, shift, groups = len(target) // size, (size - 1).bit_length(), net.groups
+    member = target // groups
+    group, place = _sorted((target - member * groups).reshape(many, size), shift, groups)
+    order = (place + np.arange(0, len(target), size)[:, None]).ravel()
+    own = np.concatenate([group, member.take(order).reshape(many, size)], axis=1) + np.arange(2 * size) * groups
+    cells = _cells(around.take(order, axis=0).reshape(many, size, -1), net.classes)
+    kind = np.uint32 if len(SIDES) * (net.classes + 1) << shift <= 1 << 32 else np.uint64
+    key = (cells.astype(kind) << kind(shift) | np.arange(size, dtype=kind)).reshape(many, -1)
+    key.sort(axis=1)
+    cell, row = key >> kind(shift), (key & kind((1 << shift) - 1)).ravel()
+    first = np.ones(cell.shape, bool)
+    np.not_equal(cell[:, 1:], cell[:, :-1], out=first[:, 1:])
+    start = np.flatnonzero(first)
+    n = np.diff(start, append=first.size)
+    at = np.append(0, np.cumsum(np.count_nonzero(first, axis=1)))
+    falling = np.repeat(np.arange(many) * (RANKS + 1), np.diff(at)) + (RANKS + 1 - np.minimum(n, RANKS + 1))
+    by_rows = np.argsort(falling.astype(np.uint16), kind="stable")
+    start, n = start.take(by_rows), n.take(by_rows)
+    changed, changed_at = cell.ravel().take(start).astype(np.int64), at.tolist()
+    ranks = []
+    for k in range(RANKS):
+        ranks.append((row.take(start + k), at.tolist()))
+        more = np.flatnonzero(n > k + 1)
+        start, n, at = start.take(more), n.take(more), more.searchsorted(at)
+    left = n - RANKS
+    head = np.append(0, np.cumsum(left))
+    rest, at = row.take(np.repeat(start + RANKS - head[:-1], left) + np.arange(head[-1])), at.tolist()
+    cells = cells.reshape(many, -1)
+    for k in range(many):
+        lists = [rows[cuts[k] : cuts[k + 1]] for rows, cuts in ranks if cuts[k] < cuts[k + 1]]
+        a, b = at[k : k + 2]
+        yield (cells[k], _runs(group[k]), own[k], changed[changed_at[k] : changed_at[k + 1]], lists,
+               rest[head[a] : head[b]], head[a:b] - head[a])
+
+
+def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """``group, from, to`` of the groups that occur, of rows in group order."""
+    cuts = [0, *((group[1:] != group[:-1]).nonzero()[0] + 1).tolist()]
+    return list(zip(group.take(cuts).tolist(), cuts, [*cuts[1:], len(group)], strict=True))
+
+
+def _laid_out(words: Words, tails: np.ndarray, offsets: np.ndarray, classes, border: int, rows=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes around each word, its own class, and each text's first word;
-    texts are separated by borders."""
+    texts are separated by borders.  ``rows`` gives, of the first words, the
+    words to return; by default all."""
     bounds = np.searchsorted(words.start, offsets)
     own = classes(words.hash, tails)
     gap = max(SIDES)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     place = np.arange(len(own)) + gap * (text + 1)
-    line = np.full(len(own) + gap * (len(offsets) + 1), border, np.int64)
+    line = np.full(len(own) + gap * (len(offsets) + 1), border, np.int32)
     line[place] = own
-    return np.stack([line[place + k] for k in SIDES], axis=1), own, bounds
+    rows = slice(None) if rows is None else rows(bounds)
+    return line.take(place[rows][:, None] + np.array(SIDES)), own[rows], bounds
 
 
 def _rounds(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -308,22 +472,20 @@ def _trained(docs: DataFrame, net: Network, text_col: str, round_no: int, copies
     start = net.flat()
 
     def run(batches):
-        own = net.replaced(start.copy())
-        seen = [np.zeros_like(p) for p in own.parameters()]
-        classes, steps = own.classifier(), 0
+        own = Copy(net)
+        classes, steps = net.classifier(), 0
         for batch in batches:
             for _, raw, offsets in utf8_parts(batch.column(0)):
                 words, tails = _words(raw)
                 if not len(words.hash):
                     continue
-                around, target, bounds = _laid_out(words, tails, offsets, classes, net.classes)
-                pick = np.flatnonzero(_rounds(words.hash, bounds) == round_no)
-                pick = np.random.default_rng(round_no).permutation(pick)
-                for a in range(0, len(pick), BATCH):
-                    own.learn(around[pick[a : a + BATCH]], target[pick[a : a + BATCH]], seen)
-                steps += len(pick)
+                draw = np.random.default_rng(round_no)
+                around, target, _ = _laid_out(words, tails, offsets, classes, net.classes, lambda bounds: draw.permutation(
+                    np.flatnonzero(_rounds(words.hash, bounds) == round_no)))
+                own.learn(around, target)
+                steps += len(target)
         if steps:
-            flat = own.flat()
+            flat = own.network().flat()
             at = np.append(np.arange(0, len(flat), PARAMETER_BLOCK), len(flat))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(at) - 1), pa.int32()), pa.array(np.full(len(at) - 1, float(steps))),
@@ -351,13 +513,30 @@ class Model:
     log_n: np.ndarray
     vocabulary: DataFrame
 
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where the words of each value of the first ``BUCKET_BITS`` bits begin."""
+        first = (self.words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        return np.append(0, np.cumsum(np.bincount(first, minlength=1 << BUCKET_BITS)))
+
     def logs(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each word is in the table, and its ``log_n`` (else 0)."""
         if not len(self.words):
             return np.zeros(len(hashes), bool), np.zeros(len(hashes))
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        found = self.words[at] == hashes
-        return found, np.where(found, self.log_n[at], 0.0)
+        # hashes are spread evenly: few words begin with the same bits, and these stand together
+        starts = self.starts
+        bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        at, left = starts.take(bucket), np.arange(len(hashes))
+        found, log_n = np.zeros(len(hashes), bool), np.zeros(len(hashes))
+        end = starts.take(bucket + 1)
+        while len(left):
+            more = np.flatnonzero(at < end)
+            left, at, end = left.take(more), at.take(more), end.take(more)
+            hit = self.words.take(at) == hashes.take(left)
+            found[left[hit]], log_n[left[hit]] = True, self.log_n[at[hit]]
+            more = np.flatnonzero(~hit)
+            left, at, end = left.take(more), at.take(more) + 1, end.take(more)
+        return found, log_n
 
 
 def train(docs: DataFrame, text_col: str = "text", table_words: int = TABLE_WORDS) -> Model:

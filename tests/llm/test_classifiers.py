@@ -296,3 +296,78 @@ def test_pseudo_sums_of_runs_and_logits_beyond_the_range_of_exp():
     for large in (rows + 500, rows - 500):
         pseudo._lower(large)
         assert (large.max(axis=1) == 0).all()
+
+
+def _plain_step(p, seen, around, target):
+    """One Adagrad step on 64-bit copies of a network's parameters."""
+    inside, bias, group, group_prior, member, member_prior = p
+    side, n, rows = len(group_prior), len(target), np.arange(len(target))
+    hidden = np.tanh(bias + sum(inside[k][around[:, k]] for k in range(4)))
+    soft = lambda x: np.exp(x - x.max(axis=1, keepdims=True)) / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
+    of, own = target % side, target // side
+    error = soft(hidden @ group + group_prior)
+    low = soft(np.einsum("nh,nhm->nm", hidden, member[of]) + member_prior[of])
+    error[rows, of] -= 1
+    low[rows, own] -= 1
+    error, low = error / n, low / n
+    back = (error @ group.T + np.einsum("nm,nhm->nh", low, member[of])) * (1 - hidden**2)
+    grads = [np.zeros(x.shape) for x in p]
+    for k in range(4):
+        np.add.at(grads[0][k], around[:, k], back)
+    grads[1], grads[2], grads[3] = back.sum(axis=0), hidden.T @ error, error.sum(axis=0)
+    np.add.at(grads[4], of, np.einsum("nh,nm->nhm", hidden, low))
+    np.add.at(grads[5], of, low)
+    for x, g, s in zip(p, grads, seen, strict=True):
+        s += g * g
+        x -= pseudo.RATE * g / np.sqrt(s + 1e-8)
+
+
+def test_pseudo_steps_sorted_together_equal_plain_steps():
+    draw = np.random.default_rng(4)
+    for side, groups in ((32, 32), (33, 3)):
+        net = pseudo.Network.fresh([1, 2, 3], [5, 4, 3], 20, side)
+        n = 64 * (pseudo.PLANNED + 2) + 13  # two plans and a shorter step
+        around = draw.integers(0, net.classes + 1, (n, 4))
+        around[draw.random((n, 4)) < 0.5] = 7  # in more rows of a step than are added up by rank
+        target = draw.integers(0, side, n) * side + draw.integers(0, groups, n)
+        plain = [p.astype(np.float64) for p in net.parameters()]
+        seen = [np.zeros(p.shape) for p in plain]
+        copy = pseudo.Copy(net)
+        copy.learn(around, target, 64)
+        for at in range(0, n, 64):
+            _plain_step(plain, seen, around[at : at + 64], target[at : at + 64])
+        for p, q in zip([*copy.parameters(0), *copy.parameters(1)], [*plain, *seen], strict=True):
+            assert np.allclose(p, q, rtol=1e-3, atol=2e-3)
+        assert all((p == q).all() for p, q in zip(copy.network().parameters(), copy.parameters(0), strict=True))
+
+
+def test_pseudo_logits_beyond_the_range_of_exp_are_shifted():
+    draw = np.random.default_rng(6)
+    around, target = draw.integers(0, 1024, (100, 4)), draw.integers(0, 1024, 100)
+    net = pseudo.Network.fresh([1, 2, 3], [5, 4, 3], 20)
+    want = net.log_probs(around, target)
+    for by in (200, -200):  # the same distribution
+        net.group_prior += np.float32(by)
+        net.member_prior += np.float32(by)
+        assert np.allclose(net.log_probs(around, target), want, atol=1e-3)
+        copy = pseudo.Copy(net)
+        copy.learn(around, target)
+        assert all(np.isfinite(p).all() for k in (0, 1) for p in copy.parameters(k))
+        assert copy.network().log_probs(around, target).mean() > want.mean()
+        net.group_prior -= np.float32(by)
+        net.member_prior -= np.float32(by)
+
+
+def test_pseudo_distinct_words_and_table_with_common_first_bits():
+    draw = np.random.default_rng(8)
+    words = draw.integers(0, 40, 3000, dtype=np.uint64) << np.uint64(58) | draw.integers(0, 60, 3000, dtype=np.uint64)
+    tails = words * np.uint64(31) % np.uint64(65_521)
+    for some in (words, words[:1], words[:0]):
+        want = np.unique(some, return_counts=True)
+        word, n, tail = pseudo._distinct(some, tails[: len(some)])
+        assert (word == want[0]).all() and (n == want[1]).all() and (tail == word * np.uint64(31) % np.uint64(65_521)).all()
+    known = np.unique(words)[::2]
+    model = pseudo.Model(None, known, np.arange(len(known)) + 0.5, None)
+    found, log_n = model.logs(words)
+    assert (found == np.isin(words, known)).all()
+    assert (log_n == np.where(found, np.searchsorted(known, words) + 0.5, 0)).all()
