@@ -385,7 +385,7 @@ def _adagrad(values: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> N
 def _sorted(value: np.ndarray, shift: int, below: int) -> tuple[np.ndarray, np.ndarray]:
     """Values (less than ``below``) of each row in stable order, and their
     places in the row (less than 2 ** ``shift``); both are sorted as one number."""
-    kind = np.uint32 if below << shift <= 1 << 32 else np.uint64
+    kind = np.uint32 if below << shift <= 1 << 32 else np.int64
     key = value.astype(kind) << kind(shift)
     key |= np.arange(value.shape[-1], dtype=kind) & kind((1 << shift) - 1)
     key.sort(axis=-1)
@@ -405,7 +405,7 @@ def _steps(around: np.ndarray, target: np.ndarray, net: Network, size: int):
     order = (place + np.arange(0, len(target), size)[:, None]).ravel()
     own = np.concatenate([group, member.take(order).reshape(many, size)], axis=1) + np.arange(2 * size) * groups
     cells = _cells(around.take(order, axis=0).reshape(many, size, -1), net.classes)
-    kind = np.uint32 if len(SIDES) * (net.classes + 1) << shift <= 1 << 32 else np.uint64
+    kind = np.uint32 if len(SIDES) * (net.classes + 1) << shift <= 1 << 32 else np.int64
     key = (cells.astype(kind) << kind(shift) | np.arange(size, dtype=kind)).reshape(many, -1)
     key.sort(axis=1)
     cell, row = key >> kind(shift), (key & kind((1 << shift) - 1)).ravel()

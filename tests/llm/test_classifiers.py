@@ -1,4 +1,5 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 
@@ -371,3 +372,16 @@ def test_pseudo_distinct_words_and_table_with_common_first_bits():
     found, log_n = model.logs(words)
     assert (found == np.isin(words, known)).all()
     assert (log_n == np.where(found, np.searchsorted(known, words) + 0.5, 0)).all()
+
+
+def test_pseudo_steps_of_numbers_beyond_32_bits():
+    draw = np.random.default_rng(9)
+    around, target = draw.integers(0, 90, (64 * 3, 4)), draw.integers(0, 1000, 64 * 3)
+    one, two = (list(pseudo._steps(around, target, SimpleNamespace(groups=33, classes=c), 64)) for c in (1089, 1 << 26))
+    for a, b in zip(one, two, strict=True):
+        for x, y in zip((a[0], a[3]), (b[0], b[3]), strict=True):  # side and class of each cell
+            assert (x // 1090 == y // ((1 << 26) + 1)).all() and (x % 1090 == y % ((1 << 26) + 1)).all()
+        assert a[1] == b[1] and all((x == y).all() for x, y in zip([a[2], *a[4], *a[5:]], [b[2], *b[4], *b[5:]], strict=True))
+    values = draw.integers(0, 50, 1000)
+    value, place = pseudo._sorted(values, 10, 1 << 40)
+    assert (place == np.argsort(values, kind="stable")).all() and (value == np.sort(values)).all() and len(values.take(place)) == 1000
